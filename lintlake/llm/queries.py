@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import exact_dedup
+from lintlake.llm import exact_dedup, simhash
 from lintlake.session import table
 
 
@@ -12,7 +12,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op3_simhash_dedup": op3_simhash_dedup,
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
