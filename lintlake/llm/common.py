@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows; so at most HOT_SHARE keys are hot, and a table of them can be broadcast whatever the input's size.
 HOT_SHARE = 1000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The six characters the contracts count as white space.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -23,6 +24,8 @@ def ready(spark: SparkSession) -> SparkSession:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    if int(spark.conf.get(BATCH)) > 1000:  # whole texts are large rows; a batch of 10,000 of them would not be small
+        spark.conf.set(BATCH, "1000")
     return spark
 
 

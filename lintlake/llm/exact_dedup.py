@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lintlake.llm.common import SPACES, join_hot, pick, ready, regroup, tasks, written
 
 BUCKET_ENTRIES = 512
-FOLD_BYTES = 32 << 20
+FOLD_BYTES = 8 << 20
 
 
 def normal(text: bytes) -> bytes:
