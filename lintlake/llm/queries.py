@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import exact_dedup, simhash
+from lintlake.llm import exact_dedup, packing, simhash
 from lintlake.session import table
 
 
@@ -16,9 +16,14 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL = {
