@@ -174,7 +174,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
             feats, ends = np.concatenate(spans), np.cumsum([len(s) for s in spans])
             starts = np.r_[0, ends[:-1]]
             e = (np.add.reduceat(weights[feats], starts, axis=0) + flags[uniq] @ lex)[inv].astype(np.float64)
-            g_e, g_t = _gradient(e, y, trans)
+            g_e, g_t = crf_gradient(e, y, trans)
             per = np.zeros((len(uniq), k))
             np.add.at(per, inv.ravel(), g_e.reshape(-1, k))
             spread = np.repeat(per, np.diff(np.r_[starts, len(feats)]), axis=0)
@@ -185,7 +185,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     return Model(langs, weights, lexicon, lex, trans.astype(np.float64))
 
 
-def _gradient(e: np.ndarray, y: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def crf_gradient(e: np.ndarray, y: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the negative log-likelihood, by emissions and transitions; the label before the first word is unknown."""
     b, n, k = e.shape
     tr = np.exp(trans)
