@@ -277,7 +277,9 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def _predict(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        labeller = Labeller(model) if model else None
+        labeller = None
+        if model:  # one a worker: words learned in one task serve the next
+            labeller = model.__dict__.get("labeller") or model.__dict__.setdefault("labeller", Labeller(model))
         for b in regroup(batches, 2 << 20):
             texts = [t or "" for t in b.column(1).to_pylist()]
             if labeller is None:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import pick, ready, regroup, written
-from lintlake.llm.tokens import WordEncoder, tokenizer_path
+from lintlake.llm.tokens import encoder, tokenizer_path
 
 ROOM = 2048
 NODES = 2_500
@@ -238,11 +238,11 @@ def _pieces(path: str, end: int, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, encoder, tail = TaskContext.get().partitionId(), WordEncoder(path), int(end).to_bytes(4, "little")
+        chunk, words, tail = TaskContext.get().partitionId(), encoder(path), int(end).to_bytes(4, "little")
         seen = [0] * (room + 1)
         for b in regroup(batches, 4 << 20):
             out = []
-            for i, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for i, ids in zip(b.column(0).to_pylist(), words.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 ids += tail
                 for p, at in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[at : at + 4 * room]

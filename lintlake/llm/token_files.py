@@ -12,8 +12,8 @@ document id: `part`, then `seq`. A shard holds
     symbols                little-endian int32: the compressed sequence
 
 Re-Pair: the most frequent pairs of adjacent symbols are replaced by new nonterminals, again and again, until no pair
-occurs `least` times (or a round at that count gains less than a hundredth). Pairs are counted in batches: a round takes all pairs that occur at least half as often as the
-round before demanded, so a shard needs as many rounds as its top count has halvings. Where candidates overlap, the more
+occurs `least` times (or a round at that count gains less than a hundredth). Pairs are counted in batches: a round takes all pairs that occur at least a quarter as often as
+the round before demanded, so a shard needs about as many rounds as its top count has digits by 4. Where candidates overlap, the more
 frequent one is replaced, then the left one. Any range of ids is decoded from the symbols that cover it: a search in the
 running expansion sizes finds them.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import pick, ready, regroup, shared_dir, tasks
-from lintlake.llm.tokens import WordEncoder, tokenizer_path
+from lintlake.llm.tokens import encoder, tokenizer_path
 
 BASE = 1 << 20
 SHARD_IDS = 1 << 21
@@ -51,26 +51,36 @@ class Grammar:
     rules: np.ndarray
     sizes: np.ndarray
     symbols: np.ndarray
+    _flat: tuple[np.ndarray, np.ndarray] | None = None
 
     def _size_of(self, s: np.ndarray) -> np.ndarray:
         return np.where(s >= self.base, self.sizes[np.maximum(s - self.base, 0)], 1) if len(self.sizes) else np.ones(len(s), np.int64)
 
     def expand(self, s: np.ndarray) -> np.ndarray:
-        """Ids of the symbols: each pass opens every nonterminal that is left."""
-        s = s.astype(np.int64)
-        while len(self.rules):
-            at = np.flatnonzero(s >= self.base)
-            if not len(at):
-                break
-            pair = self.rules[s[at] - self.base]
-            out = np.empty(len(s) + len(at), np.int64)
-            shift = np.zeros(len(s), np.int64)
-            shift[at[at + 1 < len(s)] + 1] = 1
-            place = np.arange(len(s)) + np.cumsum(shift)
-            out[place] = s
-            out[place[at]], out[place[at] + 1] = pair[:, 0], pair[:, 1]
-            s = out
-        return s
+        """Ids of the symbols. Rules are opened once, in order, as each only uses earlier ones; the rest is one gather."""
+        if not len(self.rules):
+            return s.astype(np.uint32)
+        if self._flat is None:
+            parts: list[np.ndarray] = []
+            for pair in self.rules.tolist():
+                parts.append(np.concatenate([parts[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in pair]))
+            self._flat = np.concatenate(parts), np.cumsum(self.sizes) - self.sizes
+        flat, begin = self._flat
+        if len(s) < 64:
+            return np.concatenate([flat[begin[x - self.base] :][: self.sizes[x - self.base]] if x >= self.base else np.array([x], np.uint32) for x in s.tolist()] or [flat[:0]])
+        size = self._size_of(s)
+        ends = np.cumsum(size)
+        out = np.empty(int(ends[-1]), np.uint32)
+        single = s < self.base
+        out[ends[single] - 1] = s[single]
+        rule = s[~single] - self.base
+        size, ends = size[~single], ends[~single]
+        for at in range(int(size.max(initial=0))):  # the at-th id of every nonterminal that has one
+            if at > 1:
+                more = size > at
+                rule, size, ends = rule[more], size[more], ends[more]
+            out[ends - size + at] = flat[begin[rule] + at]
+        return out
 
     def slice(self, start: int, n: int, ends: np.ndarray | None = None) -> np.ndarray:
         """ids[start : start + n] without decoding the rest. ends: self.ends(), when many slices are taken."""
@@ -94,7 +104,7 @@ def re_pair(ids: np.ndarray, base: int = BASE, least: int = LEAST) -> Grammar:
         slot = (s[:-1].view(np.uint32) * np.uint32(2654435769) ^ s[1:].view(np.uint32) * np.uint32(2246822519)) >> np.uint32(32 - _SLOTS)
         per = np.bincount(slot, minlength=1 << _SLOTS)
         top = int(per.max())
-        ask = max(least, (min(ask, top) or top) // 2)
+        ask = max(least, (min(ask, top) or top) // 4)
         if top < least:
             break
         at = np.flatnonzero((per >= ask)[slot])
@@ -133,7 +143,7 @@ def _shards(path: str, end: int, shard_ids: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, tail = TaskContext.get().partitionId(), WordEncoder(path), int(end).to_bytes(4, "little")
+        part, words, tail = TaskContext.get().partitionId(), encoder(path), int(end).to_bytes(4, "little")
         names: list = []
         bodies: list[bytes] = []
         seq = before = held = 0
@@ -146,7 +156,7 @@ def _shards(path: str, end: int, shard_ids: int, least: int):
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["part", "seq", "before", "n_ids", "doc_ids", "doc_sizes", "base", "rules", "sizes", "symbols"])
 
         for b in regroup(batches, 4 << 20):
-            for i, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for i, ids in zip(b.column(0).to_pylist(), words.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 names.append(i)
                 bodies.append(ids + tail)
                 held += len(ids) // 4 + 1
@@ -178,14 +188,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g = grammar(x["base"], x["rules"], x["sizes"], x["symbols"])
             sizes = np.array(x["doc_sizes"], np.int64)
             starts = np.cumsum(sizes) - sizes
-            ends, crc = g.ends(), []
-            for i, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-                crc.append(zlib.crc32(g.slice(i, n, ends).astype("<u4").tobytes()))
+            body = memoryview(g.expand(g.symbols).astype("<u4", copy=False).tobytes())
+            crc = [zlib.crc32(body[4 * i : 4 * (i + n)]) for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
             yield pa.record_batch([pa.array(x["doc_ids"], pa.int64()), pa.array(x["offset"] + x["before"] + starts), pa.array(sizes), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """id, start, n_tokens, ids_crc32 of every document, decoded from the files document by document."""
+    """id, start, n_tokens, ids_crc32 of every document, decoded from the files shard by shard; Grammar.slice decodes single ones."""
     ready(spark)
     shards = spark.read.schema(FORMAT).parquet(path)
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each writing task

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -88,3 +89,9 @@ class WordEncoder:
                 for w in [w for w, _ in zip(self.store, range(KEPT // 2), strict=False)]:
                     del self.store[w]
         return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder; its store serves all tasks that the worker runs."""
+    return WordEncoder(path)
