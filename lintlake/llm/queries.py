@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import ann, exact_dedup, langid, packing, pii, simhash, token_files
+from lintlake.llm import ann, exact_dedup, langid, license_scan, packing, pii, simhash, token_files
 from lintlake.session import table
 
 
@@ -12,6 +12,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_token_files": op4_token_files,
     "op5_personal_data": op5_personal_data,
@@ -47,6 +52,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_license_scan": license_scan.oracle(),
     "op1_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]', '', 'g') AS t FROM documents),
         w AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY c DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
