@@ -27,7 +27,7 @@ ROUNDS = 8
 BLOCK = 16
 #: The test's strictness: a candidate is abandoned when its estimate exceeds the k-th distance by this many deviations.
 EPSILON = 2.1
-RECALL = 0.97
+RECALL = 0.985
 CELL = 4_096
 QUERIES = 256
 
