@@ -145,7 +145,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in regroup(batches, FOLD_BYTES):
+    for b in batches:
         sha = [hashlib.sha256(normal(t or b"")).digest() for t in b.column(1).cast(pa.binary()).to_pylist()]
         yield pa.record_batch([b.column(0).cast(pa.int64()), pc.fill_null(pc.utf8_length(b.column(1)), 0).cast(pa.int64()), pa.array(sha, pa.binary())], names=["id", "n_chars", "sha"])
 
@@ -160,6 +160,22 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return written(owned.mapInArrow(_own, INDEX), "exact-index")
 
 
+def _probed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return pick(docs, id_col, text_col).mapInArrow(_probe, PROBE)
+
+
+def _decided(probe: DataFrame, index: DataFrame) -> DataFrame:
+    """probe (id, n_chars, sha and whatever else) with keep_id, keep_chars, group_size, ties and kept."""
+    total, tied = index.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.coalesce(F.max("ties"), F.lit(1))).first()
+    entry = index.select("sha", "keep_id", "keep_chars", "group_size", "ties")
+    out = join_hot(probe, entry, "sha", F.col("group_size"), total, F.coalesce(F.col("id").cast("string"), F.lit("")))
+    out = out.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
+    if tied > 1:  # the same row more than once: one of them stays
+        w = Window.partitionBy("sha", "kept", F.when(F.col("kept") & (F.col("ties") > 1), 0).otherwise(F.xxhash64("id"))).orderBy("id")
+        out = out.withColumn("kept", F.col("kept") & (F.row_number().over(w) == 1))
+    return out
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
@@ -169,13 +185,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Extra columns of docs are ignored.
     """
     ready(docs.sparkSession)
-    index = build_index(docs, id_col, text_col)
-    total, tied = index.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.coalesce(F.max("ties"), F.lit(1))).first()
-    probe = pick(docs, id_col, text_col).mapInArrow(_probe, PROBE)
-    entry = index.select("sha", "keep_id", "keep_chars", "group_size", "ties")
-    out = join_hot(probe, entry, "sha", F.col("group_size"), total, F.coalesce(F.col("id").cast("string"), F.lit("")))
-    out = out.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
-    if tied > 1:  # the same row more than once: one of them stays
-        w = Window.partitionBy("sha", "kept", F.when(F.col("kept") & (F.col("ties") > 1), 0).otherwise(F.xxhash64("id"))).orderBy("id")
-        out = out.withColumn("kept", F.col("kept") & (F.row_number().over(w) == 1))
+    out = _decided(_probed(docs, id_col, text_col), build_index(docs, id_col, text_col))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup marks kept, whole: every column travels with its row, so neither repeated ids nor null ids matter."""
+    ready(docs.sparkSession)
+    names = docs.columns
+    i, t = names.index(id_col), names.index(text_col)
+    width = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in regroup(batches, FOLD_BYTES):
+            found = next(_probe(iter([pa.record_batch([b.column(i), b.column(t)], names=["i", "t"])])), None)
+            if found is not None:
+                yield pa.record_batch([*b.columns, *found.columns], names=[*(f"c{k}" for k in range(width)), "id", "n_chars", "sha"])
+
+    carried = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
+    probe = docs.mapInArrow(run, f"{carried}, {PROBE}")
+    out = _decided(probe, build_index(docs, id_col, text_col)).filter("kept")
+    return out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])

@@ -274,21 +274,32 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return out
 
 
-def _predict(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def predictor(sent):
+    """batches, text column -> (batch, predictions, scores); the batches come cut to bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
         model = sent.value
         labeller = None
         if model:  # one a worker: words learned in one task serve the next
             labeller = model.__dict__.get("labeller") or model.__dict__.setdefault("labeller", Labeller(model))
         for b in regroup(batches, 2 << 20):
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column(at).to_pylist()]
             if labeller is None:
-                pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            else:
-                sums, sizes = labeller.sums(texts)
-                best = sums.argmax(axis=1)
-                pred = [model.langs[k] if n else UNKNOWN for k, n in zip(best.tolist(), sizes.tolist(), strict=True)]
-                score = np.clip(sums.max(axis=1) / np.maximum(sizes, 1), 0, 1).tolist()
+                yield b, [UNKNOWN] * len(texts), [0.0] * len(texts)
+                continue
+            sums, sizes = labeller.sums(texts)
+            best = sums.argmax(axis=1)
+            pred = [model.langs[k] if n else UNKNOWN for k, n in zip(best.tolist(), sizes.tolist(), strict=True)]
+            yield b, pred, np.clip(sums.max(axis=1) / np.maximum(sizes, 1), 0, 1).tolist()
+
+    return run
+
+
+def _predict(sent):
+    predict = predictor(sent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, pred, score in predict(batches, 1):
             yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
 
     return run

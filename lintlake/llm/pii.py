@@ -372,17 +372,25 @@ def sample(docs: DataFrame, id_col: str, text_col: str, rows: int = DOCS, chars:
     return [x for _, x in sorted((r["h"], r["text"]) for r in got)]
 
 
-def _spans(sent):
-    def text_of(spans: list[tuple[int, int, int]]) -> str:
-        return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
+def _written(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = sent.value
+
+def finder(sent):
+    """batches, text column -> (batch, texts, (base spans, all spans) of each); the batches come cut to bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[str], list]]:
         for b in regroup(batches, 1 << 20):
-            rows = []
-            for base, every in find(net, [t or "" for t in b.column(1).to_pylist()]):
-                n = [sum(k == j for k, _, _ in base) for j in range(4)]
-                rows.append((*n, hashlib.sha256(text_of(base).encode()).hexdigest(), text_of(every)))
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            yield b, texts, find(sent.value, texts)
+
+    return run
+
+
+def _spans(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _, found in finder(sent)(batches, 1):
+            rows = [(*[sum(k == j for k, _, _ in base) for j in range(4)], hashlib.sha256(_written(base).encode()).hexdigest(), _written(every)) for base, every in found]
             cols = list(zip(*rows, strict=True))
             yield pa.record_batch([b.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
@@ -405,12 +413,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumnRenamed("id", id_col)
 
 
-def redacted(text: str, spans: str) -> str:
+def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     """The text with each span as <KIND>; of overlapping spans the union is replaced, under the first one's kind."""
-    found = sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in spans.split(",") if x))
     out, at = [], 0
-    for s, e, k in found:
+    for s, e, k in sorted((s, e, k) for k, s, e in spans):
         if s >= at:
-            out += [text[at:s], f"<{k.upper()}>"]
+            out += [text[at:s], f"<{KINDS[k].upper()}>"]
         at = max(at, e)
-    return "".join(out) + text[at:] if found else text
+    return "".join(out) + text[at:] if spans else text

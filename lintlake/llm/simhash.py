@@ -67,7 +67,7 @@ def fingerprint(text: bytes) -> int:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in regroup(batches, 16 << 20):
         fp = [fingerprint(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", "fp"])
+        yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), b.column(2)], names=["id", "fp", "text_hash"])
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, fingerprint (16 hex digits), component_id (the least id of its component), component_size.
+    """One row per row of docs: id, fingerprint (16 hex digits), component_id (the least id of its component), component_size, text_hash (XXH64 of the text as it is).
 
     Words are runs of other than the six white-space characters, A-Z lower-cased; shingles of 4 words count with
     repeats, a shorter text is one shingle, a text without words (null, empty, blank) has fingerprint 0 and is linked
@@ -231,7 +231,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gives none; other columns are ignored.
     """
     ready(docs.sparkSession)
-    prints = written(pick(docs, id_col, text_col).mapInArrow(_prints, "id long, fp long"), "simhash-prints")
+    plain = pick(docs, id_col, text_col).withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`")))
+    prints = written(plain.mapInArrow(_prints, "id long, fp long, text_hash long"), "simhash-prints")
     fps = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     count, total = fps.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     roots = components(links(fps, count))
@@ -239,4 +240,15 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grouped = classed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     named = classed.join(grouped, "root").select("fp", "n", "component_id", "component_size")
     out = join_hot(prints, named, "fp", F.col("n"), total, F.coalesce(F.col("id").cast("string"), F.lit("")))
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size", "text_hash")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of near copies the row with the smallest id stays (null ids last; of rows that repeat an id the one with the smallest text hash); rows that repeat both stay together, exact dedup is for those."""
+    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
+    found = simhash_dedup(docs, id_col, text_col)
+    # a component is known by its least id; components of null ids alone by their fingerprint's
+    key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), "fingerprint"))
+    first = found.groupBy(key.alias("k")).agg(F.min(order).alias("first")).select(F.col("first.i").alias("_i"), F.col("first.h").alias("_h"))
+    mine = docs[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text_col]) == F.col("_h"))
+    return docs.join(first, mine, "left_semi")
