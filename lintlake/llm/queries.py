@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import ann, exact_dedup, langid, license_scan, packing, pii, simhash, token_counts, token_files
+from lintlake.llm import ann, exact_dedup, langid, license_scan, packing, pieces, pii, simhash, token_counts, token_files
 from lintlake.session import table
 
 
@@ -32,6 +32,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_ids(table(spark, sf_dir, "documents"))
+
+
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_personal_data": op5_personal_data,
     "op6_token_counts": op6_token_counts,
+    "op7_piece_ids": op7_piece_ids,
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
