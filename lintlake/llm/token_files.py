@@ -38,7 +38,7 @@ SHARD_IDS = 1 << 21
 LEAST = 256
 #: At the lowest count, rounds end when one shortens the sequence by less than a GAIN-th.
 GAIN = 100
-_SLOTS = 20
+_SLOTS = 18
 
 FORMAT = "part int, seq int, before long, n_ids long, doc_ids array<long>, doc_sizes array<long>, base int, rules binary, sizes binary, symbols binary"
 

@@ -58,6 +58,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.store = _Store(self._learn)
         # pieces may be reused only where the pre-tokenizer drops white space, as this kind of vocabulary does
         probe = "Ab, c.\n d's \xc9t\xe9. Zz"
@@ -74,7 +75,7 @@ class WordEncoder:
                 return self.store[low]
             if not piece.isascii():
                 low = piece.encode().decode("latin-1").translate(self.letters)
-            return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(low)])
+            return b"".join([self.packed[t.id] for t in self.model.tokenize(low)])
         if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
             return self.store[piece[:-1]] + self.store[piece[-1]]
         return self._raw(piece)
