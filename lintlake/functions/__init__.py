@@ -1 +1 @@
-
+"""Scalar functions over columns."""

@@ -1 +1,106 @@
-"""To be filled."""
+"""Queries of the rule algebra. Rules are made of parts: a part's type is its pattern, its brand its family."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lintlake.operators import rules as ops
+from lintlake.plans.base import findings, query
+from lintlake.session import table
+
+_R = "r AS (SELECT p_partkey AS rule_no, p_type AS pattern, p_brand AS type, p_size FROM part WHERE p_partkey <= 400)"
+
+
+def _parts(spark, d):
+    return table(spark, d, "part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("rule_no"), F.col("p_type").alias("pattern"), F.col("p_brand").alias("type"), "p_size")
+
+
+@query("u1_merge_rules", sql=f"WITH {_R}, b AS (SELECT *, CASE WHEN rule_no % 2 = 0 THEN 0 ELSE 1 END AS o FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY pattern, type ORDER BY o, rule_no) AS n FROM b) SELECT rule_no, pattern, type, CAST(row_number() OVER (ORDER BY o, rule_no) AS INTEGER) AS position FROM k WHERE n = 1")
+def u1(spark, d):
+    r = _parts(spark, d).drop("p_size")
+    return ops.merge(r.filter("rule_no % 2 = 0"), r.filter("rule_no % 2 = 1"), ["pattern", "type"])
+
+
+@query("j20_seen_sets", sql="SELECT arg_min(p_name, p_partkey) AS p_name, p_type FROM part GROUP BY p_type")
+def j20(spark, d):
+    return table(spark, d, "part").groupBy("p_type").agg(F.min_by("p_name", "p_partkey").alias("p_name"))
+
+
+@query("u6_merge_documents", sql=f"WITH {_R} SELECT pattern, type, min(CASE WHEN rule_no % 3 = 0 THEN 0 ELSE 1 END) AS source_no FROM r GROUP BY pattern, type")
+def u6(spark, d):
+    r = _parts(spark, d)
+    return ops.merge_documents(r.filter("rule_no % 3 = 0").select("pattern", "type"), r.filter("rule_no % 3 > 0").select("pattern", "type"))
+
+
+@query("u7_union_with_ordinal", findings_sql="SELECT file_path, arg_min(finding_id, (o, ordinal)) AS finding_id FROM (SELECT *, CASE WHEN tool = 'bridge' THEN 1 ELSE 0 END AS o FROM f) GROUP BY file_path")
+def u7(spark, d):
+    f = findings(spark, d)
+    both = f.filter("tool <> 'bridge'").withColumn("o", F.lit(0)).unionByName(f.filter("tool = 'bridge'").withColumn("o", F.lit(1)))
+    return both.groupBy("file_path").agg(F.min_by("finding_id", F.struct("o", "ordinal")).alias("finding_id"))
+
+
+@query("u8_merge_environments", findings_sql="SELECT file_path, variable, array_to_string(list_sort(list(DISTINCT line_number)), ',') AS defs FROM f WHERE variable IS NOT NULL GROUP BY ALL")
+def u8(spark, d):
+    """Reaching definitions of each name, united over branches."""
+    f = findings(spark, d).filter("variable IS NOT NULL")
+    return f.groupBy("file_path", "variable").agg(F.array_join(F.array_sort(F.collect_set("line_number")), ",").alias("defs"))
+
+
+@query("u9_unique_in_order", findings_sql="SELECT finding_id, array_to_string(CASE k % 3 WHEN 0 THEN ['b', 'a'] WHEN 1 THEN ['x'] ELSE [rule_id, 'a'] END, ',') AS reasons FROM f")
+def u9(spark, d):
+    k = F.col("k") % 3
+    raw = F.when(k == 0, F.array(F.lit("b"), F.lit("a"), F.lit("b"))).when(k == 1, F.array(F.lit(""), F.lit("x"), F.lit(None))).otherwise(F.array("rule_id", F.lit("a"), F.col("rule_id")))
+    return findings(spark, d).select("finding_id", F.array_join(ops.unique_in_order(raw), ",").alias("reasons"))
+
+
+def _rules(spark, d):
+    k = F.col("rule_no")
+    take = lambda n, *xs: F.slice(F.array(*[F.lit(x) for x in xs]), F.lit(1), n.cast("int"))
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (n + 1).cast("int"))
+    return _parts(spark, d).select(
+        "rule_no", F.when(k % 17 > 0, F.concat(F.lit("R"), k.cast("string"))).alias("rule_id"), F.when(k % 5 > 0, F.col("pattern")).otherwise(" ").alias("title"), pick(k % 5, "python", "java", "php", "go", "javascript").alias("language"),
+        pick(k % 4, "HIGH", "LOW", "odd", "CRITICAL").alias("severity"), take(k % 3, "request", "argv").alias("sources"), take(k % 4, "eval", "os", "exec(").alias("sinks"), take(k % 2, "escape").alias("sanitizers"),
+        F.when(k % 6 > 0, F.concat(F.lit("CWE-"), k.cast("string"))).otherwise("cwe 7").alias("cwe"), pick(k % 7, "sqli", "cmdi", "xss", "pathtraver", "redirect", "ldapi", "xxe").alias("family"), F.when(k % 3 > 0, "taint").otherwise("search").alias("mode"),
+    )
+
+
+_RULES = """x AS (SELECT rule_no, CASE WHEN rule_no % 17 > 0 THEN 'R' || rule_no END AS rule_id, CASE WHEN rule_no % 5 > 0 THEN pattern ELSE ' ' END AS title, ['python', 'java', 'php', 'go', 'javascript'][rule_no % 5 + 1] AS language, ['HIGH', 'LOW', 'odd', 'CRITICAL'][rule_no % 4 + 1] AS severity, list_slice(['request', 'argv'], 1, rule_no % 3) AS sources, list_slice(['eval', 'os', 'exec('], 1, rule_no % 4) AS sinks,
+    list_slice(['escape'], 1, rule_no % 2) AS sanitizers, CASE WHEN rule_no % 6 > 0 THEN 'CWE-' || rule_no ELSE 'cwe 7' END AS cwe, ['sqli', 'cmdi', 'xss', 'pathtraver', 'redirect', 'ldapi', 'xxe'][rule_no % 7 + 1] AS family, CASE WHEN rule_no % 3 > 0 THEN 'taint' ELSE 'search' END AS mode FROM r)"""
+_ISSUES = [("rule_id IS NULL", "error", "missing-rule-id"), ("trim(title) = ''", "warning", "missing-title"), ("language IS NULL", "error", "missing-language"), ("severity = 'odd'", "error", "bad-severity"), ("len(sources) = 0", "error", "no-sources"), ("len(sinks) = 0", "error", "no-sinks"), ("len(sanitizers) = 0", "warning", "no-sanitizers"), ("NOT starts_with(cwe, 'CWE-')", "warning", "bad-cwe"), ("list_contains(sinks, 'os')", "warning", "short-sink-pattern")]
+
+
+@query("t14_validate_rules", sql=f"WITH {_R}, {_RULES} " + " UNION ALL ".join(f"SELECT rule_id, '{lv}' AS level, '{c}' AS code FROM x WHERE {on}" for on, lv, c in _ISSUES))
+def t14(spark, d):
+    return ops.validate(_rules(spark, d))
+
+
+@query("t13_import_skips", sql=f"WITH {_R}, {_RULES} SELECT CASE WHEN mode <> 'taint' THEN 'not-taint-mode' WHEN language = 'go' THEN 'unsupported-language' WHEN len(sources) = 0 THEN 'no-sources' WHEN len(sinks) = 0 THEN 'no-sinks' ELSE 'imported' END AS outcome, count(*) AS n FROM x GROUP BY 1")
+def t13(spark, d):
+    r = _rules(spark, d)
+    return r.groupBy(F.coalesce(ops.skip_reason(r), F.lit("imported")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("t13_taxonomy_extract", sql="SELECT doc_id, nullif(upper(regexp_extract(t, '(?i)(CWE-\\d+)', 1)), '') AS cwe, nullif(upper(regexp_extract(t, '(?i)(A\\d{2}:20\\d{2})', 1)), '') AS owasp FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'see cwe-' || doc_id WHEN 1 THEN 'a0' || (doc_id % 9) || ':2021 and CWE-1' ELSE 'none' END AS t FROM documents)")
+def t13x(spark, d):
+    i = F.col("doc_id")
+    text = F.when(i % 3 == 0, F.concat(F.lit("see cwe-"), i.cast("string"))).when(i % 3 == 1, F.concat(F.lit("a0"), (i % 9).cast("string"), F.lit(":2021 and CWE-1"))).otherwise("none")
+    return table(spark, d, "documents").select("doc_id", ops.tidy_taxonomy(text).alias("x")).select("doc_id", "x.*")
+
+
+@query("t15_export_legacy", sql=f"WITH {_R}, {_RULES}, e AS (SELECT CASE family WHEN 'sqli' THEN 'sql_injection' WHEN 'cmdi' THEN 'command_injection' WHEN 'xss' THEN 'xss' WHEN 'pathtraver' THEN 'path_traversal' WHEN 'redirect' THEN 'open_redirect' END AS category, rule_id, rule_no, unnest(sinks) AS pattern, generate_subscripts(sinks, 1) AS pos FROM x) SELECT category, pattern, first(rule_id ORDER BY rule_no, pos) AS rule_id FROM e WHERE category IS NOT NULL GROUP BY category, pattern")
+def t15(spark, d):
+    return ops.export_legacy(_rules(spark, d))
+
+
+@query("s14_cards_first_wins", sql="SELECT 'card' || (p_size % 30) AS card_id, min(p_name || '.json') AS path FROM part GROUP BY 1")
+def s14(spark, d):
+    """Knowledge cards: of one card id the first file in path order."""
+    return table(spark, d, "part").groupBy(F.concat(F.lit("card"), (F.col("p_size") % 30).cast("string")).alias("card_id")).agg(F.min(F.concat("p_name", F.lit(".json"))).alias("path"))
+
+
+@query("s8_rules_by_language", sql="WITH b(lang, pattern) AS (VALUES ('de', 'und der'), ('fr', ' de la '), ('py', 'token')) SELECT doc_id, pattern FROM documents JOIN b ON b.lang = CASE WHEN documents.lang IN ('de', 'fr') THEN documents.lang ELSE 'py' END WHERE contains(text, pattern)")
+def s8(spark, d):
+    """Built-in rules of the file's language, the default's where it has none."""
+    b = spark.sql("SELECT * FROM VALUES ('de', 'und der'), ('fr', ' de la '), ('py', 'token') AS t(_lang, pattern)")
+    docs = table(spark, d, "documents").withColumn("_l", F.when(F.col("lang").isin("de", "fr"), F.col("lang")).otherwise("py"))
+    return docs.join(F.broadcast(b), (F.col("_l") == F.col("_lang")) & F.col("text").contains(F.col("pattern"))).select("doc_id", "pattern")

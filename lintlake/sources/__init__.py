@@ -1 +1 @@
-
+"""Sources and sinks of code-scan data."""

@@ -1 +1 @@
-
+"""Streams of scan progress and triage results."""
