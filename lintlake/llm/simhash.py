@@ -250,5 +250,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # a component is known by its least id; components of null ids alone by their fingerprint's
     key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), "fingerprint"))
     first = found.groupBy(key.alias("k")).agg(F.min(order).alias("first")).select(F.col("first.i").alias("_i"), F.col("first.h").alias("_h"))
-    mine = docs[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text_col]) == F.col("_h"))
+    mine = docs[id_col].eqNullSafe(first["_i"]) & (F.xxhash64(docs[text_col]) == first["_h"])
     return docs.join(first, mine, "left_semi")
