@@ -1,10 +1,15 @@
 """Whole-text encoding with a public tokenizer file, by exact reuse of what repeats.
 
-A text is cut at ASCII spaces and line feeds. The tokenizer's pre-tokenizer drops white space and no pattern of it
-crosses any, its normaliser maps characters one by one (NFC never composes across a space), so the ids of the text are
-the ids of its pieces in order. Pieces repeat, so each distinct one is encoded once per worker (bounded memory). A piece
-that is a letter run followed by one comma or full stop is joined from both parts' ids for the same reason. Tests hold
-this against encoding whole texts.
+The tokenizer's pre-tokenizer drops white space and cuts a text into letter runs, digits and runs of other characters;
+only its contractions ('s, 't, ...) join an apostrophe to letters. Its normaliser lower-cases, composes (NFC) and
+squeezes white space. So:
+
+- a text of Latin-1 characters without apostrophes is lower-cased whole (it is composed already) and cut into those runs;
+  each distinct run is encoded once per worker (bounded memory), letter runs by the library's model directly;
+- any other text is cut at ASCII spaces and line feeds, which no pattern crosses, and its distinct pieces are kept alike;
+- a text with the mark of a special token is encoded whole.
+
+Tests hold this against encoding whole texts.
 """
 
 from __future__ import annotations
@@ -16,10 +21,14 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces kept per worker; beyond it the older half of them goes.
-KEPT = 500_000
+KEPT = 600_000
 DEFAULT = "word_bpe_49k.json"
-#: Letters whose lower case and composition are settled within Latin-1; a run of them is one word to the pre-tokenizer.
+#: Letters and digits of Latin-1, in lower case; runs of the first are words to the pre-tokenizer, the second stand alone.
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_RUNS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^\\t-\\r \x85\xa0{_LETTERS}{_DIGITS}]+").findall
 _LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+_WIDE = re.compile("[^\x00-\xff]|'|<[|]").search
+_ASIDE = re.compile("'|<[|]").search
 
 
 def _byte_letters() -> dict[int, int]:
@@ -59,23 +68,26 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.store = _Store(self._learn)
-        # pieces may be reused only where the pre-tokenizer drops white space, as this kind of vocabulary does
-        probe = "Ab, c.\n d's \xc9t\xe9. Zz"
-        whole = self._raw(probe)
-        self.by_piece = whole == b"".join(map(self._raw, re.split("[ \n]", probe))) == b"".join(map(self._learn, re.split("[ \n]", probe)))
+        self.store, self.runs = _Store(self._learn), _Store(self._run)
+        # runs and pieces may be reused only where the pre-tokenizer drops white space, as this kind of vocabulary does
+        probe = "Ab, c.\n d-s \xc9t\xe9. Zz 42\xb2 (x)"
+        self.by_piece = self._raw(probe) == b"".join(map(self._raw, re.split("[ \n]", probe))) == b"".join(map(self._learn, re.split("[ \n]", probe))) == b"".join(map(self._run, _RUNS(probe.lower())))
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _model(self, word: str) -> bytes:
+        """Of a lower-case letter run."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(word)])
+
+    def _run(self, run: str) -> bytes:
+        return self._model(run) if run[0].isalpha() else self._raw(run)
+
     def _learn(self, piece: str) -> bytes:
         if _LATIN(piece):
-            low = piece.lower()
-            if low != piece:
-                return self.store[low]
-            if not piece.isascii():
-                low = piece.encode().decode("latin-1").translate(self.letters)
-            return b"".join([self.packed[t.id] for t in self.model.tokenize(low)])
+            return self.runs[piece.lower()]
         if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
             return self.store[piece[:-1]] + self.store[piece[-1]]
         return self._raw(piece)
@@ -83,12 +95,18 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [self._raw(t) for t in texts]
-        get, out = self.store.__getitem__, []
+        run, piece, out = self.runs.__getitem__, self.store.__getitem__, []
         for t in texts:
-            out.append(b"".join(map(get, t.replace("\n", " ").split(" "))))
-            if len(self.store) > KEPT:
-                for w in [w for w, _ in zip(self.store, range(KEPT // 2), strict=False)]:
-                    del self.store[w]
+            if not (_ASIDE(t) if t.isascii() else _WIDE(t)):
+                out.append(b"".join(map(run, _RUNS(t.lower()))))
+            elif "<|" in t:
+                out.append(self._raw(t))
+            else:
+                out.append(b"".join(map(piece, t.replace("\n", " ").split(" "))))
+            for kept in (self.runs, self.store):
+                if len(kept) > KEPT:
+                    for w in [w for w, _ in zip(kept, range(KEPT // 2), strict=False)]:
+                        del kept[w]
         return out
 
 

@@ -204,6 +204,15 @@ def test_piecewise_encoding_is_whole_encoding(docs):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == library_ids(texts)
 
 
+def test_piecewise_encoding_of_random_characters():
+    rng = random.Random(9)
+    latin = [chr(c) for c in range(1, 256) if not 0xD8 <= c >> 8 <= 0xDF]
+    wide = [*"abc .,'", "́", "İ", "ﬁ", "中", "　", "\u2028", "Å", "٣", "Ⅷ", "ª", "ǅ"]
+    texts = ["".join(rng.choices(chars, k=rng.randrange(1, 30))) for chars in (latin, wide, [*"aB \n.,'s1|<"]) for _ in range(400)]
+    got = tokens.WordEncoder(tokens.tokenizer_path()).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == library_ids(texts)
+
+
 @pytest.mark.parametrize("least", [2, 5, 50])
 def test_re_pair_round_trip_and_slices(least):
     rng = np.random.default_rng(least)
