@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -88,7 +89,7 @@ class WordEncoder:
     def _learn(self, piece: str) -> bytes:
         if _LATIN(piece):
             return self.runs[piece.lower()]
-        if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
+        if len(piece) > 1 and piece[-1] in ",." and unicodedata.normalize("NFC", piece[:-1]).lower()[-1].isalpha():  # a mark at the end would join the stop
             return self.store[piece[:-1]] + self.store[piece[-1]]
         return self._raw(piece)
 
