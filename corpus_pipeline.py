@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lintlake.llm import exact_dedup, langid, packing, pii, simhash
 from lintlake.llm.common import ready, written
 
-#: Mean marginal below which no language is taken as certain; a uniform guess among four has a quarter.
-SURE = 0.4
+#: Mean marginal below which no language is taken as certain; a uniform guess among four has a quarter, so only texts that speak for no language at all fall below.
+SURE = 0.3
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@
 2. Owner tasks get the folded rows by ranges of the 64-bit key (its high bits), sorted by key. Rows of one key form a
    chain; within it bytes are compared, so two texts that share a key stay apart.
 3. Every chain entry (without its text) goes into the owner's extendible hash: a directory over the key's low bits whose
-   buckets split when overfull, doubling the directory when a bucket's depth reaches the directory's. Buckets with
-   their depth and directory are written to the shared folder.
+   buckets split when overfull, doubling the directory when a bucket's depth reaches the directory's. The entries are
+   written to the shared folder with their bucket and its depth, which give the directory back.
 4. Documents look up their entry by digest; hot entries are joined apart (see common.join_hot).
 """
 
