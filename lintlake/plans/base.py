@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.operators import findings as ops
-from lintlake.session import table
+from lintlake.session import spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,7 +54,7 @@ EXT = {"de": "py", "en": "js", "es": "java", "fr": "php"}
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return ops.lines(docs, keep=("lang", "source"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lintlake.graph import flow
 from lintlake.operators import graphs as ops
 from lintlake.plans.base import findings, query
-from lintlake.session import table
+from lintlake.session import spread, table
 
 #: A sparse graph with cycles on the orders: each order points to two others of its status.
 _N = "(SELECT count(*) FROM orders)"
@@ -186,7 +186,7 @@ def programs(spark, d):
         F.when(i % 6 == 0, "    os.system(x)\n").when(i % 6 == 1, "    x = 'safe'\n    os.system(x)\n").when(i % 6 == 2, "    return 1\n    os.system(x)\n")
         .when(i % 6 == 3, "    for y in [1]:\n        continue\n        os.system(x)\n").when(i % 6 == 4, "    z = pick(x, 1)\n    os.system(z)\n").otherwise("    z = pick(1, x)\n    os.system(z)\n")
     )
-    return table(spark, d, "documents").select(F.concat(F.lit("f"), i.cast("string"), F.lit(".py")).alias("path"), F.concat(head, body, F.lit("\ndef fetch(request):\n    v = request.args\n    return v\n")).alias("content"))
+    return spread(table(spark, d, "documents").select("doc_id")).select(F.concat(F.lit("f"), i.cast("string"), F.lit(".py")).alias("path"), F.concat(head, body, F.lit("\ndef fetch(request):\n    v = request.args\n    return v\n")).alias("content"))
 
 
 @query("g1_flow_graph")

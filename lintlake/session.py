@@ -24,3 +24,9 @@ def local_session(cores: str = "8", name: str = "lintlake") -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; the path may lie in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows round-robin to all cores where a table is too small to be read in as many splits; larger tables are left as they are read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < max(2, cores // 2) else df
