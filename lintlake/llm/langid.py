@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lintlake.llm.common import pick, ready, regroup
 
 #: Bounds of the fitting sample: labelled rows for each language, characters of each, languages.
-ROWS, CHARS, LANGS = 250, 3_000, 64
+ROWS, CHARS, LANGS = 200, 2_000, 64
 SLOTS = 1 << 17
 LEXICON = 2_000
 EPOCHS, RATE, RIDGE = 4, 0.05, 1e-4

@@ -5,35 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lintlake.llm import ann, exact_dedup, langid, license_scan, packing, pieces, pii, simhash, token_counts, token_files
-from lintlake.session import table
+from lintlake.session import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return license_scan.license_scan(documents(spark, sf_dir))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
+    return simhash.simhash_dedup(documents(spark, sf_dir))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files(table(spark, sf_dir, "documents"))
+    return token_files.token_files(documents(spark, sf_dir))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(table(spark, sf_dir, "documents"))
+    return pii.personal_data(documents(spark, sf_dir))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return token_counts.token_counts(documents(spark, sf_dir))
 
 
 def op7_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.piece_ids(table(spark, sf_dir, "documents"))
+    return pieces.piece_ids(documents(spark, sf_dir))
 
 
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +45,11 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(documents(spark, sf_dir))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(documents(spark, sf_dir))
 
 
 QUERIES = {
