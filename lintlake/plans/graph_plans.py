@@ -220,3 +220,39 @@ def g20(spark, d):
     js = F.when(i % 3 == 0, "var q = req.query.id;\nvar s = 'x' + q;\ndb.run(s);\n").when(i % 3 == 1, "var q = escape(req.query.id);\ndb.run(q);\n").otherwise("var q = 1;\ndb.run(q);\n")
     files = table(spark, d, "documents").select(F.concat(F.lit("f"), i.cast("string"), F.lit(".js")).alias("path"), js.alias("content"))
     return flow.script_taint(files, ("req.query",), ("db.run",), ("escape(",))
+
+
+_PATH = "'f' || doc_id || '.py' AS path"
+
+
+def _per_file(spark, d, on, name):
+    return flow.graph(programs(spark, d)).groupBy("path").agg(F.count_if(on).alias(name))
+
+
+@query("g2_data_edges", sql=f"SELECT {_PATH}, CASE WHEN doc_id % 6 IN (2, 3) THEN 0 ELSE 1 END::BIGINT AS n_uses FROM documents")
+def g2(spark, d):
+    """Uses of a name by the definitions that reach them: a new definition kills the old one, unreachable code uses nothing."""
+    return _per_file(spark, d, (F.col("kind") == "dfg") & (F.col("label") == "x"), "n_uses")
+
+
+@query("g3_dead_code", sql=f"SELECT {_PATH}, CASE WHEN doc_id % 6 IN (2, 3) THEN 0 ELSE 1 END::BIGINT AS n_calls FROM documents")
+def g3(spark, d):
+    """Calls that control can reach."""
+    return _per_file(spark, d, (F.col("kind") == "node") & (F.col("label") == "call"), "n_calls")
+
+
+@query("g4_loop_edges", sql=f"SELECT {_PATH}, CASE WHEN doc_id % 6 = 3 THEN 1 ELSE 0 END::BIGINT AS n_back FROM documents")
+def g4(spark, d):
+    return _per_file(spark, d, (F.col("kind") == "cfg") & (F.col("label") == "back"), "n_back")
+
+
+@query("g7_transfer", sql="SELECT doc_id % 6 AS shape, count(*) AS n_flows FROM documents WHERE doc_id % 6 IN (0, 4) GROUP BY 1")
+def g7(spark, d):
+    """Files with a flow, by the shape of the program: overwritten, unreachable and returned-constant values carry none."""
+    t = flow.traces(programs(spark, d), sources=("request.",), sinks=("os.system",))
+    return t.groupBy((F.regexp_extract("path", r"(\d+)", 1).cast("long") % 6).alias("shape")).agg(F.count("*").alias("n_flows"))
+
+
+@query("j4_source_sink_pairs", sql="SELECT 8::BIGINT AS source_line, CASE WHEN doc_id % 6 = 0 THEN 9 ELSE 10 END::BIGINT AS sink_line, count(*) AS n FROM documents WHERE doc_id % 6 IN (0, 4) GROUP BY ALL")
+def j4(spark, d):
+    return flow.traces(programs(spark, d), sources=("request.",), sinks=("os.system",)).groupBy("source_line", "sink_line").agg(F.count("*").alias("n"))

@@ -178,3 +178,49 @@ def test_stream_ends_with_the_batch_result(spark, tmp_path):
         q.stop()
     want = {tuple(r) for r in jobs.job_states(src).collect()}
     assert {tuple(r) for r in spark.table("states").collect()} == want
+
+
+def test_report_sinks(spark, tmp_path):
+    f = table(spark, "finding_id string, severity string, triage_status string", ("a", "HIGH", "likely"), ("b", "LOW", None))
+    sinks.write_report(f, str(tmp_path / "r"), table(spark, "path string, error string", ("x", "bad")))
+    assert spark.read.json(str(tmp_path / "r/findings")).count() == 2 and spark.read.json(str(tmp_path / "r/errors")).count() == 1
+    sinks.append_lines(f, str(tmp_path / "l"))
+    sinks.append_lines(f, str(tmp_path / "l"))
+    assert spark.read.json(str(tmp_path / "l")).count() == 4
+    sinks.write_scores(f, str(tmp_path / "s"))
+    assert {r.value for r in spark.read.text(str(tmp_path / "s/markdown")).collect()} == {"| a | HIGH | likely |", "| b | LOW | - |"}
+    assert sinks.rule_document(f.limit(0)) == '{\n  "rules": []\n}'
+
+
+def test_ttl_and_resume(spark):
+    from datetime import datetime
+
+    r = table(spark, "k string, ts timestamp", ("old", datetime(2024, 1, 1)), ("new", datetime(2024, 1, 9)))
+    assert [x.k for x in jobs.fresh(r, F.lit(datetime(2024, 1, 10)), 7).collect()] == ["new"]
+    assert [x.k for x in jobs.resume(r, r.filter("k = 'old'"), "k").collect()] == ["new"]
+
+
+def test_call_binding_and_resolution(spark):
+    calls = table(spark, "call_id int, callee string, arguments array<string>", (1, "f", ["x", "y", "z"]))
+    fns = table(spark, "callee string, params array<string>", ("f", ["a", "b"]))
+    assert sorted(map(tuple, graphs.bind_arguments(calls, fns).collect())) == [(1, "x", "a"), (1, "y", "b"), (1, "z", "a"), (1, "z", "b")]
+    c = table(spark, "file string, callee string", ("m.py", "f"), ("m.py", "g"), ("m.py", "h"))
+    imports = table(spark, "file string, name string, target_file string", ("m.py", "f", "lib.py"))
+    index = table(spark, "name string, file string, ordinal int", ("f", "z.py", 1), ("g", "b.py", 2), ("g", "a.py", 3))
+    assert {(r.callee, r.target) for r in graphs.resolve_calls(c, imports, index).collect()} == {("f", "lib.py"), ("g", "b.py"), ("h", None)}
+
+
+def test_program_that_does_not_parse_is_a_row(spark):
+    from lintlake.graph import flow
+
+    f = table(spark, "path string, content string", ("bad.py", "def ("), ("none.py", None), ("ok.py", "x = 1\n"))
+    got = flow.graph(f).filter("kind = 'error'").collect()
+    assert [r.path for r in got] == ["bad.py"] and flow.traces(f, ("request.",), ("os.system",)).count() == 0
+
+
+def test_script_lexer(spark):
+    from lintlake.graph import flow
+
+    f = table(spark, "path string, content string", ("a.js", "let q = req.query.x;\nconst s = 'a' + q;\nrun(s);"), ("b.php", "$q = $_GET['x'];\n$q = clean($q);\nrun($q);"), ("c.js", "let q = clean(req.query.x);\nrun(q);"))
+    got = flow.script_taint(f, ("req.query", "$_GET"), ("run(",), ("clean(",)).collect()
+    assert {(r.path, r.source_line, r.sink_line) for r in got} == {("a.js", 1, 3), ("b.php", 1, 3)}  # taint only grows
