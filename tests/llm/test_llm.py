@@ -537,3 +537,11 @@ def test_pipeline_stages(spark, docs):
     clean = pipeline.without_personal_data(spark, df.filter("doc_id IN (1002, 1003, 1004)"), SF)
     got = {r.doc_id: r for r in clean.collect()}
     assert got[1002].text is None and "<EMAIL>" in got[1004].text and got[1004].n_chars == len(got[1004].text) and got[1003].text == extra[3][1]
+
+
+def test_sweep_deletes_only_old_stage_tables(spark):
+    from lintlake.llm import common
+
+    kept = common.written(spark.range(3).toDF("id"), "sweep-test")
+    assert common.sweep(spark, 24) == 0 and kept.count() == 3
+    assert common.sweep(spark, -1) >= 1
