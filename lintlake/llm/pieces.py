@@ -16,6 +16,7 @@ A character that no piece covers falls back to its bytes. Results equal the sent
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Segments kept per worker, and characters indexed at once.
 KEPT, INDEXED = 400_000, 1 << 18
+#: Segments over this many characters are cut at neighbours that no piece holds, and relaxed with a heap.
+LONG = 256
 _NONE = np.int32(1 << 30)
 
 
@@ -57,6 +60,8 @@ class PieceModel:
         self.chars = "".join(bodies)
         inner = any(MARK in b.lstrip(MARK) for b in bodies)
         feed = "\n" in self.chars
+        pairs = {ord(x) << 21 | ord(y) for b in bodies for x, y in zip(b, b[1:], strict=False)}
+        self.pairs = np.array(sorted(pairs), np.int64)
         self.cut = None if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if feed else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
         probe = " Ab  c\té  x\n"
         self.plain_rules = sp.normalize(probe) == self._mark(probe) if hasattr(sp, "normalize") else True
@@ -69,6 +74,12 @@ class PieceModel:
     def _mark(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
+    def split(self, segment: str) -> list[str]:
+        """The segment cut between neighbouring characters that stand together in no piece: nothing is ever joined across."""
+        codes = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        cuts = (np.flatnonzero(~np.isin(codes[:-1] << 21 | codes[1:], self.pairs)) + 1).tolist()
+        return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)], strict=True)]
+
     def normal(self, text: str) -> str:
         """The text as the pieces see it: blanks as marks, one in front."""
         return self._mark(text) if self.plain_rules else self.sp.normalize(text)
@@ -166,6 +177,10 @@ def encode_segments(model: PieceModel, segments: list[str]) -> list[bytes]:
         cuts.append(int(np.searchsorted(sizes[order], max(s + s // 4, s), "right")))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         rows = order[a:b]
+        if sizes[rows[0]] > LONG:
+            for row in rows.tolist():
+                out[row] = _relax_long(model, table, body, int(first[row]), int(sizes[row]))
+            continue
         _relax(model, table, body, first[rows], sizes[rows], rows, out)
     return out
 
@@ -234,6 +249,41 @@ def _relax(model: PieceModel, table: np.ndarray, body: np.ndarray, first: np.nda
         begin = end
 
 
+def _relax_long(model: PieceModel, table: np.ndarray, body: np.ndarray, first: int, size: int) -> bytes:
+    """The same relaxation for one long segment, with a heap of (rank, position): near-linear in its length."""
+    nxt, prv = list(range(1, size + 2)), list(range(-1, size))
+    rank, wide = model.rank, model.longest
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int, e: int) -> None:
+        if e - i <= wide and (k := int(table[first + i, e - i])) >= 0:
+            heapq.heappush(heap, (int(rank[k]), i, e))
+
+    for i in range(size - 1):
+        offer(i, i + 2)
+    gone = bytearray(size + 1)
+    while heap:
+        _, i, e = heapq.heappop(heap)
+        if gone[i] or nxt[i] >= size or nxt[nxt[i]] != e:
+            continue
+        gone[nxt[i]] = 1
+        nxt[i] = e
+        if e < size:
+            prv[e] = i
+            offer(i, nxt[e])
+        if prv[i] >= 0:
+            offer(prv[i], e)
+    ids, i = [], 0
+    while i < size:
+        k = int(table[first + i, nxt[i] - i])
+        if k >= 0:
+            ids.append(k)
+        else:
+            ids += [model.byte_ids.get(b, model.unknown) for b in chr(int(body[first + i])).encode("utf-8", "surrogatepass")] if model.byte_ids else [model.unknown]
+        i = nxt[i]
+    return np.array(ids, "<i4").tobytes()
+
+
 class PieceEncoder:
     """Ids of whole texts; segments that repeat are matched once a worker."""
 
@@ -243,6 +293,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         model, store = self.model, self.store
         cut = [model.cut(model.normal(t)) if model.cut else [model.normal(t)] for t in texts]
+        cut = [[p for w in c for p in (model.split(w) if len(w) > LONG else (w,))] if max(map(len, c), default=0) > LONG else c for c in cut]
         if len(store) > KEPT:
             for w in [w for w, _ in zip(store, range(KEPT // 2), strict=False)]:
                 del store[w]

@@ -393,7 +393,7 @@ def test_token_counts_add_up(odd):
 
 def test_pieces_equal_the_library(docs):
     enc = pieces.PieceEncoder(tokens.tokenizer_path(pieces.MODEL))
-    texts = [d["text"] for d in docs[:80]] + ODD_TEXTS + ["a▁b", "<s></s><unk><0x0A>", "the the the" * 50]
+    texts = [d["text"] for d in docs[:80]] + ODD_TEXTS + ["a▁b", "<s></s><unk><0x0A>", "the the the" * 50, "x" * 3000, "abcdefgh" * 500, "日本語のテキスト。" * 200, "".join(random.Random(8).choices("thearing", k=5000)), " " * 700]
     for t, ids in zip(texts, enc.encode(texts), strict=True):
         ids = np.frombuffer(ids, "<i4")
         assert ids.tolist() == enc.model.sp.encode(t), t[:60]
