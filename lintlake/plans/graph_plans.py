@@ -9,14 +9,13 @@ from lintlake.operators import graphs as ops
 from lintlake.plans.base import findings, query
 from lintlake.session import spread, table
 
-#: A sparse graph with cycles on the orders: each order points to two others of its status.
-_N = "(SELECT count(*) FROM orders)"
-_EDGES = "e AS (SELECT o_orderkey AS src, ((o_orderkey * 7 + 3) % 1000) AS dst FROM orders WHERE o_orderkey <= 1000 UNION SELECT o_orderkey, (o_orderkey * 5 + 11) % 1000 FROM orders WHERE o_orderkey <= 1000)"
+#: A graph on all orders, of the same shape at any size: each calls two with smaller keys; the smallest call themselves.
+_EDGES = "e AS (SELECT o_orderkey AS src, o_orderkey // 7 AS dst FROM orders UNION SELECT o_orderkey, o_orderkey // 5 + 1 FROM orders)"
 
 
 def _edges(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey <= 1000").select(F.col("o_orderkey").alias("src"))
-    return o.select("src", F.explode(F.array((F.col("src") * 7 + 3) % 1000, (F.col("src") * 5 + 11) % 1000)).alias("dst")).distinct()
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"))
+    return o.select("src", F.explode(F.array(F.floor(F.col("src") / 7), F.floor(F.col("src") / 5) + 1)).alias("dst")).distinct()
 
 
 def _levels(depth: int, start: str, edge: str = "e", a: str = "src", b: str = "dst") -> str:
@@ -30,17 +29,17 @@ def g9(spark, d):
     return ops.closure(start, ops.reverse(_edges(spark, d)), 4)
 
 
-@query("g10_path_to_node", sql=f"WITH RECURSIVE {_EDGES}, {_levels(6, 'SELECT 5::BIGINT AS node', a='dst', b='src')} SELECT min(level) AS level, count(DISTINCT node) AS n FROM r GROUP BY node HAVING node % 2 = 1")
+@query("g10_path_to_node", sql=f"WITH RECURSIVE {_EDGES}, {_levels(6, 'SELECT 5::BIGINT AS node', a='dst', b='src')} SELECT node, min(level) AS level FROM r GROUP BY node")
 def g10(spark, d):
     start = spark.sql("SELECT CAST(5 AS BIGINT) AS node")
-    return ops.closure(start, ops.reverse(_edges(spark, d)), 6).filter("node % 2 = 1").select("level", F.lit(1).cast("long").alias("n"))
+    return ops.closure(start, ops.reverse(_edges(spark, d)), 6)
 
 
-@query("g17_cross_file_taint", sql=f"WITH RECURSIVE {_EDGES}, {_levels(5, 'SELECT o_orderkey AS node FROM orders WHERE o_orderkey <= 1000 AND o_orderkey % 97 = 1')} SELECT node, min(level) AS level, CASE WHEN node % 4 = 0 THEN 'SUPPRESSED' ELSE 'CONFIRMED' END AS status FROM r WHERE node % 5 = 0 GROUP BY node")
+@query("g17_cross_file_taint", sql=f"WITH RECURSIVE {_EDGES}, {_levels(5, 'SELECT o_orderkey AS node FROM orders WHERE o_orderpriority LIKE \'1-%\'')} SELECT node, min(level) AS level, CASE WHEN node % 4 = 0 THEN 'SUPPRESSED' ELSE 'CONFIRMED' END AS status FROM r GROUP BY node")
 def g17(spark, d):
-    """Tainted functions reach sinks (every fifth node) along calls in at most five hops; a sanitizer on the sink suppresses."""
-    start = table(spark, d, "orders").filter("o_orderkey <= 1000 AND o_orderkey % 97 = 1").select(F.col("o_orderkey").alias("node"))
-    return ops.closure(start, _edges(spark, d), 5).filter("node % 5 = 0").withColumn("status", F.when(F.col("node") % 4 == 0, "SUPPRESSED").otherwise("CONFIRMED"))
+    """What tainted functions (urgent orders) reach along calls in at most five hops; a sanitizer there (every fourth) suppresses."""
+    start = table(spark, d, "orders").filter("o_orderpriority LIKE '1-%'").select(F.col("o_orderkey").alias("node"))
+    return ops.closure(start, _edges(spark, d), 5).withColumn("status", F.when(F.col("node") % 4 == 0, "SUPPRESSED").otherwise("CONFIRMED"))
 
 
 @query("g5_function_summaries", sql="WITH RECURSIVE dfg AS (SELECT conv_id AS function, turn AS src, turn + 1 AS dst FROM conversations WHERE turn % 4 <> 2), r AS (SELECT conv_id AS function, max(turn) AS node, 0 AS level FROM conversations GROUP BY conv_id UNION ALL SELECT r.function, dfg.src, level + 1 FROM r JOIN dfg ON dfg.function = r.function AND dfg.dst = r.node WHERE level < 12) SELECT DISTINCT p.conv_id AS function, 'p' || p.turn AS param FROM conversations p JOIN r ON r.function = p.conv_id AND r.node = p.turn WHERE p.role = 'user'")
@@ -67,9 +66,9 @@ def j7(spark, d):
     return ops.resolve_calls(calls, imports, functions)
 
 
-@query("j8_bind_arguments", sql="WITH c AS (SELECT o_orderkey AS call_id, 'fn' || (o_custkey % 5) AS callee, list_slice(['a', 'b', 'c', 'd'], 1, 1 + o_orderkey % 4) AS args FROM orders WHERE o_orderkey <= 2000), f AS (SELECT 'fn' || i AS callee, list_slice(['p', 'q', 'r'], 1, 1 + i % 3) AS params FROM range(4) t(i)), a AS (SELECT call_id, callee, unnest(args) AS argument, generate_subscripts(args, 1) AS pos FROM c) SELECT call_id, argument, unnest(CASE WHEN pos <= len(params) THEN [params[pos]] ELSE params END) AS param FROM a JOIN f USING (callee)")
+@query("j8_bind_arguments", sql="WITH c AS (SELECT o_orderkey AS call_id, 'fn' || (o_custkey % 5) AS callee, list_slice(['a', 'b', 'c', 'd'], 1, 1 + o_orderkey % 4) AS args FROM orders), f AS (SELECT 'fn' || i AS callee, list_slice(['p', 'q', 'r'], 1, 1 + i % 3) AS params FROM range(4) t(i)), a AS (SELECT call_id, callee, unnest(args) AS argument, generate_subscripts(args, 1) AS pos FROM c) SELECT call_id, argument, unnest(CASE WHEN pos <= len(params) THEN [params[pos]] ELSE params END) AS param FROM a JOIN f USING (callee)")
 def j8(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey <= 2000")
+    o = table(spark, d, "orders")
     calls = o.select(F.col("o_orderkey").alias("call_id"), F.concat(F.lit("fn"), (F.col("o_custkey") % 5).cast("string")).alias("callee"), F.slice(F.array(*[F.lit(x) for x in "abcd"]), F.lit(1), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("arguments"))
     functions = spark.range(4).select(F.concat(F.lit("fn"), F.col("id").cast("string")).alias("callee"), F.slice(F.array(*[F.lit(x) for x in "pqr"]), F.lit(1), (F.col("id") % 3 + 1).cast("int")).alias("params"))
     return ops.bind_arguments(calls, functions)

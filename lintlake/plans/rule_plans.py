@@ -8,11 +8,11 @@ from lintlake.operators import rules as ops
 from lintlake.plans.base import findings, query
 from lintlake.session import table
 
-_R = "r AS (SELECT p_partkey AS rule_no, p_type AS pattern, p_brand AS type, p_size FROM part WHERE p_partkey <= 400)"
+_R = "r AS (SELECT p_partkey AS rule_no, p_type AS pattern, p_brand AS type, p_size FROM part)"
 
 
 def _parts(spark, d):
-    return table(spark, d, "part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("rule_no"), F.col("p_type").alias("pattern"), F.col("p_brand").alias("type"), "p_size")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("rule_no"), F.col("p_type").alias("pattern"), F.col("p_brand").alias("type"), "p_size")
 
 
 @query("u1_merge_rules", sql=f"WITH {_R}, b AS (SELECT *, CASE WHEN rule_no % 2 = 0 THEN 0 ELSE 1 END AS o FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY pattern, type ORDER BY o, rule_no) AS n FROM b) SELECT rule_no, pattern, type, CAST(row_number() OVER (ORDER BY o, rule_no) AS INTEGER) AS position FROM k WHERE n = 1")

@@ -71,14 +71,14 @@ def s10(spark, d):
     return e.select("event_id", F.coalesce(got("$.k", "int"), F.lit(0)).alias("line"), F.coalesce(got("$.confidence", "double"), F.lit(0.5)).alias("confidence"), F.coalesce(F.upper(F.get_json_object("props", "$.severity")), F.lit("UNKNOWN")).alias("severity"))
 
 
-@query("s12_ground_truth_rows", sql="SELECT 'BenchmarkTest' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS case_id, CASE doc_id % 3 WHEN 0 THEN 'SQL_INJECTION' WHEN 1 THEN 'XSS' END AS family, quality = 0 AS vulnerable, CAST(doc_id % 100 AS INTEGER) AS cwe FROM labels WHERE doc_id % 10 > 0 AND doc_id < 100000")
+@query("s12_ground_truth_rows", sql="SELECT printf('BenchmarkTest%05d', doc_id) AS case_id, CASE doc_id % 3 WHEN 0 THEN 'SQL_INJECTION' WHEN 1 THEN 'XSS' END AS family, quality = 0 AS vulnerable, CAST(doc_id % 100 AS INTEGER) AS cwe FROM labels WHERE doc_id % 10 > 0")
 def s12(spark, d):
     """Rows as the truth file has them, then parsed: comments go, categories map to families (unknown ones to null)."""
     i = F.col("doc_id")
-    line = F.concat_ws(",", F.concat(F.when(i % 10 == 0, "# ").otherwise(""), F.lit("BenchmarkTest"), F.lpad(i.cast("string"), 5, "0")), F.when(i % 3 == 0, "sqli").when(i % 3 == 1, "xss").otherwise("other"), (F.col("quality") == 0).cast("string"), (i % 100).cast("string"))
+    line = F.concat_ws(",", F.concat(F.when(i % 10 == 0, "# ").otherwise(""), F.format_string("BenchmarkTest%05d", i)), F.when(i % 3 == 0, "sqli").when(i % 3 == 1, "xss").otherwise("other"), (F.col("quality") == 0).cast("string"), (i % 100).cast("string"))
     p = F.split("line", ",")
     family = F.create_map(*[F.lit(x) for q in ops.CATEGORY_FAMILY.items() for x in q])[p[1]]
-    rows = table(spark, d, "labels").filter("doc_id < 100000").select(line.alias("line")).filter("NOT startswith(line, '#')")
+    rows = table(spark, d, "labels").select(line.alias("line")).filter("NOT startswith(line, '#')")
     return rows.select(p[0].alias("case_id"), family.alias("family"), (p[2] == "true").alias("vulnerable"), p[3].cast("int").alias("cwe"))
 
 
