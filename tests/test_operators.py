@@ -224,3 +224,30 @@ def test_script_lexer(spark):
     f = table(spark, "path string, content string", ("a.js", "let q = req.query.x;\nconst s = 'a' + q;\nrun(s);"), ("b.php", "$q = $_GET['x'];\n$q = clean($q);\nrun($q);"), ("c.js", "let q = clean(req.query.x);\nrun(q);"))
     got = flow.script_taint(f, ("req.query", "$_GET"), ("run(",), ("clean(",)).collect()
     assert {(r.path, r.source_line, r.sink_line) for r in got} == {("a.js", 1, 3), ("b.php", 1, 3)}  # taint only grows
+
+
+def test_linear_taint_equals_a_loop(spark):
+    from lintlake.plans import graph_plans
+
+    got = {r.conv_id: (r.n_tainted, r.n_hits) for r in graph_plans.g22(spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").orderBy("conv_id", "turn").collect()
+    want = {}
+    for r in rows:
+        tainted, hits = want.setdefault(r.conv_id, ([], []))
+        words = r.text.lower().split(" ")
+        read = any(w in tainted for w in words)
+        if read and r.role == "assistant":
+            hits.append(r.turn)
+        if (read or r.turn == 0) and words[0] not in tainted:
+            tainted.append(words[0])
+    assert got == {k: (len(t), len(h)) for k, (t, h) in want.items()}
+
+
+def test_json_documents_hold_their_rows(spark):
+    import json
+
+    from lintlake.plans import finding_plans, report_plans
+
+    found = [json.loads(r.finding) for r in report_plans.k1(spark, "/root/testdata/sf0.001").collect()]
+    assert found and all({"finding_id", "rule_id", "severity", "triage_status", "location"} <= x.keys() for x in found)
+    assert {json.loads(r.document)["finding"]["finding_id"] for r in finding_plans.p4(spark, "/root/testdata/sf0.001").collect()} == {x["finding_id"] for x in found}
