@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import findings as ops
 from lintlake.operators import matching
-from lintlake.plans.base import FINDINGS_SQL, LINES_SQL, RULES_SQL, findings, lines, query, rules
+from lintlake.plans.base import LINES_SQL, RULES_SQL, findings, lines, query, rules
 from lintlake.session import table
 
 _ID = "finding_id"

@@ -46,7 +46,7 @@ def code_files(spark: SparkSession, root: str, dirs: Iterable[str] = BASELINE_DI
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root.rstrip("/").removeprefix("file://") + "/", "")
     listed = raw.withColumn("rel", rel).withColumn("language", language_of(F.col("path")))
     kept = listed.filter(F.col("language").isNotNull() & ~excluded(F.col("rel"), dirs, globs))
-    return kept.select(F.col("rel").alias("path"), "language", F.decode("content", F.lit("UTF-8")).alias("content"), "modificationTime")
+    return kept.select(F.col("rel").alias("path"), "language", F.decode("content", "UTF-8").alias("content"), "modificationTime")
 
 
 def line_count(text: Column) -> Column:
