@@ -102,6 +102,7 @@ def re_pair(ids: np.ndarray, base: int = BASE, least: int = LEAST) -> Grammar:
     ask = 0
     while len(s) > 1:
         slot = (s[:-1].view(np.uint32) * np.uint32(2654435769) ^ s[1:].view(np.uint32) * np.uint32(2246822519)) >> np.uint32(32 - _SLOTS)
+        slot = slot.astype(np.intp)  # once, for counting and looking up
         per = np.bincount(slot, minlength=1 << _SLOTS)
         top = int(per.max())
         ask = max(least, (min(ask, top) or top) // 4)
@@ -117,11 +118,11 @@ def re_pair(ids: np.ndarray, base: int = BASE, least: int = LEAST) -> Grammar:
                 break
             continue
         at, which = at[use], which[use]
-        score = np.zeros(len(s) + 1, np.int64)
+        score = np.zeros(len(s) + 2, np.int32)
         score[at + 1] = n[which]  # at place p + 1: the count of the pair that starts at p
         begins = np.r_[True, (at[1:] != at[:-1] + 1) | (n[which[1:]] != n[which[:-1]])]  # of level stretches: every other pair of one is kept
         first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        keep = ((at - at[first]) % 2 == 0) & (score[at + 1] > score[at[first]]) & (score[at + 1] >= np.append(score, 0)[at + 2])
+        keep = ((at - at[first]) % 2 == 0) & (score[at + 1] > score[at[first]]) & (score[at + 1] >= score[at + 2])
         at, which = at[keep], which[keep]
         symbol = np.zeros(len(pairs), np.int32)
         for k in np.flatnonzero(np.bincount(which, minlength=len(pairs))).tolist():
