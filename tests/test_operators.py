@@ -131,6 +131,24 @@ def test_sanitizers_are_recorded_and_summaries_follow_data():
     assert g.functions["keep"].depends == ["a"] and g.functions["fixed"].depends == []
 
 
+def test_trace_is_whole_on_many_ways():
+    ways = "".join(f"    if c:\n        n{i} = v\n" for i in range(16))
+    g = Flow(HEAD + ways + "".join(f"    os.system(n{i})\n" for i in range(16)))
+    assert [x[1] for x in g.trace(SOURCES, SINKS)] == list(range(41, 57))
+
+
+def test_trace_keeps_each_source_and_the_way_without_a_sanitizer():
+    both = "    if c:\n        v = request.a\n    else:\n        v = request.b\n    os.system(v)\n"
+    assert [x[:2] for x in Flow(HEAD + both).trace(SOURCES, SINKS)] == [(10, 13), (12, 13)]
+    kept = "    w = request.other\n    os.system(v)\n"
+    assert [x[:2] for x in Flow(HEAD + kept).trace(SOURCES, SINKS)] == [(8, 10)]
+    for a, b in (("v", "shlex.quote(v)"), ("shlex.quote(v)", "v")):
+        half = f"    if c:\n        w = {a}\n    else:\n        w = {b}\n    os.system(w)\n"
+        assert Flow(HEAD + half).trace(SOURCES, SINKS, ("shlex.quote",)) == [(8, 13, 2, False)]
+    every = "    if c:\n        w = shlex.quote(v)\n    else:\n        w = shlex.quote(v)\n    os.system(w)\n"
+    assert [x[3] for x in Flow(HEAD + every).trace(SOURCES, SINKS, ("shlex.quote",))] == [True]
+
+
 @pytest.mark.parametrize(("code_text", "safe"), [("def f(q):\n    c = 'a' + 'b'\n    os.system(c)\n", True), ("def f(q):\n    c = 'a' + q\n    os.system(c)\n", False), ("def f(q):\n    if 1 == 1:\n        c = 'x'\n    else:\n        c = q\n    os.system(c)\n", True), ("def f(q):\n    c = 'x'\n    if q:\n        c = q\n    os.system(c)\n", False)])
 def test_constant_filter(code_text, safe):
     import ast
