@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import pick, ready, regroup
 
-#: Bounds of the fitting sample: labelled rows for each language, characters of each, languages.
-ROWS, CHARS, LANGS = 200, 2_000, 64
+#: Bounds of the fitting sample: labelled rows for each language, characters of each.
+ROWS, CHARS = 200, 2_000
 SLOTS = 1 << 17
 LEXICON = 2_000
 EPOCHS, RATE, RIDGE = 4, 0.05, 1e-4
 STRETCH = 16
 CHUNK = 64
 KEPT = 400_000
+#: Numbers in one array of pair scores; more languages are handled in smaller parts.
+PAIRS = 1 << 25
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -73,14 +75,14 @@ def hash_word(w: str) -> int:
 class Model:
     langs: list[str]
     weights: np.ndarray  # SLOTS x K
-    lexicon: dict[str, np.ndarray]  # word -> K flags
+    lexicon: dict[str, np.ndarray]  # word -> K flags, bool
     lex_weights: np.ndarray  # K x K: flag of a language -> score of a label
     trans: np.ndarray  # K x K, log
 
     def emissions(self, words: list[str]) -> np.ndarray:
         slot, at = grams(words)
         out = np.add.reduceat(self.weights[slot], at, axis=0)
-        none = np.zeros(len(self.langs), np.float32)
+        none = np.zeros(len(self.langs), bool)
         return out + np.array([self.lexicon.get(w, none) for w in words], np.float32) @ self.lex_weights
 
 
@@ -148,12 +150,14 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     for y, lang in enumerate(langs):
         for w, n in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             if n > 1:
-                lexicon.setdefault(w, np.zeros(k, np.float32))[y] = 1
-    stretches = [(langs.index(lang), words[i : i + STRETCH]) for lang, words in docs for i in range(0, len(words) - STRETCH + 1, STRETCH)] or [(langs.index(lang), words[:STRETCH]) for lang, words in docs]
+                lexicon.setdefault(w, np.zeros(k, bool))[y] = True
+    nth = {lang: y for y, lang in enumerate(langs)}
+    stretches = [(nth[lang], words[i : i + STRETCH]) for lang, words in docs for i in range(0, len(words), STRETCH)]
     vocab = {w: i for i, w in enumerate(sorted({w for _, s in stretches for w in s}))}
     slot, at = grams(list(vocab))
     n_feat = np.diff(np.r_[at, len(slot)])
-    flags = np.array([lexicon.get(w, np.zeros(k, np.float32)) for w in vocab], np.float32)
+    none = np.zeros(k, bool)
+    flags = np.array([lexicon.get(w, none) for w in vocab], bool)
     weights, lex, trans = np.zeros((SLOTS, k), np.float32), np.zeros((k, k), np.float32), np.zeros((k, k))
     sq = [np.full_like(weights, 1e-6), np.full_like(lex, 1e-6), np.full_like(trans, 1e-6)]
     length = 4 * STRETCH
@@ -162,9 +166,12 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
         # two sequences in three continue within a language; the third mixes
         by_lang = sorted(order, key=lambda s: stretches[s][0])
         mixed = order[: len(order) // 3]
-        plain = [s for s in by_lang if s not in set(mixed.tolist())]
+        taken = set(mixed.tolist())
+        plain = [s for s in by_lang if s not in taken]
         ids = [(vocab[w], stretches[s][0]) for s in [*plain, *mixed] for w in stretches[s][1]]
-        ids = np.array(ids[: len(ids) // length * length] or ids)
+        if len(ids) > length:  # the last sequence is filled from the first, so that no word is left out
+            ids += ids[: -len(ids) % length]
+        ids = np.array(ids)
         words, gold = ids[:, 0].reshape(-1, min(length, len(ids))), ids[:, 1].reshape(-1, min(length, len(ids)))
         for part in np.array_split(rng.permutation(len(words)), max(1, len(words) // 128)):
             w, y = words[part], gold[part]
@@ -173,13 +180,14 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
             spans = [slot[at[u] : at[u] + n_feat[u]] for u in uniq]
             feats, ends = np.concatenate(spans), np.cumsum([len(s) for s in spans])
             starts = np.r_[0, ends[:-1]]
-            e = (np.add.reduceat(weights[feats], starts, axis=0) + flags[uniq] @ lex)[inv].astype(np.float64)
+            known = flags[uniq].astype(np.float32)
+            e = (np.add.reduceat(weights[feats], starts, axis=0) + known @ lex)[inv].astype(np.float64)
             g_e, g_t = crf_gradient(e, y, trans)
             per = np.zeros((len(uniq), k))
             np.add.at(per, inv.ravel(), g_e.reshape(-1, k))
             spread = np.repeat(per, np.diff(np.r_[starts, len(feats)]), axis=0)
             g_w = np.stack([np.bincount(feats, spread[:, j], SLOTS) for j in range(k)], axis=1).astype(np.float32)
-            for x, g, s in ((weights, g_w, sq[0]), (lex, (flags[uniq].T @ per).astype(np.float32), sq[1]), (trans, g_t, sq[2])):
+            for x, g, s in ((weights, g_w, sq[0]), (lex, (known.T @ per).astype(np.float32), sq[1]), (trans, g_t, sq[2])):
                 s += g * g
                 x -= RATE * g / np.sqrt(s) + RATE * RIDGE * x
     return Model(langs, weights, lexicon, lex, trans.astype(np.float64))
@@ -205,9 +213,11 @@ def crf_gradient(e: np.ndarray, y: np.ndarray, trans: np.ndarray) -> tuple[np.nd
     post /= post.sum(axis=2, keepdims=True)
     g = post.transpose(1, 0, 2).copy()
     np.put_along_axis(g, y[:, :, None], np.take_along_axis(g, y[:, :, None], 2) - 1, 2)
-    pair = alpha[:-1, :, :, None] * tr[None, None] * (x.transpose(1, 0, 2)[1:] * beta[1:])[:, :, None, :]
-    pair /= pair.sum(axis=(2, 3), keepdims=True)
-    g_t = pair.sum(axis=(0, 1))
+    g_t, right, part = np.zeros((k, k)), x.transpose(1, 0, 2)[1:] * beta[1:], max(1, PAIRS // (b * k * k))
+    for t in range(0, n - 1, part):
+        pair = alpha[:-1][t : t + part, :, :, None] * tr[None, None] * right[t : t + part, :, None, :]
+        pair /= pair.sum(axis=(2, 3), keepdims=True)
+        g_t += pair.sum(axis=(0, 1))
     np.add.at(g_t, (y[:, :-1].ravel(), y[:, 1:].ravel()), -1)
     return g, g_t
 
@@ -234,7 +244,8 @@ class Labeller:
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of marginals, and words, of each text."""
-        if len(self.store) > KEPT or len(self.words) > KEPT:
+        k = len(self.model.langs)
+        if len(self.store) > KEPT or len(self.words) > KEPT * 64 // max(k, 64):
             self.reset()
         get = self.store.__getitem__
         ids = [np.frombuffer(b"".join(map(get, t.replace("\n", " ").split(" "))), "<i4") for t in texts]
@@ -243,8 +254,11 @@ class Labeller:
             self.scores = np.concatenate([self.scores, *(self.model.emissions(new[i : i + 20_000]).astype(np.float32) for i in range(0, len(new), 20_000))])
         sizes = np.array([len(x) for x in ids], np.int64)
         out = np.zeros((len(texts), len(self.model.langs)))
-        if sizes.any():
-            out[sizes > 0] = marginal_sums(self.scores[np.concatenate(ids)], sizes[sizes > 0], self.model.trans)
+        live = np.flatnonzero(sizes)
+        part = np.cumsum(-(-sizes[live] // CHUNK)) * k * k // PAIRS
+        for p in np.unique(part):
+            at = live[part == p]
+            out[at] = marginal_sums(self.scores[np.concatenate([ids[i] for i in at])], sizes[at], self.model.trans)
         return out, sizes
 
 
@@ -254,23 +268,24 @@ def held_out(id_col: str) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, chars: int = CHARS) -> list[tuple[str, str]]:
-    """The fitting sample: about `rows` rows of each of the LANGS commonest languages, chosen by a hash of their ids, and of each a stretch of at most `chars` characters, placed by hash. Held-out rows and rows without id or language take no part."""
+    """The fitting sample: `rows` rows of each language (all where it has fewer ids), chosen by a hash of their ids, and of each a stretch of at most `chars` characters, placed by hash. Held-out rows and rows without id or language take no part; an id counts once in a language."""
     i, t, y = (F.col(f"`{c}`") for c in (id_col, text_col, lang_col))
     usable = docs.filter(~held_out(id_col) & i.isNotNull() & y.isNotNull() & t.isNotNull())
-    counts = usable.groupBy(y.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    start = F.pmod(F.xxhash64(i, F.lit(1)), F.greatest(F.length(t) - chars + 1, F.lit(1))).cast("int") + 1
+    plain = usable.select(y.alias("lang"), F.xxhash64(i).alias("h"), t.substr(start, F.lit(chars)).alias("text"))
+    # ids are counted to a few hundredths; the share is wide enough that this and chance leave `rows` of them
+    counts = plain.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     if not counts:
         return []
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(y == r["lang"], F.lit(min(1.0, 1.5 * rows / r["count"] + 0.0001))).otherwise(share)
-    h = F.xxhash64(i)
-    few = usable.filter(F.pmod(h, F.lit(1_000_003)) < share * 1_000_003)
-    start = F.pmod(F.xxhash64(i, F.lit(1)), F.greatest(F.length(t) - chars + 1, F.lit(1))).cast("int") + 1
-    got = few.select(y.alias("lang"), h.alias("h"), t.substr(start, F.lit(chars)).alias("text")).limit(3 * rows * len(counts)).collect()
-    out = []
-    for lang in sorted({r["lang"] for r in got}):
-        mine = sorted((r["h"], r["text"]) for r in got if r["lang"] == lang)
-        out += [(lang, text) for _, text in mine[:rows]]
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 40, int((2 * rows + 50) / max(r["n"], 1) * (1 << 40)))) for r in counts], "lang string, share long")
+    few = plain.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 40)) < F.col("share"))
+    got = few.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    out, by_lang = [], {}
+    for r in got:
+        by_lang.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    for lang in sorted(by_lang):
+        # the lowest of the hash that chose them: a larger share would give the same rows
+        out += [(lang, text) for h, text in sorted(by_lang[lang], key=lambda x: (x[0] % (1 << 40), x[0]))[:rows]]
     return out
 
 

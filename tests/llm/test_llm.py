@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow.dataset as ds
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lintlake.llm import ann, exact_dedup, langid, license_scan, packing, pieces, pii, queries, simhash, token_counts, token_files, tokens
 
@@ -511,6 +512,22 @@ def test_languages_odd_rows(odd):
             assert (pred, score) == ("und", 0.0)
 
 
+def test_language_sample_is_whole(spark):
+    text, lang = F.lit("a b c"), F.when(F.col("id") < 99_900, "aa").otherwise("zz")
+    got = langid.sample(spark.range(0, 100_000, 1, 40).select(F.col("id").alias("doc_id"), lang.alias("lang"), text.alias("text")), rows=1)
+    assert [y for y, _ in got] == ["aa", "zz"]  # a table in the order of its languages
+    many = langid.sample(spark.range(1_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 90).alias("lang"), text.alias("text")))
+    assert len({y for y, _ in many}) == 90
+
+
+def test_short_texts_are_learned():
+    a, b = "der die das und nicht ist ein wir sie haben werden auf mit von zu im".split(), "the and not is one we they have will on with from to in at by".split()
+    short = [("en", " ".join(b[i : i + 4])) for i in range(0, 16, 4)] * 10
+    model = langid.fit([("de", " ".join(a * 4))] * 10 + short)
+    sums, _ = langid.Labeller(model).sums([" ".join(b), " ".join(a)])
+    assert [model.langs[k] for k in sums.argmax(axis=1)] == ["en", "de"]
+
+
 # --- pipeline
 
 
