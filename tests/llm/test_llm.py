@@ -106,6 +106,20 @@ def test_license_scan_normalises(spark):
     assert got[5].line_licenses == "MIT" and got[5].n_license_lines == 1 and all(got[i].text_digest is None for i in (6, 7, 8))
 
 
+def test_whole_licence_files(spark):
+    from lintlake.llm import license_texts as t
+
+    mit = dict(license_scan.KNOWN)["MIT"]
+    apache, gpl = t.APACHE.replace("[yyyy] [name of copyright owner]", "2020 Somebody"), t.GPL
+    files = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + mit), ("Apache-2.0", apache), ("Apache-2.0", apache[: apache.index("   APPENDIX")]), ("GPL-3.0", gpl),
+        ("ISC", "ISC License\n\nCopyright (c) 2020 Somebody\n\n" + t._GRANT.format("/or") + t._KEEP + t._AS_IS), ("0BSD", t._GRANT.format("/or") + ".\n" + t._AS_IS),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n" + t._BSD + t._BSD_NAMES + t._BSD_END), (None, apache[:-40]),
+    ]
+    got = {r.doc_id: r.license for r in license_scan.license_scan(spark.createDataFrame([(i, x) for i, (_, x) in enumerate(files)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(files))] == [x for x, _ in files]
+
+
 # --- 3 near dedup
 
 
