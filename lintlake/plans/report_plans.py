@@ -280,8 +280,9 @@ def w8(spark, d):
 
 @query("w9_evidence_growth", sql="SELECT conv_id, turn, n, n > coalesce(lag(n) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS grew FROM (SELECT conv_id, turn, count(DISTINCT text) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT conv_id, turn, substring(text, 1, 2) AS text FROM conversations))")
 def w9(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 2).alias("text"))
-    first = F.row_number().over(Window.partitionBy("conv_id", "text").orderBy("turn")) == 1
+    """Distinct whole texts of a conversation up to each turn; a missing text is none."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    first = (F.row_number().over(Window.partitionBy("conv_id", "text").orderBy("turn")) == 1) & F.col("text").isNotNull()
     by = Window.partitionBy("conv_id").orderBy("turn")
     c = c.withColumn("_f", first.cast("long")).withColumn("n", F.sum("_f").over(by))
     return c.select("conv_id", "turn", "n", (F.col("n") > F.coalesce(F.lag("n").over(by), F.lit(0))).alias("grew"))

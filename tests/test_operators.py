@@ -269,3 +269,12 @@ def test_json_documents_hold_their_rows(spark):
     found = [json.loads(r.finding) for r in report_plans.k1(spark, "/root/testdata/sf0.001").collect()]
     assert found and all({"finding_id", "rule_id", "severity", "triage_status", "location"} <= x.keys() for x in found)
     assert {json.loads(r.document)["finding"]["finding_id"] for r in finding_plans.p4(spark, "/root/testdata/sf0.001").collect()} == {x["finding_id"] for x in found}
+
+
+def test_evidence_grows_with_whole_texts(spark, tmp_path):
+    from lintlake.plans import registry
+
+    told = [(1, 0, "The first"), (1, 1, "The second"), (1, 2, "The first"), (1, 3, None), (1, 4, "The second one")]
+    table(spark, "conv_id long, turn long, text string", *told).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(registry.QUERIES["w9_evidence_growth"](spark, str(tmp_path)).collect())
+    assert [(r.n, r.grew) for r in got] == [(1, True), (2, True), (2, False), (2, False), (3, True)]
