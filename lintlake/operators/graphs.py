@@ -88,6 +88,22 @@ def taint_fold(statements: DataFrame, group: str, order: str, source: str) -> Da
     return rows.select(group, F.aggregate("_s", start, step).alias("_r")).select(group, F.size("_r.t").alias("n_tainted"), F.size("_r.hits").alias("n_hits"))
 
 
+def variable_slice(statements: DataFrame, group: str, order: str, variable: str, forward: bool, listed: int = 25) -> DataFrame:
+    """group, variables, slice, statement_count: each group's statements scanned in order from one wanted name. Backward a statement that writes a wanted name joins the slice and its reads become wanted; forward one that reads a wanted name joins and its writes become wanted. statement_count counts them all; slice lists the order values of the last `listed` (forward the first). statements: group, order, reads, writes (arrays). A fold over the ordered array within a row: groups are files, of bounded size."""
+    rows = statements.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, "reads", "writes"))).alias("_s"))
+    meets, grows = ("reads", "writes") if forward else ("writes", "reads")
+    start = F.struct(F.array(F.lit(variable)).alias("v"), F.array().cast("array<long>").alias("hits"))
+
+    def step(acc: Column, x: Column) -> Column:
+        hit = F.coalesce(F.arrays_overlap(acc["v"], x[meets]), F.lit(False))
+        wanted = F.array_union(acc["v"], F.array_compact(F.coalesce(x[grows], F.array().cast("array<string>"))))
+        return F.struct(F.when(hit, wanted).otherwise(acc["v"]).alias("v"), F.when(hit, F.concat(acc["hits"], F.array(x[order].cast("long")))).otherwise(acc["hits"]).alias("hits"))
+
+    n = F.size("_r.hits")
+    first = F.lit(1) if forward else F.greatest(n - listed + 1, F.lit(1))
+    return rows.select(group, F.aggregate("_s", start, step).alias("_r")).select(group, F.array_sort("_r.v").alias("variables"), F.slice("_r.hits", first, F.lit(listed)).alias("slice"), n.cast("long").alias("statement_count"))
+
+
 def module_summary(files: DataFrame) -> DataFrame:
     """By module: files, lines, languages by (-count, name), and its largest file (by lines, then path). files: module, path, language, n_lines."""
     per = files.groupBy("module", "language").agg(F.count("*").alias("c"), F.sum("n_lines").alias("l"), F.max(F.struct("n_lines", "path")).alias("m"))

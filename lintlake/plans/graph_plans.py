@@ -26,13 +26,13 @@ def _levels(depth: int, start: str, edge: str = "e", a: str = "src", b: str = "d
 @query("g9_backward_slice", sql=f"WITH RECURSIVE {_EDGES}, {_levels(4, 'SELECT 42::BIGINT AS node UNION ALL SELECT 77::BIGINT', a='dst', b='src')} SELECT node, min(level) AS level FROM r GROUP BY node")
 def g9(spark, d):
     start = spark.sql("SELECT CAST(x AS BIGINT) AS node FROM VALUES (42), (77) AS t(x)")
-    return ops.closure(start, ops.reverse(_edges(spark, d)), 4)
+    return ops.closure(start, ops.reverse(_edges(spark, d)), 5)
 
 
 @query("g10_path_to_node", sql=f"WITH RECURSIVE {_EDGES}, {_levels(6, 'SELECT 5::BIGINT AS node', a='dst', b='src')} SELECT node, min(level) AS level FROM r GROUP BY node")
 def g10(spark, d):
     start = spark.sql("SELECT CAST(5 AS BIGINT) AS node")
-    return ops.closure(start, ops.reverse(_edges(spark, d)), 6)
+    return ops.closure(start, ops.reverse(_edges(spark, d)), 12)
 
 
 @query("g17_cross_file_taint", sql=f"WITH RECURSIVE {_EDGES}, {_levels(5, 'SELECT o_orderkey AS node FROM orders WHERE o_orderpriority LIKE \'1-%\'')} SELECT node, min(level) AS level, CASE WHEN node % 4 = 0 THEN 'SUPPRESSED' ELSE 'CONFIRMED' END AS status FROM r GROUP BY node")
@@ -154,6 +154,15 @@ def g11(spark, d):
     return c.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).filter("_n <= 25").groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
+@query("g11_growing_slice")
+def g11s(spark, d):
+    """The slices of 'the' in both directions over whole conversations, a turn writing its first word: the slice that g11_variable_slice has no names for."""
+    words = F.split(F.lower("text"), " ")
+    c = table(spark, d, "conversations").select("conv_id", "turn", words.alias("reads"), F.array(F.element_at(words, 1)).alias("writes"))
+    both = [ops.variable_slice(c, "conv_id", "turn", "the", forward).withColumn("forward", F.lit(forward)) for forward in (False, True)]
+    return both[0].unionByName(both[1])
+
+
 @query("g22_linear_taint")
 def g22(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.split(F.lower("text"), " ").alias("reads"), F.element_at(F.split(F.lower("text"), " "), 1).alias("writes"), (F.col("turn") == 0).alias("is_source"), (F.col("role") == "assistant").alias("sink"))

@@ -278,3 +278,33 @@ def test_evidence_grows_with_whole_texts(spark, tmp_path):
     table(spark, "conv_id long, turn long, text string", *told).write.parquet(str(tmp_path / "conversations.parquet"))
     got = sorted(registry.QUERIES["w9_evidence_growth"](spark, str(tmp_path)).collect())
     assert [(r.n, r.grew) for r in got] == [(1, True), (2, True), (2, False), (2, False), (3, True)]
+
+
+@pytest.mark.parametrize(("name", "depth", "starts"), [("g9_backward_slice", 5, (42, 77)), ("g10_path_to_node", 12, (5,))])
+def test_slices_reach_the_reference_depth(spark, tmp_path, name, depth, starts):
+    from lintlake.plans import registry
+
+    at, keys = starts[0], [1]
+    for _ in range(depth + 1):  # a chain upward from the start, each key calling the one before
+        at = next(k for k in range(5 * at - 5, 7 * at + 7) if k > at and at in (k // 7, k // 5 + 1))
+        keys.append(at)
+    table(spark, "o_orderkey long", *[(k,) for k in keys]).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.node: r.level for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert [got.get(k) for k in keys[1:]] == [*range(1, depth + 1), None]
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_variable_slice_grows(spark, forward):
+    rng, rows, want = random.Random(3), [], {}
+    for g in range(12):
+        names, hits = {"a"}, []
+        for i in range(70):
+            reads, writes = rng.sample("abcdefghij", rng.randrange(3)), rng.sample("abcdefghij", rng.randrange(3))
+            rows.append((g, i, reads, writes))
+            if names & set(reads if forward else writes):
+                hits.append(i)
+                names |= set(writes if forward else reads)
+        want[g] = (sorted(names), hits[:25] if forward else hits[-25:], len(hits))
+    rng.shuffle(rows)
+    got = graphs.variable_slice(table(spark, "g long, i long, reads array<string>, writes array<string>", *rows), "g", "i", "a", forward).collect()
+    assert {r.g: (r.variables, r.slice, r.statement_count) for r in got} == want and max(x[2] for x in want.values()) > 25
