@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,13 @@ from lintlake.llm.common import pick, ready, regroup
 from lintlake.llm.langid import crf_gradient
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: A whole chain of dotted numbers; tried only where a number begins, so each number is read at most four times.
+_CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_NUMBER = re.compile("[0-9]++")
 _DIGIT = re.compile("[0-9]").search
 
 #: Bounds of the fitting sample: documents, and characters of each.
@@ -47,16 +52,44 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses without overlap. The part before an @ is the run of its characters that ends there, so each @ is judged alone and no character is read twice on either side."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        start = low + len(text[low:at].rstrip(_LOCAL))
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+        low = host.end() if host else at + 1
+        at = text.find("@", low)
+
+
+def byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    few = digits.lstrip("0")
+    return len(few) < 3 or len(few) == 3 and few <= "255"
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost runs of four dotted numbers without overlap, each number at most 255: a chain of numbers holds one for every four of them."""
+    for m in _CHAIN.finditer(text):
+        numbers = list(_NUMBER.finditer(text, *m.span()))
+        for i in range(0, len(numbers) - 3, 4):
+            four = numbers[i : i + 4]
+            if all(byte(x[0]) for x in four):
+                yield four[0].start(), four[3].end()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the fixed patterns, by kind, then start; matches that fail their test are dropped without another try."""
+    """(kind, start, end) of the fixed patterns, by kind, then start; matches that fail their test are dropped without another try. The work grows with the text alone, whatever its runs."""
     out: list[tuple[int, int, int]] = []
     if "@" in text:
-        out += [(0, *m.span()) for m in _EMAIL.finditer(text)]
+        out += [(0, *x) for x in emails(text)]
     if _DIGIT(text):
         if "." in text:
-            out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+            out += [(1, *x) for x in addresses(text)]
         for m in _CARD.finditer(text):
-            digits = m[0].replace(" ", "").replace("-", "")
+            digits = m[0].replace(" ", "").replace("-", "") if m.end() - m.start() < 40 else ""  # 19 digits and 18 marks at most
             if 13 <= len(digits) <= 19 and luhn(digits):
                 out.append((2, *m.span()))
         if "+" in text:
@@ -267,8 +300,8 @@ def spans_of(tags: np.ndarray, text: str, base: list[tuple[int, int, int]]) -> l
     cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(tags[at]) != 0)) + 1
     taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
+    furthest = list(accumulate((e for _, e in taken), max))  # end of all base spans up to each
     out = []
-    from bisect import bisect_left
 
     for run in np.split(at, cuts):
         kind, s, e = int(tags[run[0]]) - 1, int(run[0]), int(run[-1]) + 1
@@ -277,8 +310,7 @@ def spans_of(tags: np.ndarray, text: str, base: list[tuple[int, int, int]]) -> l
         while e > s and not text[e - 1].isalnum():
             e -= 1
         k = bisect_left(starts, e)
-        longest_before = max((y for _, y in taken[:k]), default=-1) if k else -1
-        if e > s and longest_before <= s and plausible(kind, text[s:e]):
+        if e > s and (not k or furthest[k - 1] <= s) and plausible(kind, text[s:e]):
             out.append((kind, s, e))
     return out
 
@@ -363,13 +395,13 @@ def training_windows(carriers: list[str], n: int = 6_000, seed: int = 5) -> tupl
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, rows: int = DOCS, chars: int = CHARS) -> list[str]:
-    """The carriers: about `rows` documents by a hash of their ids, and of each a stretch of at most `chars` characters, placed by hash."""
+    """The carriers: `rows` documents by a hash of their ids (all where there are fewer), and of each a stretch of at most `chars` characters, placed by hash. The same rows give the same carriers, in whatever order they lie."""
     i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     total = docs.select(id_col).count()
-    few = docs.filter(t.isNotNull() & (F.pmod(F.xxhash64(i), F.lit(1_000_003)) < min(1.0, rows / max(total, 1)) * 1_000_003))
+    few = docs.filter(t.isNotNull() & (F.pmod(F.xxhash64(i), F.lit(1_000_003)) < min(1.0, 2 * rows / max(total, 1)) * 1_000_003))
     start = F.pmod(F.xxhash64(i, F.lit(1)), F.greatest(F.length(t) - chars + 1, F.lit(1))).cast("int") + 1
-    got = few.select(F.xxhash64(i).alias("h"), t.substr(start, F.lit(chars)).alias("text")).limit(2 * rows).collect()
-    return [x for _, x in sorted((r["h"], r["text"]) for r in got)]
+    chosen = few.select(F.pmod(F.xxhash64(i), F.lit(1_000_003)).alias("m"), F.xxhash64(i).alias("h"), t.substr(start, F.lit(chars)).alias("text"))
+    return [r["text"] for r in chosen.orderBy("m", "h", "text").limit(rows).collect()]
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:

@@ -337,6 +337,41 @@ def test_base_spans(docs):
         assert pii.base_spans(t) == base_by_pattern(t)
 
 
+def test_base_spans_of_random_texts():
+    rng = random.Random(12)
+    for _ in range(20_000):
+        t = "".join(rng.choices("a1@..+- %_(\n92560", k=rng.randrange(1, 28)))
+        assert pii.base_spans(t) == base_by_pattern(t), t
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    n = 5_000_000
+    began = time.time()
+    for text, count in (("0" * 5000 + "1.2.3.4", 1), ("1" * n + ".", 0), ("0" * n, 0), ("a" * n + "@", 0), ("a" * n + "@b." + "c" * n, 1), ("+1" + "(" * n, 0), ("1 " * (n // 2), 0), ("@" * n, 0), ("+1" * (n // 2), 0)):
+        assert len(pii.base_spans(text)) == count
+    assert time.time() - began < 60  # the patterns tried at each place took hours
+
+
+def test_added_spans_touch_no_base_span():
+    text = "1.2.3.4 and 4.3.2.1 " * 20_000
+    base, tags = pii.base_spans(text), np.zeros(len(text), np.int8)
+    tags[2::20] = 2
+    assert len(base) == 40_000 and pii.spans_of(tags, text, base) == []
+    tags[:] = 0
+    mine = "x a.b@c.de and (at) q (at) r.com"
+    tags = np.zeros(len(mine), np.int8)
+    tags[mine.index("q (at)") :] = 1
+    assert pii.spans_of(tags, mine, pii.base_spans(mine)) == [(0, mine.index("q (at)"), len(mine))]
+
+
+def test_carriers_do_not_depend_on_row_order(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    a, b = pii.sample(df.repartition(7), "doc_id", "text", rows=50), pii.sample(df.coalesce(1), "doc_id", "text", rows=50)
+    assert a == b and len(a) == 50
+
+
 def test_network_learns_and_windows_agree(net, docs):
     w, y = pii.training_windows([d["text"][:2000] for d in docs], 300, 77)
     tags = np.array(pii.decode(net, list(w)))
