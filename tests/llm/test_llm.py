@@ -74,25 +74,71 @@ def test_exact_dedup_keeps_whole_rows(odd):
 def test_extendible_hash_splits_and_chains():
     index, rng = exact_dedup.ExtendibleHash(4), random.Random(1)
     keys = [rng.getrandbits(64) for _ in range(500)]
-    for n, k in enumerate(keys):
-        index.add(k, n)
-    index.add(keys[0], "second")
-    assert index.get(keys[0]) == [0, "second"] and all(index.get(k)[0] == n for n, k in enumerate(keys)) and index.get(1) == []
-    assert len(index.directory) == 1 << index.depth and max(len(held) for _, held in index.buckets) <= 4
-    for b, (depth, held) in enumerate(index.buckets):
-        assert len({k & ((1 << depth) - 1) for k in held}) <= 1 and sum(x == b for x in index.directory) == 1 << (index.depth - depth)
-
-
-def test_colliding_keys_stay_apart():
+    for k in keys:
+        index.put(k, b"%d" % k)
+    second = index.put(keys[0], b"second")
+    assert index.put(keys[0], b"second") is second is index.find(keys[0], b"second") and index.find(1, b"") is None
+    assert all(index.find(k, b"%d" % k).body == b"%d" % k for k in keys) and index.find(keys[1], b"second") is None
+    assert len(index.directory) == 1 << index.depth and max(len(b.chains) for b in index.directory) <= 4
+    for b in set(index.directory):
+        slots = [i for i, x in enumerate(index.directory) if x is b]
+        assert len({k >> (64 - b.depth) for k in b.chains} if b.depth else ()) <= 1 and len(slots) == 1 << (index.depth - b.depth) and b.first == slots[0] << (64 - index.depth)
+
+
+def test_buckets_complete_as_keys_ascend():
+    index, rng = exact_dedup.ExtendibleHash(4), random.Random(2)
+    keys, got, most = sorted(rng.getrandbits(64) for _ in range(2000)), [], 0
+    for k in keys:
+        index.put(k, b"")
+        got += [x for b in index.completed(k) for x in b.chains]
+        most = max(most, sum(len(b.chains) for b in set(index.directory) if b))
+    got += [x for b in index.completed(None) for x in b.chains]
+    assert got == keys and most <= 8  # one open bucket, and what a split left beside it
+
+
+def owned(cols, **options):
     import pyarrow as pa
-
-    cols = [pa.array([5, 5, 5]), pa.array([b"a", b"b", b"a"]), pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array([1, 1, 1]), pa.array([1, 1, 1])]
     from unittest import mock
 
+    names = ["fold", "key", "body", "chars", "id", "n", "handle"]
     with mock.patch("pyspark.TaskContext.get") as ctx:
         ctx.return_value.partitionId.return_value = 0
-        (out,) = list(exact_dedup._own(iter([pa.record_batch(cols, names=["key", "body", "n_chars", "id", "n", "ties"])])))
-    assert [(r["chain"], r["keep_id"], r["group_size"]) for r in out.to_pylist()] == [(0, 3, 2), (1, 2, 1)]
+        return [r for b in exact_dedup._own(1, 512, False)(iter([pa.record_batch([pa.array(c) for c in cols], names=names)])) for r in b.to_pylist()]
+
+
+def test_colliding_keys_stay_apart():
+    got = owned([[10, 11, 12], [5, 5, 5], [b"a", b"b", b"a"], [1, 2, 3], [1, 2, 3], [1, 1, 4], [7, 8, 9]])
+    assert [(r["key"], r["chain"], r["keep_id"], r["group_size"], r["folds"]) for r in got] == [(5, 0, 3, 5, [10, 12]), (5, 1, 2, 1, [11])]
+
+
+def test_an_entry_of_many_folds_has_many_rows(monkeypatch):
+    monkeypatch.setattr(exact_dedup, "NAMED", 2)
+    got = owned([list(range(5)), [5] * 5, [b"a"] * 5, [1] * 5, [3, 1, 2, None, 1], [1] * 5, list(range(5))])
+    assert [(r["part"], r["keep_id"], r["keep_handle"], r["group_size"], r["folds"]) for r in got] == [(0, 1, 1, 5, [0, 1]), (1, 1, 1, 5, [2, 3]), (2, 1, 1, 5, [4])]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_exact_dedup_equals_grouping(spark, monkeypatch, small):
+    if small:  # many buckets, folds and owners
+        monkeypatch.setattr(exact_dedup, "FOLD_BYTES", 2000)
+        monkeypatch.setattr(exact_dedup, "FOLD_ROWS", 5)
+        monkeypatch.setattr(exact_dedup, "OWNER_BYTES", 5000)
+    rng = random.Random(4)
+    data = [(rng.choice([None, *range(60)]), "".join(rng.choices("ab \t\u00e9", k=rng.randrange(6)))) for _ in range(600)] + [(7, "hot")] * 300
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    strip = lambda t: re.sub("[ \t\n\v\f\r]", "", t)
+    groups = {}
+    for i, t in data:
+        groups.setdefault(strip(t), []).append((-len(t), i is None, i or 0))
+    best = {hashlib.sha256(k.encode()).hexdigest(): (min(v), len(v)) for k, v in groups.items()}
+    got = exact_dedup.exact_dedup(df, capacity=4 if small else 512).collect()
+    kept = [r.text_sha256 for r in got if r.kept]
+    assert len(got) == len(data) and sorted(kept) == sorted(best)
+    for r in got:
+        (_, none, i), n = best[r.text_sha256]
+        assert (r.keep_id, r.group_size) == (None if none else i, n) and (not r.kept or r.doc_id == r.keep_id)
+    whole = exact_dedup.keep_one(df, capacity=4 if small else 512).collect()
+    assert sorted((hashlib.sha256(strip(r.text).encode()).hexdigest(), -len(r.text), r.doc_id is None, r.doc_id or 0) for r in whole) == sorted((k, *b) for k, (b, _) in best.items())
 
 
 # --- 2 licences
