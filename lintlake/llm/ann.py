@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import join_hot, pick, ready, tasks, written
 
-#: Bounds of the fitting sample and of the number of lists.
-SAMPLE, LISTS = 20_000, 4_096
+#: Bounds of the fitting sample (at least LEAST, then EACH for every list) and of the number of lists.
+LEAST, SAMPLE, EACH, LISTS = 20_000, 65_536, 4, 16_384
 ROUNDS = 8
 BLOCK = 16
 #: The test's strictness: a candidate is abandoned when its estimate exceeds the k-th distance by this many deviations.
@@ -30,6 +30,8 @@ EPSILON = 2.1
 RECALL = 0.985
 CELL = 4_096
 QUERIES = 256
+#: Pairs that are scored at once.
+PAIRS = 1 << 15
 
 
 def vectors(column) -> np.ndarray:
@@ -74,8 +76,8 @@ def probes(u: np.ndarray, c: np.ndarray, k: int, recall: float = RECALL) -> int:
     return int(np.quantile(np.take_along_axis(rank, home[near], axis=1), recall)) + 1
 
 
-def scan(q: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of x for each of q within one cell: (query, candidate, score), both given as original vectors."""
+def scan(q: np.ndarray, x: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of x (with their ids) for each of q within one cell: (query, candidate, score), both given as original vectors. Of equal scores the smaller ids."""
     qu, xu = unit(q), unit(x)
     qr, xr = (qu @ turn).astype(np.float32), (xu @ turn).astype(np.float32)
     nq, nx, dim = len(q), len(x), q.shape[1]
@@ -104,9 +106,12 @@ def scan(q: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.nda
             rows, cols, sparse = rows[keep], cols[keep], sparse[keep]
     if sparse is None:
         rows, cols = np.nonzero(alive)
-    dot = np.einsum("ij,ij->i", q[rows], x[cols])
-    score = dot / (np.linalg.norm(q, axis=1)[rows] * np.linalg.norm(x, axis=1)[cols])
-    order = np.lexsort((cols, -score, rows))
+    score = np.empty(len(rows))
+    long_q, long_x = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+    for at in range(0, len(rows), PAIRS):  # equal vectors can keep every pair alive
+        r, c = rows[at : at + PAIRS], cols[at : at + PAIRS]
+        score[at : at + PAIRS] = np.einsum("ij,ij->i", q[r], x[c]) / (long_q[r] * long_x[c])
+    order = np.lexsort((ids[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
     return rows[nth < k], cols[nth < k], score[nth < k]
@@ -152,8 +157,9 @@ def _search(turn: np.ndarray, k: int):
         x = None
 
         def answer(qid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-            r, c, s = scan(q, x, turn, k)
-            return pa.record_batch([pa.array(qid[r]), pa.array(np.array(ids, np.int64)[c]), pa.array(s)], names=["query", "found", "score"])
+            known = np.array(ids, np.int64)
+            r, c, s = scan(q, x, known, turn, k)
+            return pa.record_batch([pa.array(qid[r]), pa.array(known[c]), pa.array(s)], names=["query", "found", "score"])
 
         for b in batches:
             cells, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -195,9 +201,13 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     queries = rows.filter(F.col("id") % every == 0)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    got = classes.select("vec").filter(F.pmod(F.xxhash64("vec"), F.lit(1_000_003)) <= 1_000_003 * min(1.0, SAMPLE / n)).limit(2 * SAMPLE).collect()
-    sample = unit(vectors(pa.array(sorted(bytes(r["vec"]) for r in got) or [bytes(classes.first()["vec"])], pa.binary())))
-    centre = centres(sample, max(1, min(LISTS, int(n**0.5), len(sample))))
+    lists = max(1, min(LISTS, int(n**0.5)))
+    rows_wanted = min(SAMPLE, max(LEAST, EACH * lists))
+    by_hash = F.pmod(F.xxhash64("vec"), F.lit(1 << 40))
+    likely = classes.select("vec", by_hash.alias("h")).filter(F.col("h") < int((1 << 40) * min(1.0, (1.1 * rows_wanted + 100) / n)))
+    got = likely.orderBy("h", "vec").limit(rows_wanted).collect()  # the same rows in whatever order they lie
+    sample = unit(vectors(pa.array([bytes(r["vec"]) for r in got], pa.binary())))
+    centre = centres(sample, min(lists, len(sample)))
     visit = min(len(centre), probes(sample, centre, k, recall))
     sent, turn = spark.sparkContext.broadcast(centre), rotation(dim)
     placed = written(classes.select("id", "vec").mapInArrow(_assign(sent, 1), "id long, vec binary, lists array<int>").select("id", "vec", F.col("lists")[0].alias("list")), "ann-lists")

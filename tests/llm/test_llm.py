@@ -536,6 +536,32 @@ def test_recall_and_scores(spark):
     assert [by[750][k][0] for k in range(1, 6)] == [3, 700, 701, 702, 703]
 
 
+def test_equal_cosines_go_to_the_smallest_ids(spark):
+    rng = random.Random(3)
+    base = [0.5, -1.25, 2.0, 0.75]
+    data = []
+    for i in range(1, 400):
+        f = 2.0 ** rng.randrange(-9, 9)
+        data.append((i, [v * f for v in base]))
+    rng.shuffle(data)
+    for parts in (1, 7):
+        got = ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(parts)).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert set(by) == set(range(50, 400, 50)) and all([x[:2] for x in sorted(v)] == [(n, n) for n in range(1, 6)] and len({x[2] for x in v}) == 1 for v in by.values())
+
+
+def test_many_queries_of_one_direction(spark):
+    data = [(i, [float(1 + i % 64), float(1 + i % 64)]) for i in range(3000)] + [(None, [1.0, 1.0]), (3000, None)]
+    df = spark.createDataFrame([(i, v, i, i, 1, "x") for i, v in data * 2], "vec_id long, embedding array<double>, id long, query long, list int, vec string")
+    got = ann.nearest(df).collect()  # each id twice, and columns of the names that the search uses itself
+    for q in range(0, 3000, 50):
+        found = sorted((r["rank"], r.score, r.vec_id) for r in got if r.query_id == q)
+        assert [x[0] for x in found] == [1, 2, 3, 4, 5] and len({x[2] for x in found}) == 5
+        assert all(a[1] > b[1] or a[1] == b[1] and a[2] < b[2] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_few_vectors(spark):
     got = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<double>")).collect()
     assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)}
