@@ -12,7 +12,7 @@ document id: `part`, then `seq`. A shard holds
     symbols                little-endian int32: the compressed sequence
 
 Re-Pair: the most frequent pairs of adjacent symbols are replaced by new nonterminals, again and again, until no pair
-occurs `least` times (or a round at that count gains less than a hundredth). Pairs are counted in batches: a round takes all pairs that occur at least a quarter as often as
+occurs `least` times. Pairs are counted in batches: a round takes all pairs that occur at least a quarter as often as
 the round before demanded, so a shard needs about as many rounds as its top count has digits by 4. Where candidates overlap, the more
 frequent one is replaced, then the left one. Any range of ids is decoded from the symbols that cover it: a search in the
 running expansion sizes finds them.
@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,18 @@ from lintlake.llm.tokens import encoder, tokenizer_path
 
 BASE = 1 << 20
 SHARD_IDS = 1 << 21
-LEAST = 256
-#: At the lowest count, rounds end when one shortens the sequence by less than a GAIN-th.
-GAIN = 100
+#: A rule takes three numbers, so pairs that occur less often than this gain nothing.
+LEAST = 4
 _SLOTS = 18
 
 FORMAT = "part int, seq int, before long, n_ids long, doc_ids array<long>, doc_sizes array<long>, base int, rules binary, sizes binary, symbols binary"
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] places, then those of begin[1], and so on."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 @dataclass
 class Grammar:
     """A Re-Pair grammar: symbols, and rule k as (left, right) with the size it expands to."""
@@ -56,30 +61,40 @@ class Grammar:
     def _size_of(self, s: np.ndarray) -> np.ndarray:
         return np.where(s >= self.base, self.sizes[np.maximum(s - self.base, 0)], 1) if len(self.sizes) else np.ones(len(s), np.int64)
 
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rules one after another, and where each rule's begin. Rules are opened once, those whose parts are ready at a time."""
+        if self._flat is None:
+            begin = np.cumsum(self.sizes) - self.sizes
+            out = np.empty(int(self.sizes.sum()), np.uint32)
+            to = np.stack([begin, begin + self._size_of(self.rules[:, 0])], axis=1).ravel()
+            part = self.rules.ravel()
+            plain = part < self.base
+            out[to[plain]] = part[plain]
+            child = np.where(self.rules >= self.base, self.rules - self.base, -1)
+            depth = np.zeros(len(self.rules) + 1, np.int64)  # the last stands for ids
+            while (more := np.r_[1 + depth[child].max(axis=1), 0]).tobytes() != depth.tobytes():
+                depth = more
+            level = np.repeat(depth[:-1], 2)
+            for d in range(2, int(depth.max()) + 1):
+                at = np.flatnonzero((level == d) & ~plain)
+                rule = part[at] - self.base
+                out[_spread(to[at], self.sizes[rule])] = out[_spread(begin[rule], self.sizes[rule])]
+            self._flat = out, begin
+        return self._flat
+
     def expand(self, s: np.ndarray) -> np.ndarray:
-        """Ids of the symbols. Rules are opened once, in order, as each only uses earlier ones; the rest is one gather."""
+        """Ids of the symbols."""
         if not len(self.rules):
             return s.astype(np.uint32)
-        if self._flat is None:
-            parts: list[np.ndarray] = []
-            for pair in self.rules.tolist():
-                parts.append(np.concatenate([parts[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in pair]))
-            self._flat = np.concatenate(parts), np.cumsum(self.sizes) - self.sizes
-        flat, begin = self._flat
-        if len(s) < 64:
-            return np.concatenate([flat[begin[x - self.base] :][: self.sizes[x - self.base]] if x >= self.base else np.array([x], np.uint32) for x in s.tolist()] or [flat[:0]])
+        flat, begin = self.flat()
         size = self._size_of(s)
         ends = np.cumsum(size)
-        out = np.empty(int(ends[-1]), np.uint32)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
         single = s < self.base
         out[ends[single] - 1] = s[single]
         rule = s[~single] - self.base
         size, ends = size[~single], ends[~single]
-        for at in range(int(size.max(initial=0))):  # the at-th id of every nonterminal that has one
-            if at > 1:
-                more = size > at
-                rule, size, ends = rule[more], size[more], ends[more]
-            out[ends - size + at] = flat[begin[rule] + at]
+        out[_spread(ends - size, size)] = flat[_spread(begin[rule], size)]
         return out
 
     def slice(self, start: int, n: int, ends: np.ndarray | None = None) -> np.ndarray:
@@ -95,24 +110,31 @@ class Grammar:
 
 
 def re_pair(ids: np.ndarray, base: int = BASE, least: int = LEAST) -> Grammar:
-    """Compresses a shard's ids (all below base)."""
+    """Compresses a shard's ids (all below base) until no pair occurs `least` times."""
+    if len(ids) and int(ids.max()) >= base:
+        raise ValueError(f"token id {int(ids.max())} does not lie below {base}, where nonterminals begin")
     s = ids.astype(np.int32)
-    rules: dict[tuple[int, int], int] = {}
-    sizes: list[int] = []
+    rules: dict[int, int] = {}
+    sizes = np.zeros(0, np.int64)
     ask = 0
+    old = None  # once a round was made at `least`: the nonterminals there were before it, and pairs it could have replaced and did not
     while len(s) > 1:
-        slot = (s[:-1].view(np.uint32) * np.uint32(2654435769) ^ s[1:].view(np.uint32) * np.uint32(2246822519)) >> np.uint32(32 - _SLOTS)
-        slot = slot.astype(np.intp)  # once, for counting and looking up
-        per = np.bincount(slot, minlength=1 << _SLOTS)
-        top = int(per.max())
-        ask = max(least, (min(ask, top) or top) // 4)
-        if top < least:
-            break
-        at = np.flatnonzero((per >= ask)[slot])
+        if old is None:
+            bits = _SLOTS if ask == 0 or ask > 64 else _SLOTS + 4  # rarer pairs need more slots to be told from chance
+            slot = (s[:-1].view(np.uint32) * np.uint32(2654435769) ^ s[1:].view(np.uint32) * np.uint32(2246822519)) >> np.uint32(32 - bits)
+            slot = slot.astype(np.intp)  # once, for counting and looking up
+            per = np.bincount(slot, minlength=1 << bits)
+            top = int(per.max())
+            ask = max(least, (min(ask, top) or top) // 4)
+            if top < least:
+                break
+            at = np.flatnonzero((per >= ask)[slot])
+        else:  # any other pair was too rare then, and no pair of old symbols has become more frequent
+            fresh = s >= old
+            at = np.flatnonzero(fresh[:-1] | fresh[1:] | missed[:-1])
         keys = s[at].astype(np.int64) << 32 | s[at + 1]
         pairs, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-        good = n >= ask
-        use = good[which]
+        use = (n >= ask)[which]
         if not use.any():
             if ask == least:
                 break
@@ -123,21 +145,34 @@ def re_pair(ids: np.ndarray, base: int = BASE, least: int = LEAST) -> Grammar:
         begins = np.r_[True, (at[1:] != at[:-1] + 1) | (n[which[1:]] != n[which[:-1]])]  # of level stretches: every other pair of one is kept
         first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
         keep = ((at - at[first]) % 2 == 0) & (score[at + 1] > score[at[first]]) & (score[at + 1] >= score[at + 2])
+        missed = np.zeros(len(s), bool)
+        missed[at[~keep]] = True
         at, which = at[keep], which[keep]
+        before = base + len(rules)
+        taken = np.flatnonzero(np.bincount(which, minlength=len(pairs)))
+        for k in pairs[taken].tolist():
+            if k not in rules:
+                rules[k] = base + len(rules)
+        if len(rules) > len(sizes):
+            new = np.array(list(islice(rules, len(sizes), None)), np.int64)
+            known = np.r_[sizes, 1]  # the last stands for ids
+            sizes = np.r_[sizes, known[np.maximum((new >> 32) - base, -1)] + known[np.maximum((new & 0xFFFFFFFF) - base, -1)]]
         symbol = np.zeros(len(pairs), np.int32)
-        for k in np.flatnonzero(np.bincount(which, minlength=len(pairs))).tolist():
-            left, right = int(pairs[k] >> 32), int(pairs[k] & 0xFFFFFFFF)
-            if (left, right) not in rules:
-                rules[left, right] = base + len(sizes)
-                sizes.append(sum(sizes[x - base] if x >= base else 1 for x in (left, right)))
-            symbol[k] = rules[left, right]
+        symbol[taken] = [rules[k] for k in pairs[taken].tolist()]
         s[at] = symbol[which]
+        missed[at] = False
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
-        s = s[stay]
-        if ask == least and len(at) * GAIN < len(s):
-            break
-    return Grammar(base, np.array(list(rules), np.int64).reshape(-1, 2), np.array(sizes, np.int64), s)
+        if ask == least:
+            old = before
+            again = np.unique(s[at])
+            again = again[again < old]  # rules of earlier rounds that this one used again
+            if len(again):
+                missed |= np.isin(s, again)
+                missed[:-1] |= missed[1:] & np.isin(s[1:], again)
+        s, missed = s[stay], missed[stay]
+    pairs = np.array(list(rules), np.int64)
+    return Grammar(base, np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1) if len(pairs) else np.zeros((0, 2), np.int64), sizes, s)
 
 
 def _shards(path: str, end: int, shard_ids: int, least: int):
@@ -195,7 +230,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """id, start, n_tokens, ids_crc32 of every document, decoded from the files shard by shard; Grammar.slice decodes single ones."""
+    """id, start, n_tokens, ids_crc32 of every document, decoded from the files shard by shard; fetch() decodes single ones."""
     ready(spark)
     shards = spark.read.schema(FORMAT).parquet(path)
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each writing task
@@ -204,6 +239,28 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     return out.mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
+def fetch(spark: SparkSession, path: str, wanted: list[int], id_col: str = "doc_id") -> DataFrame:
+    """id, ids (array of long) of the wanted documents: only shards that hold one are read, and of each only the symbols that cover it are opened. A document that was written more than once comes as often; null ids cannot be asked for."""
+    ready(spark)
+    shards = spark.read.schema(FORMAT).parquet(path)
+    held = shards.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(i) for i in wanted]).cast("array<long>"))) if wanted else shards.filter("false")
+    asked = frozenset(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.to_pylist():
+                g = grammar(x["base"], x["rules"], x["sizes"], x["symbols"])
+                ends, start, out = g.ends(), 0, []
+                for i, n in zip(x["doc_ids"], x["doc_sizes"], strict=True):
+                    if i in asked:
+                        out.append((i, g.slice(start, n, ends).tolist()))
+                    start += n
+                cols = zip(*out, strict=True)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64())), strict=True)], names=["id", "ids"])
+
+    return held.select("doc_ids", "doc_sizes", "base", "rules", "sizes", "symbols").mapInArrow(run, "id long, ids array<long>").withColumnRenamed("id", id_col)
+
+
 def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Writes docs to a new folder of the shared one and reads them back.
 

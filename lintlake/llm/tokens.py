@@ -4,8 +4,9 @@ The tokenizer's pre-tokenizer drops white space and cuts a text into letter runs
 only its contractions ('s, 't, ...) join an apostrophe to letters. Its normaliser lower-cases, composes (NFC) and
 squeezes white space. So:
 
-- a text of Latin-1 characters without apostrophes is lower-cased whole (it is composed already) and cut into those runs;
-  each distinct run is encoded once per worker (bounded memory), letter runs by the library's model directly;
+- a text of Latin-1 characters without apostrophes is lower-cased whole (it is composed already) and cut at white space;
+  each distinct word is cut into those runs once per worker, and each distinct run encoded once (both in bounded memory),
+  letter runs by the library's model directly;
 - any other text is cut at ASCII spaces and line feeds, which no pattern crosses, and its distinct pieces are kept alike;
 - a text with the mark of a special token is encoded whole.
 
@@ -21,15 +22,16 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces kept per worker; beyond it the older half of them goes.
-KEPT = 600_000
+#: Pieces of each sort kept per worker; beyond it the older half of them goes.
+KEPT = 400_000
 DEFAULT = "word_bpe_49k.json"
 #: Letters and digits of Latin-1, in lower case; runs of the first are words to the pre-tokenizer, the second stand alone.
 _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _RUNS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^\\t-\\r \x85\xa0{_LETTERS}{_DIGITS}]+").findall
 _LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
-_WIDE = re.compile("[^\x00-\xff]|'|<[|]").search
-_ASIDE = re.compile("'|<[|]").search
+# 1c to 1f part words for str.split but are no white space to the pre-tokenizer
+_WIDE = re.compile("[^\x00-\xff]|[\x1c-\x1f']|<[|]").search
+_ASIDE = re.compile("[\x1c-\x1f']|<[|]").search
 
 
 def _byte_letters() -> dict[int, int]:
@@ -69,7 +71,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.store, self.runs = _Store(self._learn), _Store(self._run)
+        self.store, self.runs, self.words = _Store(self._learn), _Store(self._run), _Store(self._word)
         # runs and pieces may be reused only where the pre-tokenizer drops white space, as this kind of vocabulary does
         probe = "Ab, c.\n d-s \xc9t\xe9. Zz 42\xb2 (x)"
         self.by_piece = self._raw(probe) == b"".join(map(self._raw, re.split("[ \n]", probe))) == b"".join(map(self._learn, re.split("[ \n]", probe))) == b"".join(map(self._run, _RUNS(probe.lower())))
@@ -86,6 +88,10 @@ class WordEncoder:
     def _run(self, run: str) -> bytes:
         return self._model(run) if run[0].isalpha() else self._raw(run)
 
+    def _word(self, word: str) -> bytes:
+        """Of what lies between white space in a lower-case Latin-1 text."""
+        return b"".join(map(self.runs.__getitem__, _RUNS(word)))
+
     def _learn(self, piece: str) -> bytes:
         if _LATIN(piece):
             return self.runs[piece.lower()]
@@ -96,15 +102,15 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [self._raw(t) for t in texts]
-        run, piece, out = self.runs.__getitem__, self.store.__getitem__, []
+        word, piece, out = self.words.__getitem__, self.store.__getitem__, []
         for t in texts:
             if not (_ASIDE(t) if t.isascii() else _WIDE(t)):
-                out.append(b"".join(map(run, _RUNS(t.lower()))))
+                out.append(b"".join(map(word, t.lower().split())))
             elif "<|" in t:
                 out.append(self._raw(t))
             else:
                 out.append(b"".join(map(piece, t.replace("\n", " ").split(" "))))
-            for kept in (self.runs, self.store):
+            for kept in (self.runs, self.words, self.store):
                 if len(kept) > KEPT:
                     for w in [w for w, _ in zip(kept, range(KEPT // 2), strict=False)]:
                         del kept[w]

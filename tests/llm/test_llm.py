@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lintlake.llm import ann, exact_dedup, langid, license_scan, packing, pieces, pii, queries, simhash, token_counts, token_files, tokens
+from lintlake.llm import ann, common, exact_dedup, langid, license_scan, packing, pieces, pii, queries, simhash, token_counts, token_files, tokens
 
 SF = "/root/testdata/sf0.001"
 #: Columns of the same names as the operators' own.
@@ -299,6 +299,28 @@ def test_token_files_odd_rows(odd):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_re_pair_goes_on_to_the_end():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        ids = rng.integers(0, int(rng.integers(1, 6)), int(rng.integers(0, 500))).astype(np.uint32)
+        least = int(rng.integers(2, 6))
+        g = token_files.re_pair(ids, least=least)
+        assert (g.expand(g.symbols) == ids).all()
+        pairs = g.symbols[:-1].astype(np.int64) << 32 | g.symbols[1:]
+        assert not len(pairs) or np.unique(pairs, return_counts=True)[1].max() < least
+    with pytest.raises(ValueError):
+        token_files.re_pair(np.array([token_files.BASE], np.uint32))
+
+
+def test_fetch_decodes_single_documents(spark, odd):
+    path = f"{common.shared_dir(spark)}/fetch-test-{random.getrandbits(64):x}"
+    token_files.write_token_files(odd, path, shard_ids=64)
+    got = sorted((r.doc_id, r.ids) for r in token_files.fetch(spark, path, [9, 6, 3, 99]).collect())
+    texts = dict(TEXTS)
+    assert got == sorted((i, [*ids, 2]) for i, ids in zip((9, 6, 6, 3), library_ids([texts[9], texts[6], texts[6], None]), strict=True))
+    assert token_files.fetch(spark, path, []).count() == 0
+
+
 def packed_right(got, texts, room, end):
     want = sorted((i, p, s, len(ids[s : s + room]), zlib.crc32(np.array(ids[s : s + room], "<u4").tobytes())) for (i, _), raw in zip(texts, library_ids([t for _, t in texts]), strict=True) for ids in [[*raw, end]] for p, s in enumerate(range(0, len(ids), room)) if i is not None)
     assert sorted(r[:5] for r in got if r[0] is not None) == want
@@ -678,8 +700,6 @@ def test_pipeline_stages(spark, docs):
 
 
 def test_sweep_deletes_only_old_stage_tables(spark):
-    from lintlake.llm import common
-
     kept = common.written(spark.range(3).toDF("id"), "sweep-test")
     assert common.sweep(spark, 24) == 0 and kept.count() == 3
     assert common.sweep(spark, -1) >= 1
