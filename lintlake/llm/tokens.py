@@ -22,8 +22,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces of each sort kept per worker; beyond it the older half of them goes.
-KEPT = 400_000
+#: Pieces of each sort kept per worker, in two generations.
+KEPT = 1_000_000
 DEFAULT = "word_bpe_49k.json"
 #: Letters and digits of Latin-1, in lower case; runs of the first are words to the pre-tokenizer, the second stand alone.
 _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -49,16 +49,24 @@ def tokenizer_path(name: str = DEFAULT) -> str:
 
 
 class _Store(dict):
-    """Ids of pieces; a missing piece is encoded when first asked for."""
+    """Ids of pieces; a missing piece is encoded when first asked for. turn() makes a full store the older generation and lets the one before it go; a piece that is asked for again comes back from there, so frequent ones stay."""
 
     def __init__(self, learn):
         super().__init__()
-        self.learn = learn
+        self.learn, self.older = learn, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = self.learn(piece)
+        out = self.older.get(piece)
+        if out is None:
+            out = self.learn(piece)
+        self[piece] = out
         return out
 
+    def turn(self) -> None:
+        if len(self) > KEPT // 2:
+            self.older = dict(self)
+            self.clear()
+
 
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
@@ -90,6 +98,10 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         """Of what lies between white space in a lower-case Latin-1 text."""
+        if word.isalpha():  # most new words; they need no second place among the runs
+            return self._model(word)
+        if len(word) > 1 and word[-1] in ",." and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.runs[word[-1]]
         return b"".join(map(self.runs.__getitem__, _RUNS(word)))
 
     def _learn(self, piece: str) -> bytes:
@@ -111,9 +123,7 @@ class WordEncoder:
             else:
                 out.append(b"".join(map(piece, t.replace("\n", " ").split(" "))))
             for kept in (self.runs, self.words, self.store):
-                if len(kept) > KEPT:
-                    for w in [w for w, _ in zip(kept, range(KEPT // 2), strict=False)]:
-                        del kept[w]
+                kept.turn()
         return out
 
 

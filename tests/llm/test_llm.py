@@ -265,6 +265,14 @@ def test_piecewise_encoding_is_whole_encoding(docs):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == library_ids(texts)
 
 
+def test_piecewise_encoding_with_full_stores(docs, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 20)
+    texts = [d["text"] for d in docs[:20]] + ODD_TEXTS
+    e = tokens.WordEncoder(tokens.tokenizer_path())
+    assert [np.frombuffer(g, "<u4").tolist() for g in e.encode(texts)] == library_ids(texts)
+    assert len(e.store.older) > 10
+
+
 def test_piecewise_encoding_of_random_characters():
     rng = random.Random(9)
     latin = [chr(c) for c in range(1, 256) if not 0xD8 <= c >> 8 <= 0xDF]
