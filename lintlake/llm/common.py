@@ -27,19 +27,16 @@ def ready(spark: SparkSession) -> SparkSession:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    if int(spark.conf.get(BATCH)) > 1000:  # whole texts are large rows; a batch of 10,000 of them would not be small
-        spark.conf.set(BATCH, "1000")
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all runs on this machine (tests) one of our own. On a cluster it must be set."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or (sc.getCheckpointDir() or "")
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lintlake-shared")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (base or "file://" + os.path.join(tempfile.gettempdir(), "lintlake-shared")).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,10 +5,11 @@ rows however large the table) holds the whole problem, and one branch-and-bound
 together. A filling found for one bin is used as often as its pieces last, so there are few distinct fillings (a small multiple of `room`).
 
 Bin completion: the largest piece left opens a bin; undominated fillings of its rest (no other piece fits, and none whose
-pieces fit into another's) are tried in order of waste, and a branch is cut when the waste so far leaves no chance of
-fewer bins than the incumbent. The incumbent is the better of best-fit decreasing and the first dive; search ends at the
-lower bound or after `nodes` nodes. Pieces then find their place by rank within their length, without any group of
-pieces meeting in one task.
+pieces fit into those of one tried before) are tried, those with least waste first, each as often as its pieces last and
+then less often; a branch is cut when the waste so far leaves no chance of fewer bins than the incumbent. The first
+incumbent is the better of best-fit decreasing and the first dive. The search ends at the lower bound, where all is tried, or after `nodes` steps (null:
+never before it is done); `proved` tells whether fewer bins are known to be impossible. Pieces then find their place by
+rank within their length, without any group of pieces meeting in one task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ from lintlake.llm.common import pick, ready, regroup, written
 from lintlake.llm.tokens import encoder, tokenizer_path
 
 ROOM = 2048
-NODES = 2_500
+#: Steps of the search before it settles for its incumbent: a documented bound, null for none.
+NODES: int | None = 100_000
+#: Fillings that are looked for first, in order of waste; all others follow.
 WIDTH = 8
 
 Filling = tuple[tuple[int, int], ...]  # (length, how often), longest first
@@ -60,7 +64,7 @@ def _fits(items: list[int], rooms: list[int]) -> bool:
 
 
 def fillings(rest: int, left: dict[int, int], sizes: list[int], width: int = WIDTH) -> list[Filling]:
-    """Up to `width` undominated fillings of `rest` with pieces of `left` (sizes: its lengths in ascending order), by waste, then longest pieces first. The empty filling if nothing fits."""
+    """A first choice: up to `width` undominated fillings of `rest` with pieces of `left` (sizes: its lengths in ascending order), by waste, then longest pieces first. The empty filling if nothing fits. every_filling() has the others."""
     found: list[tuple[int, ...]] = []
     steps = 0
 
@@ -74,9 +78,11 @@ def fillings(rest: int, left: dict[int, int], sizes: list[int], width: int = WID
             if left[k] <= chosen.count(k):
                 continue
             any_fits = True
-            steps += 1
+            most = min(left[k] - chosen.count(k), rest // k)
+            for c in {most, max(1, most // 2), 1}:  # equal pieces at once, so that many small ones do not make it deep
+                steps += 1
+                grow(rest - c * k, k - 1, (*chosen, *[k] * c))
             branches += 1
-            grow(rest - k, k, (*chosen, k))
             if len(found) >= 4 * width or branches >= max(2, width - 2 * len(chosen)):
                 break
             gap = bisect_right(sizes, rest - k) - 1  # jump to the piece that leaves no gap, if there is one
@@ -152,67 +158,143 @@ def best_fit(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, Fillin
     return [(n, tuple((k, f.count(k)) for k in sorted(set(f), reverse=True))) for f, n in bins.items()]
 
 
-def complete(counts: dict[int, int], room: int = ROOM, nodes: int = NODES) -> list[tuple[int, Filling]]:
-    """Bin completion on a histogram of lengths (1 to room): (bins, filling) pairs that hold every piece once."""
+def every_filling(rest: int, left: dict[int, int], sizes: list[int], waste: int) -> Iterator[tuple[int, ...] | None]:
+    """All maximal fillings of `rest` that waste at most `waste`, each once, longest pieces first; a null for each step in between."""
+
+    def grow(room: int, at: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...] | None]:
+        """Adds pieces of lengths below sizes[at]; as deep as lengths differ (at most 63 of 2,048), not as pieces are many."""
+        yield None
+        i = min(at, bisect_right(sizes, room)) - 1
+        if room <= waste and not any(left[k] > chosen.count(k) for k in sizes[: bisect_right(sizes, room)]):
+            yield chosen
+        while i >= 0:
+            k = sizes[i]
+            for c in range(min(left[k], room // k), 0, -1):
+                yield from grow(room - c * k, i, (*chosen, *[k] * c))
+            i -= 1
+
+    yield from grow(rest, len(sizes), ())
+
+
+def dive(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, Filling]]:
+    """The packing that always takes the first filling, as often as its pieces last."""
+    left, out = dict(counts), []
+    while sizes := sorted(k for k, n in left.items() if n):
+        left[sizes[-1]] -= 1
+        first = fillings(room - sizes[-1], left, sizes)[0]
+        left[sizes[-1]] += 1
+        per = {sizes[-1]: 1}
+        for k, c in first:
+            per[k] = per.get(k, 0) + c
+        m = min(left[k] // c for k, c in per.items())
+        for k, c in per.items():
+            left[k] -= m * c
+        out.append((m, tuple(per.items())))
+    return out
+
+
+class Found(NamedTuple):
+    """A packing as (bins, filling) pairs, bins that no packing can do without, and whether the packing is known to need as few as possible."""
+
+    packing: list[tuple[int, Filling]]
+    bound: int
+    proved: bool
+
+
+def search(counts: dict[int, int], room: int = ROOM, nodes: int | None = NODES) -> Found:
+    """Bin completion on a histogram of lengths (1 to room)."""
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
-        return []
+        return Found([], 0, True)
     low = bound(counts, room)
     best = best_fit(counts, room)
     fewest = sum(n for n, _ in best)
-    slack = lambda: (fewest - 1) * room - total  # noqa: E731  waste that a better packing may have
+    if fewest > low:
+        best = min(best, dive(counts, room), key=lambda p: sum(n for n, _ in p))
+        fewest = sum(n for n, _ in best)
     total = sum(k * n for k, n in counts.items())
     left, path = dict(counts), []
-    # a frame: fillings still to try, what the one in use took, waste before it
-    stack: list[list] = []
-    waste = used = spent = 0
+    used = waste = spent = 0
+
+    def slack() -> int:
+        """Waste that a better packing may have."""
+        return (fewest - 1) * room - total
 
-    def frame() -> list:
+    def tries(before: int) -> Iterator[tuple[int, Filling] | None]:
+        """(times, filling) of the bin that the longest piece left opens."""
         sizes = sorted(k for k, n in left.items() if n)
         top = sizes[-1]
         left[top] -= 1
-        tries = [((top, 1), *f) for f in fillings(room - top, left, sizes)]
+        first = fillings(room - top, left, sizes)
         left[top] += 1
-        return [tries[::-1], None, waste]
-
-    if fewest > low:
-        stack.append(frame())
-    while stack and spent < nodes and fewest > low:
-        tries, taken, before = stack[-1]
-        if taken:
-            m, f = taken
+        seen = {tuple(k for k, c in f for _ in range(c)) for f in first}
+        tried = list(seen)
+
+        def often(chosen: tuple[int, ...]) -> Iterator[tuple[int, Filling]]:
+            per: dict[int, int] = {}
+            for k in (top, *chosen):
+                per[k] = per.get(k, 0) + 1
+            lost = room - top - sum(chosen)
+            for m in range(min(left[k] // c for k, c in per.items()), 0, -1):
+                if before + m * lost <= slack():
+                    yield m, tuple(per.items())
+
+        for f in first:
+            yield from often(tuple(k for k, c in f for _ in range(c)))
+        left[top] -= 1
+        more = every_filling(room - top, left, sizes, slack() - before)
+        while True:
+            f = next(more, False)
+            left[top] += 1
+            if f is False:
+                return
+            if f is None:
+                yield None
+            # what fits into a filling tried before needs no try; the test is skipped where it would cost more than the try
+            elif f not in seen and not any(len(f) <= 8 and len(g) <= 8 and _fits(sorted(f, reverse=True), list(g)) for g in tried):
+                tried.append(f)
+                del tried[:-64]
+                yield from often(f)
+            left[top] -= 1
+
+    # a frame: what is still to be tried, what is in use, waste before it
+    stack: list[list] = [[tries(0), None, 0]] if fewest > low else []
+    while stack and fewest > low and (nodes is None or spent < nodes):
+        frame = stack[-1]
+        if frame[1]:
+            m, f = frame[1]
             for k, c in f:
                 left[k] += m * c
             used -= m
             path.pop()
-            waste = before
-            stack[-1][1] = None
-        if not tries:
+            frame[1] = None
+        spent += 1
+        step = next(frame[0], False)
+        if step is False:
             stack.pop()
             continue
-        f = tries.pop()
-        merged: dict[int, int] = {}
-        for k, c in f:
-            merged[k] = merged.get(k, 0) + c
-        f = tuple(merged.items())
-        m = min(left[k] // c for k, c in f)
-        spent += 1
-        here = before + m * (room - sum(k * c for k, c in f))
-        if before + room - sum(k * c for k, c in f) > slack():  # already the first of these bins wastes too much
+        if step is None:
+            continue
+        m, f = step
+        waste = frame[2] + m * (room - sum(k * c for k, c in f))
+        if waste > slack():
             continue
         for k, c in f:
             left[k] -= m * c
         used += m
-        path.append((m, f))
-        stack[-1][1] = (m, f)
-        waste = here
+        path.append(step)
+        frame[1] = step
         if not any(left.values()):
             if used < fewest:
                 fewest, best = used, list(path)
-            continue
-        if waste <= slack():
-            stack.append(frame())
-    return best
+        else:
+            stack.append([tries(waste), None, waste])
+    return Found(best, low, fewest == low or not stack)
+
+
+def complete(counts: dict[int, int], room: int = ROOM, nodes: int | None = NODES) -> list[tuple[int, Filling]]:
+    """The packing that search() finds: (bins, filling) pairs that hold every piece once."""
+    return search(counts, room, nodes).packing
 
 
 def runs(packed: list[tuple[int, Filling]]) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
@@ -280,8 +362,8 @@ def _assign(sent, whole: int, room: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, room: int = ROOM, nodes: int = NODES) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, room: int = ROOM, nodes: int | None = NODES) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, proved (whether no packing needs fewer sequences; false where the search ended after `nodes` steps).
 
     A document is its ids and the end id; null and empty texts are the end id alone. Documents over `room` ids are cut
     into whole pieces and a rest. Repeated rows and null ids are packed like any other row; an empty table gives none;
@@ -292,10 +374,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     by_chunk = written(pieces.groupBy("chunk", "length").agg(F.count("*").alias("n")), "pack-counts")
     counts = {r["length"]: r["n"] for r in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `room` rows
     whole = counts.pop(room, 0)
-    placed, _ = runs(complete(counts, room, nodes))
+    found = search(counts, room, nodes)
+    placed, _ = runs(found.packing)
     sent = spark.sparkContext.broadcast(placed)
     w = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = by_chunk.select("chunk", "length", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["chunk", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("k")).alias("rank"))
+    # chunks times lengths grow with the table, so they are never broadcast; a chunk has as many pieces as a task of the scan
+    ranked = pieces.join(before.hint("merge"), ["chunk", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("k")).alias("rank"))
     out = ranked.mapInArrow(_assign(sent, whole, room), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("id", id_col).withColumn("proved", F.lit(found.proved))

@@ -385,6 +385,48 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
     assert sum(n for n, _ in found) == optimum(lengths, 20)
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_search_without_bound_proves_the_optimum(seed):
+    rng = random.Random(100 + seed)
+    lengths = [rng.randint(*rng.choice([(2, 9), (5, 14), (9, 20)])) for _ in range(rng.randint(3, 10))]
+    found = packing.search({k: lengths.count(k) for k in lengths}, 20, None)
+    assert found.proved and sum(n for n, _ in found.packing) == optimum(sorted(lengths, reverse=True), 20) >= found.bound
+
+
+def test_planted_perfect_packings():
+    rng, hit = random.Random(5), 0
+    for _ in range(20):
+        lengths = []
+        for _ in range(6):
+            a = rng.randint(20, 50)
+            b = rng.randint(10, 90 - a)
+            lengths += [a, b, 100 - a - b]
+        found = packing.search({k: lengths.count(k) for k in lengths}, 100)
+        hit += sum(n for n, _ in found.packing) == 6 and found.proved
+    assert hit == 20
+
+
+def test_a_cut_search_says_so():
+    rng = random.Random(1)
+    lengths = [rng.randint(400, 1100) for _ in range(300)]
+    counts = {k: lengths.count(k) for k in lengths}
+    found = packing.search(counts, 2048, 1)
+    assert not found.proved and found.bound < sum(n for n, _ in found.packing) and packing.search({2048: 3}, 2048, 1).proved
+    assert sum(n * k * c for n, f in found.packing for k, c in f) == sum(lengths)
+
+
+def test_every_filling_is_every_maximal_one():
+    import itertools
+
+    left = {3: 2, 5: 1, 7: 2, 9: 1}
+    sizes = sorted(left)
+    got = [f for f in packing.every_filling(17, left, sizes, 17) if f is not None]
+    items = [k for k, n in left.items() for _ in range(n)]
+    every = {tuple(sorted(c, reverse=True)) for r in range(len(items) + 1) for c in itertools.combinations(items, r) if sum(c) <= 17}
+    maximal = {f for f in every if not any(f.count(k) < n and sum(f) + k <= 17 for k, n in left.items())}
+    assert len(got) == len(set(got)) and set(got) == maximal
+
+
 def test_bin_completion_beats_best_fit():
     counts = {44: 2, 24: 2, 32: 2, 43: 1, 30: 1, 27: 1}  # three exact triples; best-fit decreasing needs a fourth bin
     assert sum(n for n, _ in packing.complete(counts, 100)) == 3 < sum(n for n, _ in packing.best_fit(counts, 100))
