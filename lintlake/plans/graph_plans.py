@@ -23,13 +23,13 @@ def _levels(depth: int, start: str, edge: str = "e", a: str = "src", b: str = "d
     return f"r AS (SELECT node, 0 AS level FROM ({start}) UNION ALL SELECT {edge}.{b}, level + 1 FROM r JOIN {edge} ON {edge}.{a} = r.node WHERE level < {depth})"
 
 
-@query("g9_backward_slice", sql=f"WITH RECURSIVE {_EDGES}, {_levels(4, 'SELECT 42::BIGINT AS node UNION ALL SELECT 77::BIGINT', a='dst', b='src')} SELECT node, min(level) AS level FROM r GROUP BY node")
+@query("g9_backward_slice", sql=f"WITH RECURSIVE {_EDGES}, {_levels(5, 'SELECT 42::BIGINT AS node UNION ALL SELECT 77::BIGINT', a='dst', b='src')} SELECT node, min(level) AS level FROM r GROUP BY node")
 def g9(spark, d):
     start = spark.sql("SELECT CAST(x AS BIGINT) AS node FROM VALUES (42), (77) AS t(x)")
     return ops.closure(start, ops.reverse(_edges(spark, d)), 5)
 
 
-@query("g10_path_to_node", sql=f"WITH RECURSIVE {_EDGES}, {_levels(6, 'SELECT 5::BIGINT AS node', a='dst', b='src')} SELECT node, min(level) AS level FROM r GROUP BY node")
+@query("g10_path_to_node", sql=f"WITH RECURSIVE {_EDGES}, {_levels(12, 'SELECT 5::BIGINT AS node', a='dst', b='src')} SELECT node, min(level) AS level FROM r GROUP BY node")
 def g10(spark, d):
     start = spark.sql("SELECT CAST(5 AS BIGINT) AS node")
     return ops.closure(start, ops.reverse(_edges(spark, d)), 12)

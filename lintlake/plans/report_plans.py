@@ -278,7 +278,7 @@ def w8(spark, d):
     return findings(spark, d).select("finding_id", F.coalesce(text(F.when(F.col("k") % 3 == 0, "  ")), text(F.col("variable")), F.lit("none")).alias("name"), F.coalesce(number, F.lit(0.0)).alias("number"))
 
 
-@query("w9_evidence_growth", sql="SELECT conv_id, turn, n, n > coalesce(lag(n) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS grew FROM (SELECT conv_id, turn, count(DISTINCT text) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT conv_id, turn, substring(text, 1, 2) AS text FROM conversations))")
+@query("w9_evidence_growth", sql="SELECT conv_id, turn, n, n > coalesce(lag(n) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS grew FROM (SELECT conv_id, turn, count(DISTINCT text) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)")
 def w9(spark, d):
     """Distinct whole texts of a conversation up to each turn; a missing text is none."""
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
