@@ -1,8 +1,8 @@
 """Graph operators on edge tables: bounded closures, slices, degrees, resolution of calls and imports.
 
 Edge tables have file (or group), src, dst. Closures are level by level: each level is one join with the edges and an
-anti-join with what is seen, so a node is expanded once however many paths lead to it, and cycles end. Levels are
-checkpointed through the session's checkpoint folder when it has one, which cuts lineage for deep graphs.
+anti-join with what is seen, so a node is expanded once however many paths lead to it, and cycles end. Each level is
+written to the shared folder, so none is computed twice and lineage stays short however deep the graph.
 """
 
 from __future__ import annotations
@@ -10,23 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.session import written
+
 
 def closure(start: DataFrame, edges: DataFrame, depth: int, key: tuple[str, ...] = (), stop: Column | None = None) -> DataFrame:
     """Nodes reached from start (key..., node) along edges (key..., src, dst) in at most `depth` steps: key..., node, level (0 for the start). stop: condition on a node, beyond which it is not expanded."""
-    spark = start.sparkSession
-    save = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
     on = list(key)
-    seen = start.select(*on, "node").distinct().withColumn("level", F.lit(0))
+    seen = written(start.select(*on, "node").distinct().withColumn("level", F.lit(0)), "closure")
     front = seen
     for level in range(1, depth + 1):
         grow = front if stop is None else front.filter(~stop)
         step = grow.select(*on, F.col("node").alias("src")).join(edges.select(*on, "src", "dst"), [*on, "src"]).select(*on, F.col("dst").alias("node")).distinct()
-        front = save(step.join(seen.select(*on, "node"), [*on, "node"], "left_anti").withColumn("level", F.lit(level)))
+        front = written(step.join(seen.select(*on, "node"), [*on, "node"], "left_anti").withColumn("level", F.lit(level)), "closure")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-        if level % 4 == 0:
-            seen = save(seen)
     return seen
 
 

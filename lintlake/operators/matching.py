@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.session import small
+
 
 def by_mode(found: DataFrame) -> DataFrame:
     """Each finding once for each triage mode it belongs to. A missing status is visible, never high-confidence. No join: the modes are exploded from an array in the row."""
@@ -17,7 +19,7 @@ def match_calls(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """Calls against call patterns: equal; `.x` matches as a suffix; an undotted name also as a last segment. Rules are the bounded rule set."""
     name, p = F.col("call_name"), F.col("pattern")
     hit = (name == p) | (p.startswith(".") & name.endswith(p)) | (~p.contains(".") & name.endswith(F.concat(F.lit("."), p)))
-    return calls.join(F.broadcast(rules), hit)
+    return calls.join(small(rules), hit)
 
 
 def match_by_language(lines: DataFrame, rules: DataFrame, allowed: dict[str, tuple[str, ...]], without: tuple[str, ...] = ()) -> DataFrame:
@@ -27,7 +29,7 @@ def match_by_language(lines: DataFrame, rules: DataFrame, allowed: dict[str, tup
         here = (F.col("lang") == lang) & kind.isin(*kinds)
         ok = here if ok is None else ok | here
     rest = ~F.col("lang").isin(*allowed) & ~kind.isin(*without)
-    return lines.join(F.broadcast(rules), F.col("line").contains(F.col("pattern")) & (ok | rest))
+    return lines.join(small(rules), F.col("line").contains(F.col("pattern")) & (ok | rest))
 
 
 def nodes_with_sinks(nodes: DataFrame, sinks: DataFrame) -> DataFrame:

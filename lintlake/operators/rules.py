@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.operators.findings import numbered
+
 
 def merge(base: DataFrame, overlay: DataFrame, identity: list[str]) -> DataFrame:
     """base and overlay (same columns, with rule_no as place in their file): the base wins where identities are equal, order is kept (position). Identity columns that are lists count in their order."""
     both = base.withColumn("_o", F.lit(0)).unionByName(overlay.withColumn("_o", F.lit(1)))
     first = F.row_number().over(Window.partitionBy(*identity).orderBy("_o", "rule_no"))
     kept = both.withColumn("_n", first).filter("_n = 1").drop("_n")
-    return kept.withColumn("position", F.row_number().over(Window.orderBy("_o", "rule_no")).cast("int")).drop("_o")  # a rule set: small by nature
+    return numbered(kept, "position", "_o", "rule_no").withColumn("position", F.col("position").cast("int")).drop("_o")
 
 
 def merge_documents(*sets: DataFrame) -> DataFrame:
@@ -26,7 +28,10 @@ def merge_documents(*sets: DataFrame) -> DataFrame:
 
 
 # The category of the older rule shape that a family exports to.
-EXPORT_CATEGORY = {"sqli": "sql_injection", "cmdi": "command_injection", "xss": "xss", "pathtraver": "path_traversal", "redirect": "open_redirect"}
+EXPORT_CATEGORY = {
+    "SQL_INJECTION": "sqli", "COMMAND_INJECTION": "rce", "CODE_INJECTION": "rce", "PATH_TRAVERSAL": "path_traversal", "XSS": "xss", "SSRF": "ssrf", "NOSQL_INJECTION": "nosqli", "XXE": "xxe",
+    "IDOR": "idor", "SSTI": "ssti", "INSECURE_DESERIALIZATION": "deserialization", "MASS_ASSIGNMENT": "mass_assignment", "OPEN_REDIRECT": "open_redirect",
+}
 
 
 def validate(rules: DataFrame) -> DataFrame:
@@ -51,10 +56,24 @@ def skip_reason(raw: DataFrame) -> Column:
 
 
 def export_legacy(rules: DataFrame) -> DataFrame:
-    """category, pattern, rule_id for each distinct sink of the rules that can be exported; of equal ones the first."""
+    """role, category, pattern, family, severity, rule_id of the older rule shape: the sources, sinks and sanitizers of all rules whose family has a category there.
+
+    Equal ones are exported once, with the first rule that has them: sources by pattern (they have no family and MEDIUM
+    severity), sinks by category, pattern and family, sanitizers by pattern and the family that they mitigate. Blank
+    patterns are skipped. All three roles are exploded from the rule's row at once.
+    """
     category = F.create_map(*[F.lit(x) for p in EXPORT_CATEGORY.items() for x in p])[F.col("family")]
-    sinks = rules.withColumn("category", category).filter("category IS NOT NULL").select("category", "rule_id", "rule_no", F.posexplode("sinks").alias("pos", "pattern"))
-    return sinks.groupBy("category", "pattern").agg(F.min_by("rule_id", F.struct("rule_no", "pos")).alias("rule_id"))
+    role = lambda name, column, family, cat, severity: F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(name).alias("role"), i.alias("pos"), F.trim(x).alias("pattern"), family.alias("family"), cat.alias("category"), severity.alias("severity")))
+    none, kind = F.lit(None).cast("string"), F.col("family")
+    every = F.concat(role("source", "sources", none, none, F.lit("MEDIUM")), role("sink", "sinks", kind, F.col("_c"), F.coalesce("severity", F.lit("MEDIUM"))), role("sanitizer", "sanitizers", kind, none, none))
+    out = rules.withColumn("_c", category).filter("_c IS NOT NULL").select("rule_id", "rule_no", F.explode(every).alias("x")).select("rule_id", "rule_no", "x.*").filter("pattern <> ''")
+    first = F.min_by(F.struct("rule_id", "severity"), F.struct("rule_no", "pos")).alias("_f")
+    return out.groupBy("role", "category", "pattern", "family").agg(first).select("role", "category", "pattern", "family", "_f.severity", "_f.rule_id")
+
+
+def export_skips(rules: DataFrame) -> DataFrame:
+    """rule_id, reason of the rules that are not exported."""
+    return rules.filter(~F.coalesce(F.col("family"), F.lit("")).isin(*EXPORT_CATEGORY)).select("rule_id", F.concat(F.lit("unsupported legacy family mapping ("), F.coalesce("family", F.lit("None")), F.lit(")")).alias("reason"))
 
 
 def unique_in_order(values: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.session import small, written
+
 OPERATOR_SOURCES = ("COMMAND_LINE_ARGS", "ENVIRONMENT_VAR")
 #: Floors of the promotion to likely.
 LIKELY_FLOOR = {"CODE_INJECTION": 0.74, "INSECURE_DESERIALIZATION": 0.74, "SQL_INJECTION": 0.74, "PATH_TRAVERSAL": 0.68, "COMMAND_INJECTION": 0.70}
@@ -26,14 +28,15 @@ def route(found: DataFrame) -> DataFrame:
 def cascade(found: DataFrame) -> DataFrame:
     """The deterministic triage: new_status, new_confidence, reason, manual_review.
 
-    Needs triage_status, confidence, sanitized, source_type, vulnerability_type, sink_function, shell (boolean: an argument
+    Needs triage_status, confidence, sanitized, source_type, vulnerability_type, sink_function, sink_pattern, shell (boolean: an argument
     is shell=true), steps, path_length, severity. The first rule that applies decides.
     """
     s, c, kind, sev = F.col("triage_status"), F.col("confidence"), F.col("vulnerability_type"), F.col("severity")
     review = s == "needs-review"
     local = F.col("source_type").isin(*OPERATOR_SOURCES)
     harmless = kind.isin("PATH_TRAVERSAL", "MASS_ASSIGNMENT") | ((kind == "COMMAND_INJECTION") & F.col("sink_function").startswith("subprocess.") & ~F.col("shell"))
-    stays = review & ((kind == "OPEN_REDIRECT") | F.col("sink_function").contains("exists"))
+    only_asks = (kind == "PATH_TRAVERSAL") & (F.lower(F.coalesce("sink_function", F.lit(""))).endswith("exists") | F.lower(F.coalesce("sink_pattern", F.lit(""))).contains(".exists"))
+    stays = review & ((kind == "OPEN_REDIRECT") | only_asks)
     strong = review & ((F.col("path_length") >= 3) | (F.col("steps") > 0)) & kind.isin(*LIKELY_FLOOR)
     floor = F.coalesce(*[F.when(kind == k, v) for k, v in LIKELY_FLOOR.items()])
     rules = [
@@ -143,16 +146,13 @@ def budget_gate(found: DataFrame, per_scan: int, per_file: int) -> DataFrame:
     the sequential gate equals two ranks: by file, then over the survivors. The second is a top-k, never a full sort.
     """
     order = [F.col("priority").desc(), F.col("finding_id").asc()]
-    ranked = found.withColumn("_f", F.row_number().over(Window.partitionBy("file_path").orderBy(*order)))
-    admitted = ranked.filter(F.col("_f") <= per_file).orderBy(*order).limit(per_scan).select(F.col("finding_id").alias("_id"), F.col("priority").alias("_p"))
-    last = admitted.withColumn("_c", F.lit(1)).orderBy(F.col("_p").asc(), F.col("_id").desc()).limit(per_scan).collect()  # at most per_scan rows
-    out = ranked.join(F.broadcast(admitted.select("_id")), F.col("finding_id") == F.col("_id"), "left")
-    late = F.lit(False)
-    if last and len(last) >= per_scan:
-        p, i = last[0]["_p"], last[0]["_id"]
-        late = (F.col("priority") < p) | ((F.col("priority") == p) & (F.col("finding_id") > i))
-    gate = F.when(F.col("_id").isNotNull(), "eligible").when(F.col("_f") > per_file, F.when(late, "scan_llm_budget_exhausted").otherwise("file_llm_budget_exhausted")).otherwise("scan_llm_budget_exhausted")
-    return out.withColumn("gate", gate).drop("_f", "_id")
+    ranked = written(found.withColumn("_f", F.row_number().over(Window.partitionBy("file_path").orderBy(*order))), "budget")
+    admitted = ranked.filter(F.col("_f") <= per_file).orderBy(*order).limit(per_scan)
+    n, last = admitted.agg(F.count("*"), F.max(F.struct((-F.col("priority")).alias("p"), "finding_id"))).first()
+    # rows up to the last admitted one were looked at while the scan's budget lasted
+    late = F.struct((-F.col("priority")).alias("p"), "finding_id") > F.struct(F.lit(last["p"]).alias("p"), F.lit(last["finding_id"]).alias("finding_id")) if n >= max(per_scan, 1) else F.lit(per_scan < 1)
+    gate = F.when(late, "scan_llm_budget_exhausted").when(F.col("_f") > per_file, "file_llm_budget_exhausted").otherwise("eligible")
+    return ranked.withColumn("gate", gate).drop("_f")
 
 
 def suppression(found: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def next_node(found: DataFrame, max_rounds: int = 2, tool_budget: int = 12) -> D
 def wildcard_cards(found: DataFrame, cards: DataFrame) -> DataFrame:
     """Findings with the knowledge cards that fit: a null on either side fits anything. The cards are a bounded literal set."""
     ok = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == F.col(b))
-    return found.join(F.broadcast(cards), ok("language", "card_language") & ok("vulnerability_type", "card_type"))
+    return found.join(small(cards), ok("language", "card_language") & ok("vulnerability_type", "card_type"))
 
 
 def parse_decision(reply: Column) -> Column:

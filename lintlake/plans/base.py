@@ -69,7 +69,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(
         F.concat_ws("-", "rule_id", "doc_id", "line_number").alias("finding_id"),
         "doc_id", "file_path", F.col("lang").alias("language"), "source", "rule_id", "vulnerability_type", "severity", "line_number",
-        F.col("pattern").alias("sink_pattern"), F.instr("line", F.col("pattern")).alias("column_number"), F.substring("line", 1, 80).alias("snippet"),
+        F.col("pattern").alias("sink_pattern"), F.instr("line", F.col("pattern")).alias("column_number"), F.col("line").alias("snippet"),
         F.when(k % 4 == 0, "COMMAND_LINE_ARGS").when(k % 4 == 1, "ENVIRONMENT_VAR").when(k % 4 == 2, "HTTP_PARAMETER").otherwise("FILE_READ").alias("source_type"),
         F.when(k % 3 == 0, "subprocess.run").when(k % 3 == 1, "cursor.execute").otherwise("open").alias("sink_function"),
         F.when(k % 5 > 0, F.concat(F.lit("v"), (k % 7).cast("string"))).alias("variable"),
@@ -85,7 +85,7 @@ FINDINGS_SQL = f"""{RULES_SQL}, {LINES_SQL},
     m AS (SELECT *, doc_id * 7 + line_number * 13 + rule_no * 5 AS k FROM lines JOIN rules ON contains(line, pattern)),
     f AS (SELECT rule_id || '-' || doc_id || '-' || line_number AS finding_id, doc_id,
         'src/' || source || '/f' || doc_id || '.' || CASE lang WHEN 'de' THEN 'py' WHEN 'en' THEN 'js' WHEN 'es' THEN 'java' WHEN 'fr' THEN 'php' END AS file_path,
-        lang AS language, source, rule_id, vulnerability_type, severity, line_number, pattern AS sink_pattern, CAST(instr(line, pattern) AS INTEGER) AS column_number, substring(line, 1, 80) AS snippet,
+        lang AS language, source, rule_id, vulnerability_type, severity, line_number, pattern AS sink_pattern, CAST(instr(line, pattern) AS INTEGER) AS column_number, line AS snippet,
         CASE k % 4 WHEN 0 THEN 'COMMAND_LINE_ARGS' WHEN 1 THEN 'ENVIRONMENT_VAR' WHEN 2 THEN 'HTTP_PARAMETER' ELSE 'FILE_READ' END AS source_type,
         CASE k % 3 WHEN 0 THEN 'subprocess.run' WHEN 1 THEN 'cursor.execute' ELSE 'open' END AS sink_function,
         CASE WHEN k % 5 > 0 THEN 'v' || (k % 7) END AS variable, CAST(k % 4 AS INTEGER) AS steps, CAST(k % 3 AS INTEGER) AS n_sanitizers, (k % 3 > 0 AND k % 2 = 0) AS sanitized,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import findings as ops
 from lintlake.operators import matching
-from lintlake.plans.base import LINES_SQL, RULES_SQL, findings, lines, query, rules
+from lintlake.plans.base import FINDINGS_SQL, LINES_SQL, RULES_SQL, findings, lines, query, rules
 from lintlake.session import table
 
 _ID = "finding_id"
@@ -54,11 +54,17 @@ def p6(spark, d):
     return matching.by_mode(f).groupBy(F.replace("mode", F.lit("-"), F.lit("_")).alias("mode")).agg(F.count("*").alias("n"))
 
 
-@query("p9_rule_severity", findings_sql="""SELECT finding_id, CASE WHEN sanitized THEN 'MEDIUM' ELSE coalesce((SELECT arg_min(severity, rule_no) FROM rules r WHERE r.pattern = f.sink_pattern AND r.severity <> 'UNKNOWN'),
-    CASE WHEN vulnerability_type IN ('SQL_INJECTION', 'COMMAND_INJECTION', 'CODE_INJECTION', 'NOSQL_INJECTION', 'SSTI', 'INSECURE_DESERIALIZATION') THEN 'CRITICAL' WHEN vulnerability_type IN ('XSS', 'SSRF', 'XXE', 'PATH_TRAVERSAL') THEN 'HIGH' ELSE 'MEDIUM' END) END AS severity FROM f""")
+_SINK_RULES = """s AS (SELECT pattern, rule_no, CASE rule_no % 4 WHEN 0 THEN NULL WHEN 1 THEN lower(severity) ELSE severity END AS severity FROM rules UNION ALL SELECT pattern, rule_no + 100, 'LOW' FROM rules)"""
+
+
+@query("p9_rule_severity", sql=f"""WITH {FINDINGS_SQL}, {_SINK_RULES}, r AS (SELECT pattern, arg_min(upper(coalesce(severity, 'MEDIUM')), rule_no) AS sev FROM s WHERE upper(coalesce(severity, 'MEDIUM')) IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO') GROUP BY pattern)
+    SELECT finding_id, CASE WHEN sanitized THEN 'MEDIUM' WHEN n_sanitizers > 0 THEN 'HIGH' WHEN sev IS NOT NULL THEN sev WHEN vulnerability_type IN ('SQL_INJECTION', 'COMMAND_INJECTION', 'CODE_INJECTION', 'NOSQL_INJECTION', 'SSTI', 'INSECURE_DESERIALIZATION') THEN 'CRITICAL' WHEN vulnerability_type IN ('XSS', 'SSRF', 'XXE', 'PATH_TRAVERSAL') THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM f LEFT JOIN r ON r.pattern = sink_pattern""")
 def p9(spark, d):
-    sinks = rules(spark).select(F.col("pattern").alias("sink_pattern"), F.col("severity").alias("rule_severity"), F.col("rule_no").alias("position"))
-    return ops.rule_severity(findings(spark, d).drop("severity"), sinks).select(_ID, "severity")
+    """Rules of which some have no severity, some a lower-case one, and some one that is not known; a later rule repeats each pattern."""
+    n = F.col("rule_no")
+    own = rules(spark).select(F.col("pattern").alias("sink_pattern"), F.when(n % 4 == 1, F.lower("severity")).when(n % 4 > 0, F.col("severity")).alias("rule_severity"), n.alias("position"))
+    later = rules(spark).select(F.col("pattern").alias("sink_pattern"), F.lit("LOW").alias("rule_severity"), (n + 100).alias("position"))
+    return ops.rule_severity(findings(spark, d).drop("severity"), own.unionByName(later)).select(_ID, "severity")
 
 
 @query("p10_effective_sanitizer", findings_sql="""SELECT finding_id, CASE k % 4 WHEN 0 THEN false WHEN 1 THEN list_contains(['XSS', 'SQL_INJECTION'], vulnerability_type) WHEN 2 THEN false ELSE list_contains(['PATH_TRAVERSAL'], vulnerability_type) OR list_contains(['HARDCODED_SECRET', 'XSS'], vulnerability_type) END AS sanitized FROM f""")

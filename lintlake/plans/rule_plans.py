@@ -53,6 +53,9 @@ def u9(spark, d):
     return findings(spark, d).select("finding_id", F.array_join(ops.unique_in_order(raw), ",").alias("reasons"))
 
 
+_FAMILIES = ("SQL_INJECTION", "COMMAND_INJECTION", "XSS", "PATH_TRAVERSAL", "OPEN_REDIRECT", "LDAP_INJECTION", "XXE", "CODE_INJECTION")
+
+
 def _rules(spark, d):
     k = F.col("rule_no")
     take = lambda n, *xs: F.slice(F.array(*[F.lit(x) for x in xs]), F.lit(1), n.cast("int"))
@@ -60,12 +63,12 @@ def _rules(spark, d):
     return _parts(spark, d).select(
         "rule_no", F.when(k % 17 > 0, F.concat(F.lit("R"), k.cast("string"))).alias("rule_id"), F.when(k % 5 > 0, F.col("pattern")).otherwise(" ").alias("title"), pick(k % 5, "python", "java", "php", "go", "javascript").alias("language"),
         pick(k % 4, "HIGH", "LOW", "odd", "CRITICAL").alias("severity"), take(k % 3, "request", "argv").alias("sources"), take(k % 4, "eval", "os", "exec(").alias("sinks"), take(k % 2, "escape").alias("sanitizers"),
-        F.when(k % 6 > 0, F.concat(F.lit("CWE-"), k.cast("string"))).otherwise("cwe 7").alias("cwe"), pick(k % 7, "sqli", "cmdi", "xss", "pathtraver", "redirect", "ldapi", "xxe").alias("family"), F.when(k % 3 > 0, "taint").otherwise("search").alias("mode"),
+        F.when(k % 6 > 0, F.concat(F.lit("CWE-"), k.cast("string"))).otherwise("cwe 7").alias("cwe"), pick(k % 8, *_FAMILIES).alias("family"), F.when(k % 3 > 0, "taint").otherwise("search").alias("mode"),
     )
 
 
 _RULES = """x AS (SELECT rule_no, CASE WHEN rule_no % 17 > 0 THEN 'R' || rule_no END AS rule_id, CASE WHEN rule_no % 5 > 0 THEN pattern ELSE ' ' END AS title, ['python', 'java', 'php', 'go', 'javascript'][rule_no % 5 + 1] AS language, ['HIGH', 'LOW', 'odd', 'CRITICAL'][rule_no % 4 + 1] AS severity, list_slice(['request', 'argv'], 1, rule_no % 3) AS sources, list_slice(['eval', 'os', 'exec('], 1, rule_no % 4) AS sinks,
-    list_slice(['escape'], 1, rule_no % 2) AS sanitizers, CASE WHEN rule_no % 6 > 0 THEN 'CWE-' || rule_no ELSE 'cwe 7' END AS cwe, ['sqli', 'cmdi', 'xss', 'pathtraver', 'redirect', 'ldapi', 'xxe'][rule_no % 7 + 1] AS family, CASE WHEN rule_no % 3 > 0 THEN 'taint' ELSE 'search' END AS mode FROM r)"""
+    list_slice(['escape'], 1, rule_no % 2) AS sanitizers, CASE WHEN rule_no % 6 > 0 THEN 'CWE-' || rule_no ELSE 'cwe 7' END AS cwe, ['SQL_INJECTION', 'COMMAND_INJECTION', 'XSS', 'PATH_TRAVERSAL', 'OPEN_REDIRECT', 'LDAP_INJECTION', 'XXE', 'CODE_INJECTION'][rule_no % 8 + 1] AS family, CASE WHEN rule_no % 3 > 0 THEN 'taint' ELSE 'search' END AS mode FROM r)"""
 _ISSUES = [("rule_id IS NULL", "error", "missing-rule-id"), ("trim(title) = ''", "warning", "missing-title"), ("language IS NULL", "error", "missing-language"), ("severity = 'odd'", "error", "bad-severity"), ("len(sources) = 0", "error", "no-sources"), ("len(sinks) = 0", "error", "no-sinks"), ("len(sanitizers) = 0", "warning", "no-sanitizers"), ("NOT starts_with(cwe, 'CWE-')", "warning", "bad-cwe"), ("list_contains(sinks, 'os')", "warning", "short-sink-pattern")]
 
 
@@ -87,11 +90,24 @@ def t13x(spark, d):
     return table(spark, d, "documents").select("doc_id", ops.tidy_taxonomy(text).alias("x")).select("doc_id", "x.*")
 
 
-@query("t15_export_legacy", sql=f"WITH {_R}, {_RULES}, e AS (SELECT CASE family WHEN 'sqli' THEN 'sql_injection' WHEN 'cmdi' THEN 'command_injection' WHEN 'xss' THEN 'xss' WHEN 'pathtraver' THEN 'path_traversal' WHEN 'redirect' THEN 'open_redirect' END AS category, rule_id, rule_no, unnest(sinks) AS pattern, generate_subscripts(sinks, 1) AS pos FROM x) SELECT category, pattern, first(rule_id ORDER BY rule_no, pos) AS rule_id FROM e WHERE category IS NOT NULL GROUP BY category, pattern")
+# the exported category of each family, and what each role's entries are told apart by, as the older rule shape has them
+_CATEGORY = "CASE family WHEN 'SQL_INJECTION' THEN 'sqli' WHEN 'COMMAND_INJECTION' THEN 'rce' WHEN 'CODE_INJECTION' THEN 'rce' WHEN 'PATH_TRAVERSAL' THEN 'path_traversal' WHEN 'XSS' THEN 'xss' WHEN 'XXE' THEN 'xxe' WHEN 'OPEN_REDIRECT' THEN 'open_redirect' END"
+
+
+@query("t15_export_legacy", sql=f"""WITH {_R}, {_RULES}, c AS (SELECT *, {_CATEGORY} AS cat FROM x), e AS (
+    SELECT 'source' AS role, NULL AS category, unnest(sources) AS pattern, NULL AS family, 'MEDIUM' AS severity, rule_id, rule_no FROM c WHERE cat IS NOT NULL
+    UNION ALL SELECT 'sink', cat, unnest(sinks), family, severity, rule_id, rule_no FROM c WHERE cat IS NOT NULL
+    UNION ALL SELECT 'sanitizer', NULL, unnest(sanitizers), family, NULL, rule_id, rule_no FROM c WHERE cat IS NOT NULL)
+    SELECT role, category, pattern, family, first(severity ORDER BY rule_no) AS severity, first(rule_id ORDER BY rule_no) AS rule_id FROM e GROUP BY role, category, pattern, family""")
 def t15(spark, d):
     return ops.export_legacy(_rules(spark, d))
 
 
+@query("t15_export_skips", sql=f"WITH {_R}, {_RULES} SELECT rule_id, 'unsupported legacy family mapping (' || family || ')' AS reason FROM x WHERE family = 'LDAP_INJECTION'")
+def t15s(spark, d):
+    return ops.export_skips(_rules(spark, d))
+
+
 @query("s14_cards_first_wins", sql="SELECT 'card' || (p_size % 30) AS card_id, min(p_name || '.json') AS path FROM part GROUP BY 1")
 def s14(spark, d):
     """Knowledge cards: of one card id the first file in path order."""

@@ -19,7 +19,7 @@ _KINDS = "('CODE_INJECTION', 'INSECURE_DESERIALIZATION', 'PATH_TRAVERSAL', 'SQL_
 _FLOOR = "CASE vulnerability_type WHEN 'PATH_TRAVERSAL' THEN 0.68::DOUBLE WHEN 'COMMAND_INJECTION' THEN 0.70::DOUBLE ELSE 0.74::DOUBLE END"
 _CASCADE = f"""c AS (SELECT *, CASE WHEN sanitized AND triage_status = 'confirmed' THEN 'sanitized-confirmed' WHEN sanitized AND triage_status IN ('likely', 'needs-review') THEN 'sanitized' WHEN sanitized THEN 'sanitized-kept'
     WHEN source_type IN ('COMMAND_LINE_ARGS', 'ENVIRONMENT_VAR') AND (vulnerability_type IN ('PATH_TRAVERSAL', 'MASS_ASSIGNMENT') OR (vulnerability_type = 'COMMAND_INJECTION' AND sink_function = 'subprocess.run' AND k % 5 > 0)) THEN 'local-operator-source'
-    WHEN source_type IN ('COMMAND_LINE_ARGS', 'ENVIRONMENT_VAR') AND triage_status = 'needs-review' THEN 'local-operator-review' WHEN triage_status = 'needs-review' AND vulnerability_type = 'OPEN_REDIRECT' THEN 'ambiguous-sink'
+    WHEN source_type IN ('COMMAND_LINE_ARGS', 'ENVIRONMENT_VAR') AND triage_status = 'needs-review' THEN 'local-operator-review' WHEN triage_status = 'needs-review' AND (vulnerability_type = 'OPEN_REDIRECT' OR (vulnerability_type = 'PATH_TRAVERSAL' AND k % 9 IN (0, 4))) THEN 'ambiguous-sink'
     WHEN triage_status = 'needs-review' AND (2 + steps + n_sanitizers >= 3 OR steps > 0) AND vulnerability_type IN {_KINDS} THEN 'promoted-likely' WHEN triage_status = 'needs-review' AND {_SEVERE} THEN 'severe-floor' ELSE 'unchanged' END AS reason FROM f),
     n AS (SELECT *, CASE reason WHEN 'sanitized-confirmed' THEN 'needs-review' WHEN 'sanitized' THEN 'suppressed' WHEN 'local-operator-source' THEN 'suppressed' WHEN 'promoted-likely' THEN 'likely' ELSE triage_status END AS new_status,
     CASE reason WHEN 'sanitized-confirmed' THEN least(confidence, 0.65) WHEN 'sanitized' THEN least(confidence, 0.40) WHEN 'local-operator-source' THEN least(confidence, 0.35) WHEN 'local-operator-review' THEN greatest(0.45, least(0.55, confidence)) WHEN 'ambiguous-sink' THEN greatest(0.55, least(0.62, confidence)) WHEN 'promoted-likely' THEN greatest(confidence, {_FLOOR}) WHEN 'severe-floor' THEN greatest(confidence, 0.60) ELSE confidence END AS new_confidence FROM c)"""
@@ -32,7 +32,10 @@ def _with(ctes: str, body: str) -> str:
 
 
 def _cascaded(spark, d):
+    """Every ninth sink only asks whether a path exists, and every other ninth says so in its pattern; for other types neither matters."""
+    k = F.col("k") % 9
     f = findings(spark, d).withColumn("shell", F.col("k") % 5 == 0).withColumn("path_length", 2 + F.col("steps") + F.col("n_sanitizers"))
+    f = f.withColumn("sink_function", F.when((k == 0) & (F.col("sink_function") != "subprocess.run"), "os.path.Exists").otherwise(F.col("sink_function"))).withColumn("sink_pattern", F.when(k == 4, "p.exists(").otherwise(F.col("sink_pattern")))
     return ops.cascade(f)
 
 

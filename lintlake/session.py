@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", name: str = "lintlake") -> SparkSession:
@@ -26,6 +29,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all runs on this machine (tests) one of our own. On a cluster it must be set."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or (sc.getCheckpointDir() or "")
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (base or "file://" + os.path.join(tempfile.gettempdir(), "lintlake-shared")).rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder as Parquet and reads it again: cuts lineage, survives lost executors, and nothing upstream runs twice."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: What a broadcast side may take, by the optimizer's estimate.
+SMALL = 32 << 20
+
+
+def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """df with a broadcast hint if the optimizer proves it small; else as it is, so that the join is planned by size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows round-robin to all cores where a table is too small to be read in as many splits; larger tables are left as they are read, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

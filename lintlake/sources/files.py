@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # File suffixes and their languages.
 LANGUAGES = {"py": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "java": "java", "php": "php", "phtml": "php"}
 EVIDENCE_LANGUAGES = {**LANGUAGES, "jsx": "javascript", "ts": "javascript", "tsx": "javascript"}
+# Folders that are never scanned.
 BASELINE_DIRS = ("node_modules", "vendor", "dist", "build", "__pycache__", ".git", ".venv", "venv")
 
 
