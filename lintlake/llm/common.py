@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.session import shared_dir, written  # noqa: F401
+
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows; so at most HOT_SHARE keys are hot, and a table of them can be broadcast whatever the input's size.
 HOT_SHARE = 1000
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Names of stage tables: a stage and a random id.
 STAGE = re.compile(r"[a-z-]+-[0-9a-f]{32}")
 #: The six characters the contracts count as white space.
@@ -30,23 +29,6 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all runs on this machine (tests) one of our own. On a cluster it must be set."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or (sc.getCheckpointDir() or "")
-    if not base and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (base or "file://" + os.path.join(tempfile.gettempdir(), "lintlake-shared")).rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it again: cuts lineage, survives lost executors, and nothing upstream runs twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sweep(spark: SparkSession, older_than_hours: float = 24.0) -> int:
     """Deletes stage tables of this package in the shared folder that no running job can need any more, by age; returns how many went. Results of operators read their last stage lazily, so nothing is deleted before its time."""
     import time

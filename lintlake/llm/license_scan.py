@@ -6,7 +6,8 @@ expressions, so they may be given in any spelling.
 
 Canonical form, in this order:
 1. lower case (A-Z and what the engine's lower() maps);
-2. lines that only state a copyright (they begin with "copyright", "(c)" or the copyright sign) go, as does "all rights reserved";
+2. lines that state a copyright go: they begin with the copyright sign, or with "copyright" or "(c)" before a year, a
+   place for one in brackets, "by" or the sign; so does "all rights reserved";
 3. equivalent spellings become one: EQUIVALENTS, as whole words;
 4. everything but a-z and 0-9 becomes one blank between words.
 """
@@ -56,16 +57,16 @@ _NOTICES = (
 # Of CC-BY-NC-4.0 only the notices are known.
 KNOWN = (*_NOTICES, *license_texts.texts(_NOTICES[-1][1]))
 
-_COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$|all rights reserved\.?"
+_COPYRIGHT = r"(?m)^[ \t]*(?:©|(?:copyright[ \t:]*)?\(c\)[ \t]*(?:copyright[ \t]*)?[0-9<\[{]|copyright[ \t:]*(?:\(c\)|©|[0-9<\[{]|by\b))[^\n]*$|all rights reserved\.?"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text (null: null)."""
     out = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, "[^a-z0-9]+", " "), F.lit(" "))
+    out = F.concat(F.lit(" "), F.regexp_replace(out, "[^a-z0-9]+", "  "), F.lit(" "))  # each word with two blanks of its own
     for variant, kept in EQUIVALENTS:
         out = F.replace(out, F.lit(f" {variant} "), F.lit(f" {kept} "))
-    return F.trim(out)
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(form: Column) -> Column:
@@ -120,10 +121,9 @@ def oracle(texts: tuple[tuple[str, str], ...] = KNOWN) -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
     def form(x: str) -> str:
-        out = f"' ' || regexp_replace(regexp_replace(lower({x}), {quote(_COPYRIGHT)}, ' ', 'g'), '[^a-z0-9]+', ' ', 'g') || ' '"
-        for variant, kept in EQUIVALENTS:
-            out = f"replace({out}, ' {variant} ', ' {kept} ')"
-        return f"trim({out})"
+        words = f"regexp_extract_all(regexp_replace(lower({x}), {quote(_COPYRIGHT)}, ' ', 'g'), '[a-z0-9]+')"
+        same = " ".join(f"WHEN '{variant}' THEN '{kept}'" for variant, kept in EQUIVALENTS)
+        return f"array_to_string(list_transform({words}, lambda w: CASE w {same} ELSE w END), ' ')"
 
     rows = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in texts)
     return f"""

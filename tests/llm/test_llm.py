@@ -152,6 +152,39 @@ def test_license_scan_normalises(spark):
     assert got[5].line_licenses == "MIT" and got[5].n_license_lines == 1 and all(got[i].text_digest is None for i in (6, 7, 8))
 
 
+def test_licence_form_of_neighbours_and_copyright_lines(spark):
+    rows_in = ["licence licence licences", "copyright notice and this permission", "Copyright (c) 2020 A\nx", "Copyright 2020 A\nx", "(c) You must retain\nx", "Copyright [yyyy] [name]\nx", "\u00a9 A\nx", "copyright by A\nx", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows_in)], "i int, t string")
+    got = [r.f for r in df.select("i", license_scan.canonical(F.col("t")).alias("f")).orderBy("i").collect()]
+    assert got == ["license license licenses", "copyright notice and this permission", "x", "x", "c you must retain x", "x", "x", "x", None, ""]
+
+
+def test_isc_in_its_published_wrapping(spark):
+    text = """ISC License
+
+Copyright (c) 2020 Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+    got = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert got[0].license == "ISC"
+
+
+def test_license_scan_odd_rows(odd):
+    got = license_scan.license_scan(odd).collect()
+    assert len(got) == len(TEXTS) and [r.line_licenses for r in got if r.doc_id == 12] == ["MIT"] and all(r.text_digest is None for r in got if r.doc_id in (3, 4, 5))
+
+
 def test_whole_licence_files(spark):
     from lintlake.llm import license_texts as t
 
@@ -545,6 +578,37 @@ def test_allocation_rule():
     assert n.tolist() == [2, 1, 1] and crossing.tolist() == [1, 0, 1]
 
 
+def test_counts_equal_brute_force(spark, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.tokenizer_path(token_counts.TOKENIZER))
+    texts = [d["text"] for d in docs[:40]] + ODD_TEXTS + ["a\n\n\n\nb", "\n", "x\n", "\n\n \n  y", "tab\tx\n\n\ty"]
+    want = []
+    for i, t in enumerate(texts):
+        lines, at = [], 0
+        for line in t.split("\n"):
+            end = min(at + len(line) + 1, len(t))
+            if end > at:
+                lines.append((at, end))
+            at = end
+        offsets = library.encode(t, add_special_tokens=False).offsets
+        n, crossing = [0] * len(lines), [0] * len(lines)
+        for s, e in offsets:
+            held = [max(0, min(e, b) - max(s, a)) for a, b in lines]
+            k = max(range(len(lines)), key=lambda x: (held[x], -x)) if e > s else next(x for x, (a, b) in enumerate(lines) if a <= s < b)
+            n[k] += 1
+            crossing[k] += sum(h > 0 for h in held) > 1
+        want += [(i, k, a, b, n[k], crossing[k], len(offsets)) for k, (a, b) in enumerate(lines)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(rows(token_counts.token_counts(df))) == want
+
+
+def test_another_tokenizer_is_not_cut(docs):
+    enc = token_counts.OffsetEncoder(tokens.tokenizer_path())  # this one drops white space
+    for t in [d["text"] for d in docs[:5]] + ODD_TEXTS[1:]:
+        assert enc.spans(t).tolist() == enc.whole(t).tolist()
+
+
 def test_token_counts_add_up(odd):
     got = token_counts.token_counts(odd).collect()
     by = {}
