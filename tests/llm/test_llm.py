@@ -813,6 +813,45 @@ def test_pipeline_stages(spark, docs):
     assert got[1002].text is None and "<EMAIL>" in got[1004].text and got[1004].n_chars == len(got[1004].text) and got[1003].text == extra[3][1]
 
 
+def run_pipeline(spark, tmp_path, data, schema):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    return pipeline.run(spark, str(tmp_path))
+
+
+def test_whole_pipeline_on_odd_rows(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(pii, "STEPS", 60)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, kept boolean, sha string, c0 string, fold long"
+    plain = [(d["doc_id"], d["text"], d["lang"], d["source"], d["n_chars"], 1, False, "s", "c", 2) for d in docs[:30]]
+    long = " ".join(d["text"] for d in docs[:40]) * 3
+    tail = (None, "s", 1, 1, False, "s", "c", 2)
+    odd = [(900, None, *tail), (901, "", *tail), (902, "%%% 1", *tail), (903, long, *tail), (None, long + " ", *tail), (None, "Der Hund und die Katze gehen in das Haus.", *tail), (None, "Der Hund und die Katze gehen in das Haus.", *tail)]
+    got = run_pipeline(spark, tmp_path, plain + plain[:5] + odd, schema).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert not {900, 901, 902, 903} & set(by) and {r.length for r in got} and sorted(x.start for x in by[None])[0] == 0
+    assert all(sorted(r.piece for r in by[i]) == list(range(len(by[i]))) for i in by if i is not None)  # none comes twice
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in places.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 2048
+
+
+def test_pipeline_without_rows_or_languages(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    assert run_pipeline(spark, tmp_path, [], schema).collect() == []
+    df = spark.createDataFrame([(1, "abc def", None, "s", 7), (2, "12 3", None, "s", 4), (3, None, None, None, None)], schema)
+    assert [tuple(r) for r in pipeline.by_language(spark, df, "").collect()] == [(1, "abc def", None, "s", 7)]
+    assert pipeline.sure(4) == pytest.approx(0.3) and pipeline.sure(1) == 0 and pipeline.sure(10) < 0.17
+
+
 def test_sweep_deletes_only_old_stage_tables(spark):
     kept = common.written(spark.range(3).toDF("id"), "sweep-test")
     assert common.sweep(spark, 24) == 0 and kept.count() == 3
