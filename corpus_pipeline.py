@@ -2,10 +2,14 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
 writes each stage's rows to the shared folder and reads them again as the next one's docs.
+
+Every stage takes an empty table, repeated rows, null ids, texts of any length and columns of any other names, and gives
+an empty table, or does to each row what it would do to it alone, but where rows are compared.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,20 +18,29 @@ from pyspark.sql import DataFrame, SparkSession
 from lintlake.llm import exact_dedup, langid, packing, pii, simhash
 from lintlake.llm.common import ready, written
 
-#: Mean marginal below which no language is taken as certain; a uniform guess among four has a quarter, so only texts that speak for no language at all fall below.
-SURE = 0.3
+_LETTER = re.compile(r"[^\W\d_]").search
+
+
+def sure(languages: int) -> float:
+    """Mean marginal below which no language is taken as certain: a fifteenth of the way from a uniform guess to certainty, so only texts that speak for no language at all fall below. One language is always certain."""
+    return 1 / languages + (1 - 1 / languages) / 15 if languages > 1 else 0.0
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or without a language that is at least SURE go; the others get the predicted language."""
+    """Documents without letters (null and empty ones too) or without a language that is at least sure() go; the others get the predicted language. Where no row has a language to learn from, all with letters stay as they are. Repeated rows fare alike."""
     ready(spark)
     rows = langid.sample(docs)
-    predict = langid.predictor(spark.sparkContext.broadcast(langid.fit(rows) if rows else None))
+    model = langid.fit(rows) if rows else None
+    predict = langid.predictor(spark.sparkContext.broadcast(model))
+    least = sure(len(model.langs)) if model else 0.0
     names, at_text, at_lang = docs.columns, docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, pred, score in predict(batches, at_text):
-            keep = pa.array([p != langid.UNKNOWN and s >= SURE for p, s in zip(pred, score, strict=True)], pa.bool_())
+            if model is None:
+                yield b.filter(pa.array([_LETTER(t or "") is not None for t in b.column(at_text).to_pylist()], pa.bool_()))
+                continue
+            keep = pa.array([p != langid.UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_())
             cols = [pa.array(pred, pa.string()) if i == at_lang else b.column(i) for i in range(len(names))]
             yield pa.record_batch(cols, names=names).filter(keep)
 
@@ -35,17 +48,17 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_exact_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (but for white space) one row stays."""
+    """Of equal texts (but for white space; null and empty ones are equal) one row stays: that with most code points, then the smallest id, a null id last; of repeated rows one."""
     return exact_dedup.keep_one(docs)
 
 
 def by_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a component of near copies one document stays, the one with the smallest id."""
+    """Of a component of near copies one document stays, the one with the smallest id (a null id last; of rows that repeat an id one by its text, and rows that repeat both stay together: the stage before has none). Texts without words have one fingerprint and are one component."""
     return simhash.keep_one(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data become <KIND>; a document without any is left as it is."""
+    """Spans of personal data become <KIND>, and n_chars follows; a document without any is left as it is, a null text stays null. Rows stay as many as they are."""
     ready(spark)
     find = pii.finder(spark.sparkContext.broadcast(pii.fitted(docs)))
     names, at_text = docs.columns, docs.columns.index("text")
@@ -64,7 +77,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+    """What is left, packed into sequences: a row for each piece. A null or empty text is the end id alone; repeated rows and rows of null ids are packed like any other."""
     return packing.pack(docs)
 
 
