@@ -29,6 +29,12 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """For applications, on their own session: at most 1000 rows in an Arrow batch, as whole texts are large rows. Operators work with any size and leave the session's settings alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(1000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
+    return spark
+
+
 def sweep(spark: SparkSession, older_than_hours: float = 24.0) -> int:
     """Deletes stage tables of this package in the shared folder that no running job can need any more, by age; returns how many went. Results of operators read their last stage lazily, so nothing is deleted before its time."""
     import time

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lintlake.llm import ann, exact_dedup, langid, license_scan, packing, pieces, pii, simhash, token_counts, token_files
+from lintlake.llm.common import small_batches
 from lintlake.session import spread, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return spread(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces of each sort kept per worker, in two generations.
-KEPT = 1_000_000
+KEPT = 400_000
 DEFAULT = "word_bpe_49k.json"
 #: Letters and digits of Latin-1, in lower case; runs of the first are words to the pre-tokenizer, the second stand alone.
 _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
