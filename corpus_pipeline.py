@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lintlake.llm import exact_dedup, langid, packing, pii, simhash
-from lintlake.llm.common import ready, written
+from lintlake.llm.common import ready, small_batches, written
 
 _LETTER = re.compile(r"[^\W\d_]").search
 
@@ -28,7 +28,7 @@ def sure(languages: int) -> float:
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters (null and empty ones too) or without a language that is at least sure() go; the others get the predicted language. Where no row has a language to learn from, all with letters stay as they are. Repeated rows fare alike."""
-    ready(spark)
+    small_batches(ready(spark))
     rows = langid.sample(docs)
     model = langid.fit(rows) if rows else None
     predict = langid.predictor(spark.sparkContext.broadcast(model))
@@ -49,17 +49,19 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_exact_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (but for white space; null and empty ones are equal) one row stays: that with most code points, then the smallest id, a null id last; of repeated rows one."""
+    small_batches(spark)
     return exact_dedup.keep_one(docs)
 
 
 def by_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a component of near copies one document stays, the one with the smallest id (a null id last; of rows that repeat an id one by its text, and rows that repeat both stay together: the stage before has none). Texts without words have one fingerprint and are one component."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become <KIND>, and n_chars follows; a document without any is left as it is, a null text stays null. Rows stay as many as they are."""
-    ready(spark)
+    small_batches(ready(spark))
     find = pii.finder(spark.sparkContext.broadcast(pii.fitted(docs)))
     names, at_text = docs.columns, docs.columns.index("text")
     at_chars = names.index("n_chars") if "n_chars" in names else -1
@@ -78,6 +80,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences: a row for each piece. A null or empty text is the end id alone; repeated rows and rows of null ids are packed like any other."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
