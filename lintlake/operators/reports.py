@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.dims import STATUSES, queue_rank, status_rank
+from lintlake.dims import STATUSES, case, queue_rank, status_rank
 
 
 def severity_summary(found: DataFrame) -> DataFrame:
@@ -112,17 +112,66 @@ def sarif_results(found: DataFrame) -> DataFrame:
     return out.select("finding_id", "rule_id", "rule_index", level.alias("level"), F.concat_ws(":", "rule_id", "file_path", "line_number").alias("fingerprint"), F.greatest("column_number", F.lit(1)).alias("start_column"))
 
 
-def sarif_document(found: DataFrame, path: str) -> None:
-    """Writes SARIF 2.1.0 results as JSON lines, each with its location and code flow, from nested structs."""
-    place = F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_number").alias("startLine"), F.greatest("column_number", F.lit(1)).alias("startColumn")).alias("region"))
-    sarif_results(found).join(found.select("finding_id", place.alias("physicalLocation")), "finding_id").write.mode("overwrite").json(path)
+# The score of a severity in SARIF.
+SECURITY_SEVERITY = {"CRITICAL": "9.5", "HIGH": "8.0", "MEDIUM": "5.5", "LOW": "3.0", "INFO": "1.0", "UNKNOWN": "0.0"}
+
+
+def sarif_rules(found: DataFrame) -> DataFrame:
+    """rule_index, rule_id, name, full_description, language, security_severity: the rules of a SARIF run, each as its first finding (by ordinal) defines it. A row for each rule."""
+    score = case(F.col("severity"), SECURITY_SEVERITY, "0.0")
+    first = found.groupBy("rule_id").agg(F.min("ordinal").alias("_o"), F.min_by(F.struct(F.col("vulnerability_type").alias("name"), F.concat_ws(" ", "vulnerability_type", F.lit("at"), "sink_function").alias("full_description"), "language", score.alias("security_severity")), "ordinal").alias("_f"))
+    return first.select((F.row_number().over(Window.orderBy("_o")) - 1).alias("rule_index"), "rule_id", "_f.*")
+
+
+def assembled(sections: list[DataFrame]) -> DataFrame:
+    """place, line: the lines of a document made of sections, one after the other, each with key (its order, unique in the section) and line. Concatenated in the order of place they are the document; no task holds more than a range of it."""
+    from lintlake.operators.findings import numbered
+
+    out = None
+    for i, s in enumerate(sections):
+        s = s.select(F.lit(i).alias("_s"), F.col("key").cast("string").alias("key"), "line")
+        out = s if out is None else out.unionByName(s)
+    return numbered(out, "place", "_s", "key").select("place", "line")
+
+
+def _line(found: DataFrame, text: str) -> DataFrame:
+    return found.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(text).alias("line"))
+
+
+def _items(rows: DataFrame, value: Column) -> DataFrame:
+    """JSON list items, a line each, with a comma before all but the first."""
+    least = rows.agg(F.min("key")).first()[0]
+    return rows.select("key", F.concat(F.when(F.col("key") == F.lit(least), "").otherwise(","), F.to_json(value)).alias("line"))
+
+
+def json_document(found: DataFrame, target: str) -> DataFrame:
+    """The lines of a JSON report: scan_metadata, findings, summary."""
+    place = F.struct("file_path", "line_number", "column_number").alias("location")
+    items = _items(found.withColumn("key", F.col("finding_id")), F.struct("finding_id", "rule_id", "vulnerability_type", "severity", "triage_status", place))
+    meta = found.agg(F.count_distinct("file_path").alias("files_with_findings")).select(F.lit("").alias("key"), F.concat(F.lit('{"scan_metadata":'), F.to_json(F.struct(F.lit(target).alias("target"), "files_with_findings")), F.lit(',"findings":[')).alias("line"))
+    summary = severity_summary(found).select(F.lit("").alias("key"), F.concat(F.lit('],"summary":'), F.to_json(F.struct("total", "critical", "high", "medium", "low")), F.lit(',"errors":[]}')).alias("line"))
+    return assembled([meta, items, summary])
+
+
+def sarif_document(found: DataFrame, tool: str = "lintlake") -> DataFrame:
+    """The lines of a SARIF 2.1.0 document: one run with its tool's rules and its results."""
+    place = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_number").alias("startLine"), F.greatest("column_number", F.lit(1)).alias("startColumn")).alias("region")).alias("physicalLocation"))
+    level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("note")
+    rules = _items(sarif_rules(found).withColumn("key", F.lpad(F.col("rule_index").cast("string"), 9, "0")), F.struct(F.col("rule_id").alias("id"), "name", F.struct(F.col("full_description").alias("text")).alias("fullDescription"), F.struct(F.col("security_severity").alias("security-severity")).alias("properties")))
+    mark = F.struct(F.concat_ws(":", "rule_id", "file_path", "line_number").alias("primaryLocationLineHash")).alias("partialFingerprints")
+    results = _items(found.withColumn("key", F.col("finding_id")), F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.array(place).alias("locations"), mark))
+    head, between, foot = '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"%s","rules":[' % tool, ']}},"results":[', "]}]}"
+    return assembled([_line(found, head), rules, _line(found, between), results, _line(found, foot)])
 
 
 def markdown(found: DataFrame) -> DataFrame:
-    """Lines of the Markdown report by severity, critical to low (the others are left out): severity, n, body."""
-    item = F.format_string("- %s %s:%d", F.col("finding_id"), F.col("file_path"), F.col("line_number"))
-    listed = found.filter(F.col("severity").isin("CRITICAL", "HIGH", "MEDIUM", "LOW"))
-    return listed.groupBy("severity").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "\n"), 256).alias("body_sha256"))
+    """The lines of a Markdown report: a heading for each severity from critical to low that has findings (the others are left out), then its findings by id."""
+    titles = {"CRITICAL": "## Critical", "HIGH": "## High", "MEDIUM": "## Medium", "LOW": "## Low"}
+    rank = F.create_map(*[F.lit(x) for i, s in enumerate(titles) for x in (s, i)])[F.col("severity")]
+    listed = found.filter(F.col("severity").isin(*titles)).withColumn("_r", rank.cast("string"))
+    heads = listed.groupBy("severity", "_r").agg(F.count("*").alias("n")).select(F.col("_r").alias("key"), F.concat(F.create_map(*[F.lit(x) for p in titles.items() for x in p])[F.col("severity")], F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
+    items = listed.select(F.concat_ws(" ", "_r", "finding_id").alias("key"), F.format_string("- %s %s:%d", F.col("finding_id"), F.col("file_path"), F.col("line_number")).alias("line"))
+    return assembled([_line(found, "# Security report"), heads.unionByName(items)])
 
 
 def patches(found: DataFrame, order: str) -> DataFrame:

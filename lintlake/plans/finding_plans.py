@@ -33,7 +33,7 @@ def p3(spark, d):
     return f.select(_ID, ops.path_length(F.col("_s"), F.col("_z")).alias("path_length"), F.array_join(F.concat(F.array(F.lit("source")), "_s", "_z", F.array(F.lit("sink"))), " > ").alias("path_summary"))
 
 
-@query("p4_triage_input")
+@query("p4_triage_input", findings_sql="SELECT CAST(to_json({'schema_version': 'triage-input-v1', 'finding': {'finding_id': finding_id, 'rule_id': rule_id, 'severity': severity, 'confidence': confidence}, 'location': {'file_path': file_path, 'line_number': line_number, 'snippet': snippet}}) AS VARCHAR) AS document FROM f")
 def p4(spark, d):
     f = findings(spark, d)
     return f.select(F.to_json(F.struct(F.lit("triage-input-v1").alias("schema_version"), F.struct(_ID, "rule_id", "severity", "confidence").alias("finding"), F.struct("file_path", "line_number", "snippet").alias("location"))).alias("document"))

@@ -104,10 +104,26 @@ def a28(spark, d):
     return ops.monitor(e)
 
 
-@query("k1_json_export")
+_ITEM = "to_json({'finding_id': finding_id, 'rule_id': rule_id, 'vulnerability_type': vulnerability_type, 'severity': severity, 'triage_status': triage_status, 'location': {'file_path': file_path, 'line_number': line_number, 'column_number': column_number}})"
+
+
+@query("k1_json_export", findings_sql=f"""SELECT row_number() OVER (ORDER BY s, key) AS place, line FROM (
+    SELECT 0 AS s, '' AS key, '{{"scan_metadata":{{"target":"repo","files_with_findings":' || count(DISTINCT file_path) || '}},"findings":[' AS line FROM f
+    UNION ALL SELECT 1, finding_id, CASE WHEN finding_id = (SELECT min(finding_id) FROM f) THEN '' ELSE ',' END || CAST({_ITEM} AS VARCHAR) FROM f
+    UNION ALL SELECT 2, '', '],"summary":' || CAST(to_json({{'total': count(*), 'critical': count(*) FILTER (WHERE severity = 'CRITICAL'), 'high': count(*) FILTER (WHERE severity = 'HIGH'), 'medium': count(*) FILTER (WHERE severity = 'MEDIUM'), 'low': count(*) FILTER (WHERE severity = 'LOW')}}) AS VARCHAR) || ',"errors":[]}}' FROM f)""")
 def k1(spark, d):
-    f = findings(spark, d)
-    return f.select(F.to_json(F.struct("finding_id", "rule_id", "severity", "triage_status", F.struct("file_path", "line_number", "column_number").alias("location"))).alias("finding"))
+    return ops.json_document(findings(spark, d), "repo")
+
+
+@query("k2_sarif_rules", findings_sql="""SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS rule_index, rule_id, x.name AS name, x.d AS full_description, x.l AS language, CASE x.s WHEN 'CRITICAL' THEN '9.5' WHEN 'HIGH' THEN '8.0' WHEN 'MEDIUM' THEN '5.5' WHEN 'LOW' THEN '3.0' WHEN 'INFO' THEN '1.0' ELSE '0.0' END AS security_severity
+    FROM (SELECT rule_id, min(ordinal) AS o, arg_min({'name': vulnerability_type, 'd': vulnerability_type || ' at ' || sink_function, 'l': language, 's': severity}, ordinal) AS x FROM f GROUP BY rule_id)""")
+def k2r(spark, d):
+    return ops.sarif_rules(findings(spark, d))
+
+
+@query("k2_sarif_document")
+def k2d(spark, d):
+    return ops.sarif_document(findings(spark, d))
 
 
 @query("k2_sarif_results", findings_sql="SELECT finding_id, f.rule_id, CAST(rule_index AS INTEGER) AS rule_index, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, f.rule_id || ':' || file_path || ':' || line_number AS fingerprint, greatest(column_number, 1) AS start_column FROM f JOIN (SELECT rule_id, row_number() OVER (ORDER BY min(ordinal)) - 1 AS rule_index FROM f GROUP BY rule_id) USING (rule_id)")
@@ -115,7 +131,9 @@ def k2(spark, d):
     return ops.sarif_results(findings(spark, d))
 
 
-@query("k3_markdown", findings_sql="SELECT severity, count(*) AS n, sha256(string_agg(i, chr(10) ORDER BY i)) AS body_sha256 FROM (SELECT severity, printf('- %s %s:%d', finding_id, file_path, line_number) AS i FROM f WHERE severity IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW')) GROUP BY severity")
+@query("k3_markdown", findings_sql="""SELECT row_number() OVER (ORDER BY r, i) AS place, line FROM (SELECT '' AS r, '' AS i, '# Security report' AS line
+    UNION ALL SELECT r, '', h || ' (' || count(*) || ')' FROM (SELECT CASE severity WHEN 'CRITICAL' THEN '0' WHEN 'HIGH' THEN '1' WHEN 'MEDIUM' THEN '2' WHEN 'LOW' THEN '3' END AS r, '## ' || upper(severity[1]) || lower(severity[2:]) AS h FROM f) WHERE r IS NOT NULL GROUP BY r, h
+    UNION ALL SELECT CASE severity WHEN 'CRITICAL' THEN '0' WHEN 'HIGH' THEN '1' WHEN 'MEDIUM' THEN '2' WHEN 'LOW' THEN '3' END, finding_id, printf('- %s %s:%d', finding_id, file_path, line_number) FROM f WHERE severity IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW'))""")
 def k3(spark, d):
     return ops.markdown(findings(spark, d))
 

@@ -86,6 +86,15 @@ def scanner_report(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("check_id", "path", "line", "severity", "message", fingerprint("_f").alias("fingerprint"))
 
 
+def report(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of one JSON report document, with its target: target, finding_id, rule_id, vulnerability_type, severity, triage_status, file_path, line_number. A missing or odd field is null."""
+    place = "location struct<file_path string, line_number int, column_number int>"
+    schema = f"scan_metadata struct<target string>, findings array<struct<finding_id string, rule_id string, vulnerability_type string, severity string, triage_status string, {place}>>"
+    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    flat = doc.select("scan_metadata.target", F.explode("findings").alias("f"))
+    return flat.select("target", "f.finding_id", "f.rule_id", "f.vulnerability_type", "f.severity", "f.triage_status", "f.location.file_path", "f.location.line_number")
+
+
 def fingerprint(own: str) -> Column:
     return F.coalesce(F.nullif(F.col(own), F.lit("")), F.sha2(F.concat_ws("|", "check_id", "path", "line", "message"), 256))
 

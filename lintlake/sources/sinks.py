@@ -37,9 +37,15 @@ def upsert(memory: DataFrame | None, news: DataFrame, key: str, order: str, path
     return both.sparkSession.read.parquet(path)
 
 
+#: Rules that one document may hold.
+MOST_RULES = 100_000
+
+
 def rule_document(rules: DataFrame, as_yaml: bool = False) -> str:
     """A rule set as one YAML or JSON document; rule sets are small and leave through the driver."""
-    rows = [r.asDict(recursive=True) for r in rules.collect()]
+    rows = [r.asDict(recursive=True) for r in rules.limit(MOST_RULES + 1).collect()]
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules do not make one document; write them as JSON lines")
     if as_yaml:
         import yaml
 
@@ -47,6 +53,37 @@ def rule_document(rules: DataFrame, as_yaml: bool = False) -> str:
     return json.dumps({"rules": rows}, ensure_ascii=False, indent=2)
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """A document of (place, line) as text files that are it when read in the order of their names; ranges of it are written in parallel."""
+    lines.repartitionByRange("place").sortWithinPartitions("place").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
+def save_jobs(jobs: DataFrame, path: str) -> None:
+    """Saves job records (scan_id, version, and what else they have): appended, so that no record is lost when a write fails; load_jobs() gives the last one of each id."""
+    jobs.write.mode("append").json(path)
+
+
+def load_jobs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The last saved record of each scan_id, by version."""
+    saved = spark.read.schema(schema).json(path)
+    rest = [c for c in saved.columns if c != "scan_id"]
+    return saved.groupBy("scan_id").agg(F.max_by(F.struct(*rest), "version").alias("_v")).select("scan_id", "_v.*")
+
+
+def write_bundle(rules: DataFrame, path: str) -> DataFrame:
+    """A review bundle of a rule set: its normalized rules, their validation report, the exported older shape and what it skipped, each a folder of JSON lines; returns one row: valid, rules_checked, error_count, warning_count."""
+    from lintlake.operators import rules as ops
+
+    for name, part in (("normalized", rules), ("validation", ops.validate(rules)), ("legacy", ops.export_legacy(rules)), ("legacy_skips", ops.export_skips(rules))):
+        part.write.mode("overwrite").json(f"{path}/{name}")
+    spark = rules.sparkSession
+    issues = spark.read.schema("rule_id string, level string, code string").json(f"{path}/validation")
+    counts = issues.agg(F.count_if(F.col("level") == "error").alias("error_count"), F.count_if(F.col("level") == "warning").alias("warning_count"))
+    checked = spark.read.schema("rule_no long").json(f"{path}/normalized").agg(F.count("*").alias("rules_checked"))
+    both = checked.join(counts, F.lit(True))  # one row each
+    return both.select((F.col("error_count") == 0).alias("valid"), "rules_checked", "error_count", "warning_count")
+
+
 def one_document(spark: SparkSession, path: str):
     """A single JSON document, whole."""
     return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
