@@ -133,7 +133,9 @@ def re_pair(ids: np.ndarray, base: int = BASE, least: int = LEAST) -> Grammar:
             fresh = s >= old
             at = np.flatnonzero(fresh[:-1] | fresh[1:] | missed[:-1])
         keys = s[at].astype(np.int64) << 32 | s[at + 1]
-        pairs, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+        grouped = pa.array(keys).dictionary_encode()  # by hash, in order of first places
+        pairs, which = grouped.dictionary.to_numpy(), grouped.indices.to_numpy()
+        n = np.bincount(which, minlength=len(pairs))
         use = (n >= ask)[which]
         if not use.any():
             if ask == least:
@@ -168,8 +170,11 @@ def re_pair(ids: np.ndarray, base: int = BASE, least: int = LEAST) -> Grammar:
             again = np.unique(s[at])
             again = again[again < old]  # rules of earlier rounds that this one used again
             if len(again):
-                missed |= np.isin(s, again)
-                missed[:-1] |= missed[1:] & np.isin(s[1:], again)
+                used = np.zeros(len(rules) + 1, bool)  # the first stands for ids
+                used[again - base + 1] = True
+                used = used[np.maximum(s - (base - 1), 0)]
+                missed |= used
+                missed[:-1] |= missed[1:] & used[1:]
         s, missed = s[stay], missed[stay]
     pairs = np.array(list(rules), np.int64)
     return Grammar(base, np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1) if len(pairs) else np.zeros((0, 2), np.int64), sizes, s)

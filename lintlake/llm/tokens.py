@@ -4,9 +4,10 @@ The tokenizer's pre-tokenizer drops white space and cuts a text into letter runs
 only its contractions ('s, 't, ...) join an apostrophe to letters. Its normaliser lower-cases, composes (NFC) and
 squeezes white space. So:
 
-- a text of Latin-1 characters without apostrophes is lower-cased whole (it is composed already) and cut at white space;
-  each distinct word is cut into those runs once per worker, and each distinct run encoded once (both in bounded memory),
-  letter runs by the library's model directly;
+- texts of Latin-1 characters without apostrophes are lower-cased whole (they are composed already) and cut at white space
+  by Arrow, which also numbers the distinct words of about 4 MB of text; each of these is looked up once, and the ids of
+  all words are laid side by side in numpy. A new word is cut into those runs, and each new run encoded once per worker
+  (both in bounded memory), letter runs by the library's model directly;
 - any other text is cut at ASCII spaces and line feeds, which no pattern crosses, and its distinct pieces are kept alike;
 - a text with the mark of a special token is encoded whole.
 
@@ -21,9 +22,14 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-
-#: Pieces of each sort kept per worker, in two generations.
-KEPT = 400_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Pieces of each sort kept per worker, in two generations; longer pieces than LONG characters are encoded anew each time.
+KEPT = 600_000
+LONG = 256
+#: Characters of text whose words are numbered together (a longer text stands alone), and words laid out at a time.
+TOGETHER, LAID = 4 << 20, 1 << 18
 DEFAULT = "word_bpe_49k.json"
 #: Letters and digits of Latin-1, in lower case; runs of the first are words to the pre-tokenizer, the second stand alone.
 _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -59,7 +65,8 @@ class _Store(dict):
         out = self.older.get(piece)
         if out is None:
             out = self.learn(piece)
-        self[piece] = out
+        if len(piece) <= LONG:
+            self[piece] = out
         return out
 
     def turn(self) -> None:
@@ -79,10 +86,10 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.store, self.runs, self.words = _Store(self._learn), _Store(self._run), _Store(self._word)
+        self.store, self.runs, self.words = _Store(self._learn), _Store(self._raw), _Store(self._model)
         # runs and pieces may be reused only where the pre-tokenizer drops white space, as this kind of vocabulary does
         probe = "Ab, c.\n d-s \xc9t\xe9. Zz 42\xb2 (x)"
-        self.by_piece = self._raw(probe) == b"".join(map(self._raw, re.split("[ \n]", probe))) == b"".join(map(self._learn, re.split("[ \n]", probe))) == b"".join(map(self._run, _RUNS(probe.lower())))
+        self.by_piece = self._raw(probe) == b"".join(map(self._raw, re.split("[ \n]", probe))) == b"".join(map(self._learn, re.split("[ \n]", probe))) == b"".join(map(self._word, probe.lower().split()))
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -93,39 +100,74 @@ class WordEncoder:
             word = word.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.packed[t.id] for t in self.model.tokenize(word)])
 
-    def _run(self, run: str) -> bytes:
-        return self._model(run) if run[0].isalpha() else self._raw(run)
-
     def _word(self, word: str) -> bytes:
-        """Of what lies between white space in a lower-case Latin-1 text."""
-        if word.isalpha():  # most new words; they need no second place among the runs
-            return self._model(word)
+        """Of what lies between white space in a lower-case Latin-1 text; only its runs are kept."""
+        if word.isalpha():
+            return self.words[word]
         if len(word) > 1 and word[-1] in ",." and word[:-1].isalpha():
             return self.words[word[:-1]] + self.runs[word[-1]]
-        return b"".join(map(self.runs.__getitem__, _RUNS(word)))
+        return b"".join([self.words[run] if run[0].isalpha() else self.runs[run] for run in _RUNS(word)])
 
     def _learn(self, piece: str) -> bytes:
         if _LATIN(piece):
-            return self.runs[piece.lower()]
+            return self.words[piece.lower()]
         if len(piece) > 1 and piece[-1] in ",." and unicodedata.normalize("NFC", piece[:-1]).lower()[-1].isalpha():  # a mark at the end would join the stop
             return self.store[piece[:-1]] + self.store[piece[-1]]
         return self._raw(piece)
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Of lower-case Latin-1 texts without marks."""
+        words = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        ends, words = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.words.get, distinct))
+        for i, known in enumerate(found):
+            if known is None:
+                found[i] = self._word(distinct[i])
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.cumsum(size) - size
+        ids, which = np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy()
+        laid = []
+        for i in range(0, len(which), LAID):
+            w = which[i : i + LAID]
+            n = size[w]
+            laid.append(ids[np.repeat(begin[w] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].tobytes())
+        body = memoryview(b"".join(laid))
+        cuts = (4 * np.r_[0, np.cumsum(size[which])][ends - ends[0]]).tolist()
+        return [bytes(body[i:j]) for i, j in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [self._raw(t) for t in texts]
-        word, piece, out = self.words.__getitem__, self.store.__getitem__, []
-        for t in texts:
+        piece, out = self.store.__getitem__, [b""] * len(texts)
+        plain: list[int] = []
+        held = 0
+        for i, t in enumerate(texts):
             if not (_ASIDE(t) if t.isascii() else _WIDE(t)):
-                out.append(b"".join(map(word, t.lower().split())))
-            elif "<|" in t:
-                out.append(self._raw(t))
+                if plain and held + len(t) > TOGETHER:
+                    self._fill(out, texts, plain)
+                    plain, held = [], 0
+                plain.append(i)
+                held += len(t)
+                continue
+            if "<|" in t:
+                out[i] = self._raw(t)
             else:
-                out.append(b"".join(map(piece, t.replace("\n", " ").split(" "))))
-            for kept in (self.runs, self.words, self.store):
-                kept.turn()
+                out[i] = b"".join(map(piece, t.replace("\n", " ").split(" ")))
+            self._turn()
+        if plain:
+            self._fill(out, texts, plain)
         return out
 
+    def _fill(self, out: list[bytes], texts: list[str], at: list[int]) -> None:
+        for i, ids in zip(at, self._plain([texts[i].lower() for i in at]), strict=True):
+            out[i] = ids
+        self._turn()
+
+    def _turn(self) -> None:
+        for kept in (self.runs, self.words, self.store):
+            kept.turn()
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
