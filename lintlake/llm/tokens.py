@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces of each sort kept per worker, in two generations; longer pieces than LONG characters are encoded anew each time.
-KEPT = 600_000
+KEPT = 400_000
 LONG = 256
 #: Characters of text whose words are numbered together (a longer text stands alone), and words laid out at a time.
 TOGETHER, LAID = 4 << 20, 1 << 18
@@ -36,8 +36,18 @@ _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\x
 _RUNS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^\\t-\\r \x85\xa0{_LETTERS}{_DIGITS}]+").findall
 _LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 # 1c to 1f part words for str.split but are no white space to the pre-tokenizer
-_WIDE = re.compile("[^\x00-\xff]|[\x1c-\x1f']|<[|]").search
-_ASIDE = re.compile("[\x1c-\x1f']|<[|]").search
+_MARKS = ("'", "<|", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def _plain(text: str) -> bool:
+    """A Latin-1 text without marks."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return not any(map(text.__contains__, _MARKS))
+
 
 
 def _byte_letters() -> dict[int, int]:
@@ -115,7 +125,7 @@ class WordEncoder:
             return self.store[piece[:-1]] + self.store[piece[-1]]
         return self._raw(piece)
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
+    def _together(self, texts: list[str]) -> list[bytes]:
         """Of lower-case Latin-1 texts without marks."""
         words = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
         ends, words = words.offsets.to_numpy(), words.flatten().dictionary_encode()
@@ -143,7 +153,7 @@ class WordEncoder:
         plain: list[int] = []
         held = 0
         for i, t in enumerate(texts):
-            if not (_ASIDE(t) if t.isascii() else _WIDE(t)):
+            if _plain(t):
                 if plain and held + len(t) > TOGETHER:
                     self._fill(out, texts, plain)
                     plain, held = [], 0
@@ -160,7 +170,7 @@ class WordEncoder:
         return out
 
     def _fill(self, out: list[bytes], texts: list[str], at: list[int]) -> None:
-        for i, ids in zip(at, self._plain([texts[i].lower() for i in at]), strict=True):
+        for i, ids in zip(at, self._together([texts[i].lower() for i in at]), strict=True):
             out[i] = ids
         self._turn()
 
