@@ -856,3 +856,17 @@ def test_sweep_deletes_only_old_stage_tables(spark):
     kept = common.written(spark.range(3).toDF("id"), "sweep-test")
     assert common.sweep(spark, 24) == 0 and kept.count() == 3
     assert common.sweep(spark, -1) >= 1
+
+
+def test_words_numbered_together_equal_whole_texts(monkeypatch):
+    """Texts in several groups, with marks between, without words, with long words, and of every Latin-1 character."""
+    from lintlake.llm import tokens
+
+    monkeypatch.setattr(tokens, "TOGETHER", 40)
+    monkeypatch.setattr(tokens, "LAID", 3)
+    words = tokens.WordEncoder(tokens.tokenizer_path())
+    some = ["", " \n", "One two, two. One", "it's here", "naïve Été x\x85y", "a" * 700 + " " + "b" * 257 + "###", "日本 one", "x <|endoftext|> y", "p\x1cq r", "".join(map(chr, range(256)))]
+    some += [f"a{chr(c)}b {chr(c)}" for c in range(256)]
+    assert words.encode(some) == [words._raw(t) for t in some]
+    assert words.encode([]) == []
+    assert max(map(len, words.words)) <= tokens.LONG
