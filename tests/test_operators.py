@@ -266,7 +266,11 @@ def test_json_documents_hold_their_rows(spark):
 
     from lintlake.plans import finding_plans, report_plans
 
-    found = [json.loads(r.finding) for r in report_plans.k1(spark, "/root/testdata/sf0.001").collect()]
+    lines = report_plans.k1(spark, "/root/testdata/sf0.001")
+    assert lines.columns == ["place", "line"]
+    document = json.loads("\n".join(r.line for r in sorted(lines.collect())))
+    found = document["findings"]
+    assert document["summary"]["total"] == len(found)
     assert found and all({"finding_id", "rule_id", "severity", "triage_status", "location"} <= x.keys() for x in found)
     assert {json.loads(r.document)["finding"]["finding_id"] for r in finding_plans.p4(spark, "/root/testdata/sf0.001").collect()} == {x["finding_id"] for x in found}
 
