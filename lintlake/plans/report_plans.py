@@ -20,7 +20,7 @@ def a1(spark, d):
 
 @query("a2_status_counts_filled", findings_sql=f"SELECT triage_status, count(finding_id) AS n FROM {_STATUS_DIM} LEFT JOIN (SELECT * FROM f WHERE triage_status <> 'likely') USING (triage_status) GROUP BY 1")
 def a2(spark, d):
-    return ops.status_counts(findings(spark, d).filter("triage_status <> 'likely'"), True)
+    return ops.status_counts(findings(spark, d).filter("triage_status <> 'likely' AND finding_id IS NOT NULL"), True)
 
 
 @query("a3_status_counts", findings_sql="SELECT triage_status, count(*) AS n FROM f GROUP BY 1")

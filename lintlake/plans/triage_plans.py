@@ -34,7 +34,7 @@ def _with(ctes: str, body: str) -> str:
 def _cascaded(spark, d):
     """Every ninth path sink only asks whether a path exists (sinks of other types stay what they are), and every other ninth sink says so in its pattern, which matters to paths only."""
     k = F.col("k") % 9
-    f = findings(spark, d).withColumn("shell", F.col("k") % 5 == 0).withColumn("path_length", 2 + F.col("steps") + F.col("n_sanitizers"))
+    f = findings(spark, d).withColumn("shell", ~(F.col("k") % 5 > 0)).withColumn("path_length", 2 + F.col("steps") + F.col("n_sanitizers"))
     f = f.withColumn("sink_function", F.when((k == 0) & (F.col("vulnerability_type") == "PATH_TRAVERSAL"), "os.path.Exists").otherwise(F.col("sink_function"))).withColumn("sink_pattern", F.when(k == 4, "p.exists(").otherwise(F.col("sink_pattern")))
     return ops.cascade(f)
 
