@@ -24,7 +24,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import pick, ready, regroup, shared_dir, tasks
-from lintlake.llm.tokens import encoder, tokenizer_path
+from lintlake.llm.tokens import encoder, places, tokenizer_path
 
 BASE = 1 << 20
 SHARD_IDS = 1 << 21
@@ -43,11 +42,6 @@ _SLOTS = 18
 FORMAT = "part int, seq int, before long, n_ids long, doc_ids array<long>, doc_sizes array<long>, base int, rules binary, sizes binary, symbols binary"
 
 
-def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... for size[0] places, then those of begin[1], and so on."""
-    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-
-
 @dataclass
 class Grammar:
     """A Re-Pair grammar: symbols, and rule k as (left, right) with the size it expands to."""
@@ -78,7 +72,7 @@ class Grammar:
             for d in range(2, int(depth.max()) + 1):
                 at = np.flatnonzero((level == d) & ~plain)
                 rule = part[at] - self.base
-                out[_spread(to[at], self.sizes[rule])] = out[_spread(begin[rule], self.sizes[rule])]
+                out[places(to[at], self.sizes[rule])] = out[places(begin[rule], self.sizes[rule])]
             self._flat = out, begin
         return self._flat
 
@@ -87,15 +81,12 @@ class Grammar:
         if not len(self.rules):
             return s.astype(np.uint32)
         flat, begin = self.flat()
-        size = self._size_of(s)
-        ends = np.cumsum(size)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
         single = s < self.base
-        out[ends[single] - 1] = s[single]
-        rule = s[~single] - self.base
-        size, ends = size[~single], ends[~single]
-        out[_spread(ends - size, size)] = flat[_spread(begin[rule], size)]
-        return out
+        body = np.r_[flat, s[single].astype(np.uint32)]
+        at = np.empty(len(s), np.int64)  # where the ids of each symbol begin in body
+        at[single] = len(flat) + np.arange(len(body) - len(flat))
+        at[~single] = begin[s[~single] - self.base]
+        return body[places(at, self._size_of(s))]
 
     def slice(self, start: int, n: int, ends: np.ndarray | None = None) -> np.ndarray:
         """ids[start : start + n] without decoding the rest. ends: self.ends(), when many slices are taken."""
@@ -109,20 +100,34 @@ class Grammar:
         return np.cumsum(self._size_of(self.symbols))
 
 
+def _slots(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """A number below 2**bits for each pair; equal pairs have equal ones."""
+    return ((left.view(np.uint32) * np.uint32(2654435769) ^ right.view(np.uint32) * np.uint32(2246822519)) >> np.uint32(32 - bits)).astype(np.intp)
+
+
+def _without(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """s without the places that follow those of `at`."""
+    if len(at) < 2000:
+        cuts = (at + 1).tolist()
+        return np.concatenate([s[i:j] for i, j in zip([0, *[i + 1 for i in cuts]], [*cuts, len(s)], strict=True)])
+    stay = np.ones(len(s), bool)
+    stay[at + 1] = False
+    return s[stay]
+
+
 def re_pair(ids: np.ndarray, base: int = BASE, least: int = LEAST) -> Grammar:
     """Compresses a shard's ids (all below base) until no pair occurs `least` times."""
     if len(ids) and int(ids.max()) >= base:
         raise ValueError(f"token id {int(ids.max())} does not lie below {base}, where nonterminals begin")
     s = ids.astype(np.int32)
-    rules: dict[int, int] = {}
-    sizes = np.zeros(0, np.int64)
+    rules, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    have, number = rules, rules  # the rules in ascending order, and their nonterminals
     ask = 0
-    old = None  # once a round was made at `least`: the nonterminals there were before it, and pairs it could have replaced and did not
+    look = None  # once a round was made at `least`: the places where a pair can occur so often
     while len(s) > 1:
-        if old is None:
-            bits = _SLOTS if ask == 0 or ask > 64 else _SLOTS + 4  # rarer pairs need more slots to be told from chance
-            slot = (s[:-1].view(np.uint32) * np.uint32(2654435769) ^ s[1:].view(np.uint32) * np.uint32(2246822519)) >> np.uint32(32 - bits)
-            slot = slot.astype(np.intp)  # once, for counting and looking up
+        if look is None:
+            bits = _SLOTS if ask == 0 or ask > 64 else _SLOTS + 3  # rarer pairs need more slots to be told from chance
+            slot = _slots(s[:-1], s[1:], bits)
             per = np.bincount(slot, minlength=1 << bits)
             top = int(per.max())
             ask = max(least, (min(ask, top) or top) // 4)
@@ -130,8 +135,10 @@ def re_pair(ids: np.ndarray, base: int = BASE, least: int = LEAST) -> Grammar:
                 break
             at = np.flatnonzero((per >= ask)[slot])
         else:  # any other pair was too rare then, and no pair of old symbols has become more frequent
-            fresh = s >= old
-            at = np.flatnonzero(fresh[:-1] | fresh[1:] | missed[:-1])
+            at = look
+            if len(at) > 1 << 14:
+                slot = _slots(s[at], s[at + 1], _SLOTS + 2)
+                at = at[(np.bincount(slot, minlength=1 << _SLOTS + 2) >= ask)[slot]]
         keys = s[at].astype(np.int64) << 32 | s[at + 1]
         grouped = pa.array(keys).dictionary_encode()  # by hash, in order of first places
         pairs, which = grouped.dictionary.to_numpy(), grouped.indices.to_numpy()
@@ -142,42 +149,56 @@ def re_pair(ids: np.ndarray, base: int = BASE, least: int = LEAST) -> Grammar:
                 break
             continue
         at, which = at[use], which[use]
-        score = np.zeros(len(s) + 2, np.int32)
-        score[at + 1] = n[which]  # at place p + 1: the count of the pair that starts at p
-        begins = np.r_[True, (at[1:] != at[:-1] + 1) | (n[which[1:]] != n[which[:-1]])]  # of level stretches: every other pair of one is kept
+        n = n[which]
+        meets = at[1:] == at[:-1] + 1  # the next candidate begins where this one ends
+        left, right = np.r_[0, n[:-1] * meets], np.r_[n[1:] * meets, 0]
+        begins = np.r_[True, ~meets | (n[1:] != n[:-1])]  # of level stretches: every other pair of one is kept
         first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        keep = ((at - at[first]) % 2 == 0) & (score[at + 1] > score[at[first]]) & (score[at + 1] >= score[at + 2])
-        missed = np.zeros(len(s), bool)
-        missed[at[~keep]] = True
+        keep = ((at - at[first]) % 2 == 0) & (n > left[first]) & (n >= right)
+        missed = at[~keep]
         at, which = at[keep], which[keep]
         before = base + len(rules)
         taken = np.flatnonzero(np.bincount(which, minlength=len(pairs)))
-        for k in pairs[taken].tolist():
-            if k not in rules:
-                rules[k] = base + len(rules)
-        if len(rules) > len(sizes):
-            new = np.array(list(islice(rules, len(sizes), None)), np.int64)
+        asked = pairs[taken]
+        place = np.searchsorted(have, asked)
+        old = np.r_[have, -1][place] == asked
+        names = np.r_[number, 0][place]
+        if not old.all():
+            new = asked[~old]
+            names[~old] = before + np.arange(len(new))
+            order = np.argsort(new)
+            to = place[~old][order]
+            have, number = np.insert(have, to, new[order]), np.insert(number, to, before + order)
             known = np.r_[sizes, 1]  # the last stands for ids
             sizes = np.r_[sizes, known[np.maximum((new >> 32) - base, -1)] + known[np.maximum((new & 0xFFFFFFFF) - base, -1)]]
+            rules = np.r_[rules, new]
         symbol = np.zeros(len(pairs), np.int32)
-        symbol[taken] = [rules[k] for k in pairs[taken].tolist()]
-        s[at] = symbol[which]
-        missed[at] = False
-        stay = np.ones(len(s), bool)
-        stay[at + 1] = False
+        symbol[taken] = names
+        put = symbol[which]
+        s[at] = put
         if ask == least:
-            old = before
-            again = np.unique(s[at])
-            again = again[again < old]  # rules of earlier rounds that this one used again
-            if len(again):
-                used = np.zeros(len(rules) + 1, bool)  # the first stands for ids
-                used[again - base + 1] = True
-                used = used[np.maximum(s - (base - 1), 0)]
-                missed |= used
-                missed[:-1] |= missed[1:] & used[1:]
-        s, missed = s[stay], missed[stay]
-    pairs = np.array(list(rules), np.int64)
-    return Grammar(base, np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1) if len(pairs) else np.zeros((0, 2), np.int64), sizes, s)
+            touched = at[put >= before]
+            again = names[old]
+            if len(again):  # rules of earlier rounds that this one used again
+                used = np.zeros(before, bool)
+                used[again] = True
+                touched = np.r_[touched, np.flatnonzero(np.take(used, s, mode="clip") & (s < before))]
+            gone = at + 1
+
+            def moved(p: np.ndarray, gone: np.ndarray = gone) -> np.ndarray:
+                """Where the places that stay come to lie."""
+                k = np.searchsorted(gone, p)
+                stay = np.r_[gone, -1][k] != p
+                return (p - k)[stay]
+
+            s = _without(s, at)
+            near = np.zeros(len(s) + 1, bool)
+            touched = moved(touched)
+            near[touched] = near[touched - 1] = near[moved(missed)] = True
+            look = np.flatnonzero(near[: len(s) - 1])
+        else:
+            s = _without(s, at)
+    return Grammar(base, np.stack([rules >> 32, rules & 0xFFFFFFFF], axis=1), sizes, s)
 
 
 def _shards(path: str, end: int, shard_ids: int, least: int):

@@ -5,9 +5,10 @@ only its contractions ('s, 't, ...) join an apostrophe to letters. Its normalise
 squeezes white space. So:
 
 - texts of Latin-1 characters without apostrophes are lower-cased whole (they are composed already) and cut at white space
-  by Arrow, which also numbers the distinct words of about 4 MB of text; each of these is looked up once, and the ids of
-  all words are laid side by side in numpy. A new word is cut into those runs, and each new run encoded once per worker
-  (both in bounded memory), letter runs by the library's model directly;
+  by Arrow, which also numbers the distinct words of about 4 MB of text and trims each to the letter run it begins with and
+  what follows; each distinct run is looked up once, and the ids of all words are laid side by side in numpy. A new letter
+  run is encoded by the library's model directly and kept in the worker (in bounded memory, those of most texts longest);
+  words that begin otherwise or go on with letters are cut into runs one by one;
 - any other text is cut at ASCII spaces and line feeds, which no pattern crosses, and its distinct pieces are kept alike;
 - a text with the mark of a special token is encoded whole.
 
@@ -20,6 +21,7 @@ import os
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,16 @@ import pyarrow.compute as pc
 #: Pieces of each sort kept per worker, in two generations; longer pieces than LONG characters are encoded anew each time.
 KEPT = 400_000
 LONG = 256
+#: Letter runs of plain texts kept per worker, and how many of them stay when there are more.
+TABLE, STAY = 500_000, 0.8
 #: Characters of text whose words are numbered together (a longer text stands alone), and words laid out at a time.
 TOGETHER, LAID = 4 << 20, 1 << 18
 DEFAULT = "word_bpe_49k.json"
 #: Letters and digits of Latin-1, in lower case; runs of the first are words to the pre-tokenizer, the second stand alone.
 _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _RUNS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^\\t-\\r \x85\xa0{_LETTERS}{_DIGITS}]+").findall
+_LOWER = "".join(re.findall(f"[{_LETTERS}]", "".join(map(chr, range(256)))))
+_OTHER = re.sub(f"[{_LETTERS}]", "", "".join(map(chr, range(256))))
 _LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 # 1c to 1f part words for str.split but are no white space to the pre-tokenizer
 _MARKS = ("'", "<|", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -85,6 +91,60 @@ class _Store(dict):
             self.clear()
 
 
+def places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] places, then those of begin[1], and so on."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+class _Table:
+    """Ids of runs side by side: the run at place k has size[k] of them from begin[k] on. trim() makes room: long runs go at once, then those that few batches asked for, of equals those not asked for longest; new runs take their places."""
+
+    def __init__(self, learn):
+        self.learn, self.place, self.names = learn, {}, []
+        self.ids = np.zeros(0, "<u4")
+        self.begin, self.size, self.asked, self.last, self.free, self.long = (np.zeros(0, np.int64) for _ in range(6))
+        self.batch = 0
+
+    def find(self, runs: list[str]) -> np.ndarray:
+        """Places of distinct runs, good until trim(); missing ones are encoded."""
+        at = np.fromiter(map(self.place.get, runs, repeat(-1)), np.int64, len(runs))
+        if len(new := np.flatnonzero(at < 0)):
+            names = [runs[i] for i in new.tolist()]
+            found = list(map(self.learn, names))
+            if (more := len(new) - len(self.free)) > 0:
+                self.free = np.r_[self.free, np.arange(len(self.names), len(self.names) + more)]
+                self.names += [""] * more
+                self.begin, self.size, self.asked, self.last = (np.r_[x, np.zeros(more, np.int64)] for x in (self.begin, self.size, self.asked, self.last))
+            at[new], self.free = self.free[: len(new)], self.free[len(new) :]
+            for name, k in zip(names, at[new].tolist(), strict=True):
+                self.names[k], self.place[name] = name, k
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.begin[at[new]], self.size[at[new]], self.asked[at[new]] = len(self.ids) + np.cumsum(size) - size, size, 0
+            self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))]
+            self.long = at[new[np.fromiter(map(len, names), np.int64, len(names)) > LONG]]
+        self.batch += 1
+        self.asked[at] += 1
+        self.last[at] = self.batch
+        return at
+
+    def trim(self, most: int) -> None:
+        drop = self.long
+        if len(self.place) - len(drop) > most:
+            self.asked[drop] = 0
+            held = np.flatnonzero(self.asked)
+            drop = np.r_[drop, held[np.lexsort((self.last[held], self.asked[held]))[: len(held) - int(most * STAY)]]]
+            self.asked = (self.asked + 1) // 2
+        if not len(drop):
+            return
+        for k in drop.tolist():
+            del self.place[self.names[k]]
+            self.names[k] = ""
+        self.size[drop] = self.asked[drop] = 0
+        self.ids = self.ids[places(self.begin, self.size)]
+        self.begin = np.cumsum(self.size) - self.size
+        self.free, self.long = np.r_[self.free, drop], drop[:0]
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -97,6 +157,7 @@ class WordEncoder:
         self.letters = _byte_letters()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.store, self.runs, self.words = _Store(self._learn), _Store(self._raw), _Store(self._model)
+        self.table = _Table(self._ids)
         # runs and pieces may be reused only where the pre-tokenizer drops white space, as this kind of vocabulary does
         probe = "Ab, c.\n d-s \xc9t\xe9. Zz 42\xb2 (x)"
         self.by_piece = self._raw(probe) == b"".join(map(self._raw, re.split("[ \n]", probe))) == b"".join(map(self._learn, re.split("[ \n]", probe))) == b"".join(map(self._word, probe.lower().split()))
@@ -104,11 +165,14 @@ class WordEncoder:
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _model(self, word: str) -> bytes:
+    def _ids(self, word: str) -> list[int]:
         """Of a lower-case letter run."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([self.packed[t.id] for t in self.model.tokenize(word)])
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _model(self, word: str) -> bytes:
+        return b"".join([self.packed[i] for i in self._ids(word)])
 
     def _word(self, word: str) -> bytes:
         """Of what lies between white space in a lower-case Latin-1 text; only its runs are kept."""
@@ -129,19 +193,27 @@ class WordEncoder:
         """Of lower-case Latin-1 texts without marks."""
         words = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
         ends, words = words.offsets.to_numpy(), words.flatten().dictionary_encode()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.words.get, distinct))
-        for i, known in enumerate(found):
-            if known is None:
-                found[i] = self._word(distinct[i])
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin = np.cumsum(size) - size
-        ids, which = np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy()
+        distinct, which = words.dictionary, words.indices.to_numpy()
+        head, rest = pc.utf8_rtrim(distinct, characters=_OTHER), pc.utf8_ltrim(distinct, characters=_LOWER)
+        whole = pc.equal(pc.add(pc.binary_length(head), pc.binary_length(rest)), pc.binary_length(distinct))  # nothing lies between
+        head = pc.if_else(whole, head, "").dictionary_encode()
+        rest = pc.if_else(whole, rest, distinct).dictionary_encode()
+        at = self.table.find(head.dictionary.to_numpy(zero_copy_only=False).tolist())[head.indices.to_numpy()]
+        more = list(map(self._word, rest.dictionary.to_pylist()))
+        n, m = self.table.size[at], np.fromiter(map(len, more), np.int64, len(more)) // 4
+        begin = np.cumsum(m) - m
+        last = rest.indices.to_numpy()
+        size = n + m[last]
+        put = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), "<u4")
+        ids[places(put, n)] = self.table.ids[places(self.table.begin[at], n)]
+        ids[places(put + n, m[last])] = np.frombuffer(b"".join(more), "<u4")[places(begin[last], m[last])]
+        begin = put
         laid = []
         for i in range(0, len(which), LAID):
             w = which[i : i + LAID]
             n = size[w]
-            laid.append(ids[np.repeat(begin[w] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].tobytes())
+            laid.append(ids[places(begin[w], n)].tobytes())
         body = memoryview(b"".join(laid))
         cuts = (4 * np.r_[0, np.cumsum(size[which])][ends - ends[0]]).tolist()
         return [bytes(body[i:j]) for i, j in zip(cuts, cuts[1:])]
@@ -177,6 +249,7 @@ class WordEncoder:
     def _turn(self) -> None:
         for kept in (self.runs, self.words, self.store):
             kept.turn()
+        self.table.trim(TABLE)
 
 
 @lru_cache(maxsize=1)

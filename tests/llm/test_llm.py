@@ -306,6 +306,22 @@ def test_piecewise_encoding_with_full_stores(docs, monkeypatch):
     assert len(e.store.older) > 10
 
 
+def test_runs_are_kept_and_given_up_by_use(docs, monkeypatch):
+    monkeypatch.setattr(tokens, "TABLE", 50, raising=False)
+    e = tokens.WordEncoder(tokens.tokenizer_path())
+    asked, split = [], []
+    model, word = e.model, e._word
+    monkeypatch.setattr(e, "model", type("Model", (), {"tokenize": lambda self, w: (asked.append(w), model.tokenize(w))[1]})())
+    monkeypatch.setattr(e, "_word", lambda w: (split.append(w), word(w))[1])
+    for i in range(30):  # each batch has runs that all have, and its own
+        texts = ["often seen, often. seen$$$ often,,", " ".join(f"{w}{a}{b}," for w in (chr(97 + i % 26) * 3, "zq" + chr(97 + i // 26)) for a in "bcd" for b in "xyz"), "x" * 300 + f"{chr(97 + i % 26)}. 12ab-c d2, "]
+        assert [np.frombuffer(g, "<u4").tolist() for g in e.encode(texts)] == library_ids(texts)
+        assert len(e.table.place) <= 50
+        assert max(map(len, e.table.place)) <= tokens.LONG
+    assert asked.count("often") == asked.count("seen") == 1
+    assert not {"seen,", "often.", "seen$$$", "often,,"} & set(split)  # marks are trimmed by Arrow, not word by word
+
+
 def test_piecewise_encoding_of_random_characters():
     rng = random.Random(9)
     latin = [chr(c) for c in range(1, 256) if not 0xD8 <= c >> 8 <= 0xDF]
@@ -329,6 +345,15 @@ def test_re_pair_round_trip_and_slices(least):
     assert len(token_files.re_pair(np.tile([1, 2], 2000).astype(np.uint32), least=2).symbols) < 40
 
 
+def test_re_pair_groups_no_pairs_that_are_surely_rare(monkeypatch):
+    ids = np.random.default_rng(4).zipf(1.3, 300_000).clip(0, 40_000).astype(np.uint32)
+    grouped, array = [], token_files.pa.array
+    monkeypatch.setattr(token_files.pa, "array", lambda x, *more: (grouped.append(len(x)), array(x, *more))[1])
+    g = token_files.re_pair(ids)
+    assert (g.expand(g.symbols) == ids).all()
+    assert sum(grouped) < 0.7 * len(ids)
+
+
 def test_token_files_odd_rows(odd):
     got = rows(token_files.token_files(odd, shard_ids=64, least=2))
     order = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode()))
