@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import ann, exact_dedup, langid, license_scan, packing, pieces, pii, simhash, token_counts, token_files
+from lintlake.llm import ann, decontaminate, exact_dedup, fill_middle, langid, license_scan, packing, pieces, pii, simhash, token_counts, token_files, whitening
 from lintlake.llm.common import small_batches
 from lintlake.session import spread, table
 
@@ -53,6 +53,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_middle(documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spread(table(spark, sf_dir, "embeddings")))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
@@ -64,10 +76,15 @@ QUERIES = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_whitening": op12_whitening,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLE_SQL = {
     "op2_license_scan": license_scan.oracle(),
+    "op11_fill_middle": fill_middle.oracle(),
+    "op13_decontamination": decontaminate.oracle(),
     "op1_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]', '', 'g') AS t FROM documents),
         w AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY c DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
