@@ -1,4 +1,4 @@
-"""Control and data flow of Python files, and taint over it.
+"""Operators over program text: control and data flow of Python files, taint, summaries, constant sinks.
 
 A file is one row and is handled whole within its task, so these operators are narrow: no shuffle, and the work grows
 with the files. A file that does not parse gives one error row (or none, where the result has no place for it) instead
@@ -9,514 +9,12 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MUTATORS = {"append", "extend", "add", "update", "insert", "setdefault"}
-
-
-@dataclass
-class Node:
-    id: int
-    kind: str
-    line: int
-    scope: str
-    text: str
-    reads: set[str]
-    writes: set[str]
-    kills: bool  # whether a write replaces what the name held
-    callee: str = ""
-    arguments: list[tuple[str, set[str]]] = field(default_factory=list)
-    calls: list[tuple[str, set[str], str]] = field(default_factory=list)  # every call in it: callee, names its arguments read, their text
-
-
-@dataclass
-class Function:
-    name: str
-    line: int
-    params: list[str]
-    entry: int
-    returns: list[int] = field(default_factory=list)
-    depends: list[str] = field(default_factory=list)  # parameters that reach a return
-
-
-def names(e: ast.AST | None) -> set[str]:
-    return {n.id for n in ast.walk(e) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)} if e is not None else set()
-
-
-def dotted(e: ast.AST) -> str:
-    parts = []
-    while isinstance(e, ast.Attribute):
-        parts.append(e.attr)
-        e = e.value
-    if isinstance(e, ast.Name):
-        parts.append(e.id)
-    return ".".join(reversed(parts))
-
-
-Def = (ast.FunctionDef, ast.AsyncFunctionDef)
-
-
-def own(s: ast.AST) -> Iterator[ast.AST]:
-    """The nodes of a statement or expression but for the bodies of functions and classes inside."""
-    work = [s]
-    while work:
-        n = work.pop()
-        yield n
-        if n is s or not isinstance(n, (*Def, ast.ClassDef)):
-            work += ast.iter_child_nodes(n)
-
-
-def all_args(f: ast.AST) -> list[str]:
-    a = f.args
-    return [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, *(v for v in (a.vararg, a.kwarg) if v is not None))]
-
-
-def captures(pattern: ast.AST) -> set[str]:
-    """Names that a case pattern binds."""
-    return {x for n in ast.walk(pattern) for x in (getattr(n, "name", None), getattr(n, "rest", None)) if isinstance(x, str)}
-
-
-def targets(e: ast.AST) -> tuple[set[str], bool]:
-    """Names that an assignment target writes, and whether it replaces them (an element or attribute does not)."""
-    if isinstance(e, ast.Name):
-        return {e.id}, True
-    if isinstance(e, (ast.Tuple, ast.List)):
-        return set().union(*(targets(x)[0] for x in e.elts)) if e.elts else set(), True
-    if isinstance(e, ast.Starred):
-        return targets(e.value)
-    return names(e) | {n.id for n in ast.walk(e) if isinstance(n, ast.Name)}, False
-
-
-class Flow:
-    """Nodes, control edges, data edges and functions of a module. Code that control cannot reach gets no node."""
-
-    def __init__(self, text: str):
-        self.nodes: list[Node] = []
-        self.cfg: list[tuple[int, int, str]] = []
-        self.functions: dict[str, Function] = {}
-        self._loops: list[tuple[list[int], int]] = []
-        tree = ast.parse(text)
-        self._block(tree.body, [self._node("entry", tree, "<module>", 0)], "<module>")
-        self.next: dict[int, list[int]] = {}
-        self.prev: dict[int, list[int]] = {}
-        for a, b, _ in self.cfg:
-            self.next.setdefault(a, []).append(b)
-            self.prev.setdefault(b, []).append(a)
-        self.dfg = self._data()
-        for f in self.functions.values():
-            self._summarize(f)
-
-    def _node(self, kind: str, at: ast.AST, scope: str, line: int | None = None, reads: set[str] = frozenset(), writes: set[str] = frozenset(), kills: bool = True, call: ast.AST | None = None, text: str = "") -> int:
-        """call: the expression (or expressions) that the node computes."""
-        n = Node(len(self.nodes), kind, line if line is not None else at.lineno, scope, text, set(reads), set(writes), kills)
-        parts = call if isinstance(call, list) else [call] if call is not None else []
-        for c in (x for p in parts for x in ast.walk(p)):
-            if isinstance(c, ast.Call):
-                given = [*c.args, *(k.value for k in c.keywords)]
-                n.calls.append((dotted(c.func), set().union(*(names(a) for a in given)), ", ".join(map(ast.unparse, given))))
-            elif isinstance(c, ast.NamedExpr):  # may not come to be evaluated, so it kills nothing
-                n.kills = n.kills and not n.writes
-                n.writes.add(c.target.id)
-        if isinstance(call, ast.Call):
-            n.callee = dotted(call.func)
-            n.arguments = [("", names(a)) for a in call.args] + [(k.arg or "**", names(k.value)) for k in call.keywords]
-        self.nodes.append(n)
-        return n.id
-
-    def _link(self, preds: list[int], to: int, label: str = "next") -> list[int]:
-        self.cfg += [(p, to, label) for p in preds]
-        return [to]
-
-    def _block(self, body: list[ast.stmt], preds: list[int], scope: str) -> list[int]:
-        for s in body:
-            if not preds:
-                break
-            preds = self._statement(s, preds, scope)
-        return preds
-
-    def _statement(self, s: ast.stmt, preds: list[int], scope: str) -> list[int]:
-        text = ast.unparse(s).split("\n")[0]
-        if isinstance(s, Def):
-            f = Function(s.name, s.lineno, [a.arg for a in [*s.args.posonlyargs, *s.args.args, *s.args.kwonlyargs]], self._node("parameters", s, s.name, writes=set(all_args(s)), text=text))
-            self.functions.setdefault(s.name, f)
-            self._link(preds, f.entry, "closure")  # names from around it are read as they were where it was defined
-            before = len(self.nodes)
-            loops, self._loops = self._loops, []
-            self._block(s.body, [f.entry], s.name)
-            self._loops = loops
-            f.returns = [n.id for n in self.nodes[before:] if n.kind == "return" and n.scope == s.name]
-            return self._link(preds, self._node("function", s, scope, writes={s.name}, text=text))
-        if isinstance(s, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
-            outs = s.targets if isinstance(s, ast.Assign) else [s.target]
-            writes, kills = set(), True
-            for t in outs:
-                w, k = targets(t)
-                writes, kills = writes | w, kills and k
-            reads = names(s.value) | (writes if isinstance(s, ast.AugAssign) else set()) | set().union(*(names(t) for t in outs))
-            kind = {ast.Assign: "assign", ast.AnnAssign: "annassign", ast.AugAssign: "augassign"}[type(s)]
-            if s.value is None:  # an annotation alone writes nothing
-                writes, reads = set(), set()
-            return self._link(preds, self._node(kind, s, scope, reads=reads, writes=writes, kills=kills, call=s.value, text=text))
-        if isinstance(s, ast.Expr):
-            call = s.value
-            writes = set()
-            if isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute) and call.func.attr in MUTATORS:
-                writes = names(call.func.value)
-            return self._link(preds, self._node("call" if isinstance(call, ast.Call) else "expr", s, scope, reads=names(call), writes=writes, kills=False, call=call, text=text))
-        if isinstance(s, (ast.Return, ast.Raise)):
-            value = s.value if isinstance(s, ast.Return) else s.exc
-            self._link(preds, self._node("return" if isinstance(s, ast.Return) else "raise", s, scope, reads=names(value), call=value, text=text))
-            return []
-        if isinstance(s, (ast.Break, ast.Continue)):
-            at = self._node("break" if isinstance(s, ast.Break) else "continue", s, scope, text=text)
-            self._link(preds, at)
-            if self._loops:
-                breaks, head = self._loops[-1]
-                if isinstance(s, ast.Break):
-                    breaks.append(at)
-                else:
-                    self._link([at], head, "back")
-            return []
-        if isinstance(s, ast.If):
-            at = self._link(preds, self._node("if", s, scope, reads=names(s.test), kills=False, call=s.test, text=text))
-            return self._block(s.body, at, scope) + (self._block(s.orelse, at, scope) if s.orelse else at)
-        if isinstance(s, ast.ClassDef):
-            at = self._link(preds, self._node("class", s, scope, reads=set().union(*(names(x) for x in [*s.bases, *s.decorator_list])), writes={s.name}, text=text))
-            return self._block(s.body, at, scope)
-        if isinstance(s, (ast.While, ast.For, ast.AsyncFor)):
-            test = s.test if isinstance(s, ast.While) else s.iter
-            writes = set() if isinstance(s, ast.While) else targets(s.target)[0]
-            head = self._node("while" if isinstance(s, ast.While) else "for", s, scope, reads=names(test), writes=writes, kills=False, call=test, text=text)
-            self._link(preds, head)
-            breaks: list[int] = []
-            self._loops.append((breaks, head))
-            self._link(self._block(s.body, [head], scope), head, "back")
-            self._loops.pop()
-            endless = isinstance(s, ast.While) and isinstance(s.test, ast.Constant) and bool(s.test.value)
-            done = [] if endless else self._block(s.orelse, [head], scope) if s.orelse else [head]
-            return done + breaks
-        if isinstance(s, (ast.Try, ast.TryStar)):
-            at = self._link(preds, self._node("try", s, scope, text="try"))
-            first = len(self.nodes)
-            ok = self._block(s.body, at, scope)
-            inside = at + [n.id for n in self.nodes[first:] if n.scope == scope]
-            if s.orelse:
-                ok = self._block(s.orelse, ok, scope)
-            for h in s.handlers:
-                caught = self._link(inside, self._node("except", h, scope, reads=names(h.type), writes={h.name} if h.name else set(), text="except"))
-                ok = ok + self._block(h.body, caught, scope)
-            return self._block(s.finalbody, ok or inside, scope) if s.finalbody else ok
-        if isinstance(s, (ast.With, ast.AsyncWith)):
-            writes = set().union(*(targets(i.optional_vars)[0] for i in s.items if i.optional_vars is not None))
-            reads = set().union(*(names(i.context_expr) for i in s.items))
-            return self._block(s.body, self._link(preds, self._node("with", s, scope, reads=reads, writes=writes, call=[i.context_expr for i in s.items], text=text)), scope)
-        if isinstance(s, ast.Match):
-            at = self._link(preds, self._node("match", s, scope, reads=names(s.subject), text=text))
-            out = list(at)
-            for c in s.cases:
-                case = self._link(at, self._node("case", c.pattern, scope, reads=names(s.subject) | names(c.guard), writes=captures(c.pattern), kills=False, call=c.guard, text=f"{ast.unparse(s.subject)}: {ast.unparse(c.pattern)}"))
-                out += self._block(c.body, case, scope)
-            return out
-        bound = {(a.asname or a.name).split(".")[0] for a in s.names} if isinstance(s, (ast.Import, ast.ImportFrom)) else {n.id for n in ast.walk(s) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Del)}
-        return self._link(preds, self._node("statement", s, scope, reads=names(s), writes=bound, call=s, text=text))
-
-    def _data(self) -> list[tuple[int, int, str]]:
-        """Definition-use edges by reaching definitions."""
-        out: dict[int, frozenset] = {}
-        work = [n.id for n in self.nodes]
-        into: dict[int, frozenset] = {}
-        while work:
-            i = work.pop(0)
-            n = self.nodes[i]
-            reach = frozenset().union(*(out.get(p, frozenset()) for p in self.prev.get(i, [])))
-            new = frozenset(d for d in reach if not (n.kills and d[0] in n.writes)) | {(w, i) for w in n.writes}
-            into[i] = reach
-            if new != out.get(i):
-                out[i] = new
-                work += [x for x in self.next.get(i, []) if x not in work]
-        return [(d, n.id, v) for n in self.nodes for v, d in sorted(into.get(n.id, ())) if v in n.reads]
-
-    def _summarize(self, f: Function) -> None:
-        uses: dict[int, list[tuple[int, str]]] = {}
-        for a, b, v in self.dfg:
-            uses.setdefault(b, []).append((a, v))
-        seen, work, hit = set(f.returns), list(f.returns), set()
-        while work:
-            for a, v in uses.get(work.pop(), []):
-                if a == f.entry:
-                    hit.add(v)
-                elif a not in seen:
-                    seen.add(a)
-                    work.append(a)
-        f.depends = [p for p in f.params if p in hit]
-
-    def taints(self, n: Node, tainted: frozenset, sources: tuple[str, ...]) -> bool:
-        """Whether what the node computes is tainted."""
-        if any(s in n.text for s in sources):
-            return True
-        if n.callee in self.functions and n.kind in ("assign", "annassign", "return"):  # by the function's summary, not by what it is given
-            f = self.functions[n.callee]
-            return any(reads & tainted and ((k or (f.params[i] if i < len(f.params) else "")) in f.depends) for i, (k, reads) in enumerate(n.arguments))
-        return bool(n.reads & tainted)
-
-    def trace(self, sources: tuple[str, ...], sinks: tuple[str, ...], sanitizers: tuple[str, ...] = ()) -> list[tuple[int, int, int, bool]]:
-        """(source line, sink line, steps, sanitized) of every pair that a path-sensitive flow joins.
-
-        Whether a name is tainted after a node follows from single names before it, so a fixpoint over (node, name, source
-        line, clean) finds what a walk of every way would, in work that does not grow with the number of ways. A value is
-        clean once a sanitizer read the name that holds it. sanitized: no value gets to the sink by a way without a
-        sanitizer; steps: the writes of the shortest such way, or where all are sanitized of the shortest one.
-        """
-        found: dict[tuple[int, int], tuple[bool, int]] = {}
-        best: dict[tuple[int, str, int, bool], int] = {}
-        levels: dict[int, list[tuple[int, str, int, bool]]] = {}
-
-        def reach(i: int, name: str, origin: int, clean: bool, steps: int) -> None:
-            for x in self.next.get(i, []):
-                fact = (x, name, origin, clean)
-                if steps < best.get(fact, steps + 1):
-                    best[fact] = steps
-                    levels.setdefault(steps, []).append(fact)
-
-        for n in self.nodes:
-            if any(s in n.text for s in sources):
-                for w in n.writes:
-                    reach(n.id, w, n.line, False, 1)
-        is_sink = lambda callee: any(callee == s or s.startswith(".") and callee.endswith(s) or callee.endswith("." + s) for s in sinks)
-        # what the arguments of each node's sink calls read; a source among them is a flow of its own, without a write between
-        sink: dict[int, set[str]] = {}
-        for n in self.nodes:
-            for callee, reads, text in n.calls:
-                if is_sink(callee):
-                    sink.setdefault(n.id, set()).update(reads)
-                    if any(s in text for s in sources):
-                        found[n.line, n.line] = (any(c + "(" in text for c in sanitizers), 0)
-        steps = 1
-        while steps in levels:  # a step leads to this level or the next
-            work = levels[steps]
-            while work:
-                i, name, origin, clean = fact = work.pop()
-                if best[fact] < steps:
-                    continue
-                n = self.nodes[i]
-                if name in sink.get(i, ()):
-                    at = (origin, n.line)
-                    found[at] = min(found.get(at, (clean, steps)), (clean, steps))
-                clean = clean or name in n.reads and n.callee in sanitizers
-                if name not in n.writes or not n.kills:
-                    reach(i, name, origin, clean, steps)
-                if self.taints(n, frozenset((name,)), ()):
-                    for w in n.writes:
-                        reach(i, w, origin, clean, steps + 1)
-            steps += 1
-        return [(a, b, steps, clean) for (a, b), (clean, steps) in sorted(found.items())]
-
-    def source_functions(self, sources: tuple[str, ...]) -> list[str]:
-        """Functions whose return carries a source."""
-        uses: dict[int, list[int]] = {}
-        for a, b, _ in self.dfg:
-            uses.setdefault(b, []).append(a)
-        out = []
-        for f in self.functions.values():
-            seen, work = set(f.returns), list(f.returns)
-            while work:
-                for a in uses.get(work.pop(), []):
-                    if a not in seen:
-                        seen.add(a)
-                        work.append(a)
-            if any(s in self.nodes[i].text for i in seen for s in sources):
-                out.append(f.name)
-        return out
-
-
-class Values:
-    """Abstract values of names: ("const", v), "tainted" or "unknown", for a whole module and each of its functions.
-
-    A branch on a constant takes one side, others are joined. Whatever may run any number of times (loops), stop halfway
-    (try and with bodies) or be changed from elsewhere (global and nonlocal names, calls of globals, locals or vars) makes
-    the names it writes unknown, so a constant is one on every way.
-    """
-
-    def __init__(self, sinks: tuple[str, ...], module: ast.AST | None = None):
-        self.sinks, self.hits = sinks, {}
-        tree = module if module is not None else ast.Module([], [])
-        self.volatile = {x for n in ast.walk(tree) if isinstance(n, (ast.Global, ast.Nonlocal)) for x in n.names}
-        self.opaque = any(isinstance(n, ast.Call) and dotted(n.func) in ("globals", "locals", "vars") for n in ast.walk(tree))
-
-    def eval(self, e: ast.AST | None, env: dict):
-        if e is None:
-            return "unknown"
-        if isinstance(e, ast.Constant):
-            return "const", e.value
-        if isinstance(e, ast.Name):
-            v = env.get(e.id, "unknown")
-            return "unknown" if isinstance(v, tuple) and (self.opaque or e.id in self.volatile) else v
-        if isinstance(e, ast.BinOp):
-            return self.binary(e.op, self.eval(e.left, env), self.eval(e.right, env))
-        if isinstance(e, ast.UnaryOp) and isinstance(e.op, ast.Not):
-            v = self.eval(e.operand, env)
-            return ("const", not v[1]) if isinstance(v, tuple) else "unknown"
-        if isinstance(e, ast.Compare) and len(e.ops) == 1:
-            a, b = self.eval(e.left, env), self.eval(e.comparators[0], env)
-            if isinstance(a, tuple) and isinstance(b, tuple) and isinstance(e.ops[0], (ast.Eq, ast.NotEq)):
-                return "const", (a[1] == b[1]) == isinstance(e.ops[0], ast.Eq)
-            return "unknown"
-        if isinstance(e, ast.JoinedStr):
-            plain = all(isinstance(v, ast.Constant) or v.conversion == -1 and v.format_spec is None for v in e.values)
-            parts = [self.eval(v.value if isinstance(v, ast.FormattedValue) else v, env) for v in e.values]
-            return ("const", "".join(str(p[1]) for p in parts)) if plain and all(isinstance(p, tuple) for p in parts) else self.mixed(parts)
-        if isinstance(e, ast.IfExp):
-            t = self.eval(e.test, env)
-            return self.eval(e.body if t[1] else e.orelse, env) if isinstance(t, tuple) else self.join(self.eval(e.body, env), self.eval(e.orelse, env))
-        return self.mixed([self.eval(x, env) for x in ast.iter_child_nodes(e) if isinstance(x, ast.expr)])
-
-    @staticmethod
-    def mixed(parts: list):
-        return "tainted" if "tainted" in parts else "unknown"
-
-    def binary(self, op: ast.operator, a, b):
-        if not (isinstance(a, tuple) and isinstance(b, tuple)):
-            return self.mixed([a, b])
-        a, b = a[1], b[1]
-        try:
-            if isinstance(op, ast.Add):
-                return "const", a + b
-            if isinstance(op, ast.Sub):
-                return "const", a - b
-            if isinstance(op, ast.Mult) and not (isinstance(a, (str, bytes)) or isinstance(b, (str, bytes))):
-                return "const", a * b
-        except (TypeError, OverflowError):
-            pass
-        return "unknown"
-
-    @staticmethod
-    def join(a, b):
-        same = type(a) is type(b) and a == b and (not isinstance(a, tuple) or type(a[1]) is type(b[1]))
-        return a if same else "tainted" if "tainted" in (a, b) else "unknown"
-
-    def merge(self, ends: list[dict | None]) -> dict | None:
-        """The names after several ways; null when none falls through."""
-        out = None
-        for e in ends:
-            if e is not None:
-                out = dict(e) if out is None else {n: self.join(out.get(n, "unknown"), e.get(n, "unknown")) for n in out.keys() | e.keys()}
-        return out
-
-    @staticmethod
-    def stored(*nodes: ast.AST) -> set[str]:
-        """Names that a run of these statements may write."""
-        out = set()
-        for n in (x for s in nodes for x in own(s)):
-            if isinstance(n, ast.Name) and not isinstance(n.ctx, ast.Load):
-                out.add(n.id)
-            elif isinstance(n, (*Def, ast.ClassDef)) or isinstance(n, (ast.ExceptHandler, ast.MatchAs, ast.MatchStar)) and n.name:
-                out.add(n.name)
-            elif isinstance(n, ast.MatchMapping) and n.rest:
-                out.add(n.rest)
-            elif isinstance(n, (ast.Import, ast.ImportFrom)):
-                out |= {(a.asname or a.name).split(".")[0] for a in n.names}
-            elif isinstance(n, (ast.Subscript, ast.Attribute)) and not isinstance(n.ctx, ast.Load):
-                out |= names(n.value)
-        return out
-
-    def weak(self, env: dict, *nodes: ast.AST) -> dict:
-        """env after the nodes ran any number of times, or in part."""
-        return env | {n: "tainted" if env.get(n) == "tainted" else "unknown" for n in self.stored(*nodes)}
-
-    def look(self, e: ast.AST | None, env: dict) -> None:
-        """Records the sink calls of an expression."""
-        if e is None:
-            return
-        if isinstance(e, ast.Lambda):
-            env = env | dict.fromkeys(all_args(e), "tainted")
-        elif isinstance(e, (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)):
-            env = env | dict.fromkeys({n for g in e.generators for n in targets(g.target)[0]}, "unknown")
-        elif isinstance(e, ast.Call) and dotted(e.func) in self.sinks:
-            v = "unknown" if not e.args or isinstance(e.args[0], ast.Starred) else self.eval(e.args[0], env)
-            self.hits[e.lineno] = self.join(self.hits.get(e.lineno, v), v)
-        for c in ast.iter_child_nodes(e):
-            self.look(c, env)
-
-    def assign(self, target: ast.AST, v, env: dict, value: ast.AST | None = None) -> dict:
-        if isinstance(target, ast.Name):
-            return env | {target.id: v}
-        if isinstance(target, (ast.Tuple, ast.List)):
-            parts = value.elts if isinstance(value, (ast.Tuple, ast.List)) and len(value.elts) == len(target.elts) else None
-            if parts and not any(isinstance(x, ast.Starred) for x in [*parts, *target.elts]):
-                got = [self.eval(x, env) for x in parts]
-                for t, x, p in zip(target.elts, got, parts, strict=True):
-                    env = self.assign(t, x, env, p)
-                return env
-        return env | {n: "tainted" if v == "tainted" else "unknown" for n in targets(target)[0]}
-
-    def block(self, body: list[ast.stmt], env: dict) -> dict | None:
-        """The names after a block; null when it does not fall through."""
-        for s in body:
-            env = self.statement(s, env)
-            if env is None:
-                return None
-        return env
-
-    def statement(self, s: ast.stmt, env: dict) -> dict | None:
-        walrus = {n.target.id for n in own(s) if isinstance(n, ast.NamedExpr)}
-        env = env | {n: "tainted" if env.get(n) == "tainted" else "unknown" for n in walrus}
-        for field_name, value in ast.iter_fields(s):  # expressions of the statement itself; blocks inside come with their own names
-            if field_name not in ("body", "orelse", "finalbody", "handlers", "cases"):
-                for e in value if isinstance(value, list) else [value]:
-                    if isinstance(e, ast.AST):
-                        self.look(e, env)
-        if isinstance(s, ast.Assign):
-            v = self.eval(s.value, env)
-            for t in s.targets:
-                env = self.assign(t, v, env, s.value)
-            return env
-        if isinstance(s, ast.AnnAssign):
-            return self.assign(s.target, self.eval(s.value, env), env, s.value) if s.value is not None else env
-        if isinstance(s, ast.AugAssign):
-            return self.assign(s.target, self.binary(s.op, self.eval(s.target, env), self.eval(s.value, env)), env)
-        if isinstance(s, ast.If):
-            t = self.eval(s.test, env)
-            return self.merge([self.block(b, dict(env)) for b in ([s.body if t[1] else s.orelse] if isinstance(t, tuple) else [s.body, s.orelse])])
-        if isinstance(s, (ast.For, ast.AsyncFor, ast.While)):
-            after = self.weak(env, s)
-            t = self.eval(s.test, after) if isinstance(s, ast.While) else "unknown"
-            if not isinstance(t, tuple) or t[1]:
-                self.block(s.body, dict(after))
-            ended = self.block(s.orelse, dict(after))
-            breaks = any(isinstance(n, ast.Break) for x in s.body for n in own(x))
-            return None if isinstance(t, tuple) and t[1] and not breaks else after if breaks else ended
-        if isinstance(s, (ast.Try, ast.TryStar)):
-            halfway = self.weak(env, *s.body)
-            ends = [self.block([*s.body, *s.orelse], dict(env))]
-            for h in s.handlers:
-                ends.append(self.block(h.body, halfway | ({h.name: "unknown"} if h.name else {})))
-            end = self.merge(ends)
-            if not s.finalbody:
-                return end
-            anyhow = self.block(s.finalbody, self.weak(env, *s.body, *s.orelse, *s.handlers))
-            return None if end is None or anyhow is None else self.block(s.finalbody, end)
-        if isinstance(s, (ast.With, ast.AsyncWith)):
-            for i in s.items:
-                if i.optional_vars is not None:
-                    env = self.assign(i.optional_vars, self.eval(i.context_expr, env), env) if self.eval(i.context_expr, env) == "tainted" else self.assign(i.optional_vars, "unknown", env)
-            return self.merge([self.block(s.body, dict(env)), self.weak(env, *s.body)])  # the manager may swallow what the body raised
-        if isinstance(s, ast.Match):
-            v = "tainted" if self.eval(s.subject, env) == "tainted" else "unknown"
-            ends = [env]
-            for c in s.cases:
-                inside = env | dict.fromkeys(captures(c.pattern), v)
-                self.look(c.guard, inside)
-                ends.append(self.block(c.body, inside))
-            return self.merge([*ends, self.weak(env, *(c.pattern for c in s.cases))])
-        if isinstance(s, ast.ClassDef):
-            self.block(s.body, dict(env))
-            return env | {s.name: "unknown"}
-        if isinstance(s, (ast.Return, ast.Raise, ast.Break, ast.Continue)):
-            return None
-        return self.weak(env, s)
+from lintlake.graph.program import Def, Flow, Taint, all_args
+from lintlake.graph.values import Values
 
 
 def _per_file(fn: Callable[[str, str], list[tuple]], schema: pa.Schema):
@@ -560,21 +58,21 @@ def _safely(path: str, text: str, use: Callable[[Flow], list[tuple]]) -> list[tu
 
 def traces(files: DataFrame, sources: tuple[str, ...], sinks: tuple[str, ...], sanitizers: tuple[str, ...] = ()) -> DataFrame:
     """path, source_line, sink_line, steps, sanitized of every flow."""
-    return _map(files, lambda p, t: _safely(p, t, lambda g: [(p, *x) for x in g.trace(sources, sinks, sanitizers)]), path=S, source_line=L, sink_line=L, steps=L, sanitized=B)
+    return _map(files, lambda p, t: _safely(p, t, lambda g: [(p, *x) for x in Taint(g, sources, sinks, sanitizers).trace()]), path=S, source_line=L, sink_line=L, steps=L, sanitized=B)
 
 
 def function_index(files: DataFrame) -> DataFrame:
     """name, path, line, params, depends: by name the first definition in path order."""
     from pyspark.sql import functions as F
 
-    every = _map(files, lambda p, t: _safely(p, t, lambda g: [(f.name, p, f.line, ",".join(f.params), ",".join(f.depends)) for f in g.functions.values()]), name=S, path=S, line=L, params=S, depends=S)
+    every = _map(files, lambda p, t: _safely(p, t, lambda g: [(f.name, p, f.line, ",".join(f.params), ",".join(f.depends)) for f in g.functions]), name=S, path=S, line=L, params=S, depends=S)
     first = every.groupBy("name").agg(F.min_by(F.struct("path", "line", "params", "depends"), F.struct("path", "line")).alias("x"))
     return first.select("name", "x.*")
 
 
 def returns_source(files: DataFrame, sources: tuple[str, ...]) -> DataFrame:
     """path, name of functions whose return carries a source: synthetic sources for their callers."""
-    return _map(files, lambda p, t: _safely(p, t, lambda g: [(p, n) for n in g.source_functions(sources)]), path=S, name=S)
+    return _map(files, lambda p, t: _safely(p, t, lambda g: [(p, n) for n in Taint(g, sources).returning()]), path=S, name=S)
 
 
 def safe_values(files: DataFrame, sinks: tuple[str, ...]) -> DataFrame:

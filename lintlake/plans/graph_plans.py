@@ -183,43 +183,7 @@ def a22(spark, d):
     return e.groupBy(F.col("role").alias("kind")).agg(F.count("*").alias("n_nodes"), F.count("nxt").alias("n_edges"), F.count_if(F.col("nxt") == F.col("role")).alias("n_same"))
 
 
-# --- source code itself: the graph builder and its users, over programs written from the documents
-
-
-def programs(spark, d):
-    """A small Python file for each document, so that the code operators have rows: its shape depends on the document's id."""
-    i = F.col("doc_id")
-    head = F.concat(F.lit("import os\n\ndef pick(a, b):\n    c = a\n    return c\n\ndef run(request):\n    x = request.args\n"))
-    body = (
-        F.when(i % 6 == 0, "    os.system(x)\n").when(i % 6 == 1, "    x = 'safe'\n    os.system(x)\n").when(i % 6 == 2, "    return 1\n    os.system(x)\n")
-        .when(i % 6 == 3, "    for y in [1]:\n        continue\n        os.system(x)\n").when(i % 6 == 4, "    z = pick(x, 1)\n    os.system(z)\n").otherwise("    z = pick(1, x)\n    os.system(z)\n")
-    )
-    return spread(table(spark, d, "documents").select("doc_id")).select(F.concat(F.lit("f"), i.cast("string"), F.lit(".py")).alias("path"), F.concat(head, body, F.lit("\ndef fetch(request):\n    v = request.args\n    return v\n")).alias("content"))
-
-
-@query("g1_flow_graph")
-def g1(spark, d):
-    return flow.graph(programs(spark, d)).groupBy("kind", "label").agg(F.count("*").alias("n"))
-
-
-@query("g6_trace_paths", sql="SELECT 'f' || doc_id || '.py' AS path, 8::BIGINT AS source_line, CASE WHEN doc_id % 6 = 0 THEN 9 ELSE 10 END::BIGINT AS sink_line, CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 2 END::BIGINT AS steps, false AS sanitized FROM documents WHERE doc_id % 6 IN (0, 4)")
-def g6(spark, d):
-    return flow.traces(programs(spark, d), sources=("request.",), sinks=("os.system",))
-
-
-@query("g14_function_index", sql="SELECT name, path, line, params, depends FROM (SELECT min('f' || doc_id || '.py') AS path FROM documents), (VALUES ('pick', 3::BIGINT, 'a,b', 'a'), ('run', 7::BIGINT, 'request', ''), ('fetch', 11::BIGINT, 'request', 'request')) AS t(name, line, params, depends) WHERE path IS NOT NULL")
-def g14(spark, d):
-    return flow.function_index(programs(spark, d))
-
-
-@query("g16_returning_sources", sql="SELECT 'f' || doc_id || '.py' AS path, 'fetch' AS name FROM documents")
-def g16(spark, d):
-    return flow.returns_source(programs(spark, d), sources=("request.",))
-
-
-@query("g23_constant_filter", sql="SELECT 'f' || doc_id || '.py' AS path, CASE WHEN doc_id % 6 = 0 THEN 9 ELSE 10 END::BIGINT AS line, doc_id % 6 <> 1 AS keep FROM documents WHERE doc_id % 6 IN (0, 1, 4, 5)")
-def g23(spark, d):
-    return flow.safe_values(programs(spark, d), sinks=("os.system",))
+# --- script files
 
 
 @query("g20_script_taint", sql="SELECT 'f' || doc_id || '.js' AS path, 1::BIGINT AS source_line, 3::BIGINT AS sink_line FROM documents WHERE doc_id % 3 = 0")
@@ -228,39 +192,3 @@ def g20(spark, d):
     js = F.when(i % 3 == 0, "var q = req.query.id;\nvar s = 'x' + q;\ndb.run(s);\n").when(i % 3 == 1, "var q = escape(req.query.id);\ndb.run(q);\n").otherwise("var q = 1;\ndb.run(q);\n")
     files = table(spark, d, "documents").select(F.concat(F.lit("f"), i.cast("string"), F.lit(".js")).alias("path"), js.alias("content"))
     return flow.script_taint(files, ("req.query",), ("db.run",), ("escape(",))
-
-
-_PATH = "'f' || doc_id || '.py' AS path"
-
-
-def _per_file(spark, d, on, name):
-    return flow.graph(programs(spark, d)).groupBy("path").agg(F.count_if(on).alias(name))
-
-
-@query("g2_data_edges", sql=f"SELECT {_PATH}, CASE WHEN doc_id % 6 IN (2, 3) THEN 0 ELSE 1 END::BIGINT AS n_uses FROM documents")
-def g2(spark, d):
-    """Uses of a name by the definitions that reach them: a new definition kills the old one, unreachable code uses nothing."""
-    return _per_file(spark, d, (F.col("kind") == "dfg") & (F.col("label") == "x"), "n_uses")
-
-
-@query("g3_dead_code", sql=f"SELECT {_PATH}, CASE WHEN doc_id % 6 IN (2, 3) THEN 0 ELSE 1 END::BIGINT AS n_calls FROM documents")
-def g3(spark, d):
-    """Calls that control can reach."""
-    return _per_file(spark, d, (F.col("kind") == "node") & (F.col("label") == "call"), "n_calls")
-
-
-@query("g4_loop_edges", sql=f"SELECT {_PATH}, CASE WHEN doc_id % 6 = 3 THEN 1 ELSE 0 END::BIGINT AS n_back FROM documents")
-def g4(spark, d):
-    return _per_file(spark, d, (F.col("kind") == "cfg") & (F.col("label") == "back"), "n_back")
-
-
-@query("g7_transfer", sql="SELECT doc_id % 6 AS shape, count(*) AS n_flows FROM documents WHERE doc_id % 6 IN (0, 4) GROUP BY 1")
-def g7(spark, d):
-    """Files with a flow, by the shape of the program: overwritten, unreachable and returned-constant values carry none."""
-    t = flow.traces(programs(spark, d), sources=("request.",), sinks=("os.system",))
-    return t.groupBy((F.regexp_extract("path", r"(\d+)", 1).cast("long") % 6).alias("shape")).agg(F.count("*").alias("n_flows"))
-
-
-@query("j4_source_sink_pairs", sql="SELECT 8::BIGINT AS source_line, CASE WHEN doc_id % 6 = 0 THEN 9 ELSE 10 END::BIGINT AS sink_line, count(*) AS n FROM documents WHERE doc_id % 6 IN (0, 4) GROUP BY ALL")
-def j4(spark, d):
-    return flow.traces(programs(spark, d), sources=("request.",), sinks=("os.system",)).groupBy("source_line", "sink_line").agg(F.count("*").alias("n"))
