@@ -32,6 +32,8 @@ CELL = 4_096
 QUERIES = 256
 #: Pairs that are scored at once.
 PAIRS = 1 << 15
+#: Products of vectors and centres that are held at once.
+SCORES = 1 << 22
 
 
 def vectors(column) -> np.ndarray:
@@ -49,12 +51,21 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def near(u: np.ndarray, c: np.ndarray, most: int = 1) -> np.ndarray:
+    """Of each unit vector its `most` nearest centres, nearest first; products are made SCORES at a time."""
+    out, step = np.empty((len(u), most), np.int64), max(1, SCORES // len(c))
+    for i in range(0, len(u), step):
+        s = u[i : i + step] @ c.T
+        out[i : i + step] = s.argmax(axis=1)[:, None] if most == 1 else np.argsort(-s, axis=1, kind="stable")[:, :most]
+    return out
+
+
 def centres(u: np.ndarray, k: int, seed: int = 13) -> np.ndarray:
     """Spherical k-means on unit vectors."""
     rng = np.random.default_rng(seed)
     c = u[rng.choice(len(u), k, replace=False)].copy()
     for _ in range(ROUNDS):
-        at = (u @ c.T).argmax(axis=1)
+        at = near(u, c)[:, 0]
         total = np.zeros_like(c)
         np.add.at(total, at, u)
         norm = np.linalg.norm(total, axis=1)
@@ -70,10 +81,10 @@ def probes(u: np.ndarray, c: np.ndarray, k: int, recall: float = RECALL) -> int:
     k = min(k, len(u) - 1)
     if k < 1:
         return len(c)
-    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    home = (u @ c.T).argmax(axis=1)
+    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    home = near(u, c)[:, 0]
     rank = np.argsort(np.argsort(-(q @ c.T), axis=1), axis=1)
-    return int(np.quantile(np.take_along_axis(rank, home[near], axis=1), recall)) + 1
+    return int(np.quantile(np.take_along_axis(rank, home[best], axis=1), recall)) + 1
 
 
 def scan(q: np.ndarray, x: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,8 +151,7 @@ def _assign(sent, most: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            s = unit(vectors(b.column(1))) @ c.T
-            at = s.argmax(axis=1)[:, None] if most == 1 else np.argsort(-s, axis=1, kind="stable")[:, :most]
+            at = near(unit(vectors(b.column(1))), c, most)
             flat = pa.array(at.ravel().astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1], dtype=np.int32)), flat)
             yield pa.record_batch([b.column(0), b.column(1), lists], names=["id", "vec", "lists"])
@@ -218,7 +228,7 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     asked = written(asked, "ann-queries")
     routed = asked.select("id", "vec").mapInArrow(_assign(sent, visit), "id long, vec binary, lists array<int>").select("id", "vec", F.explode("lists").alias("list"))
     routed = routed.join(F.broadcast(sizes), "list").select(F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("c"), "list", "id", "vec").select(cell(F.col("c")).alias("cell"), F.lit(1).alias("kind"), "id", "vec")
-    both = index.unionByName(routed).repartition(tasks(spark), "cell").sortWithinPartitions("cell", "kind")
+    both = index.unionByName(routed).repartition(tasks(spark, table), "cell").sortWithinPartitions("cell", "kind")
     hits = both.mapInArrow(_search(turn, k + 1), "query long, found long, score double")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "found")
     hits = hits.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") <= k + 1).drop("_n")

@@ -49,9 +49,15 @@ def sweep(spark: SparkSession, older_than_hours: float = 24.0) -> int:
     return gone
 
 
-def tasks(spark: SparkSession) -> int:
-    """Partitions for a shuffle by an explicit key, as the session sets them."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of the input's files for a task of an explicit shuffle.
+TASK_BYTES = 256 << 20
+
+
+def tasks(spark: SparkSession, source: DataFrame | None = None) -> int:
+    """Partitions for a shuffle by an explicit key, as the session sets them, and more where the source's files are larger than that many can take."""
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if source is not None else 0
+    return max(n, min(1 << 20, size // TASK_BYTES if size < 1 << 60 else 0))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -192,6 +192,14 @@ def _bounds(owner: int, owners: int) -> tuple[int, int]:
     return -(-owner * (1 << 24) // owners) << 40, -(-(owner + 1) * (1 << 24) // owners) << 40
 
 
+def _by_part(rows: list[tuple[pa.RecordBatch, int]]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Rows (batch, place) by batch."""
+    parts: dict[int, tuple[pa.RecordBatch, list[int]]] = {}
+    for part, i in rows:
+        parts.setdefault(id(part), (part, []))[1].append(i)
+    yield from parts.values()
+
+
 def _own(owners: int, capacity: int, payload: bool):
     """Owner tasks. Rows come by ascending key (unsigned)."""
 
@@ -201,8 +209,6 @@ def _own(owners: int, capacity: int, payload: bool):
         owner = TaskContext.get().partitionId()
         low, high = _bounds(owner, owners)
         index = ExtendibleHash(capacity)
-        kept: list[pa.RecordBatch] = []
-        before = 0  # rows of batches that were let go
 
         def entries(buckets: Iterator[Bucket]) -> Iterator[tuple[Bucket, int, int, Entry]]:
             for held in buckets:
@@ -211,14 +217,9 @@ def _own(owners: int, capacity: int, payload: bool):
                         yield held, key, place, e
 
         def rows(found: list[tuple[Bucket, int, int, Entry]]) -> Iterator[pa.RecordBatch]:
-            nonlocal before
             if payload:
-                if found:
-                    at = pa.array(sorted(e.row - before for _, _, _, e in found), pa.int64())
-                    yield from pa.Table.from_batches(kept).take(at).to_batches()
-                still = min((e.row for b in index.directory[index.done : index.done + 1] if b for c in b.chains.values() for e in c), default=1 << 62)
-                while kept and before + kept[0].num_rows <= still:
-                    before += kept.pop(0).num_rows
+                for part, at in _by_part([e.row for _, _, _, e in found]):
+                    yield part.take(pa.array(at, pa.int64()))
                 return
             out = []
             for held, key, place, e in found:
@@ -230,20 +231,22 @@ def _own(owners: int, capacity: int, payload: bool):
                 types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["owner", "bucket", "depth", "key", "chain", "part", "sha", "keep_id", "keep_chars", "keep_handle", "group_size", "folds"])
 
-        at = 0
         for b in batches:
-            if payload:
-                kept.append(pa.record_batch(b.columns[7:], names=b.schema.names[7:]))
-            slot = None
-            for fold, key, body, chars, doc, n, handle in zip(*[c.to_pylist() for c in b.columns[:7]], strict=True):
+            slot, better = None, {}
+            for at, (fold, key, body, chars, doc, n, handle) in enumerate(zip(*[c.to_pylist() for c in b.columns[:7]], strict=True)):
                 slot = ((key & _WORD - 1) - low) * _WORD // (high - low)  # the owner's range drawn out to 64 bits
                 e = index.put(slot, body)
                 mine = rank(chars, doc, handle)
                 if e.best is None or mine < e.best:
-                    e.best, e.row = mine, at
+                    e.best = mine
+                    better[id(e)] = (e, at)
                 e.n += n
-                e.folds.append(fold)
-                at += 1
+                if not payload:
+                    e.folds.append(fold)
+            if payload and better:  # only the best rows stay, as copies, so a text that comes again and again holds one row
+                part = pa.record_batch(b.columns[7:], names=b.schema.names[7:]).take(pa.array([i for _, i in better.values()], pa.int64()))
+                for i, (e, _) in enumerate(better.values()):
+                    e.row = (part, i)
             if slot is not None:
                 yield from rows(list(entries(index.completed(slot))))
         yield from rows(list(entries(index.completed(None))))

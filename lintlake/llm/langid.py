@@ -24,15 +24,26 @@ from lintlake.llm.common import pick, ready, regroup
 #: Bounds of the fitting sample: labelled rows for each language, characters of each.
 ROWS, CHARS = 200, 2_000
 SLOTS = 1 << 17
-LEXICON = 2_000
 EPOCHS, RATE, RIDGE = 4, 0.05, 1e-4
 STRETCH = 16
 CHUNK = 64
-KEPT = 400_000
+#: Pieces and words kept in a worker, and their characters; longer pieces than LONG are cut anew each time.
+KEPT, KEPT_CHARS, LONG = 400_000, 32 << 20, 256
 #: Numbers in one array of pair scores; more languages are handled in smaller parts.
 PAIRS = 1 << 25
 UNKNOWN = "und"
-_WORDS = re.compile(r"[^\W\d_]+").findall
+_RUNS = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased; signs that are digits or numbers but no letters (such as ² and ½) part them."""
+    out: list[str] = []
+    for w in _RUNS(text.lower()):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
 
 
 class _Store(dict):
@@ -41,7 +52,9 @@ class _Store(dict):
         self.learn = learn
 
     def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = self.learn(piece)
+        out = self.learn(piece)
+        if len(piece) <= LONG:
+            self[piece] = out
         return out
 
 
@@ -138,7 +151,7 @@ def marginal_sums(e: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.nda
 
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     """Fits to (language, text) rows; None when they hold no word."""
-    docs = [(lang, words) for lang, text in rows if (words := _WORDS(text.lower()))]
+    docs = [(lang, words) for lang, text in rows if (words := words_of(text))]
     if not docs:
         return None
     langs = sorted({lang for lang, _ in docs})
@@ -148,7 +161,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
         counts[lang].update(words)
     lexicon: dict[str, np.ndarray] = {}
     for y, lang in enumerate(langs):
-        for w, n in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
+        for w, n in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0])):
             if n > 1:
                 lexicon.setdefault(w, np.zeros(k, bool))[y] = True
     nth = {lang: y for y, lang in enumerate(langs)}
@@ -232,20 +245,23 @@ class Labeller:
     def reset(self) -> None:
         self.store.clear()
         self.words: dict[str, int] = {}
+        self.chars = 0
         self.scores = np.zeros((0, len(self.model.langs)), np.float32)
         self.parts: list[np.ndarray] = []
 
     def _learn(self, piece: str) -> bytes:
         out = b""
-        for w in _WORDS(piece.lower()):
-            if w.isalpha():
-                out += self.words.setdefault(w, len(self.words)).to_bytes(4, "little")
+        for w in words_of(piece):
+            if w not in self.words:
+                self.words[w] = len(self.words)
+                self.chars += len(w)
+            out += self.words[w].to_bytes(4, "little")
         return out
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of marginals, and words, of each text."""
         k = len(self.model.langs)
-        if len(self.store) > KEPT or len(self.words) > KEPT * 64 // max(k, 64):
+        if len(self.store) > KEPT or self.chars > KEPT_CHARS or len(self.words) > KEPT * 64 // max(k, 64):
             self.reset()
         get = self.store.__getitem__
         ids = [np.frombuffer(b"".join(map(get, t.replace("\n", " ").split(" "))), "<i4") for t in texts]

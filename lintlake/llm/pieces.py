@@ -307,7 +307,11 @@ class PieceEncoder:
             store.update(zip(new[at:end], encode_segments(model, new[at:end]), strict=True))
             at = end
         get = store.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        out = [b"".join(map(get, c)) for c in cut]
+        for w in new:  # whole texts without blanks are not kept
+            if len(w) > LONG:
+                del store[w]
+        return out
 
 
 @lru_cache(maxsize=1)

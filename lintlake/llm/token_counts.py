@@ -27,7 +27,8 @@ from lintlake.llm.common import pick, ready, regroup
 from lintlake.llm.tokens import tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
-KEPT = 500_000
+#: Atoms kept in a worker; longer ones than LONG characters are encoded anew each time.
+KEPT, LONG = 500_000, 256
 _ATOMS = re.compile("[ \n]*[^ \n]+|[ \n]+").findall
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
 SPECIAL = "<|"
@@ -40,7 +41,9 @@ class _Store(dict):
         self.learn = learn
 
     def __missing__(self, atom: str) -> bytes:
-        out = self[atom] = self.learn(atom)
+        out = self.learn(atom)
+        if len(atom) <= LONG:
+            self[atom] = out
         return out
 
 
@@ -53,7 +56,7 @@ class OffsetEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.store = _Store(self._learn)
-        self.by_atom = all(np.array_equal(_place(np.frombuffer(b"".join(map(self._learn, _ATOMS(t))), "<i4").reshape(-1, 2)), self.whole(t)) for t in PROBES)
+        self.by_atom = all(np.array_equal(_place([*map(self._learn, _ATOMS(t))]), self.whole(t)) for t in PROBES)
 
     def whole(self, text: str) -> np.ndarray:
         """(tokens, 2) starts and ends; the tokens of one character share its span."""
@@ -69,22 +72,17 @@ class OffsetEncoder:
         if len(self.store) > KEPT:
             for w in [w for w, _ in zip(self.store, range(KEPT // 2), strict=False)]:
                 del self.store[w]
-        got = np.frombuffer(b"".join(map(self.store.__getitem__, _ATOMS(text))), "<i4").reshape(-1, 2)
-        return _place(got)
-
-
-def _place(got: np.ndarray) -> np.ndarray:
-    """Atoms one after the other, each headed by (its length, its tokens), to spans in the text."""
-    heads = []
-    at, n = 0, len(got)
-    counts = got[:, 1].tolist()
-    while at < n:
-        heads.append(at)
-        at += counts[at] + 1
-    heads = np.array(heads, np.int64)
+        return _place([*map(self.store.__getitem__, _ATOMS(text))])
+
+
+def _place(atoms: list[bytes]) -> np.ndarray:
+    """Atoms, each (its length, its tokens) and its tokens' spans, to spans in the text that they make."""
+    got = np.frombuffer(b"".join(atoms), "<i4").reshape(-1, 2)
+    sizes = np.fromiter(map(len, atoms), np.int64, len(atoms)) // 8
+    heads = np.cumsum(sizes) - sizes
     lengths, tokens = got[heads, 0].astype(np.int64), got[heads, 1].astype(np.int64)
     begin = np.repeat(np.cumsum(lengths) - lengths, tokens)
-    mask = np.ones(n, bool)
+    mask = np.ones(len(got), bool)
     mask[heads] = False
     return got[mask].astype(np.int64) + begin[:, None]
 
