@@ -9,7 +9,6 @@ an empty table, or does to each row what it would do to it alone, but where rows
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,8 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from lintlake.llm import exact_dedup, langid, packing, pii, simhash
 from lintlake.llm.common import ready, small_batches, written
 
-_LETTER = re.compile(r"[^\W\d_]").search
-
 
 def sure(languages: int) -> float:
     """Mean marginal below which no language is taken as certain: a fifteenth of the way from a uniform guess to certainty, so only texts that speak for no language at all fall below. One language is always certain."""
@@ -38,7 +35,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, pred, score in predict(batches, at_text):
             if model is None:
-                yield b.filter(pa.array([_LETTER(t or "") is not None for t in b.column(at_text).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([bool(langid.words_of(t or "")) for t in b.column(at_text).to_pylist()], pa.bool_()))
                 continue
             keep = pa.array([p != langid.UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_())
             cols = [pa.array(pred, pa.string()) if i == at_lang else b.column(i) for i in range(len(names))]
