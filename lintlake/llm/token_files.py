@@ -232,9 +232,10 @@ def _shards(path: str, end: int, shard_ids: int, least: int):
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS, least: int = LEAST) -> None:
-    """Encodes docs and writes them to the folder in the format above, in ascending id order (null ids first; rows with one id by a hash of their text, then as they lie). Rows of one id are dealt to several tasks too."""
+    """Encodes docs and writes them to the folder in the format above, in ascending id order (null ids first; rows of one id by the first characters of their text, by a hash of it, and as they lie, so that several tasks can share them)."""
     spark = ready(docs.sparkSession)
-    order = (F.col(f"`{id_col}`").asc_nulls_first(), F.xxhash64(f"`{text_col}`").asc(), F.col("_row").asc())
+    text = F.col(f"`{text_col}`")
+    order = (F.col(f"`{id_col}`").asc_nulls_first(), F.substring(text, 1, 64).asc_nulls_first(), F.xxhash64(text).asc(), F.col("_row").asc())
     rows = pick(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
     ranged = pick(rows.repartitionByRange(tasks(spark, docs), *order).sortWithinPartitions(*order), id_col, text_col)
     shards = ranged.mapInArrow(_shards(tokenizer or tokenizer_path(), end_id, shard_ids, least), FORMAT)
