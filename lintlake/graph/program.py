@@ -455,15 +455,14 @@ def matches(callee: str, wanted: Iterable[str]) -> str | None:
     return next((s for s in wanted if callee == s or s.startswith(".") and callee.endswith(s) or callee.endswith("." + s)), None)
 
 
-@dataclass(frozen=True)
-class Call:
-    """A sink call, or an argument of a call that leaves the file."""
-
-    node: int
-    line: int
-    callee: str
-    values: tuple[ast.AST, ...]
-    place: str = ""  # of the argument: its position, its keyword, or * for all
+def places(call: ast.Call) -> Iterator[tuple[ast.AST, str]]:
+    """Arguments with their places: a position, a keyword, or * where it may be any."""
+    loose = False
+    for i, a in enumerate(call.args):
+        loose = loose or isinstance(a, ast.Starred)
+        yield a, "*" if loose else str(i)
+    for k in call.keywords:
+        yield k.value, k.arg or "*"
 
 
 class Taint:
@@ -479,6 +478,7 @@ class Taint:
         self.sanitizers = dict(sanitizers) if isinstance(sanitizers, dict) else dict.fromkeys(sanitizers, 1)
         self.through: list[dict[str, set[int]]] = [{} for _ in flow.functions]  # of each function: parameters that reach its result, and the bits they are cleaned by
         self._callee: dict[int, tuple] = {}
+        self._cache: dict[int, tuple] = {}
         self.callers: dict[str, list[int]] = {}
         self.calls: dict[int, list[ast.Call]] = {}
         for n in flow.nodes:
@@ -486,6 +486,8 @@ class Taint:
                 self.calls.setdefault(n.id, []).append(c)
                 for f in self.callee(c)[1][0]:
                     self.callers.setdefault(f"{f.id}()", []).append(n.id)
+                if not self.callee(c)[1][0] and dotted(c.func):
+                    self.callers.setdefault(f"={dotted(c.func)}", []).append(n.id)
         self._summaries()
 
     def callee(self, c: ast.Call) -> tuple:
@@ -535,6 +537,8 @@ class Taint:
                             for more in set().union(*(self.through[f.id].get(p, ()) for p in params)):
                                 yield from self.parts(a, clean | more, hot)
                     return
+            elif dotted(e.func):
+                yield f"={dotted(e.func)}", clean
         for x in ast.iter_child_nodes(e):
             if isinstance(x, (ast.expr, ast.keyword, ast.comprehension)):
                 yield from self.parts(x, clean, hot)
@@ -558,14 +562,13 @@ class Taint:
                     for a, into in f.bound(call, bare):
                         params += [(w, c, (f, p)) for w, c in set(self.parts(a, 0, hot)) for p in into]
             result = list(set(self.parts(n.looks[0], 0, hot))) if n.kind == "return" and n.looks else []
-            got = self._cache[n.id] = (writes, sinks, params, result)
+            args = [(w, c, (call, place)) for call in self.calls.get(n.id, ()) if not self.callee(call)[0] for a, place in places(call) for w, c in set(self.parts(a, 0, hot))]
+            got = self._cache[n.id] = (writes, sinks, params, result, args)
         return got
 
-    _cache: dict[int, tuple]
-
-    def _run(self, start: list[tuple], inside: int | None = None) -> Iterator[tuple]:
-        """Facts that follow from the start's: (node, name, origin, clean, steps), name being 'return' for results and 'sink' for sinks; the fewest steps first. inside: only that function, calls taken by their summaries."""
-        self._cache = {} if inside is not None or not hasattr(self, "_cache") else self._cache
+    def _run(self, start: list[tuple], inside: int | None = None, ports: bool = False) -> Iterator[tuple]:
+        """Facts that follow from the start's: (node, name, origin, clean, steps), name being 'return' for results and 'sink' for sinks; the fewest steps first. inside: only that function, calls taken by their summaries. ports: values end at calls (name: the call and the argument's place), sinks (the call) and results."""
+        self._cache = {} if inside is not None else self._cache
         flow, size = self.flow, len(self.flow.nodes)
         best: dict[tuple, int] = {}
         work: deque[tuple[tuple, int]] = deque()
@@ -590,26 +593,29 @@ class Taint:
                 n = flow.nodes[i]
                 if inside is not None and n.function != inside:
                     continue
-                writes, sinks, params, result = self._made(n)
+                writes, sinks, params, result, args = self._made(n)
                 for m in n.moves:
                     if m.keeps and name in m.writes:
                         put((i, name, origin, clean, ctx), steps, True)
                 for what, more, x in writes:
                     if what == name:
                         put((i, x, origin, clean | more, ctx), steps + 1, False)
-                for what, more, _ in sinks:
+                for what, more, call in sinks:
                     if what == name:
-                        yield i, "sink", origin, clean | more, steps
+                        yield i, call if ports else "sink", origin, clean | more, steps
+                for what, more, port in args if ports else ():
+                    if what == name:
+                        yield i, port, origin, clean | more, steps
                 for what, more in result:
                     if what == name:
-                        if inside is not None:
+                        if inside is not None or ports:
                             yield i, "return", origin, clean | more, steps
                         elif n.function != ctx:
                             put((-1, f"{n.function}()", origin, clean | more, ctx), steps, True)
                             if (n.function, origin, clean | more) not in told:
                                 told.add((n.function, origin, clean | more))
                                 yield i, "return", origin, clean | more, steps
-                if inside is None:
+                if inside is None and not ports:
                     for what, more, (f, p) in params:
                         if what == name:
                             put((f.entry, p, origin, clean | more, f.id), steps + 1, False)
@@ -619,7 +625,7 @@ class Taint:
         start, direct, given = [], [], []
         for n in self.flow.nodes:
             if self._hot(n):
-                writes, sinks, params, result = self._made(n)
+                writes, sinks, params, result, _ = self._made(n)
                 start += [(n.id, x, n.line, c, -2) for what, c, x in writes if what is None]
                 start += [(f.entry, p, n.line, c, f.id) for what, c, (f, p) in params if what is None]
                 direct += [(n, c) for what, c, _ in sinks if what is None]
@@ -651,3 +657,56 @@ class Taint:
         start += [(-1, f"{n.function}()", n.line, c, -2) for n, c in given]
         hit |= {self.flow.nodes[i].function for i, name, *_ in self._run(start) if name == "return"}
         return [f.name for f in self.flow.functions if f.id in hit]
+
+    def ports(self) -> list[tuple[str, str, int, str, int, str, str, str, int]]:
+        """What reaches what within the functions: (function, start, its line, start's name, end's line, end, end's name, place, clean).
+
+        start: param, source, or result (of a call: its name); end: sink (which of the sinks), argument (the call's name and
+        the argument's place) or return. Calls are not followed: their functions may be in other files. The module's own
+        statements are the function <module>. Of several ways the cleaning of each is given.
+        """
+        self._cache = {}
+        flow = self.flow
+        label = lambda f: "<module>" if f < 0 else flow.functions[f].name
+        start: list[tuple] = []
+        out: dict[tuple, None] = {}
+
+        def end(i: int, name, origin: tuple, clean: int) -> None:
+            n = flow.nodes[i]
+            if name == "return":
+                if n.function >= 0 and origin[0] != -2:
+                    out[(*origin[1:], n.line, "return", label(n.function), "", clean)] = None
+                return
+            call, place = name if isinstance(name, tuple) else (name, "")
+            sink = None if isinstance(name, tuple) else next(m for x in sorted(flow.full(dotted(call.func))) if (m := matches(x, self.sinks)))
+            out[(*origin[1:], call.lineno, "sink" if sink else "argument", sink or dotted(call.func), place, clean)] = None
+
+        for f in flow.functions:
+            start += [(f.entry, p, (f.id, f.name, "param", f.line, p), 0, f.id) for p in (*f.params, *(x for x in (f.star, f.stars) if x))]
+        for n in flow.nodes:
+            if self._hot(n):
+                origin = (n.function, label(n.function), "source", n.line, "")
+                writes, sinks, _, result, args = self._made(n)
+                start += [(n.id, x, origin, c, -2) for what, c, x in writes if what is None]
+                for what, c, port in [*sinks, *args]:
+                    if what is None:
+                        end(n.id, port, origin, c)
+                for what, c in result:
+                    if what is None:
+                        end(n.id, "return", origin, c)
+        for name, at in self.callers.items():
+            callee = flow.functions[int(name[:-2])].name if name.endswith("()") else name[1:]
+            for i in dict.fromkeys(at):
+                n = flow.nodes[i]
+                origin = (n.function, label(n.function), "result", n.line, callee)
+                writes, sinks, _, result, args = self._made(n)
+                start += [(i, x, origin, c, -2) for what, c, x in writes if what == name]
+                for what, c, port in [*sinks, *args]:
+                    if what == name:
+                        end(i, port, origin, c)
+                for what, c in result:
+                    if what == name:
+                        end(i, "return", origin, c)
+        for i, name, origin, clean, _ in self._run(start, ports=True):
+            end(i, name, origin, clean)
+        return [(f, kind, line, name, at, what, whom, place, clean) for f, kind, line, name, at, what, whom, place, clean in out]

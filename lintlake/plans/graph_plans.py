@@ -35,7 +35,7 @@ def g10(spark, d):
     return ops.closure(start, ops.reverse(_edges(spark, d)), 12)
 
 
-@query("g17_cross_file_taint", sql=f"WITH RECURSIVE {_EDGES}, {_levels(5, 'SELECT o_orderkey AS node FROM orders WHERE o_orderpriority LIKE \'1-%\'')} SELECT node, min(level) AS level, CASE WHEN node % 4 = 0 THEN 'SUPPRESSED' ELSE 'CONFIRMED' END AS status FROM r GROUP BY node")
+@query("g17_reach_of_orders", sql=f"WITH RECURSIVE {_EDGES}, {_levels(5, 'SELECT o_orderkey AS node FROM orders WHERE o_orderpriority LIKE \'1-%\'')} SELECT node, min(level) AS level, CASE WHEN node % 4 = 0 THEN 'SUPPRESSED' ELSE 'CONFIRMED' END AS status FROM r GROUP BY node")
 def g17(spark, d):
     """What tainted functions (urgent orders) reach along calls in at most five hops; a sanitizer there (every fourth) suppresses."""
     start = table(spark, d, "orders").filter("o_orderpriority LIKE '1-%'").select(F.col("o_orderkey").alias("node"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lintlake.graph import flow
+from lintlake.graph import crossfile, flow
 from lintlake.plans.base import query
 from lintlake.session import spread, table
 
@@ -27,24 +27,25 @@ HEAD, RUN_SINK = TOP.count("\n"), 5
 SOURCES, SINKS, CLEAN = ("request.",), ("os.system",), ("escape",)
 
 
-def statement(line: Column) -> Column:
-    """The program line that a text line spells."""
+def statement(line: Column, statements: tuple[str, ...] = STATEMENTS, doc: Column | None = None) -> Column:
+    """The program line that a text line spells. {t} is a document near by."""
     words = F.split(line, " ", -1)
     n, first, count = F.length(line), F.length(words[0]), F.size(words)
     # returns are rare, so that most of a document is live
-    k = (n + count * 3 + first) % len(STATEMENTS)
-    k = F.when((k == RETURN) & (n % 4 > 0), F.lit(RETURN + 1)).otherwise(k)
-    out = F.element_at(F.array(*[F.lit("    " + s) for s in STATEMENTS]), k + 1)
+    last = statements.index("return v{b}")
+    k = (n + count * 3 + first) % len(statements)
+    k = F.when((k == last) & (n % 4 > 0), F.lit(last + 1)).otherwise(k)
+    out = F.element_at(F.array(*[F.lit("    " + s) for s in statements]), k + 1)
     for name, v in (("{a}", n % 5), ("{b}", first % 5), ("{c}", count % 5)):
         out = F.replace(out, F.lit("v" + name), F.concat(F.lit("v"), v.cast("string")))
-    return out
+    return out if doc is None else F.replace(out, F.lit("{t}"), F.greatest(doc - 3 + n % 7, F.lit(0)).cast("string"))
 
 
 def programs(spark, d):
     """path, content: a Python file for each document."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     i = F.col("doc_id").cast("string")
-    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), statement), "\n")
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: statement(x)), "\n")
     return docs.select(F.concat(F.lit("f"), i, F.lit(".py")).alias("path"), F.concat(F.replace(F.lit(TOP), F.lit("{i}"), i), body, F.lit("\n")).alias("content"))
 
 
@@ -158,3 +159,89 @@ def _constants() -> str:
 @query("g23_constant_filter", sql=_WITH + _constants())
 def g23(spark, d):
     return flow.safe_values(programs(spark, d), sinks=SINKS)
+
+
+# --- across files: a module for each document, whose lines call the modules of documents near by
+
+CALLS = (
+    "v{a} = request.args.get('k')", "v{a} = request.args.get('k')", "v{a} = v{b}", "v{a} = v{b}", "v{a} = shlex.quote(v{b})", "v{a} = int(v{b})", "os.system(v{b})", "os.system(v{b})", "cursor.execute(v{b})", "v{a} = 'x'",
+    "from m{t} import f{t}; v{a} = f{t}(v{b}, v{c})", "from m{t} import f{t}; v{a} = f{t}(v{b}, v{c})", "from m{t} import f{t}; v{a} = f{t}(v{b}, v{c})", "from m{t} import f{t}; f{t}(q=v{b})", "if v{b}: v{a} = v{c}", "return v{b}", "pass",
+)
+MODULE = "def f{i}(p, q):\n    v0 = p\n    v1 = q\n    v2 = v3 = v4 = ''\n"
+MODULE_HEAD = MODULE.count("\n")
+
+
+def modules(spark, d):
+    """path, content: a Python module for each document."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).filter("doc_id IS NOT NULL")
+    i = F.col("doc_id").cast("string")
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: statement(x, CALLS, F.col("doc_id"))), "\n")
+    return docs.select(F.concat(F.lit("m"), i, F.lit(".py")).alias("path"), F.concat(F.replace(F.lit(MODULE), F.lit("{i}"), i), body, F.lit("\n")).alias("content"))
+
+
+#: Ports of each module's function, from the lines: start (p: parameter 0 or 1, s: source line, c: line of a call to t), end (s: sink, a: argument to t's parameter, r: result).
+_PORTS = f"""lines AS (SELECT doc_id, CAST(i AS BIGINT) AS i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents WHERE doc_id IS NOT NULL)),
+    raw AS (SELECT doc_id, i, length(line) AS n, length(string_split(line, ' ')[1]) AS f, len(string_split(line, ' ')) AS w FROM lines),
+    every AS (SELECT doc_id, i, CASE WHEN (n + w * 3 + f) % {len(CALLS)} = 15 AND n % 4 > 0 THEN 16 ELSE (n + w * 3 + f) % {len(CALLS)} END AS k, n % 5 AS a, f % 5 AS b, w % 5 AS c, greatest(doc_id - 3 + n % 7, 0) AS t FROM raw),
+    ends AS (SELECT doc_id, min(i) AS last FROM every WHERE k = 15 GROUP BY doc_id),
+    s AS (SELECT every.* FROM every LEFT JOIN ends ON every.doc_id = ends.doc_id WHERE last IS NULL OR i <= last),
+    defs AS (SELECT doc_id, i, a AS v, k <> 14 AS kills FROM s WHERE k NOT IN (6, 7, 8, 13, 15, 16) UNION ALL SELECT doc_id, 0, x, true FROM (SELECT DISTINCT doc_id FROM s), (VALUES (0), (1), (2), (3), (4)) AS t(x)),
+    moves AS (SELECT doc_id, i, b AS v, a AS dst, CASE k WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS clean, NULL AS e, NULL AS t, NULL AS place FROM s WHERE k IN (2, 3, 4, 5, 10, 11, 12) UNION ALL SELECT doc_id, i, c, a, 0, NULL, NULL, NULL FROM s WHERE k IN (10, 11, 12, 14)
+        UNION ALL SELECT doc_id, i, b, NULL, 0, CASE WHEN k = 8 THEN 'execute' ELSE 'os.system' END, NULL, NULL FROM s WHERE k IN (6, 7, 8) UNION ALL SELECT doc_id, i, b, NULL, 0, 'r', NULL, NULL FROM s WHERE k = 15
+        UNION ALL SELECT doc_id, i, b, NULL, 0, 'a', t, CASE WHEN k = 13 THEN 1 ELSE 0 END FROM s WHERE k IN (10, 11, 12, 13) UNION ALL SELECT doc_id, i, c, NULL, 0, 'a', t, 1 FROM s WHERE k IN (10, 11, 12)),
+    since AS (SELECT m.doc_id, m.i, m.v, m.dst, m.clean, m.e, m.t, m.place, max(d.i) AS first FROM moves m JOIN defs d ON d.doc_id = m.doc_id AND d.v = m.v AND d.i < m.i AND d.kills GROUP BY ALL),
+    edge AS (SELECT m.doc_id, d.i AS src, m.v, m.i, m.dst, m.clean, m.e, m.t, m.place FROM since m JOIN defs d ON d.doc_id = m.doc_id AND d.v = m.v AND d.i < m.i AND d.i >= m.first),
+    fact AS (SELECT doc_id, 0::BIGINT AS i, x AS v, 'p' AS kind, x::BIGINT AS origin, -1::BIGINT AS called, 0 AS clean FROM (SELECT DISTINCT doc_id FROM s), (VALUES (0), (1)) AS t(x) UNION ALL SELECT doc_id, i, a, CASE WHEN k < 2 THEN 's' ELSE 'c' END, i, CASE WHEN k < 2 THEN -1 ELSE t END, 0 FROM s WHERE k IN (0, 1, 10, 11, 12)
+        UNION SELECT edge.doc_id, edge.i, edge.dst, fact.kind, fact.origin, fact.called, fact.clean | edge.clean FROM fact JOIN edge ON edge.doc_id = fact.doc_id AND edge.src = fact.i AND edge.v = fact.v WHERE edge.dst IS NOT NULL),
+    port AS (SELECT DISTINCT edge.doc_id, fact.kind, fact.origin, fact.called, edge.e, edge.i, edge.t, edge.place, fact.clean | edge.clean AS clean FROM fact JOIN edge ON edge.doc_id = fact.doc_id AND edge.src = fact.i AND edge.v = fact.v WHERE edge.dst IS NULL)"""
+_CROSS = f"""WITH RECURSIVE {_PORTS},
+    summary AS (SELECT doc_id, origin AS param, doc_id AS sunk, i AS line, e, clean, 0 AS hops FROM port WHERE kind = 'p' AND e IN ('os.system', 'execute')
+        UNION SELECT port.doc_id, port.origin, summary.sunk, summary.line, summary.e, port.clean | summary.clean, hops + 1 FROM summary JOIN port ON port.t = summary.doc_id AND port.place = summary.param WHERE port.kind = 'p' AND port.e = 'a' AND hops < {{depth}}),
+    gives AS (SELECT doc_id, doc_id AS sunk, origin AS line, clean, 0 AS hops FROM port WHERE kind = 's' AND e = 'r' UNION SELECT port.doc_id, gives.sunk, gives.line, port.clean | gives.clean, hops + 1 FROM gives JOIN port ON port.called = gives.doc_id WHERE port.kind = 'c' AND port.e = 'r' AND hops < {{depth}}),
+    begun AS (SELECT doc_id, e, i, t, place, clean, doc_id AS source, origin AS line, 0 AS hops FROM port WHERE kind = 's' UNION ALL SELECT port.doc_id, port.e, port.i, port.t, port.place, port.clean | gives.clean, gives.sunk, gives.line, 1 FROM port JOIN gives ON port.called = gives.doc_id WHERE port.kind = 'c'),
+    found AS (SELECT source, line, doc_id AS sunk, i, e, clean, hops FROM begun WHERE e IN ('os.system', 'execute') UNION ALL SELECT source, begun.line, summary.sunk, summary.line, summary.e, begun.clean | summary.clean, begun.hops + 1 + summary.hops FROM begun JOIN summary ON summary.doc_id = begun.t AND summary.param = begun.place WHERE begun.e = 'a'),
+    best AS (SELECT source, line, sunk, i, e, min(CASE WHEN e = 'os.system' THEN clean & 1 ELSE 0 END * 100 + hops) AS x FROM found GROUP BY ALL)"""
+
+
+@query("g17_cross_file_taint", sql=_CROSS.format(depth=5) + f" SELECT 'm' || source || '.py' AS source_path, line + {MODULE_HEAD} AS source_line, 'm' || sunk || '.py' AS sink_path, i + {MODULE_HEAD} AS sink_line, CASE e WHEN 'execute' THEN 'SQL_INJECTION' ELSE 'COMMAND_INJECTION' END AS vulnerability_type, CASE WHEN x >= 100 THEN 'SUPPRESSED' ELSE 'CONFIRMED' END AS triage_status, CAST(x % 100 AS INTEGER) AS hops FROM best")
+def g17(spark, d):
+    """Sources of one module that reach sinks of others through the calls between them, to a depth of five."""
+    return crossfile.cross_file(modules(spark, d)).select("source_path", "source_line", "sink_path", "sink_line", "vulnerability_type", "triage_status", "hops")
+
+
+_CALL = "calls AS (SELECT DISTINCT doc_id, i, t FROM s WHERE k IN (10, 11, 12, 13))"
+
+
+@query("j7_import_calls", sql=f"WITH RECURSIVE {_PORTS}, {_CALL} SELECT DISTINCT 'm' || c.doc_id || '.py' AS path, 'f' || t AS callee, 'm' || t || '.py' AS to_path FROM calls c JOIN (SELECT DISTINCT doc_id FROM s) x ON x.doc_id = t")
+def j7c(spark, d):
+    """Call sites with the files that their imports name, where there is such a function."""
+    m = modules(spark, d)
+    return crossfile.resolve(crossfile.call_names(m), crossfile.functions(m)).select("path", "callee", "to_path").distinct()
+
+
+@query("j8_bound_arguments", sql=f"WITH RECURSIVE {_PORTS} SELECT DISTINCT 'm' || port.doc_id || '.py' AS path, 'f' || t AS callee, CASE WHEN place = 0 THEN 'p' ELSE 'q' END AS param FROM port JOIN (SELECT DISTINCT doc_id FROM s) x ON x.doc_id = t WHERE e = 'a'")
+def j8c(spark, d):
+    """Parameters that arguments go to, by position or keyword, of arguments that a parameter, a source or a result reaches."""
+    m = modules(spark, d)
+    bit, cleaning = crossfile.bits(crossfile.SINKS, crossfile.SANITIZERS)
+    known = crossfile.functions(m)
+    places = crossfile.ports(m, crossfile.SOURCES, crossfile.SINKS, cleaning).filter("end = 'argument'").select("path", F.col("end_name").alias("callee"), "place")
+    return crossfile.bind(crossfile.resolve(crossfile.call_names(m), known), places, known).select("path", "callee", "param").distinct()
+
+
+@query("j17_call_graph", sql=f"WITH RECURSIVE {_PORTS}, {_CALL} SELECT 'm' || c.doc_id || '.py' AS caller_path, 'f' || c.doc_id AS caller, 'm' || t || '.py' AS callee_path, 'f' || t AS callee, count(*) AS n_calls, min(i) + {MODULE_HEAD} AS first_line FROM calls c JOIN (SELECT DISTINCT doc_id FROM s) x ON x.doc_id = t GROUP BY c.doc_id, t")
+def j17c(spark, d):
+    """Who calls whom, and where first."""
+    m = modules(spark, d)
+    calls = crossfile.call_names(m)
+    return crossfile.callees(calls, crossfile.resolve(calls, crossfile.functions(m)))
+
+
+@query("g15_returned_sources", sql=_CROSS.format(depth=5) + f" SELECT DISTINCT 'm' || doc_id || '.py' AS path, 'f' || doc_id AS function, 'm' || sunk || '.py' AS origin_path, line + {MODULE_HEAD} AS origin_line FROM gives")
+def g15r(spark, d):
+    """Functions whose result carries a source, their own or that of a function they call, also through cycles of calls."""
+    m = modules(spark, d)
+    _, cleaning = crossfile.bits(crossfile.SINKS, crossfile.SANITIZERS)
+    edges = crossfile.ports(m, crossfile.SOURCES, crossfile.SINKS, cleaning)
+    found = crossfile.returned(edges, crossfile.resolve(crossfile.call_names(m), crossfile.functions(m)))
+    return found.select("path", "function", "origin_path", "origin_line").distinct()
