@@ -13,8 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lintlake.graph.program import Def, Flow, Taint, all_args
-from lintlake.graph.values import Values
+from lintlake.graph.program import Def, Flow, Taint, all_args  # noqa: F401
+from lintlake.graph.values import Values, interpreted  # noqa: F401
 
 
 def _per_file(fn: Callable[[str, str], list[tuple]], schema: pa.Schema):
@@ -80,12 +80,9 @@ def safe_values(files: DataFrame, sinks: tuple[str, ...]) -> DataFrame:
 
     def fn(path: str, text: str) -> list[tuple]:
         try:
-            tree = ast.parse(text)
+            v = interpreted(ast.parse(text), sinks)
         except (SyntaxError, ValueError, RecursionError):
             return []
-        v = Values(sinks, tree)
-        for f in [tree, *(n for n in ast.walk(tree) if isinstance(n, Def))]:
-            v.block(f.body, dict.fromkeys(all_args(f), "tainted") if isinstance(f, Def) else {})
         return [(path, line, not isinstance(x, tuple)) for line, x in sorted(v.hits.items())]
 
     return _map(files, fn, path=S, line=L, keep=B)

@@ -42,6 +42,7 @@ class Node:
     moves: list[Move] = field(default_factory=list)
     looks: list[ast.AST] = field(default_factory=list)  # expressions that are evaluated
     reads: set[str] = field(default_factory=set)
+    end: int = 0  # last line of its statement
 
     @property
     def writes(self) -> set[str]:
@@ -155,12 +156,19 @@ def imported(tree: ast.AST) -> dict[str, set[str]]:
 
 
 class Flow:
-    """Nodes, control edges, data edges and functions of a module. Code that control cannot reach gets no node."""
+    """Nodes, control edges, data edges and functions of a module. Code that control cannot reach gets no node.
 
-    def __init__(self, text: str):
+    tests: outcomes of tests that are known, by line and column; the other side of such a branch cannot be reached.
+    branches: for each node that branches the numbers of the nodes of its body (first, after) and of what stands for else.
+    """
+
+    def __init__(self, text: str, tests: dict[tuple[int, int], bool] | None = None):
+        self.tests = tests or {}
+        self.branches: dict[int, tuple[int, int, int]] = {}
         self.nodes: list[Node] = []
         self.cfg: list[tuple[int, int, str]] = []
         self.functions: list[Function] = []
+        self.exits: dict[int, list[int]] = {}  # of each function (-1: the module) the nodes after which it ends
         self._loops: list[tuple[list[int], int]] = []
         self._function = -1
         self._in_class = False
@@ -170,7 +178,8 @@ class Flow:
         self.by_name: dict[str, list[Function]] = {}
         for f in self.functions:
             self.by_name.setdefault(f.name, []).append(f)
-        self._closures(ends)
+        self.exits[-1] = ends
+        self._closures()
         self.next: dict[int, list[int]] = {}
         self.prev: dict[int, list[int]] = {}
         for a, b in dict.fromkeys((a, b) for a, b, _ in self.cfg):
@@ -184,7 +193,7 @@ class Flow:
     # --- control
 
     def _node(self, kind: str, at: ast.AST, scope: str, line: int | None = None, moves: Iterable[Move] = (), looks: Iterable[ast.AST | None] = (), text: str = "") -> int:
-        n = Node(len(self.nodes), kind, line if line is not None else at.lineno, scope, text, self._function, list(moves), [e for e in looks if e is not None])
+        n = Node(len(self.nodes), kind, line if line is not None else at.lineno, scope, text, self._function, list(moves), [e for e in looks if e is not None], end=getattr(at, "end_lineno", None) or 0)
         for e in n.looks:
             for c in ast.walk(e):
                 if isinstance(c, ast.NamedExpr):  # may not come to be evaluated
@@ -221,7 +230,7 @@ class Flow:
         f.returns = [i for i in mine if self.nodes[i].kind == "return"]
         f.end = len(self.nodes)
         f.shared = {x for n in own(s) if isinstance(n, (ast.Global, ast.Nonlocal)) for x in n.names}
-        self._exits = getattr(self, "_exits", {}) | {f.id: [*ends, *f.returns]}
+        self.exits[f.id] = [*ends, *f.returns]
         self._function = outer
         return self._link(preds, self._node("function", s, scope, moves=[Move({s.name}, [])], looks=[*a.defaults, *a.kw_defaults, *s.decorator_list], text=text))
 
@@ -264,7 +273,13 @@ class Flow:
             return []
         if isinstance(s, ast.If):
             at = self._link(preds, self._node("if", s, scope, looks=[s.test], text=text))
-            return self._block(s.body, at, scope) + (self._block(s.orelse, at, scope) if s.orelse else at)
+            known, first = self.tests.get((s.test.lineno, s.test.col_offset)), len(self.nodes)
+            out = self._block(s.body, at, scope) if known is not False else []
+            middle = len(self.nodes)
+            if known is not True:
+                out = out + (self._block(s.orelse, at, scope) if s.orelse else at)
+            self.branches[at[0]] = (first, middle, len(self.nodes))
+            return out
         if isinstance(s, ast.ClassDef):
             at = self._link(preds, self._node("class", s, scope, moves=[Move({s.name}, [])], looks=[*s.bases, *s.decorator_list], text=text))
             held, self._in_class = self._in_class, True
@@ -278,7 +293,10 @@ class Flow:
             self._link(preds, head)
             breaks: list[int] = []
             self._loops.append((breaks, head))
-            self._link(self._block(s.body, [head], scope), head, "back")
+            first = len(self.nodes)
+            if not (loop and self.tests.get((s.test.lineno, s.test.col_offset)) is False):
+                self._link(self._block(s.body, [head], scope), head, "back")
+            self.branches[head] = (first, len(self.nodes), len(self.nodes))
             self._loops.pop()
             endless = loop and isinstance(s.test, ast.Constant) and bool(s.test.value)
             done = [] if endless else self._block(s.orelse, [head], scope) if s.orelse else [head]
@@ -292,8 +310,10 @@ class Flow:
             at = self._link(preds, self._node("match", s, scope, looks=[s.subject], text=text))
             out = list(at)
             for c in s.cases:
+                first = len(self.nodes) + 1
                 case = self._link(at, self._node("case", c.pattern, scope, moves=[Move(captures(c.pattern), [s.subject], True)], looks=[c.guard], text=f"{ast.unparse(s.subject)}: {ast.unparse(c.pattern)}"))
                 out += self._block(c.body, case, scope)
+                self.branches[case[0]] = (first, len(self.nodes), len(self.nodes))
             return out
         if isinstance(s, (ast.Import, ast.ImportFrom)):
             return self._link(preds, self._node("statement", s, scope, moves=[Move({(a.asname or a.name).split(".")[0] for a in s.names}, [])], text=text))
@@ -321,9 +341,8 @@ class Flow:
         ends = self._block(s.finalbody, ok + left, scope)
         return ends if ok else []
 
-    def _closures(self, ends: list[int]) -> None:
+    def _closures(self) -> None:
         """A function reads names from around it also as they are where it is called there, and at the end of what is around it."""
-        exits = getattr(self, "_exits", {}) | {-1: ends}
         preds: dict[int, list[int]] = {}
         for a, b, _ in self.cfg:
             preds.setdefault(b, []).append(a)
@@ -335,7 +354,7 @@ class Flow:
                         called.setdefault((n.function, c.func.id), []).append(n.id)
         for f in self.functions:
             before = [p for i in called.get((f.scope, f.name), []) for p in preds.get(i, [])]
-            self._link(list(dict.fromkeys([*before, *exits.get(f.scope, [])])), f.entry, "closure")
+            self._link(list(dict.fromkeys([*before, *self.exits.get(f.scope, [])])), f.entry, "closure")
 
     # --- data
 
@@ -479,6 +498,7 @@ class Taint:
         self.through: list[dict[str, set[int]]] = [{} for _ in flow.functions]  # of each function: parameters that reach its result, and the bits they are cleaned by
         self._callee: dict[int, tuple] = {}
         self._cache: dict[int, tuple] = {}
+        self.visited: dict[object, set[int]] | None = None  # of each origin the nodes that its facts are at, where asked for
         self.callers: dict[str, list[int]] = {}
         self.calls: dict[int, list[ast.Call]] = {}
         for n in flow.nodes:
@@ -539,7 +559,8 @@ class Taint:
                     return
             elif dotted(e.func):
                 yield f"={dotted(e.func)}", clean
-        for x in ast.iter_child_nodes(e):
+        known = self.flow.tests.get((e.test.lineno, e.test.col_offset)) if isinstance(e, ast.IfExp) else None
+        for x in ast.iter_child_nodes(e) if known is None else [e.body if known else e.orelse]:
             if isinstance(x, (ast.expr, ast.keyword, ast.comprehension)):
                 yield from self.parts(x, clean, hot)
 
@@ -576,6 +597,8 @@ class Taint:
         def put(fact: tuple, steps: int, near: bool) -> None:
             if steps < best.get(fact, steps + 1):
                 best[fact] = steps
+                if self.visited is not None:
+                    self.visited.setdefault(fact[2], set()).add(fact[0])
                 (work.appendleft if near else work.append)((fact, steps))
 
         for fact in start:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lintlake.graph import crossfile, flow
+from lintlake.graph import context, crossfile, flow
 from lintlake.plans.base import query
 from lintlake.session import spread, table
 
@@ -38,6 +38,7 @@ def statement(line: Column, statements: tuple[str, ...] = STATEMENTS, doc: Colum
     out = F.element_at(F.array(*[F.lit("    " + s) for s in statements]), k + 1)
     for name, v in (("{a}", n % 5), ("{b}", first % 5), ("{c}", count % 5)):
         out = F.replace(out, F.lit("v" + name), F.concat(F.lit("v"), v.cast("string")))
+    out = F.replace(out, F.lit("{n}"), n.cast("string"))
     return out if doc is None else F.replace(out, F.lit("{t}"), F.greatest(doc - 3 + n % 7, F.lit(0)).cast("string"))
 
 
@@ -245,3 +246,84 @@ def g15r(spark, d):
     edges = crossfile.ports(m, crossfile.SOURCES, crossfile.SINKS, cleaning)
     found = crossfile.returned(edges, crossfile.resolve(crossfile.call_names(m), crossfile.functions(m)))
     return found.select("path", "function", "origin_path", "origin_line").distinct()
+
+
+# --- guards, constants and dead branches: functions whose lines leave early, enclose sinks, or test numbers of their own
+
+GUARDS = (
+    "v{a} = request.args", "v{a} = request.args", "v{a} = v{b}", "v{a} = v{b}", "v{a} = 'x'", "v{a} = escape(v{b})", "os.system(v{b})", "os.system(v{b})", "if bad(v{b}): return v{c}", "if ok(v{b}): os.system(v{c})", "v{a} += v{b}",
+    "if {n} > 60: v{a} = v{c}", "if {n} > 60: v{a} = v{c}", "return v{b}", "pass",
+)
+GUARDED = "def main{i}(request, q):\n    v0 = v1 = v2 = q\n    v3 = v4 = ''\n"
+GUARD_HEAD = GUARDED.count("\n")
+
+
+def guarded(spark, d):
+    """path, content: a function with guards for each document."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    i = F.col("doc_id").cast("string")
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: statement(x, GUARDS)), "\n")
+    return docs.select(F.concat(F.lit("f"), i, F.lit(".py")).alias("path"), F.concat(F.replace(F.lit(GUARDED), F.lit("{i}"), i), body, F.lit("\n")).alias("content"))
+
+
+_G = f"""lines AS (SELECT doc_id, CAST(i AS BIGINT) AS i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+    raw AS (SELECT doc_id, i, length(line) AS n, length(string_split(line, ' ')[1]) AS f, len(string_split(line, ' ')) AS w FROM lines),
+    every AS (SELECT doc_id, i, n, CASE WHEN (n + w * 3 + f) % {len(GUARDS)} = 13 AND n % 4 > 0 THEN 14 ELSE (n + w * 3 + f) % {len(GUARDS)} END AS k, n % 5 AS a, f % 5 AS b, w % 5 AS c FROM raw),
+    ends AS (SELECT doc_id, min(i) AS last FROM every WHERE k = 13 GROUP BY doc_id),
+    s AS (SELECT every.* FROM every LEFT JOIN ends ON every.doc_id = ends.doc_id WHERE last IS NULL OR i <= last),
+    sinks AS (SELECT doc_id, i, CASE k WHEN 9 THEN c ELSE b END AS v FROM s WHERE k IN (6, 7, 9)),
+    guards AS (SELECT x.doc_id, x.i, g.i AS j, 'false' AS side, false AS enclosing, CASE WHEN g.b = x.v THEN 'v' || x.v ELSE '' END AS checked FROM sinks x JOIN s g ON g.doc_id = x.doc_id AND g.i < x.i AND g.k = 8
+        UNION ALL SELECT doc_id, i, i, 'true', true, CASE WHEN b = c THEN 'v' || c ELSE '' END FROM s WHERE k = 9)"""
+
+
+def _flow_sql(name: str, pruned: bool) -> str:
+    """Flows (doc_id, line, sink line, whether one is not cleaned); pruned: with tests of numbers decided."""
+    live = "(k NOT IN (11, 12) OR n > 60)" if pruned else "true"
+    kills = "true" if pruned else "k NOT IN (11, 12)"
+    return f"""d_{name} AS (SELECT doc_id, i, a AS v, {kills} AS kills FROM s WHERE k IN (0, 1, 2, 3, 4, 5, 10, 11, 12) AND {live}),
+    m_{name} AS (SELECT doc_id, i, b AS v, a AS dst, CASE k WHEN 5 THEN 1 ELSE 0 END AS clean FROM s WHERE k IN (2, 3, 5, 10) UNION ALL SELECT doc_id, i, a, a, 0 FROM s WHERE k = 10 UNION ALL SELECT doc_id, i, c, a, 0 FROM s WHERE k IN (11, 12) AND {live} UNION ALL SELECT doc_id, i, v, NULL, 0 FROM sinks),
+    n_{name} AS (SELECT m.doc_id, m.i, m.v, m.dst, m.clean, coalesce(max(d.i), 0) AS first FROM m_{name} m LEFT JOIN d_{name} d ON d.doc_id = m.doc_id AND d.v = m.v AND d.i < m.i AND d.kills GROUP BY ALL),
+    e_{name} AS (SELECT m.doc_id, d.i AS src, m.v, m.i, m.dst, m.clean FROM n_{name} m JOIN d_{name} d ON d.doc_id = m.doc_id AND d.v = m.v AND d.i < m.i AND d.i >= m.first),
+    t_{name} AS (SELECT doc_id, i, a AS v, i AS origin, 0 AS clean FROM s WHERE k < 2 UNION SELECT e.doc_id, e.i, e.dst, t.origin, greatest(t.clean, e.clean) FROM t_{name} t JOIN e_{name} e ON e.doc_id = t.doc_id AND e.src = t.i AND e.v = t.v WHERE e.dst IS NOT NULL),
+    {name} AS (SELECT e.doc_id, t.origin AS line, e.i AS sink, min(greatest(t.clean, e.clean)) AS clean FROM t_{name} t JOIN e_{name} e ON e.doc_id = t.doc_id AND e.src = t.i AND e.v = t.v WHERE e.dst IS NULL GROUP BY ALL)"""
+
+
+@query("g13_control_context", sql=f"WITH {_G} SELECT {_PATH}, i + {GUARD_HEAD} AS sink_line, j + {GUARD_HEAD} AS guard_line, side, enclosing, checked FROM guards")
+def g13x(spark, d):
+    """Branches that each sink depends on: those that enclose it, and those that left early."""
+    return context.control_context(guarded(spark, d), SINKS).select("path", "sink_line", "guard_line", "side", "enclosing", "checked")
+
+
+#: Sinks that something other than a literal reaches: its definitions backward, through copies; line 0 gives the first three variables the parameter.
+_CONST = """reads AS (SELECT doc_id, i, v, -1 AS dst FROM sinks UNION ALL SELECT doc_id, i, v, dst FROM m_flows WHERE dst IS NOT NULL),
+    first AS (SELECT r.doc_id, r.i, r.v, coalesce(max(d.i), 0) AS first FROM (SELECT DISTINCT doc_id, i, v FROM reads) r LEFT JOIN d_flows d ON d.doc_id = r.doc_id AND d.v = r.v AND d.i < r.i AND d.kills GROUP BY ALL),
+    defs AS (SELECT doc_id, i, v FROM d_flows UNION ALL SELECT doc_id, 0, x FROM (SELECT DISTINCT doc_id FROM s), (VALUES (0), (1), (2), (3), (4)) AS t(x)),
+    reach AS (SELECT f.doc_id, f.i, f.v, d.i AS at FROM first f JOIN defs d ON d.doc_id = f.doc_id AND d.v = f.v AND d.i < f.i AND d.i >= f.first),
+    back AS (SELECT doc_id, i AS sink, i, v FROM sinks UNION SELECT back.doc_id, back.sink, reads.i, reads.v FROM back JOIN reach ON reach.doc_id = back.doc_id AND reach.i = back.i AND reach.v = back.v JOIN reads ON reads.doc_id = reach.doc_id AND reads.i = reach.at AND reads.dst = back.v),
+    bad AS (SELECT DISTINCT back.doc_id, back.sink FROM back JOIN reach ON reach.doc_id = back.doc_id AND reach.i = back.i AND reach.v = back.v LEFT JOIN s ON s.doc_id = reach.doc_id AND s.i = reach.at WHERE reach.at = 0 AND back.v < 3 OR s.k IN (0, 1, 5))"""
+
+
+@query("t10_validator", sql=f"""WITH RECURSIVE {_G}, {_flow_sql("flows", False)}, {_CONST},
+    f AS (SELECT doc_id, sink, bool_and(clean = 1) AS clean FROM flows GROUP BY ALL), g AS (SELECT doc_id, i, bool_or(NOT enclosing AND checked <> '') AS early FROM guards GROUP BY ALL),
+    v AS (SELECT x.doc_id, x.i, f.doc_id IS NOT NULL AS flows, coalesce(f.clean, false) AS clean, bad.doc_id IS NULL AS bound, g.doc_id IS NOT NULL AS guarded, coalesce(g.early, false) AS early FROM sinks x LEFT JOIN f ON f.doc_id = x.doc_id AND f.sink = x.i LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i LEFT JOIN bad ON bad.doc_id = x.doc_id AND bad.sink = x.i)
+    SELECT {_PATH}, i + {GUARD_HEAD} AS line, flows AS dataflow_confirmed, flows AND NOT bound AS sink_reachable, clean AS sanitizer_confirmed, bound AS constant_bound, guarded, early AS guarded_by_early_return, bound OR clean OR early AS proved_safe FROM v""")
+def t10(spark, d):
+    """What the programs' own branches, constants and sanitizers prove about their sinks."""
+    return context.validate(guarded(spark, d), SOURCES, SINKS, CLEAN)
+
+
+@query("t4_branch_proofs", sql=f"WITH RECURSIVE {_G}, {_flow_sql('flows', False)}, {_flow_sql('decided', True)} SELECT DISTINCT 'f' || a.doc_id || '.py' AS path, a.line + {GUARD_HEAD} AS source_line, a.sink + {GUARD_HEAD} AS sink_line FROM flows a LEFT JOIN decided b ON b.doc_id = a.doc_id AND b.line = a.line AND b.sink = a.sink WHERE b.doc_id IS NULL")
+def t4b(spark, d):
+    """Flows that only a side that is never taken makes."""
+    return context.branch_proofs(guarded(spark, d), SOURCES, SINKS, CLEAN).select("path", "source_line", "sink_line").distinct()
+
+
+@query("g13_literal_sinks", sql=f"WITH RECURSIVE {_G}, {_flow_sql('flows', False)}, {_CONST} SELECT 'f' || x.doc_id || '.py' AS path, x.i + {GUARD_HEAD} AS line, bad.doc_id IS NULL AS constant_bound FROM sinks x LEFT JOIN bad ON bad.doc_id = x.doc_id AND bad.sink = x.i")
+def g13l(spark, d):
+    """Sinks that only literals reach, by all definitions and copies."""
+    return context.sink_facts(guarded(spark, d), SOURCES, SINKS, CLEAN).select("path", "line", "constant_bound")
+
+
+@query("g13_resolve_symbol", sql=f"SELECT 'f' || doc_id AS name, 1::BIGINT AS n_definitions, false AS ambiguous, 'm' || doc_id || '.py:1' AS places FROM documents WHERE doc_id IS NOT NULL")
+def g13r(spark, d):
+    return context.symbols(crossfile.functions(modules(spark, d)))

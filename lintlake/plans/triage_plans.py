@@ -149,12 +149,6 @@ def t9g(spark, d):
     return findings(spark, d).select("finding_id", F.exists(cites, lambda c: F.col("file_path").endswith(c) | c.endswith(F.col("file_path"))).alias("grounded"))
 
 
-@query("t10_validator", findings_sql="SELECT file_path, bool_or(k % 5 = 0 OR sanitized OR k % 7 = 0) AS proved_safe, bool_and(k % 5 = 0) AS constant_only FROM f GROUP BY file_path")
-def t10(spark, d):
-    k = F.col("k")
-    return findings(spark, d).groupBy("file_path").agg(F.bool_or((k % 5 == 0) | F.col("sanitized") | (k % 7 == 0)).alias("proved_safe"), F.bool_and(k % 5 == 0).alias("constant_only"))
-
-
 @query("t11_next_node", findings_sql="SELECT finding_id, CASE WHEN k % 9 = 0 OR k % 4 >= 2 OR k % 15 >= 12 OR NOT (k % 2 = 0 OR k % 3 = 0) OR steps <= n_sanitizers THEN 'judge' ELSE 'reinvestigate' END AS next_node FROM f")
 def t11(spark, d):
     k = F.col("k")

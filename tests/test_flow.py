@@ -178,6 +178,15 @@ VALUES = [
     ("setattr", "c = 'a'\nsetattr(sys.modules[__name__], 'c', q)\nos.system(c)", {4: True}),
     ("grown beyond bounds", "c = 'a'\n" + "c += c\n" * 60 + "os.system(c)", {63: True}),
     ("number grown beyond bounds", "c = 9\n" + "c = c * c\n" * 60 + "os.system(c)", {63: True}),
+    ("comparison", "c = q\nif 3 * 4 > 10:\n    c = 'a'\nos.system(c)", {5: False}),
+    ("chained comparison", "c = q\nif 1 < 2 <= 2:\n    c = 'a'\nos.system(c)", {5: False}),
+    ("comparison of kinds", "c = 'a'\nif 1 < 'x':\n    c = q\nos.system(c)", {5: True}),
+    ("or decides", "c = 'a'\nif q or 1:\n    c = 'b'\nos.system(c)", {5: True}),
+    ("and of constants", "c = 'a'\nif 1 and 0:\n    c = q\nos.system(c)", {5: False}),
+    ("remainder, negation", "c = 'a'\nif -7 % 4 != 1 or not 1:\n    c = q\nos.system(c)", {5: False}),
+    ("division by zero", "c = 'a'\nif 1 // 0:\n    c = q\nos.system(c)", {5: True}),
+    ("member", "c = 'a'\nif 'x' in 'abc':\n    c = q\nos.system(c)", {5: False}),
+    ("text times number", "c = 'a' * 9\nos.system(c)", {3: True}),
     ("class body", "class A:\n    os.system('a')\n    def m(self, c):\n        os.system(c)", {3: False, 5: True}),
 ]
 
