@@ -452,6 +452,9 @@ class Flow:
                             seen.add(x)
         return sorted(set(out), key=lambda e: (e[1], e[2], e[0]))
 
+    def trace(self, sources: Iterable[str], sinks: Iterable[str], sanitizers: dict[str, int] | Iterable[str] = ()) -> list[tuple[int, int, int, bool]]:
+        return Taint(self, sources, sinks, sanitizers).trace()
+
     # --- names
 
     def full(self, callee: str) -> set[str]:

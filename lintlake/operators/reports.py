@@ -86,10 +86,13 @@ def queue_filter(found: DataFrame, status: str = "all", severity: str = "all", l
 
 
 def path_selected(path: Column, selected: str) -> Column:
-    """Equal, below it, or with its last segment as a segment; slashes of either kind."""
-    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+|/+$", "")
-    want = selected.replace("\\", "/").strip("/")
-    return (p == want) | p.startswith(want + "/") | F.array_contains(F.split(p, "/"), want.rsplit("/", 1)[-1])
+    """Equal, below it, or below a folder named as its last segment (or that name alone), as a report may give paths from the root that was scanned; slashes of either kind. An empty path or selection selects nothing."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    want = selected.replace("\\", "/").rstrip("/")
+    last = want.rsplit("/", 1)[-1]
+    if not last:
+        return F.lit(False)
+    return (p != "") & ((p == want) | p.startswith(want + "/") | (p == last) | p.startswith(last + "/") | p.contains(f"/{last}/"))
 
 
 def keep_newest(runs: DataFrame, group: str, order: str, keep: int) -> DataFrame:

@@ -181,12 +181,35 @@ def wildcard_cards(found: DataFrame, cards: DataFrame) -> DataFrame:
     return found.join(small(cards), ok("language", "card_language") & ok("vulnerability_type", "card_type"))
 
 
+# Words for a status.
+STATUS_WORDS = {
+    "confirmed": "confirmed", "true-positive": "confirmed", "tp": "confirmed", "likely": "likely", "needs-review": "needs-review", "needsreview": "needs-review", "review": "needs-review",
+    "suppressed": "suppressed", "false-positive": "suppressed", "fp": "suppressed",
+}
+
+
 def parse_decision(reply: Column) -> Column:
-    """A model's reply as struct(status, confidence, failed): JSON, also fenced or inside prose; status aliases; anything else fails open."""
-    body = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
-    status = F.lower(F.get_json_object(body, "$.status"))
-    verdict, conf = F.get_json_object(body, "$.is_vulnerable"), F.get_json_object(body, "$.confidence").try_cast("double")
-    known = F.when(status.isin("confirmed", "tp", "true-positive"), "confirmed").when(status.isin("suppressed", "fp", "false-positive"), "suppressed").when(status.isin("likely", "needs-review"), status)
-    other = F.when(verdict == "true", F.when(conf >= 0.85, "confirmed").otherwise("likely")).when(verdict == "false", "suppressed")
-    got = F.coalesce(known, other)
-    return F.struct(got.alias("status"), conf.alias("confidence"), got.isNull().alias("failed"))
+    """A model's reply as struct(status, confidence, failed): a JSON object, also fenced or inside prose.
+
+    Blanks and underscores in a status count as hyphens. Without a known status is_vulnerable decides: text is true if it
+    is 1, true, yes or y, other values as they are true or not. Confidence is clamped to 0..1, and 0.5 where it is no
+    number. What is neither has failed, and has no status and no confidence.
+    """
+    fenced = F.regexp_extract(reply, r"(?is)```json\s*(.*?)\s*```", 1)
+    plain = F.when(F.trim(reply).startswith("```"), F.regexp_extract(F.trim(reply), r"(?s)```\s*(.*?)\s*```", 1)).otherwise(F.trim(reply))
+    text = F.when(fenced != "", fenced).otherwise(plain)
+    body = F.try_parse_json(F.when(text.startswith("{"), text).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1)))
+    return F.transform(F.array(body), _decided)[0]
+
+
+def _decided(body: Column) -> Column:
+    get = lambda path, kind: F.try_variant_get(body, path, kind)
+    status = F.regexp_replace(F.lower(F.trim(get("$.status", "string"))), "[_ ]", "-")
+    known = F.element_at(F.create_map(*[F.lit(x) for pair in STATUS_WORDS.items() for x in pair]), status)
+    number = get("$.confidence", "double")
+    conf = F.when(number.isNull() | F.isnan(number), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+    kind = F.schema_of_variant(get("$.is_vulnerable", "variant"))
+    said = get("$.is_vulnerable", "string")
+    true = F.when(kind == "STRING", F.lower(F.trim(said)).isin("1", "true", "yes", "y")).when(kind == "BOOLEAN", said == "true").when(kind == "VOID", F.lit(False)).when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~said.isin("[]", "{}")).otherwise(get("$.is_vulnerable", "double") != 0)
+    got = F.coalesce(known, F.when(true, F.when(conf >= 0.85, "confirmed").otherwise("likely")).when(~true, "suppressed"))
+    return F.struct(got.alias("status"), F.when(got.isNotNull(), conf).alias("confidence"), got.isNull().alias("failed"))

@@ -170,7 +170,7 @@ def p7(spark, d):
     return ops.queue_filter(f, status="likely", language="en", path="src", needle="CURSOR", muted=False).select("finding_id")
 
 
-@query("p8_selected_path", findings_sql="SELECT file_path, count(*) AS n FROM f WHERE file_path = 'app/src0' OR starts_with(file_path, 'app/src0/') OR list_contains(string_split(file_path, '/'), 'src0') GROUP BY 1")
+@query("p8_selected_path", findings_sql="SELECT file_path, count(*) AS n FROM f WHERE file_path IN ('app/src0', 'src0') OR starts_with(file_path, 'app/src0/') OR starts_with(file_path, 'src0/') OR contains(file_path, '/src0/') GROUP BY 1")
 def p8(spark, d):
     return findings(spark, d).filter(ops.path_selected(F.col("file_path"), "app\\src0/")).groupBy("file_path").agg(F.count("*").alias("n"))
 

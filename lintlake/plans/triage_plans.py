@@ -94,10 +94,18 @@ def t6(spark, d):
     return findings(spark, d).select("finding_id", F.array_join(ops.risk_signals(F.col("vulnerability_type"), ctx), ",").alias("signals"))
 
 
-@query("t7_parse_decisions", findings_sql="SELECT finding_id, CASE k % 6 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'suppressed' WHEN 2 THEN 'likely' WHEN 3 THEN 'suppressed' ELSE NULL END AS status, CASE k % 6 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.2::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE NULL END AS confidence, k % 6 >= 4 AS failed FROM f")
+#: Replies of every kind, put together from a finding's number: words for a status, verdicts, confidences, and prose around.
+_WORDS = ("TP", "False Positive", "needs_review", " Review ", "LIKELY", "confirmed", "suppressed", "odd", "", "true_positive", "fp", "NeedsReview")
+_VERDICTS = ("true", "false", '"Yes"', '"no"', "1", "0", "null", '"y"', "2.5")
+_CONFIDENCES = ("90", "-1", '"0.9"', '"high"', "0.25")
+_STATUS_SQL = "CASE k % 12 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'suppressed' WHEN 2 THEN 'needs-review' WHEN 3 THEN 'needs-review' WHEN 4 THEN 'likely' WHEN 5 THEN 'confirmed' WHEN 6 THEN 'suppressed' WHEN 9 THEN 'confirmed' WHEN 10 THEN 'suppressed' WHEN 11 THEN 'needs-review' END"
+
+
+@query("t7_parse_decisions", findings_sql=f"SELECT finding_id, CASE WHEN k % 11 > 0 THEN coalesce(word, CASE WHEN k % 9 IN (0, 2, 4, 7, 8) THEN CASE WHEN conf >= 0.85 THEN 'confirmed' ELSE 'likely' END ELSE 'suppressed' END) END AS status, CASE WHEN k % 11 > 0 THEN conf END AS confidence, k % 11 = 0 AS failed FROM (SELECT finding_id, k, {_STATUS_SQL} AS word, CASE k % 5 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN 0.9::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS conf FROM f)")
 def t7(spark, d):
-    replies = ('```json\n{"status": "TP", "confidence": 0.9}\n```', 'I think {"status": "false-positive", "confidence": "0.2"} fits', '{"is_vulnerable": true, "confidence": 0.5}', '{"is_vulnerable": false}', "no json at all", '{"status": "odd"')
-    reply = F.element_at(F.array(*[F.lit(t) for t in replies]), (F.col("k") % 6 + 1).cast("int"))
+    at = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("k") % len(xs) + 1).cast("int"))
+    body = F.concat(F.lit('{"status": "'), at(_WORDS), F.lit('", "is_vulnerable": '), at(_VERDICTS), F.lit(', "confidence": '), at(_CONFIDENCES), F.lit("}"))
+    reply = F.when(F.col("k") % 11 == 0, at(("no json at all", '{"status": "TP"', "[1, 2]", ""))).when(F.col("k") % 3 == 0, F.concat(F.lit("```JSON\n"), body, F.lit("\n``` so far"))).when(F.col("k") % 3 == 1, F.concat(F.lit("I think "), body, F.lit(" fits"))).otherwise(body)
     return findings(spark, d).select("finding_id", ops.parse_decision(reply).alias("x")).select("finding_id", "x.*")
 
 

@@ -94,6 +94,35 @@ def test_queue_filter_and_paths(spark):
     assert {r.file_path for r in df.filter(reports.path_selected(F.col("file_path"), "src/app/")).collect()} == {"src\\app\\a.py", "src/app", "lib/app/b.py"}
 
 
+def test_selected_paths_are_folders(spark):
+    df = table(spark, "file_path string", ("app/main.py",), ("other/main.py",), ("main.py",), ("other/main.py/x",), ("",), (None,))
+    assert {r.file_path for r in df.filter(reports.path_selected(F.col("file_path"), "app/main.py")).collect()} == {"app/main.py", "main.py", "other/main.py/x"}
+    assert df.filter(reports.path_selected(F.col("file_path"), "/")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("reply", "want"),
+    [
+        ('{"status": "False Positive"}', ("suppressed", 0.5, False)), ('{"status": "review", "confidence": 90}', ("needs-review", 1.0, False)), ('{"status": "needs_review", "confidence": -3}', ("needs-review", 0.0, False)),
+        ('{"is_vulnerable": "yes", "confidence": "0.9"}', ("confirmed", 0.9, False)), ('{"is_vulnerable": "maybe"}', ("suppressed", 0.5, False)), ('{"is_vulnerable": null}', ("suppressed", 0.5, False)), ('{"is_vulnerable": []}', ("suppressed", 0.5, False)),
+        ('{"is_vulnerable": {"a": 1}}', ("likely", 0.5, False)), ('{"is_vulnerable": 0}', ("suppressed", 0.5, False)), ('{"confidence": 0.9}', (None, None, True)), ('{"status": 7}', (None, None, True)), ('{"status": "tp"', (None, None, True)), (None, (None, None, True)), ("", (None, None, True)),
+        ('```\n{"status": "tp", "confidence": null}\n```', ("confirmed", 0.5, False)), ('Well: ```json {"status": "fp"}``` or {"status": "tp"}', ("suppressed", 0.5, False)), ('{"status": "odd", "is_vulnerable": true, "confidence": 0.85}', ("confirmed", 0.85, False)),
+    ],
+)
+def test_decisions(spark, reply, want):
+    df = spark.createDataFrame([(reply,)], "reply string").select(triage.parse_decision(F.col("reply")).alias("x")).select("x.*")
+    assert tuple(df.first()) == want
+
+
+def test_match_many_equals_match_lines(spark):
+    rng = random.Random(5)
+    patterns = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(30)] + ["", None, "ab", "a.b", "("]
+    rules_ = table(spark, "rule_id int, pattern string, file string", *[(i, p, "r") for i, p in enumerate(patterns)])
+    lines_ = table(spark, "doc_id int, line string, n int", *[(i, "".join(rng.choice("abc.( ") for _ in range(20)), 1) for i in range(60)], (60, None, 1), (61, "", 1))
+    want = sorted(tuple(r) for r in findings.match_lines(lines_, rules_).collect())
+    assert sorted(tuple(r) for r in findings.match_many(lines_, rules_).collect()) == want and len(want) > 200
+
+
 def test_call_patterns(spark):
     df = table(spark, "p string, args array<string>", ("subprocess.run(shell=True)", ["cmd", "shell = True"]), ("f(**)", ["**kw"]), ("g(a=1)", ["b=1"]))
     got = df.select(code.call_name(F.col("p")).alias("n"), code.satisfies(F.col("args"), code.constraints(F.col("p"))).alias("ok")).collect()
@@ -128,7 +157,8 @@ def test_taint_is_path_sensitive(body, flows):
 def test_sanitizers_are_recorded_and_summaries_follow_data():
     g = Flow(HEAD + "    w = shlex.quote(v)\n    os.system(w)\n")
     assert [x[3] for x in g.trace(SOURCES, SINKS, ("shlex.quote",))] == [True]
-    assert g.functions["keep"].depends == ["a"] and g.functions["fixed"].depends == []
+    depends = {f.name: f.depends for f in g.functions}
+    assert depends["keep"] == ["a"] and depends["fixed"] == []
 
 
 def test_trace_is_whole_on_many_ways():
