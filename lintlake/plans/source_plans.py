@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lintlake.plans.base import findings, query
 from lintlake.session import table
 from lintlake.sources import files as ops
-from lintlake.streaming import jobs
+from lintlake.streaming import fold, jobs
 
 _PATHS = "p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'src/Vendor/a' WHEN 1 THEN 'lib/x' WHEN 2 THEN 'tests/unit/t' WHEN 3 THEN 'build' ELSE 'app/main' END || '/f' || doc_id || CASE doc_id % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.JS' WHEN 2 THEN '.java' WHEN 3 THEN '.phtml' WHEN 4 THEN '.tsx' WHEN 5 THEN '.txt' ELSE '' END AS path, text FROM documents)"
 
@@ -127,6 +127,20 @@ def st_states(spark, d):
     return jobs.job_states(table(spark, d, "events"))
 
 
+_TO = "CASE event_type WHEN 'view' THEN 'queued' WHEN 'signup' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END"
+
+
+@query("st_job_fold", sql=f"""WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS t, event_id, {_TO} AS too FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e),
+    w AS (SELECT user_id, 0::BIGINT AS n, '' AS state, NULL::BIGINT AS last, 0::BIGINT AS n_steps, 0::BIGINT AS n_illegal FROM (SELECT DISTINCT user_id FROM o) UNION ALL
+        SELECT user_id, n, CASE WHEN ok THEN too ELSE now END, CASE WHEN ok THEN t WHEN NOT gone THEN last END, CASE WHEN gone THEN 0 ELSE n_steps END + CASE WHEN ok THEN 1 ELSE 0 END, CASE WHEN gone THEN 0 ELSE n_illegal END + CASE WHEN NOT ok AND now <> '' THEN 1 ELSE 0 END
+        FROM (SELECT *, (now = '' AND too = 'queued') OR (now = 'queued' AND too IN ('running', 'failed')) OR (now = 'running' AND too IN ('running', 'completed', 'failed')) AS ok FROM (SELECT *, CASE WHEN gone THEN '' ELSE state END AS now FROM
+            (SELECT o.user_id, o.n, o.t, o.too, w.state, w.last, w.n_steps, w.n_illegal, coalesce(o.t - w.last > 172800000, false) AS gone FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1))))
+    SELECT user_id AS job, arg_max(state, n) AS state, arg_max(CAST(coalesce(last, -1) AS BIGINT), n) AS last, arg_max(n_steps, n) AS n_steps, arg_max(n_illegal, n) AS n_illegal FROM w GROUP BY user_id""")
+def st_fold(spark, d):
+    """Jobs by their events in order: illegal steps told apart, jobs that nothing touched for two days forgotten."""
+    return fold.fold_jobs(table(spark, d, "events")).withColumn("last", F.coalesce("last", F.lit(-1).cast("long")))
+
+
 @query("st_progress_windows", sql="SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def st_progress(spark, d):
     return jobs.progress(table(spark, d, "events"))
