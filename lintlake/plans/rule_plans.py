@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lintlake.operators import rule_documents as documents
 from lintlake.operators import rules as ops
 from lintlake.plans.base import findings, query
 from lintlake.session import table
@@ -120,3 +121,62 @@ def s8(spark, d):
     b = spark.sql("SELECT * FROM VALUES ('de', 'und der'), ('fr', ' de la '), ('py', 'token') AS t(_lang, pattern)")
     docs = table(spark, d, "documents").withColumn("_l", F.when(F.col("lang").isin("de", "fr"), F.col("lang")).otherwise("py"))
     return docs.join(F.broadcast(b), (F.col("_l") == F.col("_lang")) & F.col("text").contains(F.col("pattern"))).select("doc_id", "pattern")
+
+
+# --- rule documents: a nested taint rule for each part, as VARIANT; its shape and names follow from the part
+
+_SOURCES = ('["req_K"]', '[{"pattern": "get_K(", "focus-metavariable": "$X"}, {"pattern": "get_K(", "focus-metavariable": "$X"}]', '[{"pattern-either": [{"pattern": "a_K"}, {"patterns": [{"pattern-inside": "f_K"}, {"focus-metavariable": "$Y"}, {"pattern-regex": "r_K", "by-side-effect": true}]}]}]', '[5, {"pattern-not": "x"}, {"odd": 1}, {"patterns": "p"}]')
+_LANGS = ('["python"]', '["go"]', '"Java"')
+_WEAK = ('{"cwe": "CWE-89"}', '{"cwe": ["CWE-1: x", "cwe-22"], "owasp": ["A01:2021"]}', "{}")
+_SHAPE = "k % 4 AS shape, k % 3 AS lang, k % 5 AS mode, k // 4 % 3 AS weak"
+
+
+def _rule_documents(spark, d):
+    k = F.col("p_partkey")
+    at = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i + 1).cast("int"))
+    j = F.concat(
+        F.lit('{"id": "'), k.cast("string"), F.lit('", "message": "'), F.col("p_type"), F.lit('", "severity": "'), at(("ERROR", "warning", "odd"), k % 3), F.lit('", "mode": "'), F.when(k % 5 == 0, "search").otherwise("taint"), F.lit('", "languages": '), at(_LANGS, k % 3),
+        F.lit(', "metadata": '), at(_WEAK, F.floor(k / 4) % 3), F.lit(', "pattern-sinks": ["t_K("], "pattern-sources": '), at(_SOURCES, k % 4), F.lit("}"),
+    )
+    return table(spark, d, "part").select(k.cast("string").alias("rule_id"), F.parse_json(F.replace(j, F.lit("_K"), F.concat(F.lit("_"), k.cast("string")))).alias("rule"))
+
+
+_K = f"x AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS rule_id, p_type, {_SHAPE} FROM (SELECT p_partkey, p_partkey AS k, p_type FROM part))"
+
+
+@query("t13_pattern_entries", sql=f"""WITH {_K}, p AS (SELECT rule_id, 'sink' AS role, 1 AS position, 't_' || rule_id || '(' AS pattern, 'literal' AS pattern_mode, false AS exact, false AS by_side_effect, NULL AS focus_metavariable FROM x
+    UNION ALL SELECT rule_id, 'source', 1, 'req_' || rule_id, 'literal', false, false, NULL FROM x WHERE shape = 0 UNION ALL SELECT rule_id, 'source', 1, 'get_' || rule_id || '(', 'pattern', true, false, '$X' FROM x WHERE shape = 1
+    UNION ALL SELECT rule_id, 'source', 1, 'a_' || rule_id, 'pattern', false, false, NULL FROM x WHERE shape = 2 UNION ALL SELECT rule_id, 'source', 2, 'f_' || rule_id, 'pattern', false, false, '$Y' FROM x WHERE shape = 2
+    UNION ALL SELECT rule_id, 'source', 3, 'r_' || rule_id, 'pattern-regex', false, true, '$Y' FROM x WHERE shape = 2) SELECT * FROM p""")
+def t13p(spark, d):
+    return documents.pattern_entries(_rule_documents(spark, d))[0]
+
+
+@query("t13_pattern_notes", sql=f"WITH {_K} SELECT rule_id, 'source' AS role, n AS position, note FROM x, (VALUES (1, 'Skipped source entry with unsupported type: int'), (2, 'Skipped source entry without reviewable pattern fields: odd'), (3, 'Skipped source nested group ''patterns'' because it is not a list')) AS v(n, note) WHERE shape = 3")
+def t13n(spark, d):
+    return documents.pattern_entries(_rule_documents(spark, d))[1]
+
+
+@query("t13_normalized_rules", sql=f"""WITH {_K}, y AS (SELECT *, CASE weak WHEN 0 THEN 'SQL_INJECTION' WHEN 1 THEN 'PATH_TRAVERSAL' END AS family FROM x)
+    SELECT rule_id, rule_id AS source_rule_id, p_type AS title, CASE lang WHEN 0 THEN 'python' WHEN 2 THEN 'java' END AS language, family, CASE lang WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+    CASE weak WHEN 0 THEN 'CWE-89' WHEN 1 THEN 'CWE-1,CWE-22' ELSE '' END AS cwe, CASE weak WHEN 1 THEN 'A01:2021' ELSE '' END AS owasp, CASE shape WHEN 2 THEN 3 WHEN 3 THEN 0 ELSE 1 END AS n_sources, 1 AS n_sinks, 0 AS n_sanitizers,
+    CASE WHEN mode = 0 THEN 'only taint-mode rules are supported' WHEN lang = 1 THEN 'rule language is unsupported or filtered out' WHEN family IS NULL THEN 'could not infer family and no override was supplied' WHEN shape = 3 THEN 'rule does not expose a reviewable taint source/sink subset' END AS skip_reason FROM y""")
+def t13d(spark, d):
+    return documents.normalize_rules(_rule_documents(spark, d)).withColumn("cwe", F.array_join("cwe", ",")).withColumn("owasp", F.array_join("owasp", ","))
+
+
+@query("t14_document_issues", sql=f"""WITH {_K}, i AS (SELECT rule_id, k, shape, lang, weak FROM x)
+    SELECT CASE WHEN k % 5 > 0 THEN rule_id ELSE '<missing-rule-id>' END AS rule_id, level, path, code FROM i, (VALUES ('error', 'rule_id', 'missing_required_field', 0), ('error', 'language', 'unsupported_language', 1), ('error', 'taxonomy.cwe', 'invalid_taxonomy_list', 2), ('warning', 'taxonomy.cwe[1]', 'suspicious_cwe_format', 3), ('error', 'detection.source_patterns[0]', 'invalid_pattern_entry', 4),
+    ('error', 'detection.source_patterns', 'empty_pattern_list', 5), ('warning', 'detection.sink_patterns[0].exact', 'call_pattern_without_exact', 6), ('warning', 'notes[0]', 'invalid_note_value', 7), ('warning', 'provenance.source_path', 'missing_source_path', 8)) AS v(level, path, code, n)
+    WHERE n = 0 AND k % 5 = 0 OR n = 1 AND lang = 1 OR n = 2 AND weak = 0 OR n = 3 AND weak = 1 OR n = 4 AND shape = 0 OR n = 5 AND shape = 3 OR n = 6 AND k % 7 = 0 OR n = 7 AND k % 6 = 0 OR n = 8 AND k % 8 = 0""")
+def t14d(spark, d):
+    """Issues of a normalized document for each part."""
+    k = F.col("p_partkey")
+    at = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i + 1).cast("int"))
+    entry = '{"pattern": "p", "pattern_mode": "literal", "exact": false, "by_side_effect": false}'
+    j = F.concat(
+        F.lit('{"rule_id": "'), F.when(k % 5 > 0, k.cast("string")).otherwise(" "), F.lit('", "title": "t", "family": "SSRF", "severity": "LOW", "language": "'), at(("python", "go", "java"), k % 3), F.lit('", "taxonomy": {"owasp": [], "cwe": '), at(('"CWE-1"', '["CWE-1", "x"]', "[]"), F.floor(k / 4) % 3),
+        F.lit('}, "detection": {"match_mode": "m", "sanitizers": [], "source_patterns": '), at(('["s"]', f"[{entry}]", f"[{entry}]", "[]"), k % 4), F.lit(', "sink_patterns": [{"pattern": "f(", "pattern_mode": "pattern", "by_side_effect": true, "exact": '), (k % 7 > 0).cast("string"),
+        F.lit('}]}, "triage": {"knowledge_refs": [], "fp_hints": [], "remediation_notes": ["a"]}, "provenance": {"source": "s", "source_rule_id": "i", "importer": "m", "snapshot_version": "1"'), F.when(k % 8 > 0, ', "source_path": "p"').otherwise(""), F.lit('}, "notes": ['), F.when(k % 6 == 0, "7").otherwise(""), F.lit("]}"),
+    )
+    return documents.validate_rules(table(spark, d, "part").select(F.parse_json(j).alias("rule")))
