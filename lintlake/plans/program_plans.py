@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lintlake.graph import context, crossfile, flow
+from lintlake.graph import context, crossfile, filters, flow
 from lintlake.plans.base import query
 from lintlake.session import spread, table
 
@@ -327,3 +327,44 @@ def g13l(spark, d):
 @query("g13_resolve_symbol", sql=f"SELECT 'f' || doc_id AS name, 1::BIGINT AS n_definitions, false AS ambiguous, 'm' || doc_id || '.py:1' AS places FROM documents WHERE doc_id IS NOT NULL")
 def g13r(spark, d):
     return context.symbols(crossfile.functions(modules(spark, d)))
+
+
+# --- filters of false positives: names and the places of a dict, constant, checked for a family of sinks, or anything
+
+CHECKS = (
+    "v{a} = q", "v{a} = q + v{b}", "v{a} = 'x'", "d['a'] = v{b}", "d['b'] = v{b}", "v{a} = d['a']", "v{a} = d['b']", "v{a} = d.get('b', q)", "v{a} = shlex.quote(v{b})", "v{a} = os.path.basename(v{b})", "if q: v{a} = v{c}", "v{a} = v{b} + v{c}",
+    "open(v{b})", "open(v{b})", "os.system('ls ' + v{b})", "subprocess.run(['ls', v{b}])", "pickle.loads(d['a'])", "return v{b}", "pass",
+)
+CHECKED = "def main{i}(q):\n    v0 = v1 = v2 = q\n    v3 = v4 = 'k'\n    d = {'a': 'x', 'b': q}\n"
+CHECK_HEAD = CHECKED.count("\n")
+
+
+def checked(spark, d):
+    """path, content: a function of sinks and checks for each document."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    i = F.col("doc_id").cast("string")
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: statement(x, CHECKS)), "\n")
+    return docs.select(F.concat(F.lit("f"), i, F.lit(".py")).alias("path"), F.concat(F.replace(F.lit(CHECKED), F.lit("{i}"), i), body, F.lit("\n")).alias("content"))
+
+
+def _checks() -> str:
+    """An interpreter in SQL: of each variable and place the families it may be given to, as bits (7: a constant)."""
+    pick = lambda x: "CASE " + " ".join(f"WHEN {x} = {j} THEN v{j}" for j in range(5)) + " END"
+    n = len(CHECKS)
+    new = "CASE k WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 7 WHEN 5 THEN da WHEN 6 THEN db WHEN 7 THEN db WHEN 8 THEN vb | 2 WHEN 9 THEN vb | 1 WHEN 10 THEN va & vc WHEN 11 THEN vb & vc ELSE va END"
+    sets = ", ".join(f"CASE WHEN a = {j} THEN na ELSE v{j} END" for j in range(5))
+    return f"""WITH RECURSIVE lines AS (SELECT doc_id, CAST(i AS BIGINT) AS i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+        raw AS (SELECT doc_id, i, length(line) AS n, length(string_split(line, ' ')[1]) AS f, len(string_split(line, ' ')) AS w FROM lines),
+        every AS (SELECT doc_id, i, CASE WHEN (n + w * 3 + f) % {n} = {n - 2} AND n % 4 > 0 THEN {n - 1} ELSE (n + w * 3 + f) % {n} END AS k, n % 5 AS a, f % 5 AS b, w % 5 AS c FROM raw),
+        ends AS (SELECT doc_id, min(i) AS last FROM every WHERE k = {n - 2} GROUP BY doc_id),
+        s AS (SELECT every.* FROM every LEFT JOIN ends ON every.doc_id = ends.doc_id WHERE last IS NULL OR i <= last),
+        walk AS (SELECT doc_id, 0::BIGINT AS i, 0 AS v0, 0 AS v1, 0 AS v2, 7 AS v3, 7 AS v4, 7 AS da, 0 AS db, -1 AS k, 0 AS given FROM (SELECT DISTINCT doc_id FROM s) UNION ALL
+            SELECT doc_id, i, {sets}, CASE WHEN k = 3 THEN vb ELSE da END, CASE WHEN k = 4 THEN vb ELSE db END, k, CASE WHEN k = 16 THEN da ELSE vb END FROM (SELECT *, {new} AS na FROM
+            (SELECT s.doc_id, s.i, s.k, a, b, c, v0, v1, v2, v3, v4, da, db, {pick('a')} AS va, {pick('b')} AS vb, {pick('c')} AS vc FROM walk JOIN s ON s.doc_id = walk.doc_id AND s.i = walk.i + 1)))
+        SELECT {_PATH}, CASE WHEN k < 14 THEN 'path' WHEN k < 16 THEN 'command' ELSE 'deserialization' END AS family, i + {CHECK_HEAD} AS line, given & CASE WHEN k < 14 THEN 1 WHEN k < 16 THEN 2 ELSE 4 END = 0 AS keep FROM walk WHERE k BETWEEN 12 AND 16"""
+
+
+@query("g23_false_positives", sql=_checks())
+def g23f(spark, d):
+    """Path, command and deserialization sinks that may be given something harmful, by values of names and places."""
+    return filters.false_positives(checked(spark, d))
