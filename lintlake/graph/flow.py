@@ -86,32 +86,3 @@ def safe_values(files: DataFrame, sinks: tuple[str, ...]) -> DataFrame:
         return [(path, line, not isinstance(x, tuple)) for line, x in sorted(v.hits.items())]
 
     return _map(files, fn, path=S, line=L, keep=B)
-
-
-def script_taint(files: DataFrame, sources: tuple[str, ...], sinks: tuple[str, ...], sanitizers: tuple[str, ...] = ()) -> DataFrame:
-    """path, source_line, sink_line for JavaScript, Java and PHP files, read by a line lexer (no parser for them is at hand).
-
-    Assignments are `name = expression` on one line; taint only grows; a sanitizer call on the assigned line stops it. A
-    statement over several lines is seen line by line, so flows through it can be missed.
-    """
-    import re
-
-    assign, word = re.compile(r"(?:\b(?:var|let|const|String|Object)\s+)?([$\w]+)\s*\+?=(?!=)\s*(.*)"), re.compile(r"[$\w]+")
-
-    def fn(path: str, text: str) -> list[tuple]:
-        tainted: dict[str, int] = {}
-        out = []
-        for i, line in enumerate(text.split("\n"), 1):
-            used = [tainted[w] for w in word.findall(line) if w in tainted]
-            clean = any(s in line for s in sanitizers)
-            if used and not clean and any(s in line for s in sinks):
-                out.append((path, min(used), i))
-            if m := assign.search(line):
-                right = [tainted[w] for w in word.findall(m[2]) if w in tainted]
-                if any(s in m[2] for s in sources) and not clean:
-                    tainted.setdefault(m[1], i)
-                elif right and not clean:
-                    tainted.setdefault(m[1], min(right))
-        return out
-
-    return _map(files, fn, path=S, source_line=L, sink_line=L)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintlake.graph import flow
 from lintlake.operators import graphs as ops
 from lintlake.plans.base import findings, query
 from lintlake.session import spread, table
@@ -181,14 +180,3 @@ def a22(spark, d):
 
     e = table(spark, d, "conversations").withColumn("nxt", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn")))
     return e.groupBy(F.col("role").alias("kind")).agg(F.count("*").alias("n_nodes"), F.count("nxt").alias("n_edges"), F.count_if(F.col("nxt") == F.col("role")).alias("n_same"))
-
-
-# --- script files
-
-
-@query("g20_script_taint", sql="SELECT 'f' || doc_id || '.js' AS path, 1::BIGINT AS source_line, 3::BIGINT AS sink_line FROM documents WHERE doc_id % 3 = 0")
-def g20(spark, d):
-    i = F.col("doc_id")
-    js = F.when(i % 3 == 0, "var q = req.query.id;\nvar s = 'x' + q;\ndb.run(s);\n").when(i % 3 == 1, "var q = escape(req.query.id);\ndb.run(q);\n").otherwise("var q = 1;\ndb.run(q);\n")
-    files = table(spark, d, "documents").select(F.concat(F.lit("f"), i.cast("string"), F.lit(".js")).alias("path"), js.alias("content"))
-    return flow.script_taint(files, ("req.query",), ("db.run",), ("escape(",))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lintlake.graph import context, crossfile, filters, flow
+from lintlake.graph import context, crossfile, filters, flow, scripts
 from lintlake.plans.base import query
 from lintlake.session import spread, table
 
@@ -368,3 +368,49 @@ def _checks() -> str:
 def g23f(spark, d):
     """Path, command and deserialization sinks that may be given something harmful, by values of names and places."""
     return filters.false_positives(checked(spark, d))
+
+
+# --- script files: JavaScript, Java or PHP by the document's language, each line of it a statement over two lines
+
+SCRIPT = (
+    "{a} =\n  SRC;", "{a} =\n  SRC;", "{a} =\n  {b};", "{a} =\n  {b};", "{a} = escape(\n  {b});", "SINK(\n  {b});", "SINK(\n  {b});", "{a} =\n  'x';", "if (ok({b})) {\n  {a} = {c}; }", "{a} ADD\n  {b};", "if (bad({b})) {\n  return; }", "SINK({c} +\n  escape({b}));", "/* SINK({b});\n */",
+)
+#: By language: suffix, first line, what marks a variable, source, sink, append and join.
+KINDS = {"en": ("js", "// a", "v", "req.query.a", "db.run", "+=", "+"), "de": ("js", "// a", "v", "req.query.a", "db.run", "+=", "+"), "es": ("java", "// a", "v", 'request.getParameter("a")', "executeQuery", "+=", "+"), "fr": ("php", "<?php", "$v", "$_GET['a']", "system", ".=", ".")}
+
+
+def script_files(spark, d):
+    """path, content: a script for each document."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang")).filter(F.col("lang").isin(*KINDS))
+    of = lambda n: F.element_at(F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v[n])]), F.col("lang"))
+
+    def line(x: Column) -> Column:
+        words = F.split(x, " ", -1)
+        n, first, count = F.length(x), F.length(words[0]), F.size(words)
+        out = F.element_at(F.array(*[F.lit(t) for t in SCRIPT]), (n + count * 3 + first) % len(SCRIPT) + 1)
+        out = F.replace(F.replace(F.replace(F.replace(out, F.lit("SRC"), of(3)), F.lit("SINK"), of(4)), F.lit("ADD"), of(5)), F.lit(" +\n"), F.concat(F.lit(" "), of(6), F.lit("\n")))
+        for name, v in (("{a}", n % 5), ("{b}", first % 5), ("{c}", count % 5)):
+            out = F.replace(out, F.lit(name), F.concat(of(2), v.cast("string")))
+        return out
+
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: line(x)), "\n")
+    return docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), of(0)).alias("path"), F.concat_ws("\n", of(1), body).alias("content"))
+
+
+@query("g20_script_taint", sql=f"""WITH RECURSIVE lines AS (SELECT doc_id, lang, CAST(i AS BIGINT) AS i, l[i] AS line FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS l, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents WHERE lang IN ('en', 'de', 'es', 'fr'))),
+    raw AS (SELECT doc_id, i, length(line) AS n, length(string_split(line, ' ')[1]) AS f, len(string_split(line, ' ')) AS w FROM lines),
+    s AS (SELECT doc_id, i, (n + w * 3 + f) % {len(SCRIPT)} AS k, n % 5 AS a, f % 5 AS b, w % 5 AS c FROM raw),
+    defs AS (SELECT doc_id, i, a AS v, k NOT IN (8, 9) AS kills FROM s WHERE k IN (0, 1, 2, 3, 4, 7, 8, 9)),
+    moves AS (SELECT doc_id, i, b AS v, a AS dst, CASE k WHEN 4 THEN 1 ELSE 0 END AS clean FROM s WHERE k IN (2, 3, 4, 9) UNION ALL SELECT doc_id, i, c, a, 0 FROM s WHERE k = 8 UNION ALL SELECT doc_id, i, b, NULL, 0 FROM s WHERE k IN (5, 6) UNION ALL SELECT doc_id, i, c, NULL, 0 FROM s WHERE k = 11 UNION ALL SELECT doc_id, i, b, NULL, 1 FROM s WHERE k = 11),
+    since AS (SELECT m.doc_id, m.i, m.v, m.dst, m.clean, coalesce(max(d.i), 0) AS first FROM moves m LEFT JOIN defs d ON d.doc_id = m.doc_id AND d.v = m.v AND d.i < m.i AND d.kills GROUP BY ALL),
+    e AS (SELECT m.doc_id, d.i AS src, m.v, m.i, m.dst, m.clean FROM since m JOIN defs d ON d.doc_id = m.doc_id AND d.v = m.v AND d.i < m.i AND d.i >= m.first),
+    t AS (SELECT doc_id, i, a AS v, i AS origin, 0 AS clean FROM s WHERE k < 2 UNION SELECT e.doc_id, e.i, e.dst, t.origin, greatest(t.clean, e.clean) FROM t JOIN e ON e.doc_id = t.doc_id AND e.src = t.i AND e.v = t.v WHERE e.dst IS NOT NULL),
+    hits AS (SELECT e.doc_id, t.origin, e.i, e.v, greatest(t.clean, e.clean) AS clean FROM t JOIN e ON e.doc_id = t.doc_id AND e.src = t.i AND e.v = t.v WHERE e.dst IS NULL),
+    used AS (SELECT DISTINCT doc_id, i, v FROM hits),
+    kept AS (SELECT u.doc_id, u.i, u.v, coalesce(max(g.i), 0) AS g FROM used u LEFT JOIN s g ON g.doc_id = u.doc_id AND g.k = 10 AND g.b = u.v AND g.i < u.i GROUP BY ALL),
+    wrote AS (SELECT u.doc_id, u.i, u.v, coalesce(max(d.i), 0) AS w FROM used u LEFT JOIN defs d ON d.doc_id = u.doc_id AND d.v = u.v AND d.i < u.i GROUP BY ALL),
+    guard AS (SELECT kept.doc_id, kept.i, bool_and(g > w) AS guarded FROM kept JOIN wrote ON wrote.doc_id = kept.doc_id AND wrote.i = kept.i AND wrote.v = kept.v GROUP BY ALL)
+    SELECT 'f' || h.doc_id || CASE d.lang WHEN 'es' THEN '.java' WHEN 'fr' THEN '.php' ELSE '.js' END AS path, 2 * origin + 1 AS source_line, 2 * h.i AS sink_line, min(clean) = 1 AS sanitized, guarded FROM hits h JOIN guard g ON g.doc_id = h.doc_id AND g.i = h.i JOIN documents d ON d.doc_id = h.doc_id GROUP BY ALL""")
+def g20(spark, d):
+    """Flows of scripts whose statements run over two lines, cleaned, and guarded by tests that left."""
+    return scripts.script_taint(script_files(spark, d), ("req.query", "request.getParameter", "$_GET"), ("db.run", "executeQuery", "system"), ("escape",))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintlake.functions import code
+from lintlake.graph import scripts
 from lintlake.graph.flow import Flow, Values
 from lintlake.operators import findings, graphs, matching, reports, rules, scoring, triage
 from lintlake.sources import files, sinks
@@ -267,11 +268,9 @@ def test_program_that_does_not_parse_is_a_row(spark):
 
 
 def test_script_lexer(spark):
-    from lintlake.graph import flow
-
-    f = table(spark, "path string, content string", ("a.js", "let q = req.query.x;\nconst s = 'a' + q;\nrun(s);"), ("b.php", "$q = $_GET['x'];\n$q = clean($q);\nrun($q);"), ("c.js", "let q = clean(req.query.x);\nrun(q);"))
-    got = flow.script_taint(f, ("req.query", "$_GET"), ("run(",), ("clean(",)).collect()
-    assert {(r.path, r.source_line, r.sink_line) for r in got} == {("a.js", 1, 3), ("b.php", 1, 3)}  # taint only grows
+    f = table(spark, "path string, content string", ("a.js", "let q = req.query.x;\nconst s = 'a' + q;\nrun(s);"), ("b.php", "<?php $q = $_GET['x'];\n$q = clean($q);\nrun($q);"), ("c.js", "let q = clean(req.query.x);\nrun(q);"))
+    got = scripts.script_taint(f, ("req.query", "$_GET"), ("run(",), ("clean(",)).collect()
+    assert {(r.path, r.source_line, r.sink_line, r.sanitized) for r in got} == {("a.js", 1, 3, False), ("b.php", 1, 3, True), ("c.js", 1, 2, True)}
 
 
 def test_linear_taint_equals_a_loop(spark):
