@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lintlake.operators import documents as json_documents
 from lintlake.operators import rule_documents as documents
 from lintlake.operators import rules as ops
 from lintlake.plans.base import findings, query
@@ -180,3 +181,15 @@ def t14d(spark, d):
         F.lit('}]}, "triage": {"knowledge_refs": [], "fp_hints": [], "remediation_notes": ["a"]}, "provenance": {"source": "s", "source_rule_id": "i", "importer": "m", "snapshot_version": "1"'), F.when(k % 8 > 0, ', "source_path": "p"').otherwise(""), F.lit('}, "notes": ['), F.when(k % 6 == 0, "7").otherwise(""), F.lit("]}"),
     )
     return documents.validate_rules(table(spark, d, "part").select(F.parse_json(j).alias("rule")))
+
+
+@query("sf_deep_merge", sql="""SELECT p_partkey AS doc, '{"a":' || CASE WHEN p_partkey % 3 = 0 THEN '7' WHEN p_partkey % 3 = 1 THEN '{"name":"' || p_name || '","size":' || p_size || ',"tags":[2]}' ELSE '{"name":"' || p_name || '","size":0,"tags":[1,' || p_size || ']}' END || ',"b":{"c":{"d":' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ',"e":null' ELSE '' END || '}}}' AS merged FROM part""")
+def deep(spark, d):
+    """A base, a second and a third layer of settings for each part: maps merge, lists and numbers are replaced."""
+    p = table(spark, d, "part")
+    k, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size").cast("string")
+    base = F.concat(F.lit('{"a": {"tags": [1, '), size, F.lit('], "name": "'), name, F.lit('", "size": 0}, "b": {"c": {"d": 0}}}'))
+    second = F.when(k % 3 == 0, F.lit('{"a": 7, "b": {}}')).when(k % 3 == 1, F.concat(F.lit('{"a": {"size": '), size, F.lit(', "tags": [2]}}'))).otherwise(F.lit('{"a": {}}'))
+    third = F.concat(F.lit('{"b": {"c": {"d": '), size, F.when(k % 2 == 0, ', "e": null').otherwise(""), F.lit("}}}"))
+    layers = p.select(k.alias("doc"), F.posexplode(F.array(base, second, third)).alias("layer", "j"))
+    return json_documents.deep_merge(layers.select("doc", "layer", F.parse_json("j").alias("body")))
