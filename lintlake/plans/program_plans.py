@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lintlake.graph import context, crossfile, filters, flow, scripts
+from lintlake.graph import context, crossfile, filters, flow, plugins, scripts
 from lintlake.plans.base import query
 from lintlake.session import spread, table
 
@@ -414,3 +414,14 @@ def script_files(spark, d):
 def g20(spark, d):
     """Flows of scripts whose statements run over two lines, cleaned, and guarded by tests that left."""
     return scripts.script_taint(script_files(spark, d), ("req.query", "request.getParameter", "$_GET"), ("db.run", "executeQuery", "system"), ("escape",))
+
+
+@query("sf_code_rows", sql=f"""WITH RECURSIVE {_PORTS}, py AS (SELECT 'm' || doc_id || '.py' AS path, 'python' AS language, count(*) AS n_calls FROM s WHERE k NOT IN (2, 3, 9, 14, 15, 16) GROUP BY doc_id),
+    n AS (SELECT d.doc_id, lang, (x.n + x.w * 3 + x.f) % {len(SCRIPT)} AS k FROM raw x JOIN documents d ON d.doc_id = x.doc_id WHERE lang IN ('en', 'de', 'es', 'fr')),
+    js AS (SELECT 'f' || doc_id || CASE lang WHEN 'es' THEN '.java' WHEN 'fr' THEN '.php' ELSE '.js' END AS path, CASE lang WHEN 'es' THEN 'java' WHEN 'fr' THEN 'php' ELSE 'javascript' END AS language, CAST(sum(CASE WHEN k IN (0, 1) THEN CASE lang WHEN 'es' THEN 1 ELSE 0 END WHEN k IN (4, 5, 6, 8, 10) THEN 1 WHEN k = 11 THEN 2 ELSE 0 END) AS BIGINT) AS n_calls FROM n GROUP BY doc_id, lang)
+    SELECT * FROM py UNION ALL SELECT * FROM js WHERE n_calls > 0""")
+def code_rows(spark, d):
+    """Calls in files of four languages, by one table function."""
+    plugins.register(spark)
+    modules(spark, d).unionByName(script_files(spark, d)).createOrReplaceTempView("code_files")
+    return spark.sql("SELECT path, language, count(*) AS n_calls FROM code_rows(TABLE(code_files), 'calls') GROUP BY path, language")
