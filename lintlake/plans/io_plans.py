@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lintlake.plans.base import RULES, RULES_SQL, TRUTH_SQL, findings, query, rules, truth
+from lintlake.plans.base import TRUTH_SQL, query, truth
 from lintlake.plans.rule_plans import _ISSUES, _R, _RULES, _rules
 from lintlake.session import shared_dir, table
 from lintlake.sources import files, sinks
@@ -22,25 +22,25 @@ def _one_file(df, path: str) -> str:
     return path
 
 
-@query("s7_rule_file", sql=f"WITH {RULES_SQL} SELECT 'sink' AS kind, lower(vulnerability_type) AS category, pattern, vulnerability_type AS type, severity, NULL AS mitigates FROM rules UNION ALL SELECT 'source', NULL, 'request.args', 'HTTP_PARAMETER', 'MEDIUM', NULL UNION ALL SELECT 'sanitizer', NULL, 'escape(', NULL, NULL, 'XSS,SQL_INJECTION'")
+@query("s7_rule_file", sql="WITH p AS (SELECT DISTINCT p_type, p_brand FROM part) SELECT 'sink' AS kind, lower(p_type) AS category, p_brand AS pattern, p_type AS type, CASE WHEN p_brand LIKE '%1%' THEN 'HIGH' ELSE 'LOW' END AS severity, NULL AS mitigates FROM p UNION ALL SELECT DISTINCT 'source', NULL, p_type, 'HTTP_PARAMETER', 'MEDIUM', NULL FROM p UNION ALL SELECT DISTINCT 'sanitizer', NULL, p_brand, NULL, NULL, 'XSS,' || p_brand FROM p")
 def s7(spark, d):
-    """A rule file with sinks by category, a source and a sanitizer."""
-    import json
+    """A rule file of the parts' types and brands: sinks by category, sources and sanitizers."""
+    p = table(spark, d, "part").select("p_type", "p_brand").distinct()
+    entry = F.struct(F.col("p_brand").alias("pattern"), F.col("p_type").alias("type"), F.when(F.col("p_brand").contains("1"), "HIGH").otherwise("LOW").alias("severity"))
+    sinks_ = p.groupBy("p_type").agg(F.collect_list(entry).alias("x")).agg(F.map_from_entries(F.collect_list(F.struct(F.lower("p_type"), "x"))).alias("sinks"))
+    sources = p.select("p_type").distinct().agg(F.collect_list(F.struct(F.col("p_type").alias("pattern"), F.lit("HTTP_PARAMETER").alias("type"), F.lit("MEDIUM").alias("severity"))).alias("sources"))
+    cleaners = p.select("p_brand").distinct().agg(F.collect_list(F.struct(F.col("p_brand").alias("pattern"), F.array(F.lit("XSS"), "p_brand").alias("mitigates"))).alias("sanitizers"))
+    doc = sinks_.join(sources, F.lit(True)).join(cleaners, F.lit(True)).select(F.to_json(F.struct("sinks", "sources", "sanitizers")).alias("value"))  # one row each
+    return files.rules(spark, _one_file(doc, _path(spark, "rules", ".json"))).select("kind", "category", "pattern", "type", "severity", F.array_join("mitigates", ",").alias("mitigates"))
 
-    by: dict[str, list] = {}
-    for _, pattern, kind, severity in RULES:
-        by.setdefault(kind.lower(), []).append({"pattern": pattern, "type": kind, "severity": severity})
-    doc = {"sources": [{"pattern": "request.args", "type": "HTTP_PARAMETER", "severity": "MEDIUM"}], "sinks": by, "sanitizers": [{"pattern": "escape(", "mitigates": ["XSS", "SQL_INJECTION"]}]}
-    path = _one_file(spark.range(1).select(F.lit(json.dumps(doc)).alias("value")), _path(spark, "rules", ".json"))
-    return files.rules(spark, path).select("kind", "category", "pattern", "type", "severity", F.array_join("mitigates", ",").alias("mitigates"))
 
-
-@query("s11_report_load", sql=f"WITH {RULES_SQL} SELECT 'repo' AS target, rule_id AS finding_id, rule_id, vulnerability_type, severity, 'likely' AS triage_status, 'src/' || rule_no || '.py' AS file_path, CAST(rule_no AS INTEGER) AS line_number FROM rules")
+@query("s11_report_load", sql="SELECT 'repo' AS target, p_brand || '-' || p_type AS finding_id, p_brand AS rule_id, p_type AS vulnerability_type, CASE WHEN n > 10 THEN 'HIGH' ELSE 'LOW' END AS severity, 'likely' AS triage_status, 'src/' || p_brand || '.py' AS file_path, CAST(n AS INTEGER) AS line_number FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL)")
 def s11(spark, d):
-    """A report with a finding for each rule, as one document."""
-    place = F.struct(F.concat(F.lit("src/"), F.col("rule_no").cast("string"), F.lit(".py")).alias("file_path"), F.col("rule_no").alias("line_number"), F.lit(1).alias("column_number")).alias("location")
-    item = F.struct(F.col("rule_id").alias("finding_id"), "rule_id", "vulnerability_type", "severity", F.lit("likely").alias("triage_status"), place)
-    doc = rules(spark).agg(F.to_json(F.struct(F.struct(F.lit("repo").alias("target")).alias("scan_metadata"), F.collect_list(item).alias("findings"))).alias("value"))
+    """A report with a finding for each brand and type of parts, as one document."""
+    p = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    place = F.struct(F.concat(F.lit("src/"), F.col("p_brand"), F.lit(".py")).alias("file_path"), F.col("n").alias("line_number"), F.lit(1).alias("column_number")).alias("location")
+    item = F.struct(F.concat_ws("-", "p_brand", "p_type").alias("finding_id"), F.col("p_brand").alias("rule_id"), F.col("p_type").alias("vulnerability_type"), F.when(F.col("n") > 10, "HIGH").otherwise("LOW").alias("severity"), F.lit("likely").alias("triage_status"), place)
+    doc = p.agg(F.to_json(F.struct(F.struct(F.lit("repo").alias("target")).alias("scan_metadata"), F.collect_list(item).alias("findings"))).alias("value"))
     return files.report(spark, _one_file(doc, _path(spark, "report")))
 
 
@@ -109,12 +109,12 @@ def k7(spark, d):
     return sinks.load_jobs(spark, path, "scan_id long, version long, state string")
 
 
-@query("k10_rule_document", sql=f"WITH {RULES_SQL} SELECT rule_id, pattern, severity FROM rules")
+@query("k10_rule_document", sql="SELECT DISTINCT p_brand || ':' || p_type AS rule_id, p_type AS pattern, CASE WHEN p_brand LIKE '%2%' THEN 'HIGH' ELSE 'LOW' END AS severity FROM part")
 def k10(spark, d):
-    """A rule set as one JSON document, written and read back."""
-    text = sinks.rule_document(rules(spark).select("rule_id", "pattern", "severity"))
+    """A rule set of the parts' brands and types as one JSON document, written and read back."""
+    rules = table(spark, d, "part").select(F.concat_ws(":", "p_brand", "p_type").alias("rule_id"), F.col("p_type").alias("pattern"), F.when(F.col("p_brand").contains("2"), "HIGH").otherwise("LOW").alias("severity")).distinct()
     path = _path(spark, "rule-document")
-    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(path)
+    spark.range(1).select(F.lit(sinks.rule_document(rules)).alias("value")).coalesce(1).write.text(path)
     doc = spark.read.schema("rules array<struct<rule_id string, pattern string, severity string>>").option("multiLine", True).json(path)
     return doc.select(F.explode("rules").alias("r")).select("r.*")
 

@@ -183,12 +183,13 @@ def o1(spark, d):
     return ops.queue_page(findings(spark, d).withColumn("muted", F.expr(_MUTED)), 1, "finding_id", 100).select("finding_id", "place")
 
 
-@query("o2_rank_dimension", sql="SELECT * FROM (VALUES ('CRITICAL', 0, 5), ('HIGH', 1, 4), ('MEDIUM', 2, 3), ('LOW', 3, 2), ('INFO', 4, 1), ('UNKNOWN', 5, 0)) AS t(severity, queue_rank, strength)")
+@query("o2_rank_dimension", findings_sql="SELECT f.severity, queue_rank, strength, count(*) AS n FROM f JOIN (VALUES ('CRITICAL', 0, 5), ('HIGH', 1, 4), ('MEDIUM', 2, 3), ('LOW', 3, 2), ('INFO', 4, 1), ('UNKNOWN', 5, 0)) AS t(severity, queue_rank, strength) ON t.severity = f.severity GROUP BY ALL")
 def o2(spark, d):
-    from lintlake.dims import SEVERITIES, queue_rank, strength
+    """The findings' severities with their places in the queue and their strengths."""
+    from lintlake.dims import queue_rank, strength
 
-    s = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in SEVERITIES])).alias("severity"))
-    return s.select("severity", queue_rank(F.col("severity")).alias("queue_rank"), strength(F.col("severity")).alias("strength"))
+    s = F.col("severity")
+    return findings(spark, d).groupBy("severity").agg(F.count("*").alias("n")).select("severity", queue_rank(s).alias("queue_rank"), strength(s).alias("strength"), "n")
 
 
 @query("o3_report_order", findings_sql="SELECT source, n FROM (SELECT source, count(*) AS n, max(CASE WHEN k % 3 > 0 THEN ordinal END) AS ts FROM f GROUP BY source) ORDER BY coalesce(ts, 0) DESC, n DESC, source LIMIT 12")
