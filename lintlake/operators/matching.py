@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.session import small
@@ -32,21 +32,30 @@ def match_by_language(lines: DataFrame, rules: DataFrame, allowed: dict[str, tup
     return lines.join(small(rules), F.col("line").contains(F.col("pattern")) & (ok | rest))
 
 
+#: Lines of a stretch in which nodes and sinks meet.
+BUCKET = 64
+
+
 def nodes_with_sinks(nodes: DataFrame, sinks: DataFrame) -> DataFrame:
-    """Nodes and the sinks on their lines that their label names: a hash join on the file with the interval as residual condition."""
-    s = sinks.withColumnRenamed("doc_id", "_d")
-    on = (nodes["doc_id"] == s["_d"]) & s["line_number"].between(nodes["start_line"], nodes["end_line"]) & nodes["label"].contains(s["sink_pattern"])
-    return nodes.join(s, on).drop("_d")
+    """Nodes and the sinks on their lines that their label names: a hash join on the file and a stretch of BUCKET lines (a node is in each that it touches, a sink in one), with the interval as residual condition."""
+    s = sinks.withColumnRenamed("doc_id", "_d").withColumn("_b", F.floor(F.col("line_number") / BUCKET))
+    n = nodes.withColumn("_nb", F.explode(F.sequence(F.floor(F.col("start_line") / BUCKET), F.floor(F.greatest("start_line", "end_line") / BUCKET))))
+    on = (n["doc_id"] == s["_d"]) & (n["_nb"] == s["_b"]) & s["line_number"].between(n["start_line"], n["end_line"]) & n["label"].contains(s["sink_pattern"])
+    return n.join(s, on).drop("_d", "_b", "_nb")
 
 
 def source_windows(found: DataFrame, files: DataFrame, radius: int) -> DataFrame:
-    """finding_id, n_lines, context: the lines around a finding, numbered and clamped to the file. Lines are sliced within the file's row, so no line table is shuffled."""
-    text = files.select(F.col("doc_id").alias("_d"), F.split("text", "\n", -1).alias("_l"))
-    first = F.greatest(F.col("line_number") - radius, F.lit(1))
-    last = F.least(F.col("line_number") + radius, F.size("_l"))
-    joined = found.select("finding_id", "doc_id", "line_number").join(text, F.col("doc_id") == F.col("_d"))
-    numbered = F.transform(F.slice("_l", first, last - first + 1), lambda x, i: F.concat((first + i).cast("string"), F.lit(": "), x))
-    return joined.select("finding_id", (last - first + 1).cast("long").alias("n_lines"), F.array_join(numbered, "\n").alias("context"))
+    """finding_id, n_lines, context: the lines around a finding, numbered and clamped to the file. A file's findings are listed first, so its text meets them once, and its lines are sliced within the row."""
+    listed = found.groupBy("doc_id").agg(F.collect_list(F.struct("finding_id", "line_number")).alias("_f"))
+    text = files.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t"))
+    joined = listed.join(text, F.col("doc_id") == F.col("_d")).withColumn("_l", F.split("_t", "\n", -1))
+
+    def window(f: Column) -> Column:
+        first, last = F.greatest(f["line_number"] - radius, F.lit(1)), F.least(f["line_number"] + radius, F.size("_l"))
+        numbered = F.transform(F.slice("_l", first, last - first + 1), lambda x, i: F.concat((first + i).cast("string"), F.lit(": "), x))
+        return F.struct(f["finding_id"].alias("finding_id"), (last - first + 1).cast("long").alias("n_lines"), F.array_join(numbered, "\n").alias("context"))
+
+    return joined.select(F.explode(F.transform("_f", window)).alias("x")).select("x.*")
 
 
 def first_match(found: DataFrame, labels: DataFrame, tolerance: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.dims import STATUSES, case, queue_rank, status_rank
+from lintlake.session import small
 
 
 def severity_summary(found: DataFrame) -> DataFrame:
@@ -96,8 +97,9 @@ def path_selected(path: Column, selected: str) -> Column:
 
 
 def keep_newest(runs: DataFrame, group: str, order: str, keep: int) -> DataFrame:
-    """What retention removes: all but the newest `keep` of each group."""
-    return runs.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))).filter(F.col("_n") > keep).drop("_n")
+    """What retention removes: all but the newest `keep` of each group (and what ties with them). Only the rows that stay are ranked, limited before the shuffle; no group is sorted whole."""
+    stay = runs.select(F.col(group).alias("_g"), F.col(order).alias("_o")).withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(F.desc("_o")))).filter(F.col("_n") <= keep).select("_g", "_o").distinct()
+    return runs.join(small(stay), F.col(group).eqNullSafe(F.col("_g")) & F.col(order).eqNullSafe(F.col("_o")), "left_anti")
 
 
 def latest(rows: DataFrame, key: str, order: Column, *columns: str) -> DataFrame:
@@ -111,10 +113,18 @@ def sarif_results(found: DataFrame) -> DataFrame:
     first = found.groupBy("rule_id").agg(F.min("ordinal").alias("_o"))
     index = first.withColumn("rule_index", F.row_number().over(Window.orderBy("_o")) - 1).drop("_o")  # a row for each rule
     level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("note")
-    out = found.join(F.broadcast(index), "rule_id")
+    out = found.join(small(index), "rule_id")
     return out.select("finding_id", "rule_id", "rule_index", level.alias("level"), F.concat_ws(":", "rule_id", "file_path", "line_number").alias("fingerprint"), F.greatest("column_number", F.lit(1)).alias("start_column"))
 
 
+def thread_flows(flows: DataFrame) -> DataFrame:
+    """sink_path, sink_line, n_locations, code_flow (JSON): the SARIF code flow of each joined source and sink: the source, the call sites on the way, the sink. flows: as cross-file taint gives them."""
+    at = lambda path, line, text, weight: F.struct(F.struct(F.struct(F.struct(path.alias("uri")).alias("artifactLocation"), F.struct(line.cast("long").alias("startLine")).alias("region")).alias("physicalLocation"), F.struct(text.alias("text")).alias("message")).alias("location"), F.lit(weight).alias("importance"))
+    steps = F.transform("chain", lambda c: at(F.regexp_extract(c, r"^(.*):(\d+)$", 1), F.regexp_extract(c, r"^(.*):(\d+)$", 2), F.lit("call"), "important"))
+    line = F.concat(F.array(at(F.col("source_path"), F.col("source_line"), F.lit("source"), "essential")), steps, F.array(at(F.col("sink_path"), F.col("sink_line"), F.concat(F.lit("sink "), F.col("sink")), "essential")))
+    return flows.select("source_path", "source_line", "sink_path", "sink_line", F.size(line).cast("long").alias("n_locations"), F.to_json(F.struct(F.array(F.struct(line.alias("locations"))).alias("threadFlows"))).alias("code_flow"))
+
+
 # The score of a severity in SARIF.
 SECURITY_SEVERITY = {"CRITICAL": "9.5", "HIGH": "8.0", "MEDIUM": "5.5", "LOW": "3.0", "INFO": "1.0", "UNKNOWN": "0.0"}
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lintlake.graph import context, crossfile, filters, flow, plugins, scripts
+from lintlake.operators import reports
 from lintlake.plans.base import query
 from lintlake.session import spread, table
 
@@ -425,3 +426,13 @@ def code_rows(spark, d):
     plugins.register(spark)
     modules(spark, d).unionByName(script_files(spark, d)).createOrReplaceTempView("code_files")
     return spark.sql("SELECT path, language, count(*) AS n_calls FROM code_rows(TABLE(code_files), 'calls') GROUP BY path, language")
+
+
+@query("k2_thread_flows", sql=_CROSS.format(depth=5) + f" SELECT 'm' || source || '.py' AS source_path, line + {MODULE_HEAD} AS source_line, 'm' || sunk || '.py' AS sink_path, i + {MODULE_HEAD} AS sink_line, x % 100 + 2 AS n_locations, 'm' || source || '.py' || ':' || (line + {MODULE_HEAD}) AS first, 'sink ' || e AS last FROM best")
+def k2t(spark, d):
+    """Code flows of the report: from the source through the calls to the sink."""
+    found = reports.thread_flows(crossfile.cross_file(modules(spark, d)))
+    at = lambda path: F.get_json_object("code_flow", "$.threadFlows[0].locations" + path)
+    first = F.concat_ws(":", at("[0].location.physicalLocation.artifactLocation.uri"), at("[0].location.physicalLocation.region.startLine"))
+    last = F.call_function("get_json_object", F.col("code_flow"), F.concat(F.lit("$.threadFlows[0].locations["), (F.col("n_locations") - 1).cast("string"), F.lit("].location.message.text")))
+    return found.select("source_path", "source_line", "sink_path", "sink_line", "n_locations", first.alias("first"), last.alias("last"))
