@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lintlake.operators import investigation
 from lintlake.operators import triage as ops
-from lintlake.plans.base import findings, query
+from lintlake.plans.base import FINDINGS_SQL, findings, query
 
 _SEVERE = "severity IN ('CRITICAL', 'HIGH')"
 
@@ -223,3 +224,37 @@ def g18(spark, d):
     """Bridge verdict: sanitizer, no untrusted source (also languages without a graph), traced over different lines, else review."""
     san, trusted, traced = F.col("sanitized"), (F.col("source_type") == "FILE_READ") | (F.col("language") == "fr"), (F.col("steps") > 0) & (F.col("n_sanitizers") < 2)
     return findings(spark, d).select("finding_id", F.when(san | trusted, "suppressed").when(traced, "confirmed").otherwise("needs-review").alias("status"), F.when(san, 0.92).when(trusted, 0.88).when(traced, 0.88).otherwise(0.65).alias("confidence"))
+
+
+def _rounds(f):
+    k = F.col("k")
+    each = lambda of: F.array(*[of(r) for r in range(3)])
+    return f.select(
+        "finding_id", F.when(k % 11 == 0, "low_priority").alias("deny_reason"), (k % 13 == 0).alias("settled"), F.col("steps").alias("evidence"), F.when(k % 9 == 0, "hypothesis_builder").when(k % 9 == 1, "auditor").alias("failed_at"), each(lambda r: ((k + r) % 4).cast("int")).alias("calls"),
+        each(lambda r: ((F.floor(k / 2) + r) % 2).cast("int")).alias("artifacts"), each(lambda r: ((k + 3 * r) % 10) / 10).alias("confidence"), each(lambda r: (k + r) % 2 == 0).alias("disagree"), each(lambda r: (k + 2 * r) % 5 == 0).alias("insufficient"),
+    )
+
+
+@query("t11_investigation", sql=f"""WITH RECURSIVE {FINDINGS_SQL},
+    w AS (SELECT finding_id, k, -1 AS r, CASE WHEN k % 11 = 0 THEN 'eligibility_gate>end' WHEN k % 13 = 0 THEN 'eligibility_gate>evidence_inventory>planner>investigation_planner>end' ELSE 'eligibility_gate>evidence_inventory>planner>investigation_planner' END AS path,
+            CASE WHEN k % 11 = 0 THEN 'denied' WHEN k % 13 = 0 THEN 'settled' END AS why, 0 AS n, 0 AS used, steps AS ev, NULL::INTEGER AS before, false AS asked FROM f
+        UNION ALL SELECT finding_id, k, r, went || CASE WHEN failed THEN '' WHEN why IS NULL THEN '>reinvestigate' ELSE '>judge' END, why, n + CASE WHEN why IS NULL THEN 1 ELSE 0 END, used, ev, CASE WHEN why IS NULL THEN ev ELSE before END, asked FROM
+            (SELECT *, CASE WHEN failed THEN 'model failed' WHEN n >= 2 THEN 'rounds used' WHEN used >= 12 THEN 'tool calls used' WHEN NOT ((k + r) % 2 = 0 AND asked OR (k + 2 * r) % 5 = 0) THEN 'no open question' WHEN ev <= before THEN 'nothing new' END AS why FROM
+            (SELECT finding_id, k, r + 1 AS r, n, before, k % 9 < 2 AS failed, used + (k + r + 1) % 4 AS used, ev + CASE WHEN (k + r + 1) % 4 > 0 THEN (k // 2 + r + 1) % 2 ELSE 0 END AS ev, asked OR ((k + 3 * (r + 1)) % 10 < 8 AND k % 9 > 1) AS asked,
+                path || CASE WHEN (k + r + 1) % 4 > 0 THEN '>tool_executor' ELSE '' END || '>hypothesis_builder' || CASE k % 9 WHEN 0 THEN '>judge' WHEN 1 THEN '>knowledge_loader>auditor>judge' ELSE '>knowledge_loader>auditor' || CASE WHEN (k + 3 * (r + 1)) % 10 < 8 THEN '>skeptic' ELSE '' END || '>validator' END AS went
+             FROM w WHERE why IS NULL)))
+    SELECT finding_id, path, CAST(n AS INTEGER) AS n_rounds, CAST(used AS INTEGER) AS tool_calls, CAST(ev AS INTEGER) AS evidence, why FROM w WHERE why IS NOT NULL""")
+def t11i(spark, d):
+    """The whole way of each finding through the investigation's stages, at most two rounds more than one."""
+    return investigation.investigate(_rounds(findings(spark, d))).select("finding_id", F.array_join("path", ">").alias("path"), "n_rounds", "tool_calls", "evidence", "why")
+
+
+@query("t9_suppression_events", findings_sql="""SELECT finding_id, CASE WHEN denied IS NULL THEN proposed ELSE 'needs-review' END AS policy_status, concat_ws(',', CASE WHEN proposed <> 'suppressed' AND failed THEN 'llm_failed_noted' END, CASE WHEN proposed = 'suppressed' AND NOT failed AND severe AND over AND val AND proved THEN 'high_critical_suppress_allowed_by_validator' END, denied, CASE WHEN proposed = 'suppressed' AND denied IS NULL THEN 'suppression_allowed_with_evidence' END) AS events FROM (
+    SELECT *, CASE WHEN proposed <> 'suppressed' THEN NULL WHEN failed THEN 'fail_open_enforced' WHEN severe AND NOT over THEN 'high_critical_no_auto_suppress' WHEN severe AND NOT (val AND proved) THEN 'high_critical_requires_validator_proof' WHEN k % 4 = 0 THEN 'suppression_without_grounded_evidence' WHEN NOT val THEN 'suppression_without_validator'
+        WHEN k % 11 = 0 THEN 'insufficient_evidence' WHEN NOT proved THEN 'no_static_proof_of_safety' WHEN k % 13 = 0 THEN 'unresolved_disagreement' END AS denied FROM
+    (SELECT finding_id, k, CASE WHEN k % 6 < 5 THEN 'suppressed' ELSE triage_status END AS proposed, k % 7 = 0 AS failed, severity IN ('CRITICAL', 'HIGH') AS severe, k % 2 = 0 AS over, k % 3 > 0 AS val, k % 5 > 1 AS proved FROM f))""")
+def t9e(spark, d):
+    """All events of the suppression policy, in order."""
+    k = F.col("k")
+    f = findings(spark, d).withColumns({"proposed": F.when(k % 6 < 5, "suppressed").otherwise(F.col("triage_status")), "llm_failed": k % 7 == 0, "override": k % 2 == 0, "validator": k % 3 > 0, "proved_safe": k % 5 > 1, "insufficient": k % 11 == 0, "grounded": k % 4 > 0, "disagree": k % 13 == 0})
+    return investigation.suppression_events(f).select("finding_id", "policy_status", F.array_join("events", ",").alias("events"))
