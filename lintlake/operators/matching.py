@@ -70,3 +70,11 @@ def first_match(found: DataFrame, labels: DataFrame, tolerance: int) -> DataFram
     one = hit.withColumn("_n", F.row_number().over(Window.partitionBy("finding_id").orderBy(F.col("label_idx").asc_nulls_last()))).filter("_n = 1").drop("_n")
     nth = F.row_number().over(Window.partitionBy("file_path", "label_idx").orderBy("ordinal"))
     return one.withColumn("nth", nth).select("finding_id", "file_path", "family", "label_idx", F.when(F.col("label_idx").isNull() | ~F.col("is_vulnerable"), "fp").when(F.col("nth") == 1, "tp").otherwise("duplicate").alias("outcome"))
+
+
+def label_outcomes(matched: DataFrame, labels: DataFrame) -> DataFrame:
+    """file_path, label_idx, n_findings, outcome of every label by what first_match() gave it: TP or FN if it is vulnerable, FP or TN if not, with or without findings."""
+    hits = matched.filter("label_idx IS NOT NULL").groupBy("file_path", "label_idx").agg(F.count("*").alias("n_findings"))
+    out = labels.select("file_path", "label_idx", "is_vulnerable").join(hits, ["file_path", "label_idx"], "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0).cast("long")))
+    some = F.col("n_findings") > 0
+    return out.select("file_path", "label_idx", "n_findings", F.when(F.col("is_vulnerable"), F.when(some, "TP").otherwise("FN")).otherwise(F.when(some, "FP").otherwise("TN")).alias("outcome"))

@@ -142,14 +142,25 @@ def a18(spark, d):
 _LABELS_SQL = "lab AS (SELECT file_path, vulnerability_type AS family, row_number() OVER (PARTITION BY file_path ORDER BY line_number, vulnerability_type, ordinal) AS label_idx, line_number AS start_line, line_number + 1 AS end_line, k % 4 > 0 AS is_vulnerable FROM f WHERE k % 3 = 0)"
 
 
+def _labels(f):
+    from pyspark.sql import Window
+
+    idx = F.row_number().over(Window.partitionBy("file_path").orderBy("line_number", "vulnerability_type", "ordinal"))
+    return f.filter("k % 3 = 0").select("file_path", "family", idx.alias("label_idx"), F.col("line_number").alias("start_line"), (F.col("line_number") + 1).alias("end_line"), (F.col("k") % 4 > 0).alias("is_vulnerable"))
+
+
 @query("j12_range_first_match")
 def j12(spark, d):
     f = findings(spark, d).withColumn("family", F.col("vulnerability_type"))
-    from pyspark.sql import Window
+    return matching.first_match(f, _labels(f), 2)
 
-    idx = F.row_number().over(Window.partitionBy("file_path").orderBy("line_number", "vulnerability_type", "ordinal"))
-    labels = f.filter("k % 3 = 0").select("file_path", "family", idx.alias("label_idx"), F.col("line_number").alias("start_line"), (F.col("line_number") + 1).alias("end_line"), (F.col("k") % 4 > 0).alias("is_vulnerable"))
-    return matching.first_match(f, labels, 2)
+
+@query("j12_label_outcomes")
+def j12l(spark, d):
+    """Labels with and without findings: hits, misses, and what was rightly or wrongly left alone. Only every second finding is reported, so that labels are missed too."""
+    f = findings(spark, d).withColumn("family", F.col("vulnerability_type"))
+    labels = _labels(f)
+    return matching.label_outcomes(matching.first_match(f.filter("k % 2 = 0"), labels, 0), labels)
 
 
 @query("j14_ai_report_truth", findings_sql=f"SELECT a.finding_id, a.ai_status, f.triage_status, t.vulnerable FROM (SELECT finding_id, CASE WHEN ai_vulnerable THEN 'likely' ELSE 'suppressed' END AS ai_status FROM f WHERE ai_vulnerable IS NOT NULL) a JOIN f USING (finding_id) LEFT JOIN truth t ON t.case_id = f.doc_id")
@@ -181,6 +192,9 @@ def _register():
         ORACLE_SQL[name] = f"WITH {FINDINGS_SQL}, {_pairs_sql(official)} SELECT *, {metrics()} FROM c"
     ORACLE_SQL["j12_range_first_match"] = f"""WITH {FINDINGS_SQL}, {_LABELS_SQL}, h AS (SELECT finding_id, f.file_path, vulnerability_type AS family, ordinal, l.label_idx, l.is_vulnerable, row_number() OVER (PARTITION BY finding_id ORDER BY l.label_idx NULLS LAST) AS n FROM f LEFT JOIN lab l ON l.file_path = f.file_path AND l.family = f.vulnerability_type AND f.line_number BETWEEN l.start_line - 2 AND l.end_line + 2 WHERE f.file_path IN (SELECT file_path FROM lab)),
         o AS (SELECT *, row_number() OVER (PARTITION BY file_path, label_idx ORDER BY ordinal) AS nth FROM h WHERE n = 1) SELECT finding_id, file_path, family, CAST(label_idx AS INTEGER) AS label_idx, CASE WHEN label_idx IS NULL OR NOT is_vulnerable THEN 'fp' WHEN nth = 1 THEN 'tp' ELSE 'duplicate' END AS outcome FROM o"""
+    ORACLE_SQL["j12_label_outcomes"] = f"""WITH {FINDINGS_SQL}, {_LABELS_SQL}, h AS (SELECT finding_id, f.file_path, l.label_idx, row_number() OVER (PARTITION BY finding_id ORDER BY l.label_idx NULLS LAST) AS n FROM f LEFT JOIN lab l ON l.file_path = f.file_path AND l.family = f.vulnerability_type AND f.line_number BETWEEN l.start_line AND l.end_line WHERE k % 2 = 0),
+        c AS (SELECT file_path, label_idx, count(*) AS n FROM h WHERE n = 1 AND label_idx IS NOT NULL GROUP BY ALL)
+        SELECT lab.file_path, CAST(lab.label_idx AS INTEGER) AS label_idx, coalesce(c.n, 0) AS n_findings, CASE WHEN is_vulnerable THEN CASE WHEN c.n > 0 THEN 'TP' ELSE 'FN' END WHEN c.n > 0 THEN 'FP' ELSE 'TN' END AS outcome FROM lab LEFT JOIN c ON c.file_path = lab.file_path AND c.label_idx = lab.label_idx"""
 
 
 _register()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Names of stage tables and files: a name and a random id.
+STAGE = re.compile(r"[a-z0-9-]+-[0-9a-f]{32}(\.[a-z]+)?")
+
+
+def sweep(spark: SparkSession, older_than_hours: float = 24.0) -> int:
+    """Deletes stage tables in the shared folder that no running job can need any more, by age; returns how many went. Results read their last stage lazily, so nothing is deleted before its time."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = 0
+    for status in fs.listStatus(path) if fs.exists(path) else []:
+        if STAGE.fullmatch(status.getPath().getName()) and status.getModificationTime() / 1000 < time.time() - older_than_hours * 3600:
+            gone += fs.delete(status.getPath(), True)
+    return gone
+
+
 #: What a broadcast side may take, by the optimizer's estimate.
 SMALL = 32 << 20
 
