@@ -73,6 +73,6 @@ def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows round-robin to all cores where a table is too small to be read in as many splits; larger tables are left as they are read, without a shuffle."""
+    """Deals rows round-robin to all cores where a table is too small to be read in more splits than there are cores (of a file with few row groups most splits are empty); larger tables are left as they are read, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < max(2, cores // 2) else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
