@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -11,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.session import shared_dir, written  # noqa: F401
+from lintlake.session import shared_dir, sweep, written  # noqa: F401
 
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows; so at most HOT_SHARE keys are hot, and a table of them can be broadcast whatever the input's size.
 HOT_SHARE = 1000
-#: Names of stage tables: a stage and a random id.
-STAGE = re.compile(r"[a-z-]+-[0-9a-f]{32}")
 #: The six characters the contracts count as white space.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -35,20 +32,6 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def sweep(spark: SparkSession, older_than_hours: float = 24.0) -> int:
-    """Deletes stage tables of this package in the shared folder that no running job can need any more, by age; returns how many went. Results of operators read their last stage lazily, so nothing is deleted before its time."""
-    import time
-
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    gone = 0
-    for status in fs.listStatus(path) if fs.exists(path) else []:
-        name = status.getPath().getName()
-        if STAGE.fullmatch(name) and status.getModificationTime() / 1000 < time.time() - older_than_hours * 3600:
-            gone += fs.delete(status.getPath(), True)
-    return gone
-
-
 #: Bytes of the input's files for a task of an explicit shuffle.
 TASK_BYTES = 256 << 20
 
