@@ -66,3 +66,17 @@ def test_empty_and_null_files(spark):
 def test_candidates():
     assert x.candidates("a/b/c.py", "pkg.mod.f") == [("pkg/mod.py", "f"), ("pkg/mod/__init__.py", "f"), ("a/b/pkg/mod.py", "f"), ("a/b/pkg/mod/__init__.py", "f"), ("pkg.py", "mod.f"), ("pkg/__init__.py", "mod.f"), ("a/b/pkg.py", "mod.f"), ("a/b/pkg/__init__.py", "mod.f")]
     assert x.candidates("a/b/c.py", "..m.f") == [("a/m.py", "f"), ("a/m/__init__.py", "f"), ("a/__init__.py", "m.f")]
+
+
+@pytest.mark.parametrize("name", ["g15_returned_sources", "g17_cross_file_taint", "j7_import_calls", "j8_bound_arguments", "j17_call_graph"])
+def test_files_are_read_once(spark, monkeypatch, name):
+    """All that follows reads written tables: no level of a fixpoint goes back to the files."""
+    from lintlake.plans import program_plans
+    from lintlake.plans.base import QUERIES
+
+    plans = []
+    monkeypatch.setattr(x, "written", lambda df, n, w=x.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or w(df, n))
+    few = lambda s, d, m=program_plans.modules: m(s, d).limit(20)
+    monkeypatch.setattr(program_plans, "modules", few)
+    plans.append(QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("MapInArrow") for p in plans) == 1
