@@ -6,6 +6,8 @@ schema has to know how deep a rule goes. Order is kept by each entry's place (th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,40 +40,52 @@ def get(v: Column, *names: str) -> Column:
     return F.try_variant_get(v, "$" + "".join(f'["{n}"]' for n in names), "variant")
 
 
-def kind(v: Column) -> Column:
-    """null, string, boolean, whole, number, list or map."""
-    k = F.schema_of_variant(v)
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use of x, with x worked out once however often use names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _kind(schema: Column) -> Column:
     return (
-        F.when(v.isNull() | (k == "VOID"), "null").when(k == "STRING", "string").when(k == "BOOLEAN", "boolean").when(k.startswith("ARRAY"), "list").when(k.startswith("OBJECT"), "map")
-        .when(k.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | k.rlike(r"^DECIMAL\(\d+,0\)$"), "whole").otherwise("number")
+        F.when(schema.isNull() | (schema == "VOID"), "null").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(schema.startswith("ARRAY"), "list").when(schema.startswith("OBJECT"), "map")
+        .when(schema.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | schema.rlike(r"^DECIMAL\(\d+,0\)$"), "whole").otherwise("number")
     )
 
 
+def kind(v: Column) -> Column:
+    """null, string, boolean, whole, number, list or map."""
+    return let(F.schema_of_variant(v), _kind)
+
+
 def text(v: Column) -> Column:
     """A text value; null for values of other kinds."""
-    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string"))
+    return let(v, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 def items(v: Column) -> Column:
     """A list's values; none for values of other kinds."""
-    return F.when(kind(v) == "list", F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
 def listed(v: Column) -> Column:
     """A list as it is, null as none, any other value as a list of one."""
-    return F.when(kind(v) == "list", F.try_variant_get(v, "$", "array<variant>")).when(kind(v) == "null", F.array().cast("array<variant>")).otherwise(F.array(v))
+    return let(v, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.when(kind(x) == "null", F.array().cast("array<variant>")).otherwise(F.array(x))))
 
 
 def names(v: Column) -> Column:
     """The names in a mapping, in order."""
-    return F.when(kind(v) == "map", F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))))
+    return F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
 
 
 def truth(v: Column) -> Column:
     """Whether a value counts as true: neither null, false, zero nor empty."""
-    said = F.try_variant_get(v, "$", "string")
-    k = kind(v)
-    return F.when(k == "boolean", said == "true").when(k == "string", said != "").when(k.isin("whole", "number"), F.try_variant_get(v, "$", "double") != 0).when(k == "list", said != "[]").when(k == "map", said != "{}").otherwise(F.lit(False))
+
+    def of(x: Column) -> Column:
+        return let(F.struct(x.alias("v"), kind(x).alias("k"), F.try_variant_get(x, "$", "string").alias("said")), lambda s: (
+            F.when(s["k"] == "boolean", s["said"] == "true").when(s["k"] == "string", s["said"] != "").when(s["k"].isin("whole", "number"), F.try_variant_get(s["v"], "$", "double") != 0).when(s["k"] == "list", s["said"] != "[]").when(s["k"] == "map", s["said"] != "{}").otherwise(F.lit(False))
+        ))
+
+    return let(v, of)
 
 
 def filled(v: Column) -> Column:
@@ -80,7 +94,7 @@ def filled(v: Column) -> Column:
 
 
 def focus(v: Column) -> Column:
-    return F.when(filled(get(v, "focus-metavariable")), F.trim(text(get(v, "focus-metavariable"))))
+    return F.nullif(F.trim(text(get(v, "focus-metavariable"))), F.lit(""))
 
 
 def only_modifies(v: Column) -> Column:
@@ -92,7 +106,7 @@ def _own_patterns(item: Column, given: Column) -> Column:
     side, exact = truth(get(item, "by-side-effect")), get(item, "exact")
     direct = text(get(item, "pattern"))
     guess = F.when(F.array_contains(names(item), "exact"), truth(exact)).otherwise(F.trim(direct).rlike(CALL_HEAD))
-    row = lambda n, pattern, mode, sure, by: F.when(pattern.isNotNull(), F.struct(F.lit(n).alias("n"), pattern.alias("pattern"), F.lit(mode).alias("pattern_mode"), sure.alias("exact"), by.alias("by_side_effect"), given.alias("focus_metavariable")))
+    row = lambda n, pattern, mode, sure, by: let(pattern, lambda p: F.when(p.isNotNull(), F.struct(F.lit(n).alias("n"), p.alias("pattern"), F.lit(mode).alias("pattern_mode"), sure.alias("exact"), by.alias("by_side_effect"), given.alias("focus_metavariable"))))
     no = F.lit(False)
     plain = row(0, text(item), "literal", no, no)
     return F.array_compact(F.array(plain, row(0, direct, "pattern", guess, side), row(1, text(get(item, "pattern-inside")), "pattern", no, side), row(2, text(get(item, "pattern-regex")), "pattern-regex", truth(exact), side)))
@@ -180,6 +194,11 @@ def normalize_rules(rules: DataFrame, doc: str = "rule", language: str | None =
 
 def validate_rules(rules: DataFrame, doc: str = "rule", profile: str = "generic", schema_version: str | None = None) -> DataFrame:
     """rule_id, level, path, code of every issue of normalized rules (documents as VARIANT); none hides another. rule_id is the rule's own, or <missing-rule-id>."""
+    # the parts and whether they are mappings are columns of their own, so that none is worked out once for each of its uses
+    parts = ("taxonomy", "detection", "triage", "provenance", "notes")
+    lists = {"taxonomy": ("cwe", "owasp"), "detection": ("source_patterns", "sink_patterns", "sanitizers"), "triage": ("knowledge_refs", "fp_hints", "remediation_notes")}
+    rules = rules.select(F.col(doc), *[get(F.col(doc), n).alias(f"_{n}") for n in parts])
+    rules = rules.select("*", *[(kind(F.col(f"_{n}")) == "map").alias(f"_is_{n}") for n in parts], *[get(F.col(f"_{n}"), x).alias(f"_{n}_{x}") for n, xs in lists.items() for x in xs])
     v = F.col(doc)
     issue = lambda on, level, path, code: F.when(on, F.struct(F.lit(level).alias("level"), (F.lit(path) if isinstance(path, str) else path).alias("path"), F.lit(code).alias("code")))
     none = F.array().cast("array<struct<level:string,path:string,code:string>>")
@@ -192,22 +211,23 @@ def validate_rules(rules: DataFrame, doc: str = "rule", profile: str = "generic"
         single.append(issue(~filled(get(v, n)), "error", n, "missing_required_field"))
     for n, allowed in (("language", LANGUAGES), ("family", FAMILIES), ("severity", SEVERITIES)):
         single.append(issue(~text(get(v, n)).isin(*allowed), "error", n, f"unsupported_{n}"))
-    tax, det, tri, prov, notes = (get(v, n) for n in ("taxonomy", "detection", "triage", "provenance", "notes"))
-    is_map = lambda x: kind(x) == "map"
+    tax, det, tri, prov, notes = parts
+    is_map = lambda part: F.col(f"_is_{part}")
+    within = lambda part, n: get(F.col(f"_{part}"), n)
     single.append(issue(~is_map(tax), "error", "taxonomy", "invalid_taxonomy"))
     for n, form in (("cwe", CWE), ("owasp", OWASP)):
-        x, path = get(tax, n), f"taxonomy.{n}"
+        x, path = F.col(f"_{tax}_{n}"), f"taxonomy.{n}"
         single.append(issue(is_map(tax) & (kind(x) != "list"), "error", path, "invalid_taxonomy_list"))
         many.append(F.when(is_map(tax), each(items(x), lambda e, i, path=path, form=form, n=n: [issue(~filled(e), "error", at(path, i), "invalid_taxonomy_value"), issue(filled(e) & ~F.upper(F.trim(text(e))).rlike(form), "warning", at(path, i), f"suspicious_{n}_format")])).otherwise(none))
-    single += [issue(~is_map(det), "error", "detection", "invalid_detection"), issue(is_map(det) & ~filled(get(det, "match_mode")), "error", "detection.match_mode", "missing_match_mode")]
+    single += [issue(~is_map(det), "error", "detection", "invalid_detection"), issue(is_map(det) & ~filled(within(det, "match_mode")), "error", "detection.match_mode", "missing_match_mode")]
     for n in ("source_patterns", "sink_patterns", "sanitizers"):
-        x, path = get(det, n), f"detection.{n}"
+        x, path = F.col(f"_{det}_{n}"), f"detection.{n}"
         single.append(issue(is_map(det) & (kind(x) != "list"), "error", path, "invalid_pattern_list"))
         if n != "sanitizers":
             single.append(issue(is_map(det) & (kind(x) == "list") & (F.size(items(x)) == 0), "error", path, "empty_pattern_list"))
 
         def entry(e: Column, i: Column, path: str = path) -> list[Column]:
-            ok, pattern, mode = is_map(e), text(get(e, "pattern")), text(get(e, "pattern_mode"))
+            ok, pattern, mode = kind(e) == "map", text(get(e, "pattern")), text(get(e, "pattern_mode"))
             vague = (mode == "pattern") & pattern.rlike(CALL_LIKE) & (kind(get(e, "exact")) == "boolean") & ~truth(get(e, "exact"))
             return [
                 issue(~ok, "error", at(path, i), "invalid_pattern_entry"), issue(ok & ~filled(get(e, "pattern")), "error", at(path, i, ".pattern"), "missing_pattern"),
@@ -220,17 +240,17 @@ def validate_rules(rules: DataFrame, doc: str = "rule", profile: str = "generic"
         many.append(F.when(is_map(det), each(items(x), entry)).otherwise(none))
     single.append(issue(~is_map(tri), "error", "triage", "invalid_triage"))
     for n in ("knowledge_refs", "fp_hints", "remediation_notes"):
-        x, path = get(tri, n), f"triage.{n}"
+        x, path = F.col(f"_{tri}_{n}"), f"triage.{n}"
         single.append(issue(is_map(tri) & (kind(x) != "list"), "error", path, "invalid_triage_list"))
         many.append(F.when(is_map(tri), each(items(x), lambda e, i, path=path: [issue(~filled(e), "error", at(path, i), "invalid_triage_value")])).otherwise(none))
     single.append(issue(~is_map(prov), "error", "provenance", "invalid_provenance"))
     for n in ("source", "source_rule_id", "importer", "snapshot_version"):
-        single.append(issue(is_map(prov) & ~filled(get(prov, n)), "error", f"provenance.{n}", "missing_required_field"))
-    where = get(prov, "source_path")
+        single.append(issue(is_map(prov) & ~filled(within(prov, n)), "error", f"provenance.{n}", "missing_required_field"))
+    where = within(prov, "source_path")
     blank = (kind(where) == "null") | F.coalesce(text(where) == "", F.lit(False))
     single += [issue(is_map(prov) & blank, "warning", "provenance.source_path", "missing_source_path"), issue(is_map(prov) & ~blank & (kind(where) != "string"), "error", "provenance.source_path", "invalid_source_path")]
-    single.append(issue(~kind(notes).isin("null", "list"), "warning", "notes", "invalid_notes"))
-    many.append(each(items(notes), lambda e, i: [issue(~filled(e), "warning", at("notes", i), "invalid_note_value")]))
+    single.append(issue(~kind(F.col(f"_{notes}")).isin("null", "list"), "warning", "notes", "invalid_notes"))
+    many.append(each(items(F.col(f"_{notes}")), lambda e, i: [issue(~filled(e), "warning", at("notes", i), "invalid_note_value")]))
     if profile in PROFILES:
         single += [issue(text(get(v, "language")) != "python", "error", "language", "out_of_scope_language"), issue(~text(get(v, "family")).isin(*PROFILES[profile]), "error", "family", "out_of_scope_family")]
     named = F.when(filled(get(v, "rule_id")), F.trim(text(get(v, "rule_id")))).otherwise("<missing-rule-id>")

@@ -8,7 +8,7 @@ from lintlake.operators import documents as json_documents
 from lintlake.operators import rule_documents as documents
 from lintlake.operators import rules as ops
 from lintlake.plans.base import findings, query
-from lintlake.session import table
+from lintlake.session import spread, table
 
 _R = "r AS (SELECT p_partkey AS rule_no, p_type AS pattern, p_brand AS type, p_size FROM part)"
 
@@ -139,7 +139,7 @@ def _rule_documents(spark, d):
         F.lit('{"id": "'), k.cast("string"), F.lit('", "message": "'), F.col("p_type"), F.lit('", "severity": "'), at(("ERROR", "warning", "odd"), k % 3), F.lit('", "mode": "'), F.when(k % 5 == 0, "search").otherwise("taint"), F.lit('", "languages": '), at(_LANGS, k % 3),
         F.lit(', "metadata": '), at(_WEAK, F.floor(k / 4) % 3), F.lit(', "pattern-sinks": ["t_K("], "pattern-sources": '), at(_SOURCES, k % 4), F.lit("}"),
     )
-    return table(spark, d, "part").select(k.cast("string").alias("rule_id"), F.parse_json(F.replace(j, F.lit("_K"), F.concat(F.lit("_"), k.cast("string")))).alias("rule"))
+    return spread(table(spark, d, "part")).select(k.cast("string").alias("rule_id"), F.parse_json(F.replace(j, F.lit("_K"), F.concat(F.lit("_"), k.cast("string")))).alias("rule"))
 
 
 _K = f"x AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS rule_id, p_type, {_SHAPE} FROM (SELECT p_partkey, p_partkey AS k, p_type FROM part))"
@@ -180,13 +180,13 @@ def t14d(spark, d):
         F.lit('}, "detection": {"match_mode": "m", "sanitizers": [], "source_patterns": '), at(('["s"]', f"[{entry}]", f"[{entry}]", "[]"), k % 4), F.lit(', "sink_patterns": [{"pattern": "f(", "pattern_mode": "pattern", "by_side_effect": true, "exact": '), (k % 7 > 0).cast("string"),
         F.lit('}]}, "triage": {"knowledge_refs": [], "fp_hints": [], "remediation_notes": ["a"]}, "provenance": {"source": "s", "source_rule_id": "i", "importer": "m", "snapshot_version": "1"'), F.when(k % 8 > 0, ', "source_path": "p"').otherwise(""), F.lit('}, "notes": ['), F.when(k % 6 == 0, "7").otherwise(""), F.lit("]}"),
     )
-    return documents.validate_rules(table(spark, d, "part").select(F.parse_json(j).alias("rule")))
+    return documents.validate_rules(spread(table(spark, d, "part")).select(F.parse_json(j).alias("rule")))
 
 
 @query("sf_deep_merge", sql="""SELECT p_partkey AS doc, '{"a":' || CASE WHEN p_partkey % 3 = 0 THEN '7' WHEN p_partkey % 3 = 1 THEN '{"name":"' || p_name || '","size":' || p_size || ',"tags":[2]}' ELSE '{"name":"' || p_name || '","size":0,"tags":[1,' || p_size || ']}' END || ',"b":{"c":{"d":' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ',"e":null' ELSE '' END || '}}}' AS merged FROM part""")
 def deep(spark, d):
     """A base, a second and a third layer of settings for each part: maps merge, lists and numbers are replaced."""
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"))
     k, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size").cast("string")
     base = F.concat(F.lit('{"a": {"tags": [1, '), size, F.lit('], "name": "'), name, F.lit('", "size": 0}, "b": {"c": {"d": 0}}}'))
     second = F.when(k % 3 == 0, F.lit('{"a": 7, "b": {}}')).when(k % 3 == 1, F.concat(F.lit('{"a": {"size": '), size, F.lit(', "tags": [2]}}'))).otherwise(F.lit('{"a": {}}'))

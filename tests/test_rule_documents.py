@@ -153,3 +153,17 @@ def test_issues(spark):
     assert "R0" not in every
     for i, (path, value, want) in enumerate(CASES, 1):
         assert every.get(f"R{i}" if path != ("rule_id",) else "<missing-rule-id>", set()) == want, (path, value)
+
+
+def test_values_are_worked_out_once(spark):
+    """However often a helper looks at its argument, the expression holds it once, so nested ones do not multiply."""
+    from lintlake.operators import rule_documents as r
+
+    for use in (r.kind, r.text, r.items, r.listed, r.names, r.truth, r.filled):
+        assert str(use(F.col("_inner"))).count("_inner") == 1, use.__name__
+
+
+def test_parts_are_dealt_to_all_cores(spark):
+    from lintlake.plans.rule_plans import _rule_documents
+
+    assert _rule_documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
