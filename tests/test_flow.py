@@ -291,3 +291,17 @@ def test_random_programs():
         assert got == want, text
         flows += len(want)
     assert flows > 300
+
+
+def test_rows_are_given_in_small_batches():
+    """Many files in one batch do not hold all their rows at once."""
+    import pyarrow as pa
+
+    from lintlake.graph import flow
+
+    schema = pa.schema({"path": pa.string(), "n": pa.int64()})
+    files = pa.record_batch([pa.array([f"f{i}" for i in range(100)]), pa.array([None, "x"] * 50)], names=["path", "content"])
+    got = list(flow._per_file(lambda p, t: [(p, i) for i in range(1_000 if t else 0)], schema)(iter([files])))
+    assert sum(b.num_rows for b in got) == 50_000 and max(b.num_rows for b in got) < flow.ROWS + 1_000
+    assert [r["n"] for b in got for r in b.to_pylist()] == [*range(1_000)] * 50
+    assert list(flow._per_file(lambda p, t: [], schema)(iter([files]))) == []
