@@ -37,12 +37,13 @@ def _overridden(ends: DataFrame) -> DataFrame:
     tops = ends.groupBy("doc", F.col("path").alias("at")).agg(F.max("layer").alias("same"), F.max(F.when(~F.col("map"), F.col("layer"))).alias("flat"))
     # of each end the newest layer with a value that is no map above it
     over = ends.select("doc", "path", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("n")).filter(F.col("n") < F.size("path")).select("doc", "path", F.slice("path", 1, F.col("n")).alias("at"))
-    over = over.distinct().join(tops.select("doc", "at", "flat"), ["doc", "at"]).groupBy("doc", "path").agg(F.max("flat").alias("flat"))
-    out = ends.join(over, ["doc", "path"], "left").join(newest.withColumnRenamed("at", "path"), ["doc", "path"], "left").join(tops.select("doc", F.col("at").alias("path"), "same"), ["doc", "path"])
+    # no side is sent to all: written paths take a fraction of the room on disk, so an estimate by bytes takes large sides for small ones
+    over = over.distinct().join(tops.select("doc", "at", "flat").hint("merge"), ["doc", "at"]).groupBy("doc", "path").agg(F.max("flat").alias("flat"))
+    out = ends.join(over.hint("merge"), ["doc", "path"], "left").join(newest.withColumnRenamed("at", "path").hint("merge"), ["doc", "path"], "left").join(tops.select("doc", F.col("at").alias("path"), "same").hint("merge"), ["doc", "path"])
     stays = (F.col("layer") == F.col("same")) & ~F.coalesce(F.col("flat") > F.col("layer"), F.lit(False)) & ~F.coalesce(F.col("deep") > F.col("layer"), F.lit(False))
     out = written(out.filter(stays).select("doc", "path", "value", "map"), "document-ends")
     filled = out.select("doc", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("n"), "path").filter(F.col("n") < F.size("path")).select("doc", F.slice("path", 1, F.col("n")).alias("path")).distinct().withColumn("_filled", F.lit(True))
-    return out.join(filled, ["doc", "path"], "left").filter(~(F.col("map") & F.coalesce("_filled", F.lit(False)))).select("doc", "path", "value")
+    return out.join(filled.hint("merge"), ["doc", "path"], "left").filter(~(F.col("map") & F.coalesce("_filled", F.lit(False)))).select("doc", "path", "value")
 
 
 def deep_merge(layers: DataFrame, key: str = "doc", order: str = "layer", doc: str = "body") -> DataFrame:

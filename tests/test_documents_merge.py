@@ -37,3 +37,16 @@ def test_random_documents(spark):
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc int, layer int, j string").select("doc", "layer", F.parse_json("j").alias("body"))
     assert deep_merge(empty).collect() == []
+
+
+def test_no_side_is_sent_to_all(spark, monkeypatch):
+    """The driver holds no side of a join, however small the written tables look."""
+    from pyspark.sql import functions as F
+
+    from lintlake.operators import documents as d
+
+    plans = []
+    monkeypatch.setattr(d, "written", lambda df, n, w=d.written: (w(df, n), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    layers = spark.range(50).select(F.col("id").alias("doc"), F.lit(0).alias("layer"), F.parse_json(F.lit('{"a": {"b": 1}, "c": {}}')).alias("body"))
+    assert d.deep_merge(layers).count() == 50
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
