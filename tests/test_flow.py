@@ -305,3 +305,17 @@ def test_rows_are_given_in_small_batches():
     assert sum(b.num_rows for b in got) == 50_000 and max(b.num_rows for b in got) < flow.ROWS + 1_000
     assert [r["n"] for b in got for r in b.to_pylist()] == [*range(1_000)] * 50
     assert list(flow._per_file(lambda p, t: [], schema)(iter([files]))) == []
+
+
+def test_statements_are_written_out_once(monkeypatch):
+    """A function's first line needs nothing of its body, and equal statements on one line are written out once for all files."""
+    import ast
+
+    from lintlake.graph.program import Flow
+
+    text = "def f(a):\n" + "".join(f"    v{i} = request.args  # {i}\n    if v{i}: pass\n" for i in range(40)) + "    return a\n"
+    first = [n.text for n in Flow(text).nodes]
+    seen = []
+    monkeypatch.setattr(ast, "unparse", lambda n, u=ast.unparse: seen.append(u(n)) or seen[-1])
+    assert [n.text for n in Flow(text).nodes] == first and "v7 = request.args" in first and "if v7:" in first
+    assert seen == ["def f(a):\n    pass"]
