@@ -53,7 +53,7 @@ def test_plain_statements_are_not_walked_for_imports_and_scopes(monkeypatch):
 def test_a_node_is_worked_out_once_for_summary_and_ports(monkeypatch, last):
     made = []
     monkeypatch.setattr(Taint, "_hot", lambda self, n, w=Taint._hot: made.append(n.id) or w(self, n))
-    text = "def f(p, q):\n    v = p\n" + "    if q: return q\n" * 50 + f"    {last}\n"
+    text = "def f(p, q):\n    v = p\n" + "    if q: return q\n" * 50 + f"    {last}\n" + "f(1, 2)\n"
     g = Flow(text)
     t = Taint(g, crossfile.SOURCES, crossfile.SINKS, {})
     before = len(made)
@@ -75,3 +75,14 @@ def test_lines_are_measured_once(spark):
 
     for make in (p.programs, p.modules, p.guarded, p.checked, p.script_files):
         assert make(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_functions_that_nothing_calls_get_a_summary_only_where_it_is_asked_for(monkeypatch):
+    ran = []
+    monkeypatch.setattr(Taint, "_run", lambda self, start, inside=None, ports=False, w=Taint._run: ran.append(inside) or w(self, start, inside, ports))
+    text = "def f(a, b):\n    return a\ndef g(c):\n    return f(c, 1)\ndef h(x=g(2)):\n    return x\n"
+    g = Flow(text)
+    names = lambda: sorted(g.functions[i].name for i in ran if i is not None)
+    Taint(g, ("input(",)).returning()
+    assert names() == ["f", "g", "g"] or names() == ["f", "g"]
+    assert {f.name: f.depends for f in g.functions} == {"f": ["a"], "g": ["c"], "h": ["x"]}
